@@ -12,10 +12,9 @@ from tallyroom.functions import (
     as_bool, as_double, as_int, js_round, locale_country, locale_language, percent, prop, ratio,
     to_fixed,
 )
+from tallyroom.functions.counts import n_distinct, n_rows
 from tallyroom.plans import device_flags, single_row_to_rows, top_k
 
-ROWS = F.count(F.lit(1))
-DEVICES = F.countDistinct("device_id")
 
 # The scan ranges with a column of their own.
 SCAN_RANGES = ["7days", "30days", "6months", "all", "custom"]
@@ -37,8 +36,8 @@ def _named(events: DataFrame, name: str | None) -> DataFrame:
 
 def table_summary(events: DataFrame) -> DataFrame:
     return events.agg(
-        ROWS.alias("total_events"),
-        DEVICES.alias("unique_devices"),
+        n_rows().alias("total_events"),
+        n_distinct("device_id").alias("unique_devices"),
         F.min("event_ts").alias("first_event"),
         F.max("event_ts").alias("last_event"),
     )
@@ -46,7 +45,7 @@ def table_summary(events: DataFrame) -> DataFrame:
 
 def event_counts(events: DataFrame, bounds: Bounds = ALL_TIME, k: int | None = None) -> DataFrame:
     """Events by name, most frequent first."""
-    counts = bounds.apply(events, "event_ts").groupBy("name").agg(ROWS.alias("count"))
+    counts = bounds.apply(events, "event_ts").groupBy("name").agg(n_rows().alias("count"))
     return top_k(counts, F.desc("count"), F.asc("name"), k=k)
 
 
@@ -65,8 +64,8 @@ def event_type_catalog(
         clock.since(as_of, days).apply(events, "event_ts")
         .groupBy("name", "category")
         .agg(
-            ROWS.alias("count"),
-            DEVICES.alias("unique_users"),
+            n_rows().alias("count"),
+            n_distinct("device_id").alias("unique_users"),
             F.min("event_ts").alias("first_occurrence"),
             F.max("event_ts").alias("last_occurrence"),
         )
@@ -81,26 +80,26 @@ def events_by_date(
     return (
         _named(clock.since(as_of, days).apply(events, "event_ts"), name)
         .groupBy(_day())
-        .agg(ROWS.alias("events"), DEVICES.alias("users"))
+        .agg(n_rows().alias("events"), n_distinct("device_id").alias("users"))
         .orderBy(F.desc("date"))
     )
 
 
 def daily_active_users(events: DataFrame, bounds: Bounds) -> DataFrame:
     return (
-        bounds.apply(events, "event_ts").groupBy(_day()).agg(DEVICES.alias("users"))
+        bounds.apply(events, "event_ts").groupBy(_day()).agg(n_distinct("device_id").alias("users"))
         .orderBy("date")
     )
 
 
 def events_by_category(events: DataFrame, bounds: Bounds) -> DataFrame:
-    counts = bounds.apply(events, "event_ts").groupBy("category").agg(ROWS.alias("count"))
+    counts = bounds.apply(events, "event_ts").groupBy("category").agg(n_rows().alias("count"))
     return counts.orderBy(F.desc("count"), "category")
 
 
 def property_crosstab(events: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Events of one type by several properties; a missing value is a group."""
-    return _named(events, name).groupBy(*[prop(k).alias(k) for k in keys]).agg(ROWS.alias("count"))
+    return _named(events, name).groupBy(*[prop(k).alias(k) for k in keys]).agg(n_rows().alias("count"))
 
 
 def property_breakdown(
@@ -114,7 +113,7 @@ def property_breakdown(
     labelled ``default``, or form a null group."""
     value = prop(key) if default is None else F.coalesce(prop(key), F.lit(default))
     found = _named(bounds.apply(events, "event_ts"), name)
-    return found.groupBy(value.alias(key)).agg(ROWS.alias("count")).orderBy(F.desc("count"), key)
+    return found.groupBy(value.alias(key)).agg(n_rows().alias("count")).orderBy(F.desc("count"), key)
 
 
 def breakdown_map(breakdown: DataFrame, key: str, max_entries: int = 10_000) -> DataFrame:
@@ -135,14 +134,14 @@ def deletion_mode_breakdown(events: DataFrame, bounds: Bounds) -> DataFrame:
 def daily_counts(events: DataFrame, name: str, bounds: Bounds) -> DataFrame:
     """Events of one type per day, oldest first."""
     found = _named(bounds.apply(events, "event_ts"), name)
-    return found.groupBy(_day()).agg(ROWS.alias("count")).orderBy("date")
+    return found.groupBy(_day()).agg(n_rows().alias("count")).orderBy("date")
 
 
 def mean_events_per_user(
     events: DataFrame, name: str | None = None, bounds: Bounds = ALL_TIME
 ) -> DataFrame:
     found = _named(bounds.apply(events, "event_ts"), name)
-    return found.agg(ratio(ROWS, DEVICES).alias("events_per_user"))
+    return found.agg(ratio(n_rows(), n_distinct("device_id")).alias("events_per_user"))
 
 
 def photo_summary(events: DataFrame, as_of: datetime | None = None, days: int = 30) -> DataFrame:
@@ -150,8 +149,8 @@ def photo_summary(events: DataFrame, as_of: datetime | None = None, days: int =
     source = F.coalesce(prop("source"), F.lit("app"))
     photos = _named(clock.since_midnight(as_of, days).apply(events, "event_ts"), "photo_captured")
     return photos.agg(
-        ROWS.alias("total_photos"),
-        to_fixed(ratio(ROWS, DEVICES), 2).alias("photos_per_user"),
+        n_rows().alias("total_photos"),
+        to_fixed(ratio(n_rows(), n_distinct("device_id")), 2).alias("photos_per_user"),
         F.count_if(source == "app").alias("from_app"),
         F.count_if(source == "widget").alias("from_widget"),
     )
@@ -265,7 +264,7 @@ def active_users(events: DataFrame, as_of: datetime | None = None) -> DataFrame:
             "_month": since[30],
             "_before_today": ~since[0],
         },
-        ROWS.alias("_n"),
+        n_rows().alias("_n"),
         F.count_if(since[0]).alias("_n_today"),
         F.count_if(since[30]).alias("_n_month"),
     )
@@ -274,7 +273,7 @@ def active_users(events: DataFrame, as_of: datetime | None = None) -> DataFrame:
         F.count_if("_yesterday").alias("dau_yesterday"),
         F.count_if("_week").alias("wau"),
         F.count_if("_month").alias("mau"),
-        ROWS.alias("total_users"),
+        n_rows().alias("total_users"),
         F.coalesce(F.sum("_n"), F.lit(0)).alias("total_events"),
         F.coalesce(F.sum("_n_today"), F.lit(0)).alias("events_today"),
         F.count_if(F.col("_today") & ~F.col("_before_today")).alias("new_users_today"),
@@ -293,7 +292,7 @@ def new_users_since(events: DataFrame, moment: datetime) -> DataFrame:
     """Devices whose first event ever is at or after ``moment``."""
     firsts = events.groupBy("device_id").agg(F.min("event_ts").alias("first_seen"))
     late = Bounds(lo=moment).apply(firsts, "first_seen")
-    return late.agg(ROWS.alias("new_users"))
+    return late.agg(n_rows().alias("new_users"))
 
 
 def country_users(events: DataFrame, bounds: Bounds = ALL_TIME, k: int = 20) -> DataFrame:
@@ -302,7 +301,7 @@ def country_users(events: DataFrame, bounds: Bounds = ALL_TIME, k: int = 20) ->
 
 def country_events(events: DataFrame, bounds: Bounds = ALL_TIME, k: int = 20) -> DataFrame:
     found = bounds.apply(events, "event_ts").filter(F.col("country").isNotNull())
-    counts = found.groupBy("country").agg(ROWS.alias("events"))
+    counts = found.groupBy("country").agg(n_rows().alias("events"))
     return top_k(counts, F.desc("events"), F.asc("country"), k=k)
 
 
@@ -311,7 +310,7 @@ def country_coverage(events: DataFrame, as_of: datetime | None = None, days: int
     sums = clock.since_midnight(as_of, days).apply(events, "event_ts").agg(
         F.count_if(known).alias("with_country"),
         F.count_if(~known).alias("without_country"),
-        ROWS.alias("total"),
+        n_rows().alias("total"),
     )
     return sums.withColumn("coverage_percent", percent(F.col("with_country"), F.col("total"), 1))
 
@@ -327,7 +326,7 @@ def dimension_breakdown(
     }
     column, value = derived.get(dimension, (dimension, F.col(dimension)))
     found = bounds.apply(events, "event_ts").filter(F.col(column).isNotNull())
-    counts = found.groupBy(value.alias(dimension)).agg(DEVICES.alias("users"))
+    counts = found.groupBy(value.alias(dimension)).agg(n_distinct("device_id").alias("users"))
     limit = DIMENSION_LIMITS.get(dimension, 10) if k is None else k
     return top_k(counts, F.desc("users"), F.asc(dimension), k=limit)
 
@@ -368,7 +367,7 @@ def session_duration_distribution(events: DataFrame, bounds: Bounds) -> DataFram
     sums = sessions.agg(
         *[F.count_if(test).alias(f"b{i}") for i, test in enumerate(tests, 1)],
         F.sum(us.cast("decimal(20,0)")).alias("_total_us"),
-        ROWS.alias("_n"),
+        n_rows().alias("_n"),
     )
     mean = ratio(F.col("_total_us"), F.col("_n")) / float(second)
     return single_row_to_rows(
@@ -381,7 +380,7 @@ def session_duration_distribution(events: DataFrame, bounds: Bounds) -> DataFram
 
 def period_totals(events: DataFrame, bounds: Bounds) -> DataFrame:
     return bounds.apply(events, "event_ts").agg(
-        DEVICES.alias("total_users"), ROWS.alias("total_events")
+        n_distinct("device_id").alias("total_users"), n_rows().alias("total_events")
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyroom.clock import Bounds
 from tallyroom.functions import duration_text, js_round, ratio
+from tallyroom.functions.counts import n_rows
 from tallyroom.plans import latest_per_key, paged, top_k
 
 # Shares of users per session bucket, and of sessions per length.
@@ -14,8 +15,6 @@ ENGAGEMENT_SHARES = [
 ]
 SECONDS_PER_PHOTO, BASE_SECONDS = 5, 30
 
-ROWS = F.count(F.lit(1))
-
 
 def _whole(value: Column) -> Column:
     return F.floor(value + 0.5)
@@ -207,8 +206,8 @@ def review_summary(reviews: DataFrame) -> DataFrame:
     and adds nothing to the sum."""
     rating = F.coalesce("rating", F.lit(0))
     return reviews.agg(
-        ROWS.alias("total_reviews"),
-        (F.floor(ratio(F.sum(rating), ROWS) * 10 + 0.5) / 10.0).alias("average_rating"),
+        n_rows().alias("total_reviews"),
+        (F.floor(ratio(F.sum(rating), n_rows()) * 10 + 0.5) / 10.0).alias("average_rating"),
         *[F.count_if(F.col("rating") == n).alias(f"rating_{n}") for n in range(1, 6)],
     )
 
@@ -227,7 +226,7 @@ def search_totals(rows: DataFrame) -> DataFrame:
     sums = rows.agg(
         F.coalesce(F.sum(clicks), F.lit(0)).alias("clicks"),
         F.coalesce(F.sum(impressions), F.lit(0)).alias("impressions"),
-        ratio(F.sum(F.coalesce("position", F.lit(0.0))), ROWS).alias("_position"),
+        ratio(F.sum(F.coalesce("position", F.lit(0.0))), n_rows()).alias("_position"),
     )
     rate = ratio(F.col("clicks"), F.col("impressions")) * 100
     return sums.select(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyroom import clock
 from tallyroom.clock import Bounds
 from tallyroom.functions import ratio
+from tallyroom.functions.counts import n_distinct, n_rows
 from tallyroom.plans import join_single_rows, order_by, single_row_to_rows
 
 # Fixed values.
@@ -16,9 +17,6 @@ PRODUCTION = "PRODUCTION"
 DEFAULT_TAKEHOME = 70
 SUBSCRIPTION_MONTHS = 6
 
-ROWS = F.count(F.lit(1))
-USERS = F.countDistinct("app_user_id")
-
 
 def _money(total: Column) -> Column:
     return F.coalesce(total, F.lit(0)).cast("double")
@@ -35,7 +33,7 @@ def _initial(value: Column) -> Column:
 
 def purchase_revenue(subscriptions: DataFrame, bounds: Bounds) -> DataFrame:
     bought = bounds.apply(_production(subscriptions, "INITIAL_PURCHASE"), "created_at")
-    return bought.agg(_money(F.sum("price")).alias("total"), ROWS.alias("purchases"))
+    return bought.agg(_money(F.sum("price")).alias("total"), n_rows().alias("purchases"))
 
 
 def users_by_tier(
@@ -45,7 +43,7 @@ def users_by_tier(
     ``active`` has one row with the number of active users in ``column``."""
     bought = bounds.apply(_production(subscriptions, "INITIAL_PURCHASE"), "created_at")
     tier = F.when(F.col("product_id").ilike("%max%"), F.lit("max")).otherwise(F.lit("pro"))
-    per_tier = bought.groupBy(tier.alias("tier")).agg(USERS.alias("n"))
+    per_tier = bought.groupBy(tier.alias("tier")).agg(n_distinct("app_user_id").alias("n"))
     sold = per_tier.agg(
         F.coalesce(F.sum(F.when(F.col("tier") == "pro", F.col("n"))), F.lit(0)).alias("_pro"),
         F.coalesce(F.sum(F.when(F.col("tier") == "max", F.col("n"))), F.lit(0)).alias("_max"),
@@ -64,7 +62,7 @@ def subscription_event_summary(
     subscriptions: DataFrame, as_of: datetime | None = None, days: int = 30
 ) -> DataFrame:
     recent = clock.since(as_of, days).apply(subscriptions, "created_at")
-    counts = recent.groupBy("event_type").agg(ROWS.alias("count"))
+    counts = recent.groupBy("event_type").agg(n_rows().alias("count"))
     return counts.orderBy(F.desc("count"), "event_type")
 
 
@@ -84,7 +82,7 @@ def mrr(subscriptions: DataFrame, as_of: datetime | None = None) -> DataFrame:
     sums = paid.agg(
         _money(F.sum(F.when(monthly, kept))).alias("_monthly"),
         _money(F.sum(F.when(annual & ~monthly, kept))).alias("_annual"),
-        USERS.alias("active_subscribers"),
+        n_distinct("app_user_id").alias("active_subscribers"),
     )
     value = F.col("_monthly") / 100 + F.col("_annual") / 1200
     return sums.select(value.alias("mrr"), "active_subscribers")
@@ -97,7 +95,7 @@ def churn_by_day(
     lost = clock.since(as_of, days).apply(subscriptions, "created_at").filter(
         F.col("event_type").isin("CANCELLATION", "EXPIRATION")
     )
-    per_day = lost.groupBy(F.to_date("created_at").alias("date")).agg(ROWS.alias("churn_count"))
+    per_day = lost.groupBy(F.to_date("created_at").alias("date")).agg(n_rows().alias("churn_count"))
     return per_day.orderBy(F.desc("date"))
 
 
@@ -120,7 +118,7 @@ def monetization(
 ) -> DataFrame:
     """Revenue, MRR and revenue per user in one row. Without users the divisor is 1."""
     bought = _production(subscriptions, "INITIAL_PURCHASE").agg(
-        _money(F.sum("price")).alias("total_revenue"), USERS.alias("paying_users")
+        _money(F.sum("price")).alias("total_revenue"), n_distinct("app_user_id").alias("paying_users")
     )
     seen = clock.since(as_of, days).apply(events, "event_ts").agg(
         F.countDistinct("device_id").alias("_users")
@@ -155,7 +153,7 @@ def revenue_trend(
 
 def revenue_by_plan(subscriptions: DataFrame) -> DataFrame:
     plans = _production(subscriptions, "INITIAL_PURCHASE").groupBy("product_id").agg(
-        ROWS.alias("purchases"), F.sum("price").cast("double").alias("revenue")
+        n_rows().alias("purchases"), F.sum("price").cast("double").alias("revenue")
     )
     return plans.orderBy(order_by("revenue"), "product_id")
 
@@ -168,7 +166,7 @@ def subscriber_trend(
         _production(subscriptions, "INITIAL_PURCHASE"), "created_at"
     )
     per_day = bought.groupBy(F.to_date("created_at").alias("date"))
-    return per_day.agg(USERS.alias("new_subscribers")).orderBy("date")
+    return per_day.agg(n_distinct("app_user_id").alias("new_subscribers")).orderBy("date")
 
 
 def revenue_today(subscriptions: DataFrame, as_of: datetime | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyroom import clock
 from tallyroom.clock import ALL_TIME, Bounds, instant
 from tallyroom.functions import as_money, prop
+from tallyroom.functions.counts import n_rows
 from tallyroom.plans import Page, device_flags, device_rollup, latest_per_key, order_by, paged
 
 # What lists may be sorted by.
@@ -27,7 +28,6 @@ STEP_EVENTS = {
     "paywall_viewed": "paywall_viewed", "subscription_started": "subscription_started",
 }
 
-ROWS = F.count(F.lit(1))
 
 # A page is at most this many devices when it is broadcast back to the events.
 PAGE_BROADCAST_ROWS = 100_000
@@ -161,7 +161,7 @@ def user_list(
 
     by = order_by(USER_SORTS.get(sort, "last_active"), order)
     rows = paged(users, by, F.col("device_id").asc(), limit=limit, offset=offset)
-    return Page(rows, users.agg(ROWS.alias("total")))
+    return Page(rows, users.agg(n_rows().alias("total")))
 
 
 def subscribed_devices(subscriptions: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def event_breakdown(events: DataFrame, device_id: str | None = None) -> DataFram
     """Events by device and name over all time."""
     if device_id is not None:
         events = events.filter(F.col("device_id") == device_id)
-    return events.groupBy("device_id", "name").agg(ROWS.alias("count"))
+    return events.groupBy("device_id", "name").agg(n_rows().alias("count"))
 
 
 def latest_event_breakdown(
@@ -236,7 +236,7 @@ def latest_event_breakdown(
         k,
         spread_by=["id"],
     )
-    return newest.groupBy("device_id", "name").agg(ROWS.alias("count"))
+    return newest.groupBy("device_id", "name").agg(n_rows().alias("count"))
 
 
 def session_timeline(
@@ -258,7 +258,7 @@ def session_timeline(
         .agg(
             F.min("event_ts").alias("started"),
             F.max("event_ts").alias("ended"),
-            ROWS.alias("events_count"),
+            n_rows().alias("events_count"),
             F.max_by("session_duration_seconds", "event_ts").alias("reported_duration"),
         )
     )
@@ -281,7 +281,7 @@ def users_by_event(
     """
     fired = bounds.apply(events, "event_ts").filter(F.col("name") == name)
     per_device = fired.groupBy("device_id").agg(
-        ROWS.alias("event_count"),
+        n_rows().alias("event_count"),
         F.min("event_ts").alias("first_occurrence"),
         F.max("event_ts").alias("last_occurrence"),
         F.max_by("properties", F.struct("event_ts", "id")).alias("last_properties"),
@@ -293,7 +293,7 @@ def users_by_event(
     ever = [
         F.min("event_ts").alias("first_seen"),
         F.max("event_ts").alias("last_active"),
-        ROWS.alias("total_events"),
+        n_rows().alias("total_events"),
     ]
     history = events.select("device_id", "event_ts")
     if limit <= PAGE_BROADCAST_ROWS:
@@ -316,7 +316,7 @@ def funnel_dropoff(
         {"_did": inside & (name == completed), "_did_next": inside & (name == not_completed)},
         F.min("event_ts").alias("first_seen"),
         F.max("event_ts").alias("last_active"),
-        ROWS.alias("total_events"),
+        n_rows().alias("total_events"),
     )
     lost = per_device.filter(F.col("_did") & ~F.col("_did_next")).drop("_did", "_did_next")
     order = [order_by("last_active"), F.col("device_id").asc()]
@@ -391,7 +391,7 @@ def segment_users(
         users = users.filter((F.to_date("first_seen") < day) & (F.to_date("last_seen") == day))
     by = order_by(SEGMENT_SORTS.get(sort, "last_seen"), order)
     rows = paged(users, by, F.col("device_id").asc(), limit=limit, offset=offset)
-    return Page(rows, users.agg(ROWS.alias("total")))
+    return Page(rows, users.agg(n_rows().alias("total")))
 
 
 def cohort_members(events: DataFrame, day, return_day: int | None = None) -> DataFrame:
