@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from catalog.events import RANGE, RANGE_SQL, fixed, share
 from catalog.registry import query
 from catalog.views import AS_OF
+from tallyroom import clock
 from tallyroom.operators import feeds, funnels, profiles, retention, users
 
 E = "app_events"
@@ -46,9 +49,6 @@ LISTS = {
     "user_list_active": (
         dict(filter="active", sort="events", limit=40),
         "last_active >= TIMESTAMP '2024-01-23 23:59:59'", "total_events DESC", "LIMIT 40"),
-    "user_list_churned": (
-        dict(filter="churned"), "last_active < TIMESTAMP '2023-12-31 23:59:59'",
-        "last_active DESC", "LIMIT 50"),
     "user_list_retained": (
         dict(filter="retained", sort="first_seen", order="asc", limit=60),
         """device_id IN (SELECT device_id FROM app_events GROUP BY device_id
@@ -83,6 +83,18 @@ for name, (options, condition, order, limit) in LISTS.items():
         name, lambda t, o=options: _list(t, o).rows, E,
         f"{LIST} SELECT * FROM listed WHERE {condition} ORDER BY {order}, device_id {limit}",
     )
+# Seen from a month later, devices quiet since 2024-01-26 are gone.
+LATER = datetime(2024, 2, 25, 23, 59, 59)
+LATER_LIST = LIST.replace("2023-12-31 23:59:59", "2024-01-26 23:59:59").replace(
+    "2024-01-23 23:59:59", "2024-02-18 23:59:59"
+)
+query(
+    "user_list_churned",
+    lambda t: users.user_list(t.app_events, RANGE, filter="churned", as_of=LATER).rows
+    .withColumn("total_revenue", F.col("total_revenue").cast("double")), E,
+    f"""{LATER_LIST} SELECT * FROM listed WHERE last_active < TIMESTAMP '2024-01-26 23:59:59'
+    ORDER BY last_active DESC, device_id LIMIT 50""",
+)
 query(
     "user_list_total", lambda t: _list(t, LISTS["user_list_plan"][0]).total, E,
     f"{LIST} SELECT count(*) AS total FROM listed WHERE {LISTS['user_list_plan'][1]}",
@@ -279,18 +291,29 @@ query(
 
 # Retention.
 
-query(
-    "daily_cohort_retention", lambda t: retention.daily_cohort_retention(t.app_events, RANGE), E,
-    f"""WITH f AS (SELECT device_id, CAST(min(event_ts) AS DATE) AS cohort_date FROM app_events
-      WHERE {RANGE_SQL} GROUP BY 1),
+def daily_cohorts_sql(condition: str) -> str:
+    return f"""WITH f AS (SELECT device_id, CAST(min(event_ts) AS DATE) AS cohort_date FROM app_events
+      WHERE {condition} GROUP BY 1),
     a AS (SELECT device_id, cohort_date, CAST(event_ts AS DATE) - cohort_date AS n
-      FROM app_events JOIN f USING (device_id) WHERE {RANGE_SQL}),
+      FROM app_events JOIN f USING (device_id) WHERE {condition}),
     c AS (SELECT cohort_date, count(DISTINCT device_id) AS cohort_size,
       count(DISTINCT device_id) FILTER (n = 1) AS d1_retained, count(DISTINCT device_id) FILTER (n = 7) AS d7_retained,
       count(DISTINCT device_id) FILTER (n = 30) AS d30_retained
       FROM a GROUP BY 1 ORDER BY 1 DESC LIMIT 14)
     SELECT *, {share('d1_retained', 'cohort_size', 1)} AS d1_rate, {share('d7_retained', 'cohort_size', 1)} AS d7_rate,
-      {share('d30_retained', 'cohort_size', 1)} AS d30_rate FROM c""",
+      {share('d30_retained', 'cohort_size', 1)} AS d30_rate FROM c"""
+
+
+query(
+    "daily_cohort_retention", lambda t: retention.daily_cohort_retention(t.app_events, RANGE), E,
+    daily_cohorts_sql(RANGE_SQL),
+)
+query(
+    "daily_cohort_retention_70_days",
+    lambda t: retention.daily_cohort_retention(t.app_events, clock.date_range(AS_OF, 70)), E,
+    daily_cohorts_sql(
+        "event_ts >= TIMESTAMP '2023-11-21 00:00:00' AND event_ts <= TIMESTAMP '2024-01-30 23:59:59'"
+    ),
 )
 query(
     "overall_retention", lambda t: retention.overall_retention(t.app_events, RANGE), E,
