@@ -137,6 +137,7 @@ def ip_to_country(
     larger ones join on (bucket, salt), which splits a network that sends most events.
     """
     number = ipv4_number(F.col(ip))
+    kept = [c for c in events.columns if c != country]
     keyed = events.drop(country).withColumn(
         "_ip", F.when(F.col(ip) != "127.0.0.1", number)
     ).withColumn("_net", F.shiftright("_ip", 16))
@@ -154,10 +155,10 @@ def ip_to_country(
         # A null network matches nothing; the salt keeps those rows spread out too.
         every = F.array(*[F.lit(i) for i in range(salts)])
         copies = listed.withColumn("_range_salt", F.explode(every))
-        salt = F.pmod(F.xxhash64(*events.columns), F.lit(salts)).cast("int")
+        salt = F.pmod(F.xxhash64(*kept), F.lit(salts)).cast("int")
         salted = keyed.withColumn("_salt", salt)
         out = salted.join(copies, match & (F.col("_salt") == F.col("_range_salt")), "left")
-    return out.select(*[c for c in events.columns if c != country], country)
+    return out.select(*kept, country)
 
 
 def read_subscription_webhooks(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from tallyroom.sources.files import replace_partitions
 
 
 def _time(events: DataFrame) -> DataFrame:
@@ -47,3 +50,25 @@ def stream_dedup(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     if not events.isStreaming:
         return timed.dropDuplicates(key)
     return timed.withWatermark("event_ts", late).dropDuplicatesWithinWatermark(key)
+
+
+def start_window_updates(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write every changed window under its micro-batch number. A batch that is run
+    again replaces its own files."""
+
+    def store(batch: DataFrame, number: int) -> None:
+        replace_partitions(batch.withColumn("ingest_batch", F.lit(number)), path, "ingest_batch")
+
+    return (
+        windows.writeStream.outputMode("update").foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def latest_windows(stored: DataFrame) -> DataFrame:
+    """The last written state of every window."""
+    keys = ["window_start", "window_end"]
+    values = [c for c in stored.columns if c not in (*keys, "ingest_batch")]
+    return stored.groupBy(*keys).agg(*[F.max_by(c, "ingest_batch").alias(c) for c in values])
