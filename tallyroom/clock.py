@@ -14,6 +14,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 END_OF_DAY = time(23, 59, 59, 999000)
 
+# The event time column, and the day column event tables are partitioned by.
+PARTITIONED_TIME = "event_ts"
+PARTITION = "event_date"
+
 
 def resolve(as_of: datetime | None) -> datetime:
     """The given moment as naive UTC; the current time when none is given."""
@@ -65,9 +69,16 @@ class Bounds:
         return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
 
     def apply(self, df: DataFrame, column: str) -> DataFrame:
+        """Rows inside the window. Stored events are partitioned by ``event_date``,
+        so bounds on ``event_ts`` name the days as well and other days are not read."""
         if self.lo is None and self.hi is None:
             return df
-        return df.filter(self.holds(df, column))
+        inside = df.filter(self.holds(df, column))
+        if column == PARTITIONED_TIME and PARTITION in df.columns:
+            first = None if self.lo is None else midnight(self.lo)
+            last = None if self.hi is None else midnight(self.hi)
+            inside = inside.filter(Bounds(first, last).holds(df, PARTITION))
+        return inside
 
     @property
     def days(self) -> int:

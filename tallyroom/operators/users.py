@@ -29,8 +29,9 @@ STEP_EVENTS = {
 }
 
 
-# A page is at most this many devices when it is broadcast back to the events.
-PAGE_BROADCAST_ROWS = 100_000
+# A page is broadcast back to the events up to this many devices: a few MB, as its
+# columns are an id, a count and two times.
+PAGE_BROADCAST_ROWS = 50_000
 
 
 def user_stats(events: DataFrame, bounds: Bounds = ALL_TIME) -> DataFrame:
@@ -274,34 +275,37 @@ def session_timeline(
 def users_by_event(
     events: DataFrame, name: str, bounds: Bounds, limit: int = 100, offset: int = 0
 ) -> Page:
-    """Devices that fired an event in the window, with their all-time activity.
+    """Devices that fired an event in the window, with their all-time activity and the
+    properties of their last such event.
 
-    The page is cut first: its order needs the window only, so the all-time figures
-    are computed for at most ``limit`` devices.
+    The page is cut first, from fixed-width columns: its order needs the window only.
+    Its devices, at most ``limit``, then pick their history and their properties.
     """
     fired = bounds.apply(events, "event_ts").filter(F.col("name") == name)
     per_device = fired.groupBy("device_id").agg(
         n_rows().alias("event_count"),
         F.min("event_ts").alias("first_occurrence"),
         F.max("event_ts").alias("last_occurrence"),
-        F.max_by("properties", F.struct("event_ts", "id")).alias("last_properties"),
     )
-    rows = paged(
+    page = paged(
         per_device, order_by("last_occurrence"), F.col("device_id").asc(),
         limit=limit, offset=offset,
     )
-    ever = [
+    chosen = F.broadcast(page) if limit <= PAGE_BROADCAST_ROWS else page
+    stats = events.select("device_id", "event_ts").join(chosen, "device_id").groupBy(
+        *page.columns
+    ).agg(
         F.min("event_ts").alias("first_seen"),
         F.max("event_ts").alias("last_active"),
         n_rows().alias("total_events"),
-    ]
-    history = events.select("device_id", "event_ts")
-    if limit <= PAGE_BROADCAST_ROWS:
-        rows = history.join(F.broadcast(rows), "device_id").groupBy(*rows.columns).agg(*ever)
-    else:
-        rows = rows.join(history.groupBy("device_id").agg(*ever), "device_id")
+    )
+    last = fired.select("device_id", "event_ts", "id", "properties").join(
+        chosen, "device_id"
+    ).groupBy("device_id").agg(
+        F.max_by("properties", F.struct("event_ts", "id")).alias("last_properties")
+    )
     total = fired.agg(F.countDistinct("device_id").alias("total"))
-    return Page(rows, total)
+    return Page(stats.join(last, "device_id"), total)
 
 
 def funnel_dropoff(

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # Call sites of column expressions; costly for plans built by a library.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

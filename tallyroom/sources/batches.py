@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyroom import clock, schema
 from tallyroom.functions import client_ip, ipv4_number, or_default
 from tallyroom.plans import fits
+from tallyroom.sources.lines import parse_json_lines
 
 # Range tables up to this size are broadcast; larger ones are joined by salted key.
 GEO_BROADCAST_ROWS = 2_000_000
@@ -34,11 +35,7 @@ def read_event_batches(spark: SparkSession, path: str) -> DataFrame:
 def parse_event_batches(lines: DataFrame) -> DataFrame:
     """Text lines (``value``) to batches; an unreadable line keeps its text in
     ``_corrupt_record``."""
-    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = F.from_json("value", schema.EVENT_BATCH, options)
-    return lines.filter(F.trim("value") != "").select("value", parsed.alias("_b")).select(
-        "value", "_b.*"
-    )
+    return parse_json_lines(lines, schema.EVENT_BATCH, "value")
 
 
 def _fits(limits: dict[str, int], field) -> list[Column]:
@@ -168,10 +165,8 @@ def read_subscription_webhooks(spark: SparkSession, path: str) -> DataFrame:
 def ingest_subscription_webhooks(lines: DataFrame, as_of: datetime | None = None) -> Checked:
     """Webhook lines (``value``) to subscription events. Lines without an event, or
     with one that does not fit the table, are rejected with a ``reason``."""
-    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
-    parsed = F.from_json("value", schema.SUBSCRIPTION_WEBHOOK, options)
-    rows = lines.filter(F.trim("value") != "").select("value", parsed.alias("_w")).select(
-        "value", F.col("_w.event").alias("_e"), F.col("_w._corrupt_record").alias("_corrupt")
+    rows = parse_json_lines(lines, schema.SUBSCRIPTION_WEBHOOK, "value").select(
+        "value", F.col("event").alias("_e"), F.col("_corrupt_record").alias("_corrupt")
     )
     event = F.col("_e")
 

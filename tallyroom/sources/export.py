@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tallyroom import clock, schema
 from tallyroom.clock import ALL_TIME, Bounds
 from tallyroom.functions import or_default
+from tallyroom.sources.lines import parse_json_lines
 
 KEY = ["device_id", "name", "event_ts"]
 
@@ -36,10 +37,7 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _parse(lines: DataFrame, now: Column) -> DataFrame:
-    options = {"columnNameOfCorruptRecord": "_corrupt_record"}
-    raw = lines.filter(F.trim("value") != "").select(
-        "seq", F.from_json("value", schema.EXPORT_LINE, options).alias("_l")
-    ).select("seq", "_l.*")
+    raw = parse_json_lines(lines, schema.EXPORT_LINE, "seq")
 
     def text(column: str) -> Column:
         return F.nullif(F.col(column), F.lit(""))

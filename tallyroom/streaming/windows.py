@@ -30,17 +30,24 @@ def events_per_minute(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def active_last_hour(
-    events: DataFrame, late: str = "10 minutes", slide: str = "5 minutes", rsd: float = 0.01
+    events: DataFrame, late: str = "10 minutes", slide_minutes: int = 5, rsd: float = 0.01
 ) -> DataFrame:
-    """Devices active in the hour before every ``slide``. The count is exact on a table;
+    """Devices active in the hour ending at every slide. The count is exact on a table;
     on a stream, where exact distinct counts are not supported, it is a sketch with
     relative error ``rsd`` and a state whose size does not depend on the devices."""
-    timed = _time(events).withWatermark("event_ts", late)
-    devices = (
-        F.approx_count_distinct("device_id", rsd) if events.isStreaming
-        else F.countDistinct("device_id")
-    )
-    return _windowed(timed, F.window("event_ts", "1 hour", slide), devices.alias("active_users"))
+    if slide_minutes < 1 or 60 % slide_minutes:
+        raise ValueError("slide_minutes must divide an hour")
+    slide = f"{slide_minutes} minutes"
+    hour = F.window("event_ts", "1 hour", slide)
+    if events.isStreaming:
+        timed = _time(events).withWatermark("event_ts", late)
+        sketch = F.approx_count_distinct("device_id", rsd)
+        return _windowed(timed, hour, sketch.alias("active_users"))
+    # All events of a device within one slide fall into the same hours: keep one.
+    slides = _time(events).select(
+        "device_id", F.window("event_ts", slide)["start"].alias("event_ts")
+    ).distinct()
+    return _windowed(slides, hour, F.countDistinct("device_id").alias("active_users"))
 
 
 def stream_dedup(events: DataFrame, late: str = "10 minutes") -> DataFrame:
