@@ -372,20 +372,21 @@ query(
     UNION ALL SELECT 'tier', count(*) FILTER (TRY_CAST(properties->>'$.tier' AS INT) IS NULL AND properties->>'$.tier' IS NOT NULL) FROM app_events""",
 )
 
-# The daily rollup; the last date has no events and still gets a row.
+# The daily rollup; days at both ends have no events and still get a row.
 
 
 def _rollup(t):
-    dates = t.app_events.select(F.to_date("event_ts").alias("date")).distinct()
-    beyond = dates.agg(F.date_add(F.max("date"), 2).alias("date"))
-    stats = rollup.rollup_daily_stats(t.app_events, dates.unionByName(beyond))
+    dates = t.spark.sql(
+        "SELECT explode(sequence(DATE '2023-12-25', DATE '2024-02-05')) AS date"
+    )
+    stats = rollup.rollup_daily_stats(t.app_events, dates)
     return stats.withColumn("revenue", F.col("revenue").cast("double"))
 
 
 query(
     "daily_stats", _rollup, E,
-    """WITH d AS (SELECT DISTINCT CAST(event_ts AS DATE) AS date FROM app_events
-      UNION ALL SELECT CAST(max(event_ts) AS DATE) + 2 FROM app_events)
+    """WITH d AS (SELECT CAST(range AS DATE) AS date
+      FROM range(DATE '2023-12-25', DATE '2024-02-06', INTERVAL 1 DAY))
     SELECT date, count(id) AS total_events, count(DISTINCT device_id) AS unique_devices,
       count(id) FILTER (name = 'photo_captured') AS photos_captured,
       count(id) FILTER (name = 'photo_deleted') AS photos_deleted,

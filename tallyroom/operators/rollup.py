@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyroom import schema
+from tallyroom import clock, schema
 from tallyroom.functions import as_money, prop
 from tallyroom.sources.files import replace_partitions
 
@@ -17,10 +17,13 @@ COUNTERS = {
 
 def rollup_daily_stats(events: DataFrame, dates: DataFrame | None = None) -> DataFrame:
     """Counts, distinct devices and revenue per day. ``dates`` (column ``date``) limits
-    the days and gives a zero row to one without events."""
+    the days and gives a zero row to one without events; stored events are pruned to
+    those days by their partition column."""
     name = F.col("name")
     revenue = F.when(name == "purchase_completed", as_money(prop("revenue")))
-    dated = events.withColumn("date", F.to_date("event_ts"))
+    stored_day = clock.PARTITION in events.columns
+    day = F.col(clock.PARTITION).cast("date") if stored_day else F.to_date("event_ts")
+    dated = events.withColumn("date", day)
     if dates is not None:
         dates = dates.select("date").distinct()
         dated = dated.join(dates, "date", "left_semi")

@@ -37,6 +37,7 @@ def start_ingest(
     """Validate, flatten and locate every micro-batch; rejects go to quarantine."""
 
     def store(raw: DataFrame, number: int) -> None:
+        raw.persist()
         checked = validate_batches(raw)
         events = ingest_event_batches(checked.accepted, as_of)
         if ranges is not None:
@@ -49,6 +50,7 @@ def start_ingest(
         replace_partitions(
             rejected.withColumn("ingest_batch", F.lit(number)), quarantine_path, "ingest_batch"
         )
+        raw.unpersist()
 
     return (
         batches.writeStream.foreachBatch(store)
