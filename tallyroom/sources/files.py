@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV report with a header as text columns, trimmed and unquoted. A file with
-    a header alone gives no rows; quoted commas stay within their value."""
-    return (
+    """A CSV report with a header as text columns, trimmed and unquoted; an empty cell
+    is empty text. A file with a header alone gives no rows; quoted commas stay within
+    their value."""
+    rows = (
         spark.read.option("header", True)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .option("escape", '"')
         .csv(path)
     )
+    return rows.na.fill("")
 
 
 def read_report_json(spark: SparkSession, path: str, payload: T.StructType) -> DataFrame:
