@@ -15,9 +15,10 @@ def device_rollup(
     """One row per device: first and last event, counts, and the greatest value of each
     attribute; ``sums`` adds measures that are summed over the device's events.
 
-    Events are first hash-aggregated to (device, session, day, attributes), which
-    spreads a busy device over many tasks and leaves few rows. The text maxima, which
-    Spark can only sort-aggregate, and the two distinct counts run on those.
+    Two narrow aggregations, joined on the device they are both partitioned by. Events
+    are hash-aggregated to (device, attributes), a few rows per device, before the text
+    maxima, which Spark can only sort-aggregate. The distinct counts read two columns.
+    Either way a busy device is reduced on the map side or spread over many tasks.
     """
     sums = sums or {}
     attributes = [c for c in ATTRIBUTES if c in events.columns]
@@ -31,15 +32,15 @@ def device_rollup(
         F.min("_first").alias("first_seen"),
         F.max("_last").alias("last_active"),
         F.sum("_n").alias("total_events"),
-        F.countDistinct("session_id").alias("total_sessions"),
-        F.countDistinct("_day").alias("active_days"),
         *[F.max(c).alias(c) for c in attributes],
         *[F.sum(name).alias(name) for name in sums],
     ]
     if max_duration:
         fine.append(F.max("session_duration_seconds").alias("_longest"))
         coarse.append(F.max("_longest").alias("max_session_duration"))
-    reduced = events.groupBy(
-        "device_id", "session_id", F.to_date("event_ts").alias("_day"), *attributes
-    ).agg(*fine)
-    return reduced.groupBy("device_id").agg(*coarse)
+    stats = events.groupBy("device_id", *attributes).agg(*fine).groupBy("device_id").agg(*coarse)
+    distinct = events.groupBy("device_id").agg(
+        F.countDistinct("session_id").alias("total_sessions"),
+        F.countDistinct(F.to_date("event_ts")).alias("active_days"),
+    )
+    return stats.join(distinct, "device_id")

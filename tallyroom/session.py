@@ -18,6 +18,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) -> SparkSession:
     """A session for tests and the benchmark; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("tallyroom")
@@ -37,11 +40,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tallyroom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="tallyroom-")
+    return _LOCAL_FOLDERS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -68,6 +68,7 @@ def start_daily_rollup(
     partition column prunes the events read again."""
 
     def store(batch: DataFrame, number: int) -> None:
+        batch.persist()
         spark = batch.sparkSession
         dated = batch.withColumns(
             {"event_date": F.to_date("event_ts"), "ingest_batch": F.lit(number)}
@@ -77,6 +78,7 @@ def start_daily_rollup(
         stored = spark.read.schema(dated.schema).parquet(events_path)
         touched = stored.join(days, "event_date", "left_semi")
         write_daily_stats(rollup_daily_stats(touched), stats_path)
+        batch.unpersist()
 
     return (
         events.writeStream.foreachBatch(store)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyroom.sources.files import replace_partitions
@@ -43,11 +43,32 @@ def active_last_hour(
         timed = _time(events).withWatermark("event_ts", late)
         sketch = F.approx_count_distinct("device_id", rsd)
         return _windowed(timed, hour, sketch.alias("active_users"))
-    # All events of a device within one slide fall into the same hours: keep one.
-    slides = _time(events).select(
-        "device_id", F.window("event_ts", slide)["start"].alias("event_ts")
-    ).distinct()
-    return _windowed(slides, hour, F.countDistinct("device_id").alias("active_users"))
+    return _exact_hours(_time(events), slide_minutes)
+
+
+def _exact_hours(events: DataFrame, slide_minutes: int) -> DataFrame:
+    """Exact distinct devices per sliding hour, without a distinct count.
+
+    A device is kept once per slide; that slide opens the hours since the device's
+    last one, so it is listed once for every hour it is active in. A device has at
+    most one row per slide, however many events it sends.
+    """
+    per_hour = 60 // slide_minutes
+    width = slide_minutes * 60
+    slide = F.floor(F.unix_seconds("event_ts") / width)
+    slides = events.select("device_id", slide.alias("_slide")).distinct()
+    before = F.lag("_slide").over(Window.partitionBy("device_id").orderBy("_slide"))
+    opens = F.greatest(F.col("_slide") - (per_hour - 1), F.col("_before") + 1)
+    hours = slides.withColumn("_before", before).select(
+        F.explode(F.sequence(opens, F.col("_slide"))).alias("_start")
+    )
+    counts = hours.groupBy("_start").agg(F.count(F.lit(1)).alias("active_users"))
+    start = F.col("_start") * width
+    return counts.select(
+        F.timestamp_seconds(start).alias("window_start"),
+        F.timestamp_seconds(start + 3600).alias("window_end"),
+        "active_users",
+    )
 
 
 def stream_dedup(events: DataFrame, late: str = "10 minutes") -> DataFrame:
