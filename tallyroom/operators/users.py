@@ -10,7 +10,9 @@ from tallyroom import clock
 from tallyroom.clock import ALL_TIME, Bounds, instant
 from tallyroom.functions import as_money, prop
 from tallyroom.functions.counts import n_rows
-from tallyroom.plans import Page, device_flags, device_rollup, latest_per_key, order_by, paged
+from tallyroom.plans import (
+    Page, device_flags, device_rollup, device_totals, latest_per_key, order_by, paged,
+)
 
 # What lists may be sorted by.
 USER_SORTS = {
@@ -18,7 +20,7 @@ USER_SORTS = {
     "purchases": "purchase_count",
 }
 SEGMENT_SORTS = {
-    "last_seen": "last_seen", "first_seen": "first_seen", "events_count": "events_count",
+    "last_seen": "last_active", "first_seen": "first_seen", "events_count": "total_events",
 }
 
 # Funnel step names and the events behind them.
@@ -108,7 +110,14 @@ def user_list(
     if filter not in ("all", "purchasers", "active", "churned", "retained"):
         raise ValueError(f"unknown filter {filter!r}")
     now = clock.resolve(as_of)
-    users = users_with_purchases(events, bounds or clock.trailing_range(now), now)
+    bounds = bounds or clock.trailing_range(now)
+    inside = bounds.apply(events, "event_ts")
+    tested = {"device_model": device, "locale": language, "os_version": os, "user_id": search}
+    users = device_totals(
+        inside,
+        [column for column, text in tested.items() if text],
+        {"purchase_count": F.when(F.col("name") == "purchase_completed", 1).otherwise(0)},
+    )
 
     name = F.col("name")
     bought = name == "purchase_completed"
@@ -160,11 +169,29 @@ def user_list(
         barred = _membership(events, {}, exclude, False)
         users = users.join(barred.select("device_id"), "device_id", "left_anti")
 
-    by = order_by(USER_SORTS.get(sort, "last_active"), order)
-    rows = paged(users, by, F.col("device_id").asc(), limit=limit, offset=offset)
+    by = [order_by(USER_SORTS.get(sort, "last_active"), order), F.col("device_id").asc()]
+    rows = _page_of(
+        inside, users, by, limit, offset, lambda chosen: users_with_purchases(chosen, ALL_TIME, now)
+    )
     return Page(rows, users.agg(n_rows().alias("total")))
 
 
+def _page_of(
+    events: DataFrame, users: DataFrame, by: list[Column], limit: int, offset: int, detail
+) -> DataFrame:
+    """One page of ``users`` with all details.
+
+    Order and filters need a few fixed-width figures only. The page is cut from those,
+    and the details are worked out for the events of its devices alone.
+    """
+    if limit <= PAGE_BROADCAST_ROWS:
+        page = paged(users, *by, limit=limit, offset=offset).select("device_id")
+        chosen = events.join(F.broadcast(page), "device_id", "left_semi")
+        return paged(detail(chosen), *by, limit=limit)
+    kept = detail(events).join(users.select("device_id"), "device_id", "left_semi")
+    return paged(kept, *by, limit=limit, offset=offset)
+
+
 def subscribed_devices(subscriptions: DataFrame) -> DataFrame:
     """Ids, current or original, that ever bought or renewed."""
     paid = subscriptions.filter(F.col("event_type").isin("INITIAL_PURCHASE", "RENEWAL"))
@@ -380,7 +407,14 @@ def segment_users(
     found = bounds.apply(events, "event_ts")
     if event_name:
         found = found.filter(F.col("name") == event_name)
-    users = device_rollup(found).select(
+    users = device_totals(found, [])
+    day = F.lit(today.date())
+    if segment == "new_today":
+        users = users.filter(F.to_date("first_seen") == day)
+    elif segment == "returning":
+        users = users.filter((F.to_date("first_seen") < day) & (F.to_date("last_active") == day))
+    by = [order_by(SEGMENT_SORTS.get(sort, "last_active"), order), F.col("device_id").asc()]
+    rows = _page_of(found, users, by, limit, offset, device_rollup).select(
         "device_id",
         "first_seen",
         F.col("last_active").alias("last_seen"),
@@ -388,13 +422,6 @@ def segment_users(
         F.col("total_sessions").alias("sessions_count"),
         "platform", "os_version", "device_model", "app_version", "locale", "timezone",
     )
-    day = F.lit(today.date())
-    if segment == "new_today":
-        users = users.filter(F.to_date("first_seen") == day)
-    elif segment == "returning":
-        users = users.filter((F.to_date("first_seen") < day) & (F.to_date("last_seen") == day))
-    by = order_by(SEGMENT_SORTS.get(sort, "last_seen"), order)
-    rows = paged(users, by, F.col("device_id").asc(), limit=limit, offset=offset)
     return Page(rows, users.agg(n_rows().alias("total")))
 
 

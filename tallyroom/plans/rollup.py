@@ -9,38 +9,53 @@ ATTRIBUTES = [
 ]
 
 
-def device_rollup(
-    events: DataFrame, sums: dict[str, Column] | None = None, max_duration: bool = False
+def device_totals(
+    events: DataFrame,
+    attributes: list[str],
+    sums: dict[str, Column] | None = None,
+    max_duration: bool = False,
 ) -> DataFrame:
-    """One row per device: first and last event, counts, and the greatest value of each
-    attribute; ``sums`` adds measures that are summed over the device's events.
+    """One row per device: first and last event, number of events, the greatest value
+    of each attribute; ``sums`` adds measures that are summed over the device's events.
 
-    Two narrow aggregations, joined on the device they are both partitioned by. Events
-    are hash-aggregated to (device, attributes), a few rows per device, before the text
-    maxima, which Spark can only sort-aggregate. The distinct counts read two columns.
-    Either way a busy device is reduced on the map side or spread over many tasks.
+    Events are hash-aggregated to (device, attributes), a few rows per device, before
+    the text maxima, which Spark can only sort-aggregate.
     """
     sums = sums or {}
-    attributes = [c for c in ATTRIBUTES if c in events.columns]
     fine = [
-        F.count(F.lit(1)).alias("_n"),
-        F.min("event_ts").alias("_first"),
-        F.max("event_ts").alias("_last"),
+        F.count(F.lit(1)).alias("total_events"),
+        F.min("event_ts").alias("first_seen"),
+        F.max("event_ts").alias("last_active"),
         *[F.sum(value).alias(name) for name, value in sums.items()],
     ]
+    if max_duration:
+        fine.append(F.max("session_duration_seconds").alias("max_session_duration"))
+    combined = events.groupBy("device_id", *attributes).agg(*fine)
+    if not attributes:
+        return combined
     coarse = [
-        F.min("_first").alias("first_seen"),
-        F.max("_last").alias("last_active"),
-        F.sum("_n").alias("total_events"),
+        F.sum("total_events").alias("total_events"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_active").alias("last_active"),
         *[F.max(c).alias(c) for c in attributes],
         *[F.sum(name).alias(name) for name in sums],
     ]
     if max_duration:
-        fine.append(F.max("session_duration_seconds").alias("_longest"))
-        coarse.append(F.max("_longest").alias("max_session_duration"))
-    stats = events.groupBy("device_id", *attributes).agg(*fine).groupBy("device_id").agg(*coarse)
+        coarse.append(F.max("max_session_duration").alias("max_session_duration"))
+    return combined.groupBy("device_id").agg(*coarse)
+
+
+def device_rollup(
+    events: DataFrame, sums: dict[str, Column] | None = None, max_duration: bool = False
+) -> DataFrame:
+    """``device_totals`` over all attributes plus the device's distinct sessions and days.
+
+    Two narrow aggregations, joined on the device they are both partitioned by; a busy
+    device is reduced on the map side or spread over many tasks in either.
+    """
+    attributes = [c for c in ATTRIBUTES if c in events.columns]
     distinct = events.groupBy("device_id").agg(
         F.countDistinct("session_id").alias("total_sessions"),
         F.countDistinct(F.to_date("event_ts")).alias("active_days"),
     )
-    return stats.join(distinct, "device_id")
+    return device_totals(events, attributes, sums, max_duration).join(distinct, "device_id")
