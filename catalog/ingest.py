@@ -21,6 +21,14 @@ from tallyroom.streaming import ingest, windows
 
 BATCH_SIZE = 40
 
+
+def landed(t: Tables, lines: DataFrame) -> str:
+    """Gzipped text files with the given lines, as a source would leave them."""
+    path = scratch_path(t.spark, "landed")
+    lines.select("value").write.option("compression", "gzip").text(path)
+    return path
+
+
 # Posted batches: forty consecutive event ids. Some events lack a category or a
 # platform; some batches hold a nameless event, no event, or broken JSON.
 BATCH_FIELDS = {
@@ -101,7 +109,8 @@ def _open_bag(events: DataFrame) -> DataFrame:
 
 
 def _checked(t: Tables):
-    return batches.validate_batches(batches.parse_event_batches(batch_lines(t.app_events)))
+    path = landed(t, batch_lines(t.app_events))
+    return batches.validate_batches(batches.read_event_batches(t.spark, path))
 
 
 query(
@@ -142,73 +151,88 @@ query(
     ), E + " geo_ranges", GEO,
 )
 
-# Webhooks: one line per subscription event; some lines hold none, or a bad price.
+# Webhooks: one line per subscription event. In the sandbox some event types arrive
+# without an event, as broken JSON, or with a price that is no number.
+
+WEBHOOK_DEFECT = """CASE WHEN environment = 'SANDBOX' THEN CASE event_type
+    WHEN 'PRODUCT_CHANGE' THEN 'no event' WHEN 'EXPIRATION' THEN 'malformed'
+    WHEN 'CANCELLATION' THEN 'invalid event' END END"""
 
 
 def webhook_lines(subscriptions: DataFrame) -> DataFrame:
-    line = F.expr("""CASE id % 100 WHEN 98 THEN '{"api_version":"1.0"}' WHEN 99 THEN '{"event":{"type"'
+    line = F.expr(f"""CASE COALESCE({WEBHOOK_DEFECT}, '')
+      WHEN 'no event' THEN '{{"api_version":"1.0"}}' WHEN 'malformed' THEN '{{"event":{{"type"'
       ELSE to_json(struct(struct(event_type AS type, app_user_id, original_app_user_id, product_id,
         period_type, unix_millis(CAST(created_at AS TIMESTAMP)) AS purchased_at_ms,
-        CASE WHEN id % 2 = 0 THEN 0L ELSE unix_millis(CAST(created_at AS TIMESTAMP)) + 86400000L END AS expiration_at_ms,
-        environment, CASE WHEN id % 3 = 0 THEN is_trial_conversion END AS is_trial_conversion,
-        CASE WHEN id % 100 = 97 THEN 'free' ELSE CAST(price AS STRING) END AS price, currency,
+        CASE WHEN period_type = 'TRIAL' THEN 0L ELSE unix_millis(CAST(created_at AS TIMESTAMP)) + 86400000L END AS expiration_at_ms,
+        environment, CASE WHEN is_trial_conversion THEN true END AS is_trial_conversion,
+        CASE WHEN {WEBHOOK_DEFECT} = 'invalid event' THEN 'free' ELSE CAST(price AS STRING) END AS price, currency,
         takehome_percentage) AS event)) END""")
     return subscriptions.select(line.alias("value"))
 
 
+def _webhooks(t: Tables) -> batches.Checked:
+    path = landed(t, webhook_lines(t.subscription_events))
+    return batches.ingest_subscription_webhooks(
+        batches.read_subscription_webhooks(t.spark, path), AS_OF
+    )
+
+
 query(
-    "ingest_subscription_webhooks",
-    lambda t: batches.ingest_subscription_webhooks(webhook_lines(t.subscription_events), AS_OF)
+    "ingest_subscription_webhooks", lambda t: _webhooks(t)
     .accepted.drop("raw_payload").withColumns(
         {c: F.col(c).cast("double") for c in ("price", "takehome_percentage")}
     ), "subscription_events",
-    """SELECT event_type, app_user_id, original_app_user_id, product_id, '[]' AS entitlement_ids, period_type,
-    created_at AS purchased_at, CASE WHEN id % 2 = 0 THEN NULL ELSE created_at + INTERVAL 1 DAY END AS expiration_at,
-    NULL AS store, environment, CASE WHEN id % 3 = 0 THEN is_trial_conversion ELSE FALSE END AS is_trial_conversion,
-    NULL AS cancel_reason, CAST(price AS DOUBLE) AS price, currency,
-    CAST(takehome_percentage AS DOUBLE) AS takehome_percentage, TIMESTAMP '2024-01-30 23:59:59' AS created_at
-    FROM subscription_events WHERE id % 100 < 97""",
+    f"""SELECT event_type, app_user_id, original_app_user_id, product_id, '[]' AS entitlement_ids, period_type,
+    created_at AS purchased_at, CASE WHEN period_type = 'TRIAL' THEN NULL ELSE created_at + INTERVAL 1 DAY END AS expiration_at,
+    NULL AS store, environment, is_trial_conversion, NULL AS cancel_reason, CAST(price AS DOUBLE) AS price,
+    currency, CAST(takehome_percentage AS DOUBLE) AS takehome_percentage, TIMESTAMP '2024-01-30 23:59:59' AS created_at
+    FROM subscription_events WHERE ({WEBHOOK_DEFECT}) IS NULL""",
 )
 query(
-    "rejected_webhooks",
-    lambda t: batches.ingest_subscription_webhooks(webhook_lines(t.subscription_events), AS_OF)
+    "rejected_webhooks", lambda t: _webhooks(t)
     .rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("lines")), "subscription_events",
-    """SELECT CASE id % 100 WHEN 97 THEN 'invalid event' WHEN 98 THEN 'no event' ELSE 'malformed' END AS reason,
-    count(*) AS lines FROM subscription_events WHERE id % 100 >= 97 GROUP BY 1""",
+    f"""SELECT {WEBHOOK_DEFECT} AS reason, count(*) AS lines FROM subscription_events
+    WHERE reason IS NOT NULL GROUP BY 1""",
 )
 
-# Export: all events, some twice, some broken; events with an odd id are stored.
+# Export: every event, photos twice, purchases without a country cut off. Half a month
+# is stored already.
+
+CUT = "(category = 'monetization' AND country IS NULL)"
+STORED = "event_ts < TIMESTAMP '2024-01-16 12:00:00'"
 
 
 def export_lines(events: DataFrame) -> DataFrame:
-    copies = F.expr("CASE WHEN id % 5 = 0 THEN array(0, 1) ELSE array(0) END")
+    copies = F.expr("CASE WHEN name = 'photo_captured' THEN array(0, 1) ELSE array(0) END")
     rows = events.withColumn("copy", F.explode(copies))
-    line = F.expr("""CASE WHEN id % 50 = 7 THEN '{"event_type": "cut' ELSE
-      concat('{"event_properties":', properties, ',', substring(to_json(struct(name AS event_type,
-        CASE WHEN id % 2 = 0 THEN CAST(event_ts AS STRING) END AS event_time,
+    line = F.expr(f"""CASE WHEN {CUT} THEN '{{"event_type": "cut' ELSE
+      concat('{{"event_properties":', properties, ',', substring(to_json(struct(name AS event_type,
+        CASE WHEN locale IS NULL THEN CAST(event_ts AS STRING) END AS event_time,
         CAST(event_ts AS STRING) AS server_received_time, user_id, device_id,
-        CASE WHEN id % 10 = 0 THEN 0 ELSE id END AS session_id, concat(app_version, '.', copy) AS app_version,
+        CASE WHEN session_id IS NULL THEN 0 ELSE id END AS session_id, concat(app_version, '.', copy) AS app_version,
         os_version, device_model AS device_type, locale AS language, timezone)), 2)) END""")
-    return rows.select(line.alias("value"), (F.col("id") * 2 + F.col("copy")).alias("seq"))
+    return rows.select(line.alias("value"))
 
 
 def _sync(t: Tables) -> export.SyncResult:
-    stored = t.app_events.filter("id % 2 = 1")
-    return export.sync_export(export_lines(t.app_events), stored, as_of=AS_OF)
+    stored = t.app_events.filter(STORED.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
+    lines = export.read_export(t.spark, landed(t, export_lines(t.app_events)))
+    return export.sync_export(lines, stored, as_of=AS_OF)
 
 
 query(
     "sync_export", lambda t: _open_bag(_sync(t).new_rows.drop("event_key", "created_at")), E,
     f"""SELECT name, 'engagement' AS category, {BAG_SQL}, event_ts, user_id, device_id,
-    CASE WHEN id % 10 = 0 THEN NULL ELSE CAST(id AS VARCHAR) END AS session_id, 0 AS session_duration_seconds,
+    CASE WHEN session_id IS NULL THEN NULL ELSE CAST(id AS VARCHAR) END AS session_id, 0 AS session_duration_seconds,
     app_version || '.0' AS app_version, NULL AS build_number, 'ios' AS platform, os_version, device_model,
-    locale, timezone, NULL AS country, NULL AS ip_address FROM app_events WHERE id % 2 = 0""",
+    locale, timezone, NULL AS country, NULL AS ip_address FROM app_events WHERE NOT {CUT} AND NOT {STORED}""",
 )
 query(
     "sync_export_counts", lambda t: _sync(t).counts, E,
-    """SELECT count(*) FILTER (id % 2 = 0) AS synced,
-    count(*) FILTER (id % 2 = 1 AND id % 50 <> 7) + count(*) FILTER (id % 5 = 0) AS skipped,
-    count(*) FILTER (id % 50 = 7) AS errors FROM app_events""",
+    f"""SELECT count(*) FILTER (NOT {CUT} AND NOT {STORED}) AS synced,
+    count(*) FILTER (NOT {CUT} AND {STORED}) + count(*) FILTER (name = 'photo_captured') AS skipped,
+    count(*) FILTER ({CUT}) AS errors FROM app_events""",
 )
 query(
     "sync_window",
@@ -380,8 +404,7 @@ def _finish(running) -> None:
 
 def _stream_ingest(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "stream-ingest")
-    batch_lines(t.app_events).write.text(f"{root}/landed")
-    stream = ingest.stream_event_batches(t.spark, f"{root}/landed")
+    stream = ingest.stream_event_batches(t.spark, landed(t, batch_lines(t.app_events)))
     _finish(ingest.start_ingest(
         stream, f"{root}/events", f"{root}/rejected", f"{root}/checkpoint", t.geo_ranges, AS_OF
     ))

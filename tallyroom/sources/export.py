@@ -24,13 +24,14 @@ class SyncResult(NamedTuple):
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """Export lines with ``seq``, their source order. A gzip file is one split, so the
-    row numbers within a file grow in the order of its lines."""
+    """Export lines with ``seq``, their source order: file, place of the block within
+    it, and row numbers that grow along the block."""
     lines = spark.read.text(path)
     return lines.select(
         "value",
         F.struct(
             F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line"),
         ).alias("seq"),
     )
