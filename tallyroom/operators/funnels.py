@@ -56,13 +56,16 @@ def funnel(events: DataFrame, bounds: Bounds, steps: list[str] = PURCHASE_STEPS)
     """Devices per step and the rate to the step before. Steps are independent, so a
     rate can exceed 100; it is 0 after an empty step."""
     counts = _step_counts(bounds.apply(events, "event_ts"), [Stage(s, s) for s in steps])
-    rows = []
-    for i, step in enumerate(steps):
-        users = F.col(f"users_{i}")
-        rate = F.lit(100.0) if i == 0 else percent(users, F.col(f"users_{i - 1}"), 2)
-        rows.append({"step_no": F.lit(i + 1), "step": F.lit(step), "users": users,
-                     "conversion_rate": rate})
-    return single_row_to_rows(counts, rows)
+    rows = [
+        {"step_no": F.lit(i + 1), "step": F.lit(step), "users": F.col(f"users_{i}"),
+         "_before": F.lit(None).cast("bigint") if i == 0 else F.col(f"users_{i - 1}")}
+        for i, step in enumerate(steps)
+    ]
+    first = F.col("step_no") == 1
+    rate = F.when(first, F.lit(100.0)).otherwise(percent(F.col("users"), F.col("_before"), 2))
+    return single_row_to_rows(counts, rows).select(
+        "step_no", "step", "users", rate.alias("conversion_rate")
+    )
 
 
 def staged_funnel(
@@ -75,20 +78,25 @@ def staged_funnel(
     had any, 100 and 0 when none had. The overall rate is last over first."""
     counts = _step_counts(clock.since_midnight(as_of, days).apply(events, "event_ts"), stages)
     last = len(stages) - 1
-    overall = percent(F.col(f"users_{last}"), F.col("users_0"), 2)
     rows = []
     for i, stage in enumerate(stages):
-        users = F.col(f"users_{i}")
         earlier = [F.nullif(F.col(f"users_{j}"), F.lit(0)) for j in range(i - 1, -1, -1)]
-        before = F.coalesce(*earlier, F.lit(0))
         rows.append(
             {
                 "stage_no": F.lit(i + 1),
                 "stage": F.lit(stage.label),
-                "users": users,
-                "conversion": percent(users, before, 1, empty=100.0),
-                "drop_off": percent(before - users, before, 1),
-                "overall_conversion": overall,
+                "users": F.col(f"users_{i}"),
+                "_before": F.coalesce(*earlier, F.lit(0)),
+                "_top": F.col("users_0"),
+                "_bottom": F.col(f"users_{last}"),
             }
         )
-    return single_row_to_rows(counts, rows)
+    users, before = F.col("users"), F.col("_before")
+    return single_row_to_rows(counts, rows).select(
+        "stage_no",
+        "stage",
+        "users",
+        percent(users, before, 1, empty=100.0).alias("conversion"),
+        percent(before - users, before, 1).alias("drop_off"),
+        percent(F.col("_bottom"), F.col("_top"), 2).alias("overall_conversion"),
+    )
