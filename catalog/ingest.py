@@ -84,7 +84,7 @@ BATCHES_SQL = """WITH b AS (SELECT *, id // 40 AS batch_no FROM app_events),
 INGESTED_SQL = """name,
   CASE WHEN id % 7 = 0 THEN 'engagement' ELSE category END AS category, properties, event_ts, user_id,
   device_id, session_id, CASE WHEN id % 6 = 0 THEN 0 ELSE session_duration_seconds END AS session_duration_seconds,
-  app_version, NULL AS build_number, 'ios' AS platform, os_version, device_model, locale, timezone,
+  app_version, CAST(NULL AS VARCHAR) AS build_number, 'ios' AS platform, os_version, device_model, locale, timezone,
   c.ip AS ip_address, TIMESTAMP '2024-01-31' AS created_at
   FROM b JOIN c USING (batch_no)"""
 
@@ -121,7 +121,7 @@ query(
 query(
     "ingest_event_batches",
     lambda t: _open_bag(batches.ingest_event_batches(_checked(t).accepted, AS_OF).drop("event_key")), E,
-    f"{BATCHES_SQL} SELECT NULL AS country, {INGESTED_SQL} WHERE reason IS NULL",
+    f"{BATCHES_SQL} SELECT CAST(NULL AS VARCHAR) AS country, {INGESTED_SQL} WHERE reason IS NULL",
 )
 query(
     "normalize_client_ip",
@@ -185,7 +185,7 @@ query(
     ), "subscription_events",
     f"""SELECT event_type, app_user_id, original_app_user_id, product_id, '[]' AS entitlement_ids, period_type,
     created_at AS purchased_at, CASE WHEN period_type = 'TRIAL' THEN NULL ELSE created_at + INTERVAL 1 DAY END AS expiration_at,
-    NULL AS store, environment, is_trial_conversion, NULL AS cancel_reason, CAST(price AS DOUBLE) AS price,
+    CAST(NULL AS VARCHAR) AS store, environment, is_trial_conversion, CAST(NULL AS VARCHAR) AS cancel_reason, CAST(price AS DOUBLE) AS price,
     currency, CAST(takehome_percentage AS DOUBLE) AS takehome_percentage, TIMESTAMP '2024-01-30 23:59:59' AS created_at
     FROM subscription_events WHERE ({WEBHOOK_DEFECT}) IS NULL""",
 )
@@ -225,8 +225,8 @@ query(
     "sync_export", lambda t: _open_bag(_sync(t).new_rows.drop("event_key", "created_at")), E,
     f"""SELECT name, 'engagement' AS category, {BAG_SQL}, event_ts, user_id, device_id,
     CASE WHEN session_id IS NULL THEN NULL ELSE CAST(id AS VARCHAR) END AS session_id, 0 AS session_duration_seconds,
-    app_version || '.0' AS app_version, NULL AS build_number, 'ios' AS platform, os_version, device_model,
-    locale, timezone, NULL AS country, NULL AS ip_address FROM app_events WHERE NOT {CUT} AND NOT {STORED}""",
+    app_version || '.0' AS app_version, CAST(NULL AS VARCHAR) AS build_number, 'ios' AS platform, os_version, device_model,
+    locale, timezone, CAST(NULL AS VARCHAR) AS country, CAST(NULL AS VARCHAR) AS ip_address FROM app_events WHERE NOT {CUT} AND NOT {STORED}""",
 )
 query(
     "sync_export_counts", lambda t: _sync(t).counts, E,
@@ -334,7 +334,7 @@ query(
 query(
     "align_schema",
     lambda t: _profiles(t).select(*KNOWN.split(), "rc_user_id", "phone_verified"), "profiles",
-    f"SELECT {', '.join(KNOWN.split())}, NULL AS rc_user_id, NULL AS phone_verified FROM profiles",
+    f"SELECT {', '.join(KNOWN.split())}, CAST(NULL AS VARCHAR) AS rc_user_id, CAST(NULL AS BOOLEAN) AS phone_verified FROM profiles",
 )
 
 # Tables on the shared folder.

@@ -314,10 +314,8 @@ def users_by_event(
         F.min("event_ts").alias("first_occurrence"),
         F.max("event_ts").alias("last_occurrence"),
     )
-    page = paged(
-        per_device, order_by("last_occurrence"), F.col("device_id").asc(),
-        limit=limit, offset=offset,
-    )
+    by = [order_by("last_occurrence"), F.col("device_id").asc()]
+    page = paged(per_device, *by, limit=limit, offset=offset)
     chosen = F.broadcast(page) if limit <= PAGE_BROADCAST_ROWS else page
     stats = events.select("device_id", "event_ts").join(chosen, "device_id").groupBy(
         *page.columns
@@ -332,7 +330,7 @@ def users_by_event(
         F.max_by("properties", F.struct("event_ts", "id")).alias("last_properties")
     )
     total = fired.agg(F.countDistinct("device_id").alias("total"))
-    return Page(stats.join(last, "device_id"), total)
+    return Page(paged(stats.join(last, "device_id"), *by, limit=limit), total)
 
 
 def funnel_dropoff(

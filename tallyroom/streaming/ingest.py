@@ -1,7 +1,9 @@
 """Continuous ingestion of landed batches into the events and quarantine tables.
 
 Every micro-batch replaces partitions carrying its own number, so a batch that is
-run again after a failure leaves the same files and no copies.
+run again after a failure leaves the same files and no copies. Jobs run to the end
+of what has landed unless given another ``trigger``, such as
+``{"processingTime": "1 minute"}``.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from tallyroom.sources.batches import (
     ingest_event_batches, ip_to_country, parse_event_batches, validate_batches,
 )
 from tallyroom.sources.files import replace_partitions
+from tallyroom.streaming.windows import AVAILABLE_NOW
 
 
 def stream_event_batches(spark: SparkSession, path: str, files_per_trigger: int | None = None):
@@ -33,6 +36,7 @@ def start_ingest(
     checkpoint: str,
     ranges: DataFrame | None = None,
     as_of: datetime | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Validate, flatten and locate every micro-batch; rejects go to quarantine."""
 
@@ -55,13 +59,17 @@ def start_ingest(
     return (
         batches.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 
 
 def start_daily_rollup(
-    events: DataFrame, events_path: str, stats_path: str, checkpoint: str
+    events: DataFrame,
+    events_path: str,
+    stats_path: str,
+    checkpoint: str,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Append events and recompute the statistics of every day they touch, so a late
     event reopens its day. The affected days stay a DataFrame; the join on the
@@ -83,18 +91,20 @@ def start_daily_rollup(
     return (
         events.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 
 
-def start_append(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def start_append(
+    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Append a stream of events to a table partitioned by day; the file sink commits
     each micro-batch once."""
     dated = events.withColumn("event_date", F.to_date("event_ts"))
     return (
         dated.writeStream.format("parquet").partitionBy("event_date")
         .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )

@@ -7,6 +7,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyroom.sources.files import replace_partitions
 
+# The default trigger: everything that has landed, then stop.
+AVAILABLE_NOW = {"availableNow": True}
+
 
 def _time(events: DataFrame) -> DataFrame:
     """Watermarks need TIMESTAMP; other time columns are read as UTC."""
@@ -80,7 +83,9 @@ def stream_dedup(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return timed.withWatermark("event_ts", late).dropDuplicatesWithinWatermark(key)
 
 
-def start_window_updates(windows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def start_window_updates(
+    windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Write every changed window under its micro-batch number. A batch that is run
     again replaces its own files."""
 
@@ -90,7 +95,7 @@ def start_window_updates(windows: DataFrame, path: str, checkpoint: str) -> Stre
     return (
         windows.writeStream.outputMode("update").foreachBatch(store)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 
