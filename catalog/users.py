@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from catalog.events import RANGE, RANGE_SQL, fixed, share
+from catalog.events import RANGE, RANGE_SQL, share
 from catalog.registry import query
 from catalog.views import AS_OF
 from tallyroom import clock

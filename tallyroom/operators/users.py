@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -71,16 +72,11 @@ def users_with_purchases(
     return stats.withColumn("user_status", _status(stats, clock.resolve(as_of)))
 
 
-def _membership(
-    events: DataFrame, include: dict[str, Column], exclude: dict[str, Column], retained: bool
-) -> DataFrame:
-    """Devices by what they did at any time: one scan and one shuffle for all tests."""
-    tests = {**include, **exclude}
-    if not retained and tests:
-        some = None
-        for test in tests.values():
-            some = test if some is None else some | test
-        events = events.filter(some)
+def _membership(events: DataFrame, tests: dict[str, Column], retained: bool = False) -> DataFrame:
+    """Devices by what they did at any time: one scan and one shuffle for all tests.
+    ``retained`` adds whether the last event is seven days or more after the first."""
+    if not retained:
+        events = events.filter(reduce(lambda a, b: a | b, tests.values()))
     span = [F.min("event_ts").alias("_first"), F.max("event_ts").alias("_last")]
     return device_flags(events, tests, *(span if retained else []))
 
@@ -159,14 +155,14 @@ def user_list(
 
     retained = filter == "retained"
     if include or retained:
-        members = _membership(events, include, {}, retained)
+        members = _membership(events, include, retained)
         for flag in include:
             members = members.filter(F.col(flag))
         if retained:
             members = members.filter(F.expr("_last >= _first + INTERVAL '7' DAY"))
         users = users.join(members.select("device_id"), "device_id", "left_semi")
     if exclude:
-        barred = _membership(events, {}, exclude, False)
+        barred = _membership(events, exclude)
         users = users.join(barred.select("device_id"), "device_id", "left_anti")
 
     by = [order_by(USER_SORTS.get(sort, "last_active"), order), F.col("device_id").asc()]

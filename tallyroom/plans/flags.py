@@ -16,8 +16,3 @@ def device_flags(
     A condition that is null counts as not met."""
     tests = [F.max(F.coalesce(test, F.lit(False))).alias(name) for name, test in flags.items()]
     return events.groupBy(key).agg(*tests, *measures)
-
-
-def first_and_last(events: DataFrame, first: str = "first_seen", last: str = "last_active"):
-    """First and last event time per device, both fixed-width: a hash aggregate."""
-    return [F.min("event_ts").alias(first), F.max("event_ts").alias(last)]

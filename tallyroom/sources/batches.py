@@ -103,11 +103,11 @@ def ingest_event_batches(raw: DataFrame, as_of: datetime | None = None) -> DataF
     given = F.nullif(event["timestamp"], F.lit("")).try_cast("timestamp")
     values = {
         "event_key": F.concat_ws(":", "_batch", "_pos"),
-        "category": or_default(event["category"], "engagement"),
-        "properties": F.coalesce(bag, F.lit("{}")),
+        "category": or_default(event["category"], schema.EVENT_DEFAULTS["category"]),
+        "properties": F.coalesce(bag, F.lit(schema.EVENT_DEFAULTS["properties"])),
         "event_ts": F.coalesce(given, F.col("created_at")),
         "session_duration_seconds": or_default(event["session_duration_seconds"], 0),
-        "platform": or_default(event["platform"], "ios"),
+        "platform": or_default(event["platform"], schema.EVENT_DEFAULTS["platform"]),
         "country": F.lit(None).cast("string"),
         "ip_address": F.col("ip_address"),
         "created_at": F.col("created_at"),

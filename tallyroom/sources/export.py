@@ -43,17 +43,19 @@ def _parse(lines: DataFrame, now: Column) -> DataFrame:
     def text(column: str) -> Column:
         return F.nullif(F.col(column), F.lit(""))
 
-    bag = F.coalesce(text("event_properties"), F.lit("{}"))
+    bag = F.coalesce(text("event_properties"), F.lit(schema.EVENT_DEFAULTS["properties"]))
     values = {
         "event_key": F.lit(None),
         "name": F.col("event_type"),
-        "category": or_default(F.get_json_object(bag, "$.category"), "engagement"),
+        "category": or_default(
+            F.get_json_object(bag, "$.category"), schema.EVENT_DEFAULTS["category"]
+        ),
         "properties": bag,
         "event_ts": F.coalesce(text("event_time"), text("server_received_time"))
         .try_cast("timestamp"),
         "session_id": F.nullif(text("session_id"), F.lit("0")),
         "session_duration_seconds": F.lit(0),
-        "platform": or_default(F.col("platform"), "ios"),
+        "platform": or_default(F.col("platform"), schema.EVENT_DEFAULTS["platform"]),
         "device_model": F.col("device_type"),
         "locale": F.col("language"),
         "timezone": text("timezone"),

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import pytest
 from build import AS_OF, at, dicts, events, only, profiles, subscriptions
-from pyspark.sql import functions as F
 
 from tallyroom import clock
 from tallyroom.operators import feeds, funnels, retention, users
