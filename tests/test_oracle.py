@@ -6,8 +6,7 @@ import pytest
 from compare import difference
 
 import __spark_entry__ as contract
-
-QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
+from catalog.registry import ORACLES, QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
