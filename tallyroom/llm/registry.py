@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import mixing
+from tallyroom.llm import curves, lattice, mixing
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,3 +21,13 @@ def registered(build):
 @registered
 def op2_sainte_lague_mix(spark, sf_dir):
     return mixing.mixture(table(spark, sf_dir, "documents")).drop("source")
+
+
+@registered
+def op5_hilbert_neighbours(spark, sf_dir):
+    return curves.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@registered
+def op7_lattice_near_copies(spark, sf_dir):
+    return lattice.near_copies(table(spark, sf_dir, "embeddings"))
