@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tallyroom.llm.components import with_component
@@ -124,7 +125,7 @@ def _compare(table: pa.Table, threshold: float, shape: tuple) -> pa.Table:
     cell = table["cell"][0].as_py()
     parts = []
     for which in (table["lo"][0].as_py(), table["hi"][0].as_py()):
-        part = table.filter(pa.compute.equal(table["block"], which)).combine_chunks()
+        part = table.filter(pc.equal(table["block"], which)).combine_chunks()
         rows = part["vector"].combine_chunks()
         unit = unit_rows(matrix(rows))
         parts.append({
@@ -174,7 +175,7 @@ def near_copies(
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pa.compute.list_value_length(batch["vector"]).to_numpy()
+            sizes = pc.list_value_length(batch["vector"]).to_numpy()
             for size in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == size))
                 labels = np.array(part["label"].to_pylist(), dtype=np.int64).astype(np.uint64)

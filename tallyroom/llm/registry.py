@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import curves, lattice, mixing
+from tallyroom.llm import curves, jaccard, lattice, mixing
 
 QUERIES, ORACLES = {}, {}
 
@@ -31,3 +31,8 @@ def op5_hilbert_neighbours(spark, sf_dir):
 @registered
 def op7_lattice_near_copies(spark, sf_dir):
     return lattice.near_copies(table(spark, sf_dir, "embeddings"))
+
+
+@registered
+def op8_token_combination_join(spark, sf_dir):
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
