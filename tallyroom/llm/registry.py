@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import curves, jaccard, lattice, mixing
+from tallyroom.llm import curves, jaccard, lattice, mixing, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -36,3 +36,10 @@ def op7_lattice_near_copies(spark, sf_dir):
 @registered
 def op8_token_combination_join(spark, sf_dir):
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op9_neighbour_votes(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.scored(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
