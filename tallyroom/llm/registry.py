@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import curves, jaccard, lattice, mixing, quality
+from tallyroom.llm import curves, jaccard, lattice, mixing, order, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -43,3 +43,8 @@ def op9_neighbour_votes(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.scored(docs, table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@registered
+def op3_feistel_training_order(spark, sf_dir):
+    return order.training_order(table(spark, sf_dir, "documents"))
