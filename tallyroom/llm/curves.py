@@ -71,10 +71,10 @@ def _inner(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(queries: np.ndarray, query_ids, rows: np.ndarray, ids: np.ndarray, k: int) -> pa.Table:
-    """Each query's k best of a block: fast products choose, ties within rounding stay,
-    exact products order."""
-    out = []
+def _best(queries: np.ndarray, query_ids, rows: np.ndarray, ids: np.ndarray, k: int) -> pa.RecordBatch:
+    """Each query's k best of a block, one row a query: fast products choose, ties within
+    rounding stay, exact products order."""
+    near = []
     for s in range(0, len(queries), 256):
         scores = queries[s : s + 256] @ rows.T
         for i, score in enumerate(scores):
@@ -84,12 +84,13 @@ def _best(queries: np.ndarray, query_ids, rows: np.ndarray, ids: np.ndarray, k:
                 take = take[score[take] >= edge - 1e-9 * max(1.0, abs(edge))]
             exact = _inner(queries[s + i], rows[take])
             order = np.lexsort((ids[take], -exact))[:k]
-            out.append((np.full(len(order), query_ids[s + i]), ids[take][order], exact[order]))
-    cat = [np.concatenate(c) if out else np.empty(0) for c in (zip(*out) if out else ([], [], []))]
-    return pa.table({
-        "query_id": pa.array(cat[0], pa.int64()), "vec_id": pa.array(cat[1], pa.int64()),
-        "score": pa.array(cat[2], pa.float64()),
-    })
+            near.append((-exact[order], ids[take][order]))
+    ends = np.cumsum([0] + [len(far) for far, _ in near], dtype=np.int32)
+    far, found = ([np.concatenate(x) for x in zip(*near)] if near else (np.empty(0), np.empty(0)))
+    hits = pa.StructArray.from_arrays([pa.array(far, pa.float64()), pa.array(found, pa.int64())], ["far", "vec_id"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(query_ids, pa.int64()), pa.ListArray.from_arrays(ends, hits)], names=["query_id", "near"]
+    )
 
 
 def _compare(key: tuple, table: pa.Table, k: int) -> pa.Table:
@@ -97,15 +98,17 @@ def _compare(key: tuple, table: pa.Table, k: int) -> pa.Table:
     table = table.combine_chunks()
     asks = table["asks"].to_numpy(zero_copy_only=False)
     vectors, ids = matrix(table["vector"].combine_chunks()), table["vec_id"].to_numpy()
-    return _best(vectors[asks], ids[asks], vectors[~asks], ids[~asks], k)
+    best = _best(vectors[asks], ids[asks], vectors[~asks], ids[~asks], k)
+    return pa.Table.from_batches([best])
+
+
+_FOUND = "query_id long, near array<struct<far: double, vec_id: long>>"
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    """The k best of each query, once each: at most k rows of a block survive it, so a
-    query's rows are few whatever the table's size."""
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    entry = F.struct((-F.col("score")).alias("far"), "vec_id")
-    ranked = best.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, k).alias("near"))
+    """The k best of each query, once each, from at most k of each block it was compared with."""
+    near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
+    ranked = found.groupBy("query_id").agg(near.alias("near"))
     return ranked.select("query_id", F.posexplode("near").alias("pos", "hit")).select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"),
         F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"),
@@ -129,10 +132,9 @@ def nearest(
     its own; curves are cut into windows of about ``window`` rows, at quantiles of a
     sample of CUT_ROWS keys. A query looks at its own window and as many to either side,
     on all curves; each candidate window is compared in one block, and the blocks' best
-    are merged. How many windows to either side is chosen as the least, doubling from one,
-    that finds ``recall`` of the true neighbours of up to TRIAL_QUERIES hashed queries,
-    measured against all rows in blocks; where vectors have no structure, that is a large
-    part of each curve, and at most all of it.
+    are merged. How many windows to either side is the least that holds ``recall`` of the
+    true neighbours of up to TRIAL_QUERIES hashed queries, found among all rows in blocks;
+    where vectors have no structure, that is a large part of each curve.
 
     Rows that are null, zero or hold null or non-finite components, and rows with a null
     vec_id, take no part, nor do those of another length than the most common one (the
@@ -188,19 +190,20 @@ def nearest(
     homes = points.mapInArrow(placed, place)
     asked = queries.transform(keyed(True)).mapInArrow(placed, place)
 
-    def search(asked: DataFrame, queries: DataFrame, asking: int, reach: int) -> DataFrame:
+    def search(asking: int, reach: int) -> DataFrame:
         """All of a query's candidates are in the windows ``reach`` or fewer from its own.
         Where many look at a window, they are dealt to parts that each get the window."""
-        parts = -(-asking * min(windows, 2 * reach + 1) // windows // ASKERS)
-        part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, parts)))
+        parts = max(1, -(-asking * min(windows, 2 * reach + 1) // windows // ASKERS))
+        part = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
         looks = asked.withColumn("at", F.explode(F.sequence(F.col("at") - reach, F.col("at") + reach)))
         looks = looks.where((F.col("at") >= 0) & (F.col("at") < windows))
-        seen = homes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(max(1, parts) - 1))))
+        each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)
+        seen = homes.withColumn("part", each)
         both = seen.withColumn("asks", F.lit(False)).join(rows, "vec_id").unionByName(
             looks.withColumn("part", part).withColumn("asks", F.lit(True)).join(queries, "vec_id")
         )
         found = both.groupBy("curve", "at", "part").applyInArrow(
-            lambda key, table: _compare(key, table, k), "query_id long, vec_id long, score double"
+            lambda key, table: _compare(key, table, k), _FOUND
         )
         return _top(found, k)
 
@@ -211,17 +214,12 @@ def nearest(
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = _best(held_rows, held_ids, matrix(batch["vector"]), batch["vec_id"].to_numpy(), k)
-            yield from best.to_batches()
-
-    truth = stored(_top(rows.mapInArrow(exact, "query_id long, vec_id long, score double"), k), "truth")
-    wanted = truth.count()
-    reach, asked_trial = 1, asked.join(trial.select("vec_id"), "vec_id", "left_semi")
-    while reach < windows:
-        met = search(asked_trial, trial, TRIAL_QUERIES, reach)
-        worst = truth.groupBy("query_id").agg(F.min("score").alias("least"))
-        hits = met.join(worst, "query_id").where("score >= least - 1e-12").count()
-        if hits >= recall * wanted:
-            break
-        reach = min(windows, 2 * reach)
-    return search(asked, queries, total // every + 1, reach)
+            yield _best(held_rows, held_ids, matrix(batch["vector"]), batch["vec_id"].to_numpy(), k)
+
+    truth = _top(rows.mapInArrow(exact, _FOUND), k).select("query_id", "vec_id")
+    asked_at = asked.select(F.col("vec_id").alias("query_id"), "curve", F.col("at").alias("asked_at"))
+    steps = homes.join(F.broadcast(stored(truth, "truth")), "vec_id").join(asked_at, ["query_id", "curve"])
+    steps = steps.groupBy("query_id", "vec_id").agg(F.min(F.abs(F.col("at") - F.col("asked_at"))).alias("steps"))
+    steps = np.sort(steps.toArrow()["steps"].to_numpy())
+    reach = int(steps[min(len(steps) - 1, int(np.ceil(recall * len(steps))))]) if len(steps) else 0
+    return search(total // every + 1, reach)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import curves, jaccard, lattice, mixing, order, quality
+from tallyroom.llm import curves, jaccard, lattice, mixing, order, pii, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -48,3 +48,8 @@ def op9_neighbour_votes(spark, sf_dir):
 @registered
 def op3_feistel_training_order(spark, sf_dir):
     return order.training_order(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op6_lstm_crf_personal_data(spark, sf_dir):
+    return pii.personal_data(table(spark, sf_dir, "documents"))
