@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import curves, jaccard, lattice, mixing, order, pii, quality
+from tallyroom.llm import curves, jaccard, langid, lattice, mixing, order, pieces, pii, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -53,3 +53,14 @@ def op3_feistel_training_order(spark, sf_dir):
 @registered
 def op6_lstm_crf_personal_data(spark, sf_dir):
     return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op4_nbest_pieces(spark, sf_dir):
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
+@registered
+def op10_fused_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    return langid.languages(table(spark, sf_dir, "pages"), docs)
