@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import curves, jaccard, langid, lattice, mixing, order, pieces, pii, quality
+from tallyroom.llm import curves, jaccard, langid, lattice, lm, mixing, order, pieces, pii, quality
 
 QUERIES, ORACLES = {}, {}
 
@@ -64,3 +64,8 @@ def op4_nbest_pieces(spark, sf_dir):
 def op10_fused_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("text", "lang")
     return langid.languages(table(spark, sf_dir, "pages"), docs)
+
+
+@registered
+def op1_attention_scores(spark, sf_dir):
+    return lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
