@@ -95,46 +95,73 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _links_of_cell(cell: int, left: dict, right: dict, same: bool, threshold: float):
-    """Links of two blocks of a cell that no smaller common cell has: (rep, copies linked)
-    rows, and links that connect the same vectors as all of them do."""
-    cosine = left["unit"] @ right["unit"].T
-    i, j = np.nonzero(cosine >= threshold - 1e-9)
-    keep = i < j if same else left["rep"][i] != right["rep"][j]
-    i, j = i[keep], j[keep]
-    keep = np.empty(len(i), dtype=bool)
-    for s in range(0, len(i), 4096):
-        a, b = i[s : s + 4096], j[s : s + 4096]
-        exact = (left["unit"][a] * right["unit"][b]).sum(1) >= threshold
-        shared = (left["keys"][a][:, :, None] == right["keys"][b][:, None, :]).any(2)
-        smallest = np.where(shared, left["keys"][a], np.iinfo(np.int64).max).min(1)
-        keep[s : s + 4096] = exact & (smallest == cell)
-    i, j = i[keep], j[keep]
-    n = len(left["rep"])
-    counts = np.zeros(n + len(right["rep"]), dtype=np.int64)
-    np.add.at(counts, i, right["copies"][j])
-    np.add.at(counts, n + j, left["copies"][i])
-    reps = np.concatenate([left["rep"], right["rep"]])
-    root = _roots(len(reps), i, n + j)
+def _links_of_cells(rows: pa.RecordBatch, threshold: float, shape: tuple):
+    """Links within the groups of equal (cell, salt, lo, hi), which stand together: (rep,
+    copies linked) rows, and links that connect what all of them connect. A pair counts in
+    its smallest common cell alone."""
+    cell, salt, block, lo, hi, rep, copies = (
+        rows[c].to_numpy() for c in ("cell", "salt", "block", "lo", "hi", "rep", "copies")
+    )
+    unit = unit_rows(matrix(rows["vector"]))
+    new = np.ones(len(cell) + 1, dtype=bool)
+    new[1:-1] = (cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    left_over = np.diff(np.flatnonzero(new))
+    to_end = np.repeat(np.flatnonzero(new)[1:], left_over) - np.arange(len(cell)) - 1
+    pairs = []
+    for d in range(1, int(to_end.max(initial=0)) + 1):
+        i = np.flatnonzero(to_end >= d)
+        i = i[(block[i] != block[i + d]) | (lo[i] == hi[i])]
+        for s in range(0, len(i), 65536):
+            part = i[s : s + 65536]
+            near = (unit[part] * unit[part + d]).sum(1) >= threshold
+            pairs.append(np.stack([part[near], part[near] + d]))
+    i, j = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), dtype=np.int64)
+    if len(i):
+        some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+        keys = cells(unit[some], *shape)
+        smallest = np.empty(len(i), dtype=np.int64)
+        for s in range(0, len(i), 4096):
+            a, b = keys[at[s : s + 4096][: len(i) - s]], keys[at[len(i) :][s : s + 4096]]
+            shared = (a[:, :, None] == b[:, None, :]).any(2)
+            smallest[s : s + 4096] = np.where(shared, a, np.iinfo(np.int64).max).min(1)
+        keep = smallest == cell[i]
+        i, j = i[keep], j[keep]
+    counts = np.zeros(len(rep), dtype=np.int64)
+    np.add.at(counts, i, copies[j])
+    np.add.at(counts, j, copies[i])
     hit = counts > 0
-    return reps[hit], counts[hit], reps[root][hit]
-
-
-def _compare(table: pa.Table, threshold: float, shape: tuple) -> pa.Table:
-    """One cell, one pair of its blocks."""
-    cell = table["cell"][0].as_py()
-    parts = []
-    for which in (table["lo"][0].as_py(), table["hi"][0].as_py()):
-        part = table.filter(pc.equal(table["block"], which)).combine_chunks()
-        rows = part["vector"].combine_chunks()
-        unit = unit_rows(matrix(rows))
-        parts.append({
-            "unit": unit, "keys": cells(unit, *shape) if len(unit) else np.empty((0, 1), np.int64),
-            "rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(),
-        })
-    same = table["lo"][0].as_py() == table["hi"][0].as_py()
-    reps, counts, roots = _links_of_cell(cell, *parts, same, threshold)
-    return pa.table({"rep": reps, "linked": counts, "root": roots})
+    return rep[hit], counts[hit], rep[_roots(len(rep), i, j)][hit]
+
+
+def _compared(threshold: float, shape: tuple):
+    """Rows sorted by group, batch by batch; a group cut by a batch's end waits for its rest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in _with_end(batches):
+            if batch is None:
+                whole, held = held, None
+            else:
+                table = pa.Table.from_batches([batch])
+                table = pa.concat_tables([held, table]) if held is not None else table
+                names = ("cell", "salt", "lo", "hi")
+                same = np.ones(len(table), dtype=bool)
+                for name in names:
+                    column = table[name].to_numpy()
+                    same &= column == column[-1]
+                cut = len(table) - int(same.sum())
+                whole, held = table.slice(0, cut), table.slice(cut)
+            if whole is not None and len(whole):
+                sizes = pc.list_value_length(whole["vector"]).to_numpy()
+                for size in np.unique(sizes):
+                    rows = whole.filter(pa.array(sizes == size)).combine_chunks().to_batches()[0]
+                    found = _links_of_cells(rows, threshold, shape)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["rep", "linked", "root"])
+    return run
+
+
+def _with_end(batches: Iterator) -> Iterator:
+    yield from (b for b in batches if len(b))
+    yield None
 
 
 def near_copies(
@@ -206,13 +233,11 @@ def near_copies(
     )
     loaded = members.join(reps.select("class", "rep", "copies", "vector"), "class")
 
-    def compare(table: pa.Table) -> pa.Table:
-        return _compare(table, threshold, shape)
-
+    group = ["cell", "salt", "lo", "hi"]
+    loaded = loaded.select(*group, "block", F.col("class").alias("rep"), "copies", "vector")
     found = stored(
-        loaded.select("cell", "salt", "block", "lo", "hi", F.col("class").alias("rep"), "copies", "vector")
-        .groupBy("cell", "salt", "lo", "hi")
-        .applyInArrow(compare, "rep long, linked long, root long"),
+        loaded.repartition(*group).sortWithinPartitions(*group)
+        .mapInArrow(_compared(threshold, shape), "rep long, linked long, root long"),
         "found",
     )
     counts = found.groupBy(F.col("rep").alias("class")).agg(F.sum("linked").alias("linked"))
