@@ -1,28 +1,59 @@
-"""A corpus pipeline of the training-data operators: documents in, encoded pieces out."""
+"""A corpus pipeline of the training-data operators: documents in, encoded pieces out.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next one's docs. All but the last keep the columns of documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyroom.llm import mixing
+from tallyroom.llm import jaccard, mixing, pieces, pii, quality
+from tallyroom.llm.registry import table
 from tallyroom.llm.tables import stored
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose nearest labelled neighbours vote for good quality."""
+    scored = quality.scored(docs, table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of smallest id, of each group of near copies."""
+    return jaccard.one_of_each_group(docs)
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by its kind."""
+    return pii.redacted(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources near their target weights: documents repeated or left out."""
     return mixing.mixed_documents(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every text, with the scores of its best segmentations."""
+    rows = pieces.encoded(docs)
+    return rows.withColumn("scores", F.col("others.score")).drop("others", "text")
+
+
 STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("PII", redact),
     ("mixing sources", mix_sources),
+    ("SentencePiece encoding", encode),
 ]
 
-#: Learned models decide; no SQL gives these rows.
+#: Learned models decide in several stages; no SQL gives these rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), "stage")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,8 +14,8 @@ from tallyroom.llm import tokens
 from tallyroom.llm.tables import stored, whole_text
 from tallyroom.session import scratch_path
 
-#: Tokens of a sequence and sequences of a shard: a shard has 4 MB, a slot 2 KB.
-LENGTH, SHARD_SLOTS = 1024, 2048
+#: Tokens of a sequence and sequences of a shard: a shard has 1 MB, a slot 2 KB.
+LENGTH, SHARD_SLOTS = 1024, 512
 #: Ends a document; fills the last sequence of a partition.
 END, FILL = 50256, 65535
 ROUNDS = 6
@@ -194,9 +194,9 @@ def write_training_order(
     parts = stored(parts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "parts")
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    @F.pandas_udf("long")
-    def slot_of(index):
-        return index.__class__(permuted(index.to_numpy(), total, key))
+    @F.arrow_udf("long")
+    def slot_of(index: pa.Array) -> pa.Array:
+        return pa.array(permuted(index.to_numpy(), total, key))
 
     numbered = packed.join(parts.select("part", "base"), "part").withColumn("slot", slot_of(F.col("base") + F.col("number")))
     shard = F.floor(F.col("slot") / shard_slots)

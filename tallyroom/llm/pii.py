@@ -210,8 +210,8 @@ def _made_up(rng: np.random.Generator) -> tuple[int, str]:
 
 
 def training_rows(texts: list[str], seed: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Labelled windows: each sampled window with its base spans, and once more with a
-    made-up span set between its words."""
+    """Labelled windows: each sampled window with its base spans, and SAMPLE_WINDOWS times a
+    window, in turn, with a made-up span set between its words."""
     rng = np.random.default_rng(seed)
     codes, tags = [], []
 
@@ -230,6 +230,8 @@ def training_rows(texts: list[str], seed: int = 6) -> tuple[np.ndarray, np.ndarr
             if not kept or s.start >= kept[-1].end:
                 kept.append(s)
         add(text, kept)
+    for n in range(SAMPLE_WINDOWS if texts else 0):
+        text = texts[n % len(texts)]
         kind, span = _made_up(rng)
         gaps = [m.start() for m in re.finditer(r"\s", text) if m.start() + len(span) + 2 < WINDOW]
         at = gaps[rng.integers(len(gaps))] if gaps else 0
