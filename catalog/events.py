@@ -10,7 +10,7 @@ from catalog.registry import query
 from catalog.views import AS_OF
 from tallyroom import clock
 from tallyroom.functions import as_bool, as_int, prop
-from tallyroom.operators import events as ev, feeds, rollup
+from tallyroom.operators import events as ev, feeds, rollup, snapshot
 
 E = "app_events"
 
@@ -62,6 +62,23 @@ query(
     AND event_ts >= TIMESTAMP '2024-01-05 00:00:00' AND event_ts <= TIMESTAMP '2024-01-20 23:59:59.999'
     ORDER BY event_ts DESC, id DESC LIMIT 100 OFFSET 30""",
 )
+
+
+def _by_key(t):
+    """Three pages of fifty, each asked for by the last row of the one before."""
+    pages, after = [], None
+    for _ in range(3):
+        page = feeds.search_events(t.app_events, category="camera", limit=50, after=after).rows
+        last = page.orderBy("event_ts", "id").first()
+        pages.append(page)
+        after = (last["event_ts"], last["id"])
+    return pages[0].unionAll(pages[1]).unionAll(pages[2])
+
+
+query(
+    "search_events_by_key", _by_key, E,
+    f"SELECT {SEARCH} FROM app_events WHERE category = 'camera' ORDER BY event_ts DESC, id DESC LIMIT 150",
+)
 query(
     "search_events_one_day",
     lambda t: feeds.search_events(
@@ -279,9 +296,7 @@ query(
     SELECT sessions AS total_sessions, {fixed(ratio('sessions', 'devices'), 2)} AS sessions_per_user,
       gallery AS gallery_views, {ratio('gallery', 'sessions')} AS gallery_per_session FROM s""",
 )
-query(
-    "active_users", lambda t: ev.active_users(t.app_events, AS_OF), E,
-    f"""WITH s AS (
+ACTIVE_USERS = f"""WITH s AS (
       SELECT count(DISTINCT device_id) FILTER (event_ts >= TIMESTAMP '2024-01-30') AS dau,
         count(DISTINCT device_id) FILTER (event_ts >= TIMESTAMP '2024-01-29' AND event_ts < TIMESTAMP '2024-01-30') AS dau_yesterday,
         count(DISTINCT device_id) FILTER (event_ts >= TIMESTAMP '2024-01-23') AS wau,
@@ -294,7 +309,30 @@ query(
       SELECT device_id FROM app_events GROUP BY device_id HAVING min(event_ts) >= TIMESTAMP '2024-01-30'))
     SELECT dau, dau_yesterday, {share('dau - dau_yesterday', 'dau_yesterday', 1)} AS dau_change, wau, mau,
       total_users, total_events, events_today, new_users_today,
-      {fixed(ratio('events_month', 'mau'), 1)} AS avg_events_per_user FROM s, n""",
+      {fixed(ratio('events_month', 'mau'), 1)} AS avg_events_per_user FROM s, n"""
+query("active_users", lambda t: ev.active_users(t.app_events, AS_OF), E, ACTIVE_USERS)
+
+
+def _snapshot(t):
+    """Two halves of the history, as two batches would leave them."""
+    parts = [snapshot.device_snapshot(t.app_events.filter(f"id % 2 = {half}")) for half in (0, 1)]
+    return snapshot.merged_snapshot(*parts)
+
+
+query(
+    "active_users_from_snapshot",
+    lambda t: snapshot.active_users_from_snapshot(_snapshot(t), t.app_events, AS_OF), E, ACTIVE_USERS,
+)
+query(
+    "device_snapshot", _snapshot, E,
+    """SELECT device_id, min(event_ts) AS first_event, max(event_ts) AS last_event, count(*) AS events
+    FROM app_events GROUP BY 1""",
+)
+query(
+    "cohort_from_snapshot",
+    lambda t: snapshot.cohort_from_snapshot(_snapshot(t), t.app_events, "2024-01-10", 7), E,
+    """SELECT device_id, COALESCE(bool_or(CAST(event_ts AS DATE) = DATE '2024-01-17'), false) AS returned
+    FROM app_events GROUP BY 1 HAVING CAST(min(event_ts) AS DATE) = DATE '2024-01-10'""",
 )
 query(
     "new_users_since",
@@ -333,10 +371,16 @@ DIMENSIONS = {
 for dimension, (value, column, k) in DIMENSIONS.items():
     query(
         f"users_by_{dimension}",
-        lambda t, d=dimension: ev.dimension_breakdown(t.app_events, d, RANGE), E,
+        lambda t, d=dimension, k=k: ev.dimension_breakdown(t.app_events, d, RANGE, k), E,
         f"""SELECT {value} AS {dimension}, count(DISTINCT device_id) AS users FROM app_events
         WHERE {column} IS NOT NULL AND {RANGE_SQL} GROUP BY 1 ORDER BY users DESC, 1 LIMIT {k}""",
     )
+query(
+    "full_dimension_breakdown",
+    lambda t: ev.dimension_breakdown(t.app_events, "timezone", RANGE), E,
+    f"""SELECT timezone, count(DISTINCT device_id) AS users FROM app_events
+    WHERE timezone IS NOT NULL AND {RANGE_SQL} GROUP BY 1""",
+)
 query(
     "engagement_buckets", lambda t: ev.engagement_buckets(t.app_events, RANGE), E,
     f"""WITH d AS (SELECT device_id, count(DISTINCT session_id) AS n FROM app_events

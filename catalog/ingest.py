@@ -14,7 +14,7 @@ from catalog.registry import Tables, query
 from catalog.views import AS_OF
 from tallyroom import clock, schema
 from tallyroom.functions import as_double, as_int, mask_phone, normalize_phone, prop
-from tallyroom.operators import profiles, rollup
+from tallyroom.operators import feeds, profiles, rollup
 from tallyroom.session import scratch_path
 from tallyroom.sources import batches, export, files
 from tallyroom.streaming import ingest, windows
@@ -120,7 +120,7 @@ query(
 )
 query(
     "ingest_event_batches",
-    lambda t: _open_bag(batches.ingest_event_batches(_checked(t).accepted, AS_OF).drop("event_key")), E,
+    lambda t: _open_bag(batches.ingest_event_batches(_checked(t).accepted, AS_OF).drop("id")), E,
     f"{BATCHES_SQL} SELECT CAST(NULL AS VARCHAR) AS country, {INGESTED_SQL} WHERE reason IS NULL",
 )
 query(
@@ -147,7 +147,7 @@ query(
 query(
     "ip_to_country_by_salted_key",
     lambda t: batches.ip_to_country(
-        t.app_events.select("id", "ip_address", "country"), t.geo_ranges, broadcast_rows=0
+        t.app_events.select("id", "ip_address", "country"), t.geo_ranges, small=False
     ), E + " geo_ranges", GEO,
 )
 
@@ -180,7 +180,7 @@ def _webhooks(t: Tables) -> batches.Checked:
 
 query(
     "ingest_subscription_webhooks", lambda t: _webhooks(t)
-    .accepted.drop("raw_payload").withColumns(
+    .accepted.drop("id", "raw_payload").withColumns(
         {c: F.col(c).cast("double") for c in ("price", "takehome_percentage")}
     ), "subscription_events",
     f"""SELECT event_type, app_user_id, original_app_user_id, product_id, '[]' AS entitlement_ids, period_type,
@@ -222,7 +222,7 @@ def _sync(t: Tables) -> export.SyncResult:
 
 
 query(
-    "sync_export", lambda t: _open_bag(_sync(t).new_rows.drop("event_key", "created_at")), E,
+    "sync_export", lambda t: _open_bag(_sync(t).new_rows.drop("id", "created_at")), E,
     f"""SELECT name, 'engagement' AS category, {BAG_SQL}, event_ts, user_id, device_id,
     CASE WHEN session_id IS NULL THEN NULL ELSE CAST(id AS VARCHAR) END AS session_id, 0 AS session_duration_seconds,
     app_version || '.0' AS app_version, CAST(NULL AS VARCHAR) AS build_number, 'ios' AS platform, os_version, device_model,
@@ -409,7 +409,7 @@ def _stream_ingest(t: Tables) -> DataFrame:
         stream, f"{root}/events", f"{root}/rejected", f"{root}/checkpoint", t.geo_ranges, AS_OF
     ))
     stored = t.spark.read.parquet(f"{root}/events")
-    return _open_bag(stored.drop("event_key", "event_date", "ingest_batch"))
+    return _open_bag(stored.drop("id", "event_date", "ingest_source", "ingest_batch"))
 
 
 query(
@@ -420,6 +420,43 @@ query(
 )
 
 
+def _two_sources(t: Tables) -> DataFrame:
+    """Two streams, each with its own files and checkpoint, into the same tables."""
+    root = scratch_path(t.spark, "stream-sources")
+    for source in ("even", "odd"):
+        own = t.app_events.filter(F.floor(F.col("id") / BATCH_SIZE) % 2 == int(source == "odd"))
+        stream = ingest.stream_event_batches(t.spark, landed(t, batch_lines(own)))
+        _finish(ingest.start_ingest(
+            stream, f"{root}/events", f"{root}/rejected", f"{root}/{source}", as_of=AS_OF, source=source
+        ))
+    stored = t.spark.read.parquet(f"{root}/events")
+    return stored.groupBy("event_date").agg(
+        F.count(F.lit(1)).alias("events"), F.countDistinct("id").alias("ids")
+    )
+
+
+query(
+    "stream_ingest_two_sources", _two_sources, E,
+    f"""{BATCHES_SQL} SELECT CAST(event_ts AS DATE) AS event_date, count(*) AS events, count(*) AS ids
+    FROM b JOIN c USING (batch_no) WHERE reason IS NULL GROUP BY 1""",
+)
+
+
+def _searched_ingest(t: Tables) -> DataFrame:
+    """Batches to a stored table to a feed page."""
+    path = scratch_path(t.spark, "searched")
+    files.append_events(batches.ingest_event_batches(_checked(t).accepted, AS_OF), path)
+    found = feeds.search_events(t.spark.read.parquet(path), name="scan_started", limit=1_000_000)
+    return found.rows.groupBy("device_id", "session_id").agg(F.count("id").alias("events"))
+
+
+query(
+    "search_ingested_events", _searched_ingest, E,
+    f"""{BATCHES_SQL} SELECT device_id, session_id, count(*) AS events
+    FROM b JOIN c USING (batch_no) WHERE reason IS NULL AND name = 'scan_started' GROUP BY 1, 2""",
+)
+
+
 def _windows(t: Tables, operator) -> DataFrame:
     root = scratch_path(t.spark, "stream-windows")
     counted = operator(_event_stream(t), late="60 days")
@@ -432,15 +469,20 @@ PER_MINUTE = """SELECT time_bucket(INTERVAL 1 MINUTE, event_ts) AS window_start,
     FROM app_events GROUP BY 1, 2"""
 query("events_per_minute", lambda t: windows.events_per_minute(t.app_events), E, PER_MINUTE)
 query("stream_events_per_minute", lambda t: _windows(t, windows.events_per_minute), E, PER_MINUTE)
-query(
-    "active_last_hour", lambda t: windows.active_last_hour(t.app_events), E,
-    """WITH w AS (SELECT device_id, time_bucket(INTERVAL 5 MINUTE, event_ts) - n * INTERVAL 5 MINUTE AS s
+ACTIVE_HOURS = """WITH w AS (SELECT device_id, time_bucket(INTERVAL 5 MINUTE, event_ts) - n * INTERVAL 5 MINUTE AS s
       FROM app_events, range(12) r(n))
     SELECT s AS window_start, s + INTERVAL 1 HOUR AS window_end, count(DISTINCT device_id) AS active_users
-    FROM w GROUP BY 1""",
-)
-# A sketch on a stream: no SQL gives its exact estimate; tests bound its error.
-query("stream_active_last_hour", lambda t: _windows(t, windows.active_last_hour))
+    FROM w GROUP BY 1"""
+query("active_last_hour", lambda t: windows.active_last_hour(t.app_events), E, ACTIVE_HOURS)
+
+
+def _stream_hours(t: Tables) -> DataFrame:
+    root = scratch_path(t.spark, "stream-slides")
+    _finish(windows.start_device_slides(_event_stream(t), f"{root}/slides", f"{root}/checkpoint"))
+    return windows.hours_from_slides(t.spark.read.parquet(f"{root}/slides"))
+
+
+query("stream_active_last_hour", _stream_hours, E, ACTIVE_HOURS)
 
 
 def _stream_dedup(t: Tables) -> DataFrame:
@@ -464,9 +506,13 @@ query(
 def _stream_rollup(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "stream-rollup")
     _finish(ingest.start_daily_rollup(
-        _event_stream(t), f"{root}/events", f"{root}/stats", f"{root}/checkpoint"
+        _event_stream(t), f"{root}/events", f"{root}/partials", f"{root}/checkpoint"
     ))
-    return _stats_columns(t.spark.read.parquet(f"{root}/stats"))
+    return _stats_columns(rollup.stats_from_partials(t.spark.read.parquet(f"{root}/partials")))
 
 
 query("stream_daily_rollup", _stream_rollup, E, STATS_SQL)
+query(
+    "daily_stats_from_partials",
+    lambda t: _stats_columns(rollup.stats_from_partials(rollup.partial_stats(t.app_events))), E, STATS_SQL,
+)

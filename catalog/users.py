@@ -134,7 +134,7 @@ query(
       FROM app_events) WHERE r <= 20 GROUP BY 1, 2""",
 )
 TIMELINE = """, s AS (SELECT device_id, session_id, min(event_ts) AS started, max(event_ts) AS ended,
-    count(*) AS events_count, arg_max(session_duration_seconds, event_ts) AS reported_duration,
+    count(*) AS events_count, arg_max(session_duration_seconds, struct_pack(t := event_ts, i := id)) AS reported_duration,
     (epoch_us(max(event_ts)) - epoch_us(min(event_ts))) // 1000 AS duration_ms
   FROM e WHERE session_id IS NOT NULL GROUP BY 1, 2),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY device_id ORDER BY started DESC, session_id DESC) AS INT) AS session_rank FROM s)
@@ -158,7 +158,7 @@ def _by_event(t):
 query(
     "users_by_event", lambda t: _by_event(t).rows, E,
     f"""WITH u AS (SELECT device_id, count(*) AS event_count, min(event_ts) AS first_occurrence,
-      max(event_ts) AS last_occurrence, arg_max(properties, event_ts) AS last_properties
+      max(event_ts) AS last_occurrence, arg_max(properties, struct_pack(t := event_ts, i := id)) AS last_properties
       FROM app_events WHERE name = 'scan_started' AND {RANGE_SQL} GROUP BY 1),
     s AS (SELECT device_id, min(event_ts) AS first_seen, max(event_ts) AS last_active, count(*) AS total_events
       FROM app_events GROUP BY 1)

@@ -56,16 +56,16 @@ SELECT event_id AS id,
     ',"tier":"', CASE WHEN user_id % 8 = 0 THEN 'max' ELSE 'pro' END,
     '","billing_period":"', CASE WHEN k % 2 = 0 THEN 'monthly' ELSE 'yearly' END, '"}') AS properties,
   ts AS event_ts,
-  CASE WHEN user_id % 5 = 0 THEN NULL ELSE concat('u', CAST(user_id AS STRING)) END AS user_id,
+  CASE WHEN user_id % 5 = 0 THEN NULL WHEN event_id % 23 = 0 THEN concat('w', CAST(user_id AS STRING)) ELSE concat('u', CAST(user_id AS STRING)) END AS user_id,
   concat('d', CAST(user_id AS STRING)) AS device_id,
   CASE WHEN event_id % 10 = 0 THEN NULL ELSE concat('d', CAST(user_id AS STRING), '-', CAST(CAST(ts AS DATE) AS STRING)) END AS session_id,
   k * 6 AS session_duration_seconds,
-  concat('2.', CAST(user_id % 4 AS STRING)) AS app_version, 'ios' AS platform,
-  concat('17.', CAST(user_id % 5 AS STRING)) AS os_version,
-  concat('iPhone', CAST(12 + user_id % 4 AS STRING)) AS device_model,
-  CASE user_id % 5 WHEN 0 THEN 'en_US' WHEN 1 THEN 'fr_FR' WHEN 2 THEN 'de' WHEN 3 THEN 'pt_BR' ELSE NULL END AS locale,
+  concat('2.', CAST((user_id + CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) % 4 AS STRING)) AS app_version, 'ios' AS platform,
+  concat('17.', CAST((user_id + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END) % 5 AS STRING)) AS os_version,
+  concat('iPhone', CAST(12 + (user_id + CASE WHEN event_id % 13 = 0 THEN 1 ELSE 0 END) % 4 AS STRING)) AS device_model,
+  CASE (user_id + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END) % 5 WHEN 0 THEN 'en_US' WHEN 1 THEN 'fr_FR' WHEN 2 THEN 'de' WHEN 3 THEN 'pt_BR' ELSE NULL END AS locale,
   CASE user_id % 3 WHEN 0 THEN 'Europe/Paris' WHEN 1 THEN 'America/New_York' ELSE NULL END AS timezone,
-  CASE user_id % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'FR' WHEN 2 THEN 'DE' ELSE NULL END AS country,
+  CASE (user_id + CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END) % 4 WHEN 0 THEN 'US' WHEN 1 THEN 'FR' WHEN 2 THEN 'DE' ELSE NULL END AS country,
   concat('10.', CAST(user_id % 8 AS STRING), '.', CAST(k AS STRING), '.', CAST(event_id % 250 AS STRING)) AS ip_address,
   ts + k * INTERVAL '1' MINUTE AS created_at
 FROM b

@@ -19,11 +19,6 @@ from tallyroom.plans import device_flags, single_row_to_rows, top_k
 # The scan ranges with a column of their own.
 SCAN_RANGES = ["7days", "30days", "6months", "all", "custom"]
 
-# How many top entries each dimension shows.
-DIMENSION_LIMITS = {
-    "device_model": 10, "locale_country": 10, "timezone": 15, "locale_language": 10,
-    "os_version": 10,
-}
 
 
 def _day() -> Column:
@@ -116,15 +111,11 @@ def property_breakdown(
     return found.groupBy(value.alias(key)).agg(n_rows().alias("count")).orderBy(F.desc("count"), key)
 
 
-def breakdown_map(breakdown: DataFrame, key: str, max_entries: int = 10_000) -> DataFrame:
-    """A breakdown as one ``{value: count}`` map, without its null group; fails above
-    ``max_entries`` instead of building a map that grows with the data."""
-    entries = breakdown.filter(F.col(key).isNotNull()).limit(max_entries + 1)
-    built = entries.agg(F.collect_list(F.struct(key, "count")).alias("entries"))
-    checked = F.when(
-        F.size("entries") > max_entries, F.raise_error(F.lit(f"over {max_entries} values of {key}"))
-    ).otherwise(F.map_from_entries("entries"))
-    return built.select(checked.alias("counts"))
+def breakdown_map(breakdown: DataFrame, key: str) -> DataFrame:
+    """A breakdown as one ``{value: count}`` map, without its null group. The map is a
+    single row; a property of very many values is better left as a breakdown."""
+    entries = breakdown.filter(F.col(key).isNotNull())
+    return entries.agg(F.map_from_entries(F.collect_list(F.struct(key, "count"))).alias("counts"))
 
 
 def deletion_mode_breakdown(events: DataFrame, bounds: Bounds) -> DataFrame:
@@ -248,26 +239,27 @@ def session_summary(events: DataFrame, as_of: datetime | None = None, days: int
     )
 
 
-def active_users(events: DataFrame, as_of: datetime | None = None) -> DataFrame:
-    """Daily, weekly and monthly active devices, totals and newcomers, in one row.
-
-    One shuffle of per-device flags; all lower bounds are midnights and open-ended.
-    """
-    today = clock.midnight(clock.resolve(as_of))
+def active_flags(events: DataFrame, today: datetime) -> tuple[dict[str, Column], list[Column]]:
+    """Flags and measures of a device for ``active_columns``; all lower bounds are
+    midnights and open-ended."""
     since = {d: Bounds(lo=today - timedelta(days=d)).holds(events, "event_ts") for d in (0, 1, 7, 30)}
-    per_device = device_flags(
-        events,
-        {
-            "_today": since[0],
-            "_yesterday": since[1] & ~since[0],
-            "_week": since[7],
-            "_month": since[30],
-            "_before_today": ~since[0],
-        },
+    flags = {
+        "_today": since[0],
+        "_yesterday": since[1] & ~since[0],
+        "_week": since[7],
+        "_month": since[30],
+        "_before_today": ~since[0],
+    }
+    measures = [
         n_rows().alias("_n"),
         F.count_if(since[0]).alias("_n_today"),
         F.count_if(since[30]).alias("_n_month"),
-    )
+    ]
+    return flags, measures
+
+
+def active_columns(per_device: DataFrame) -> DataFrame:
+    """Devices with their flags and measures to one row of figures."""
     sums = per_device.agg(
         F.count_if("_today").alias("dau"),
         F.count_if("_yesterday").alias("dau_yesterday"),
@@ -288,6 +280,16 @@ def active_users(events: DataFrame, as_of: datetime | None = None) -> DataFrame:
     )
 
 
+def active_users(events: DataFrame, as_of: datetime | None = None) -> DataFrame:
+    """Daily, weekly and monthly active devices, totals and newcomers, in one row.
+
+    One shuffle of per-device flags. It reads the whole history, for the totals and the
+    newcomers; ``snapshot.active_users_from_snapshot`` reads its last month alone.
+    """
+    flags, measures = active_flags(events, clock.midnight(clock.resolve(as_of)))
+    return active_columns(device_flags(events, flags, *measures))
+
+
 def new_users_since(events: DataFrame, moment: datetime) -> DataFrame:
     """Devices whose first event ever is at or after ``moment``."""
     firsts = events.groupBy("device_id").agg(F.min("event_ts").alias("first_seen"))
@@ -318,8 +320,8 @@ def country_coverage(events: DataFrame, as_of: datetime | None = None, days: int
 def dimension_breakdown(
     events: DataFrame, dimension: str, bounds: Bounds = ALL_TIME, k: int | None = None
 ) -> DataFrame:
-    """Top values of a column, or of the country or language part of the locale, by
-    devices. The derived value is grouped under its own name, never ``country``."""
+    """The ``k`` top values, or all, of a column, or of the country or language part of the
+    locale, by devices. The derived value is grouped under its own name, never ``country``."""
     derived = {
         "locale_country": ("locale", locale_country(F.col("locale"))),
         "locale_language": ("locale", locale_language(F.col("locale"))),
@@ -327,8 +329,7 @@ def dimension_breakdown(
     column, value = derived.get(dimension, (dimension, F.col(dimension)))
     found = bounds.apply(events, "event_ts").filter(F.col(column).isNotNull())
     counts = found.groupBy(value.alias(dimension)).agg(n_distinct("device_id").alias("users"))
-    limit = DIMENSION_LIMITS.get(dimension, 10) if k is None else k
-    return top_k(counts, F.desc("users"), F.asc(dimension), k=limit)
+    return top_k(counts, F.desc("users"), F.asc(dimension), k=k)
 
 
 def engagement_buckets(events: DataFrame, bounds: Bounds) -> DataFrame:

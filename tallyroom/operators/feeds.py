@@ -9,11 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from tallyroom import clock
 from tallyroom.clock import Bounds
 from tallyroom.functions import prop
-from tallyroom.plans import Page, order_by, paged
-
-# Fixed value: most rows the recent feed returns.
-RECENT_CAP = 100
+from tallyroom.plans import Page, beyond, order_by, paged
 
+# The columns of each feed.
 RECENT_COLUMNS = [
     "name", "category", "properties", "event_ts", "created_at", "device_id", "session_id",
     "platform", "os_version", "device_model", "app_version", "locale", "timezone", "country",
@@ -40,10 +38,18 @@ def _newest(column: str = "event_ts"):
     return [order_by(column), F.col("id").desc()]
 
 
+def _after(df: DataFrame, after: tuple | None, column: str = "event_ts") -> DataFrame:
+    """Rows older than a page's last one, given by its time and id."""
+    if after is None:
+        return df
+    moment, key = after
+    return df.filter(beyond(column, moment, "desc", "id", key, "desc"))
+
+
 def recent_events(events: DataFrame, limit: int = 50) -> DataFrame:
-    """Newest events by client time, falling back to arrival time; at most 100."""
+    """Newest events by client time, falling back to arrival time."""
     when = F.coalesce("event_ts", "created_at").desc_nulls_first()
-    top = paged(events, when, F.col("id").desc(), limit=min(int(limit) or 50, RECENT_CAP))
+    top = paged(events, when, F.col("id").desc(), limit=limit)
     return top.select(*RECENT_COLUMNS)
 
 
@@ -62,9 +68,11 @@ def search_events(
     date_to=None,
     limit: int = 100,
     offset: int = 0,
+    after: tuple | None = None,
 ) -> Page:
     """Events meeting all given conditions. ``date`` overrides ``date_from`` and
-    ``date_to``; the last day counts in full. The total ignores paging."""
+    ``date_to``; the last day counts in full. The total ignores paging. ``after``, the
+    ``event_ts`` and ``id`` of a page's last row, asks for the page that follows."""
     found = events
     for column, wanted in (("name", name), ("category", category), ("device_id", device_id)):
         if wanted:
@@ -75,7 +83,7 @@ def search_events(
         lo = clock.midnight(date_from) if date_from else None
         hi = datetime.combine(clock.as_date(date_to), clock.END_OF_DAY) if date_to else None
         found = Bounds(lo, hi).apply(found, "event_ts")
-    rows = paged(found, *_newest(), limit=limit, offset=offset).select(*SEARCH_COLUMNS)
+    rows = paged(_after(found, after), *_newest(), limit=limit, offset=offset).select(*SEARCH_COLUMNS)
     return Page(rows, found.agg(F.count(F.lit(1)).alias("total")))
 
 
@@ -89,13 +97,15 @@ def events_by_property(
     days: int = 30,
     limit: int = 100,
     offset: int = 0,
+    after: tuple | None = None,
 ) -> Page:
-    """Events of one type with a property value; ``default`` stands for a missing one."""
+    """Events of one type with a property value; ``default`` stands for a missing one;
+    ``after`` as in ``search_events``."""
     found_value = prop(key) if default is None else F.coalesce(prop(key), F.lit(default))
     found = clock.since(as_of, days).apply(events, "event_ts").filter(
         (F.col("name") == name) & (found_value == value)
     )
-    rows = paged(found, *_newest(), limit=limit, offset=offset)
+    rows = paged(_after(found, after), *_newest(), limit=limit, offset=offset)
     total = found.agg(
         F.count(F.lit(1)).alias("total"), F.countDistinct("device_id").alias("unique_users")
     )

@@ -60,10 +60,12 @@ def apply_phone_changes(
     """Verification feed with ``device_id, kind, phone, seq``.
 
     ``sent`` stores the number, unverified, creating the profile if need be;
-    ``approved`` verifies an existing profile and is ignored without one.
+    ``approved`` verifies an existing profile and is ignored without one. Changes
+    without a device are left out.
     """
     sent, approved = F.col("kind") == "sent", F.col("kind") == "approved"
     number = normalize_phone(F.nullif(F.col("phone"), F.lit("")))
+    changes = changes.filter(F.coalesce("device_id", F.lit("")) != "")
     latest = changes.groupBy("device_id").agg(
         F.max(F.when(sent, F.col("seq"))).alias("_sent"),
         F.max(F.when(approved, F.col("seq"))).alias("_approved"),

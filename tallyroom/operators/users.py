@@ -12,7 +12,7 @@ from tallyroom.clock import ALL_TIME, Bounds, instant
 from tallyroom.functions import as_money, prop
 from tallyroom.functions.counts import n_rows
 from tallyroom.plans import (
-    Page, device_flags, device_rollup, device_totals, latest_per_key, order_by, paged,
+    Page, beyond, device_flags, device_rollup, device_totals, latest_per_key, order_by, paged,
 )
 
 # What lists may be sorted by.
@@ -97,23 +97,27 @@ def user_list(
     limit: int = 50,
     offset: int = 0,
     as_of: datetime | None = None,
+    after: tuple | None = None,
 ) -> Page:
     """Devices active in the window with status and purchases, filtered and paged.
 
     ``filter`` is ``all``, ``purchasers``, ``active``, ``churned`` or ``retained``.
-    Membership tests look at all events, not only the window's.
+    Membership tests look at all events, not only the window's. ``after``, the sort
+    value and ``device_id`` of a page's last row, asks for the page that follows.
     """
     if filter not in ("all", "purchasers", "active", "churned", "retained"):
         raise ValueError(f"unknown filter {filter!r}")
     now = clock.resolve(as_of)
     bounds = bounds or clock.trailing_range(now)
     inside = bounds.apply(events, "event_ts")
-    tested = {"device_model": device, "locale": language, "os_version": os, "user_id": search}
-    users = device_totals(
-        inside,
-        [column for column, text in tested.items() if text],
-        {"purchase_count": F.when(F.col("name") == "purchase_completed", 1).otherwise(0)},
-    )
+    tested = {"device_model": device, "locale": language, "os_version": os}
+    sums = {"purchase_count": F.when(F.col("name") == "purchase_completed", 1).otherwise(0)}
+    if search:
+        # Any user id of the device may match, not only the one that is shown.
+        text = search.lower()
+        found = F.lower("device_id").contains(text) | F.lower("user_id").contains(text)
+        sums["_found"] = F.when(found, 1).otherwise(0)
+    users = device_totals(inside, [column for column, text in tested.items() if text], sums)
 
     name = F.col("name")
     bought = name == "purchase_completed"
@@ -148,10 +152,7 @@ def user_list(
     if os:
         users = users.filter(F.lower("os_version").contains(os.lower()))
     if search:
-        text = search.lower()
-        users = users.filter(
-            F.lower("device_id").contains(text) | F.lower("user_id").contains(text)
-        )
+        users = users.filter("_found > 0").drop("_found")
 
     retained = filter == "retained"
     if include or retained:
@@ -165,9 +166,13 @@ def user_list(
         barred = _membership(events, exclude)
         users = users.join(barred.select("device_id"), "device_id", "left_anti")
 
-    by = [order_by(USER_SORTS.get(sort, "last_active"), order), F.col("device_id").asc()]
+    sorted_by = USER_SORTS.get(sort, "last_active")
+    by = [order_by(sorted_by, order), F.col("device_id").asc()]
+    following = users if after is None else users.filter(
+        beyond(sorted_by, after[0], order, "device_id", after[1], "asc")
+    )
     rows = _page_of(
-        inside, users, by, limit, offset, lambda chosen: users_with_purchases(chosen, ALL_TIME, now)
+        inside, following, by, limit, offset, lambda chosen: users_with_purchases(chosen, ALL_TIME, now)
     )
     return Page(rows, users.agg(n_rows().alias("total")))
 
@@ -267,7 +272,7 @@ def session_timeline(
     events: DataFrame, device_id: str | None = None, k: int = 20, newest_events: int | None = None
 ) -> DataFrame:
     """Newest ``k`` sessions of each device: start, end, events, length in ms, and the
-    duration reported by the last event. ``newest_events`` builds the sessions from
+    duration reported by the last event (of equal times, the greatest id). ``newest_events`` builds the sessions from
     that many newest events of a device only."""
     if device_id is not None:
         events = events.filter(F.col("device_id") == device_id)
@@ -283,7 +288,7 @@ def session_timeline(
             F.min("event_ts").alias("started"),
             F.max("event_ts").alias("ended"),
             n_rows().alias("events_count"),
-            F.max_by("session_duration_seconds", "event_ts").alias("reported_duration"),
+            F.max_by("session_duration_seconds", F.struct("event_ts", "id")).alias("reported_duration"),
         )
     )
     sessions = sessions.withColumn(
@@ -382,9 +387,14 @@ def segment_users(
     limit: int = 100,
     offset: int = 0,
     as_of: datetime | None = None,
+    after: tuple | None = None,
 ) -> Page:
     """Devices of a segment: ``dau``, ``wau``, ``mau``, ``new_today``, ``returning`` or
-    ``all``. Event and date filters apply before first and last activity are taken."""
+    ``all``. Event and date filters apply before first and last activity are taken.
+
+    ``after``, the sort value and ``device_id`` of a page's last row, asks for the page
+    that follows.
+    """
     today = clock.midnight(clock.resolve(as_of))
     reach = {"dau": 0, "wau": 7, "mau": 30}
     if segment not in (*reach, "new_today", "returning", "all"):
@@ -407,8 +417,12 @@ def segment_users(
         users = users.filter(F.to_date("first_seen") == day)
     elif segment == "returning":
         users = users.filter((F.to_date("first_seen") < day) & (F.to_date("last_active") == day))
-    by = [order_by(SEGMENT_SORTS.get(sort, "last_active"), order), F.col("device_id").asc()]
-    rows = _page_of(found, users, by, limit, offset, device_rollup).select(
+    sorted_by = SEGMENT_SORTS.get(sort, "last_active")
+    by = [order_by(sorted_by, order), F.col("device_id").asc()]
+    following = users if after is None else users.filter(
+        beyond(sorted_by, after[0], order, "device_id", after[1], "asc")
+    )
+    rows = _page_of(found, following, by, limit, offset, device_rollup).select(
         "device_id",
         "first_seen",
         F.col("last_active").alias("last_seen"),

@@ -3,13 +3,13 @@
 from tallyroom.plans.activity import activity_words, active_on, first_index
 from tallyroom.plans.flags import device_flags
 from tallyroom.plans.latest import latest_per_key
-from tallyroom.plans.paging import Page, order_by, paged, top_k
+from tallyroom.plans.paging import Page, beyond, order_by, paged, top_k
 from tallyroom.plans.rollup import device_rollup, device_totals
 from tallyroom.plans.rows import join_single_rows, single_row_to_rows
 from tallyroom.plans.sizing import fits
 
 __all__ = [
     "Page", "active_on", "activity_words", "device_flags", "device_rollup", "device_totals",
-    "first_index", "fits", "join_single_rows", "latest_per_key", "order_by", "paged",
+    "beyond", "first_index", "fits", "join_single_rows", "latest_per_key", "order_by", "paged",
     "single_row_to_rows", "top_k",
 ]

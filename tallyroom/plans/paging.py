@@ -21,9 +21,24 @@ def order_by(column: str, order: str = "desc") -> Column:
     return F.col(column).asc_nulls_last() if order == "asc" else F.col(column).desc_nulls_first()
 
 
+def beyond(column: str, value, order: str, tie: str, tie_value, tie_order: str) -> Column:
+    """Rows that follow the row with ``value`` and ``tie_value`` in ``order_by(column, order)``
+    and then ``tie``, which has no nulls: what the next page is cut from, whatever its
+    depth."""
+    here, at = F.col(column), F.lit(value)
+    past_tie = F.col(tie) < F.lit(tie_value) if tie_order == "desc" else F.col(tie) > F.lit(tie_value)
+    if order == "desc":
+        if value is None:
+            return here.isNotNull() | past_tie
+        return (here < at) | ((here == at) & past_tie)
+    if value is None:
+        return here.isNull() & past_tie
+    return here.isNull() | (here > at) | ((here == at) & past_tie)
+
+
 def paged(df: DataFrame, *order: Column, limit: int, offset: int = 0) -> DataFrame:
     """Rows ``offset`` .. ``offset + limit``; each scan task keeps no more than that
-    many, so deep offsets cost memory and a key filter is the better way there."""
+    many, so deep offsets cost memory and the key filter ``beyond`` is the better way there."""
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
     ordered = df.orderBy(*order)

@@ -50,12 +50,32 @@ def device_rollup(
 ) -> DataFrame:
     """``device_totals`` over all attributes plus the device's distinct sessions and days.
 
-    Two narrow aggregations, joined on the device they are both partitioned by; a busy
-    device is reduced on the map side or spread over many tasks in either.
+    One scan: events are hash-aggregated to (device, session, day, attributes), and the
+    distinct counts and text maxima are worked out over those few rows. A busy device is
+    reduced on the map side.
     """
     attributes = [c for c in ATTRIBUTES if c in events.columns]
-    distinct = events.groupBy("device_id").agg(
+    sums = sums or {}
+    fine = [
+        F.count(F.lit(1)).alias("total_events"),
+        F.min("event_ts").alias("first_seen"),
+        F.max("event_ts").alias("last_active"),
+        *[F.sum(value).alias(name) for name, value in sums.items()],
+    ]
+    coarse = [
+        F.sum("total_events").alias("total_events"),
+        F.min("first_seen").alias("first_seen"),
+        F.max("last_active").alias("last_active"),
+        *[F.max(c).alias(c) for c in attributes],
+        *[F.sum(name).alias(name) for name in sums],
+    ]
+    if max_duration:
+        fine.append(F.max("session_duration_seconds").alias("max_session_duration"))
+        coarse.append(F.max("max_session_duration").alias("max_session_duration"))
+    dated = events.withColumn("_day", F.to_date("event_ts"))
+    per_day = dated.groupBy("device_id", "session_id", "_day", *attributes).agg(*fine)
+    return per_day.groupBy("device_id").agg(
+        *coarse,
         F.countDistinct("session_id").alias("total_sessions"),
-        F.countDistinct(F.to_date("event_ts")).alias("active_days"),
+        F.countDistinct("_day").alias("active_days"),
     )
-    return device_totals(events, attributes, sums, max_duration).join(distinct, "device_id")

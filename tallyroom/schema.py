@@ -13,14 +13,14 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 
 EVENTS = _struct(
-    event_key=_S, name=_S, category=_S, properties=_S, event_ts=_TS, user_id=_S, device_id=_S,
+    id=_S, name=_S, category=_S, properties=_S, event_ts=_TS, user_id=_S, device_id=_S,
     session_id=_S, session_duration_seconds=_I, app_version=_S, build_number=_S, platform=_S,
     os_version=_S, device_model=_S, locale=_S, timezone=_S, country=_S, ip_address=_S,
     created_at=_TS,
 )
 
 SUBSCRIPTION_EVENTS = _struct(
-    event_type=_S, app_user_id=_S, original_app_user_id=_S, product_id=_S, entitlement_ids=_S,
+    id=_S, event_type=_S, app_user_id=_S, original_app_user_id=_S, product_id=_S, entitlement_ids=_S,
     period_type=_S, purchased_at=_TS, expiration_at=_TS, store=_S, environment=_S,
     is_trial_conversion=_B, cancel_reason=_S, price=T.DecimalType(10, 2), currency=_S,
     takehome_percentage=T.DecimalType(5, 2), raw_payload=_S, created_at=_TS,
@@ -33,8 +33,8 @@ PROFILES = _struct(
 )
 
 DAILY_STATS = _struct(
-    total_events=_L, unique_devices=_L, new_devices=_L, photos_captured=_L, photos_deleted=_L,
-    paywall_views=_L, purchases=_L, revenue=T.DecimalType(38, 2), avg_session_duration=_L,
+    total_events=_L, unique_devices=_L, photos_captured=_L, photos_deleted=_L,
+    paywall_views=_L, purchases=_L, revenue=T.DecimalType(38, 2), updated_at=_TS,
     date=T.DateType(),
 )
 

@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyroom import clock, schema
 from tallyroom.functions import client_ip, ipv4_number, or_default
-from tallyroom.plans import fits
 from tallyroom.sources.lines import parse_json_lines
 
 # Range tables up to this size are broadcast; larger ones are joined by salted key.
-GEO_BROADCAST_ROWS = 2_000_000
+GEO_BROADCAST_BYTES = 64 << 20
 IP_LENGTH = 45
 
 
@@ -84,7 +83,7 @@ def normalize_client_ip(raw: DataFrame) -> DataFrame:
 def ingest_event_batches(raw: DataFrame, as_of: datetime | None = None) -> DataFrame:
     """Accepted batches to one row per event with defaults filled in.
 
-    ``event_key`` is a hash of the batch text and the event's place in it, stable
+    ``id`` is a hash of the batch text and the event's place in it, stable
     when a lost task is run again.
     """
     now = F.lit(clock.resolve(as_of).replace(tzinfo=timezone.utc))
@@ -102,7 +101,7 @@ def ingest_event_batches(raw: DataFrame, as_of: datetime | None = None) -> DataF
     )
     given = F.nullif(event["timestamp"], F.lit("")).try_cast("timestamp")
     values = {
-        "event_key": F.concat_ws(":", "_batch", "_pos"),
+        "id": F.concat_ws(":", "_batch", "_pos"),
         "category": or_default(event["category"], schema.EVENT_DEFAULTS["category"]),
         "properties": F.coalesce(bag, F.lit(schema.EVENT_DEFAULTS["properties"])),
         "event_ts": F.coalesce(given, F.col("created_at")),
@@ -118,35 +117,46 @@ def ingest_event_batches(raw: DataFrame, as_of: datetime | None = None) -> DataF
     )
 
 
+def _by_network(ranges: DataFrame) -> DataFrame:
+    """Ranges once for each /16 they touch."""
+    listed = ranges.select(
+        F.col("lo").cast("bigint").alias("_lo"), F.col("hi").cast("bigint").alias("_hi"), "country"
+    )
+    each = F.explode(F.sequence(F.shiftright("_lo", 16), F.shiftright("_hi", 16)))
+    return listed.withColumn("_range_net", each)
+
+
+def fits_broadcast(ranges: DataFrame, most_bytes: int = GEO_BROADCAST_BYTES) -> bool:
+    """Whether the ranges, as they are broadcast, take ``most_bytes`` at most: three longs
+    and the country's text a row. A job; streams ask once."""
+    size = F.sum(F.lit(24) + F.coalesce(F.octet_length("country"), F.lit(0)))
+    return (_by_network(ranges).agg(size).first()[0] or 0) <= most_bytes
+
+
 def ip_to_country(
     events: DataFrame,
     ranges: DataFrame,
     ip: str = "ip_address",
     country: str = "country",
-    broadcast_rows: int = GEO_BROADCAST_ROWS,
+    small: bool | None = None,
     salts: int = 32,
 ) -> DataFrame:
     """Country of an IPv4 address from disjoint ``lo, hi, country`` ranges; null for
     the loopback, other addresses and gaps.
 
     The range condition becomes an equi-join on the upper 16 bits: every range is
-    listed under each /16 it touches. Small range tables are broadcast after a count;
-    larger ones join on (bucket, salt), which splits a network that sends most events.
+    listed under each /16 it touches. Range tables that fit (``fits_broadcast``, asked
+    here unless the caller passes ``small``) are broadcast; larger ones join on (bucket,
+    salt), which splits a network that sends most events.
     """
     number = ipv4_number(F.col(ip))
     kept = [c for c in events.columns if c != country]
     keyed = events.drop(country).withColumn(
         "_ip", F.when(F.col(ip) != "127.0.0.1", number)
     ).withColumn("_net", F.shiftright("_ip", 16))
-    listed = ranges.select(
-        F.col("lo").cast("bigint").alias("_lo"), F.col("hi").cast("bigint").alias("_hi"),
-        F.col("country").alias(country),
-    )
-    listed = listed.withColumn(
-        "_range_net", F.explode(F.sequence(F.shiftright("_lo", 16), F.shiftright("_hi", 16)))
-    )
+    listed = _by_network(ranges).withColumnRenamed("country", country)
     match = (F.col("_net") == F.col("_range_net")) & F.col("_ip").between(F.col("_lo"), F.col("_hi"))
-    if fits(listed, broadcast_rows):
+    if fits_broadcast(ranges) if small is None else small:
         out = keyed.join(F.broadcast(listed), match, "left")
     else:
         # A null network matches nothing; the salt keeps those rows spread out too.
@@ -181,6 +191,7 @@ def ingest_subscription_webhooks(lines: DataFrame, as_of: datetime | None = None
     kept, kept_ok = number("takehome_percentage", "decimal(5,2)")
     now = F.lit(clock.resolve(as_of).replace(tzinfo=timezone.utc))
     values = {
+        "id": F.sha2("value", 256),
         "event_type": event["type"],
         "entitlement_ids": F.coalesce(F.nullif(event["entitlement_ids"], F.lit("")), F.lit("[]")),
         "purchased_at": moment("purchased_at_ms"),

@@ -9,7 +9,6 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyroom import clock, schema
-from tallyroom.clock import ALL_TIME, Bounds
 from tallyroom.functions import or_default
 from tallyroom.sources.lines import parse_json_lines
 
@@ -45,7 +44,7 @@ def _parse(lines: DataFrame, now: Column) -> DataFrame:
 
     bag = F.coalesce(text("event_properties"), F.lit(schema.EVENT_DEFAULTS["properties"]))
     values = {
-        "event_key": F.lit(None),
+        "id": F.lit(None),
         "name": F.col("event_type"),
         "category": or_default(
             F.get_json_object(bag, "$.category"), schema.EVENT_DEFAULTS["category"]
@@ -76,34 +75,33 @@ def _parse(lines: DataFrame, now: Column) -> DataFrame:
     return rows.withColumn("_valid", reduce(lambda a, b: a & b, [~F.col("_corrupt"), *present, *fits]))
 
 
-def sync_export(
-    lines: DataFrame,
-    events: DataFrame,
-    bounds: Bounds = ALL_TIME,
-    as_of: datetime | None = None,
-) -> SyncResult:
+def sync_export(lines: DataFrame, events: DataFrame, as_of: datetime | None = None) -> SyncResult:
     """Map export lines to events and keep those not stored yet under the same device,
     name and time; of equal lines the first is kept.
 
-    Unreadable or invalid lines count as errors and the rest goes on. Lines are
-    reduced to one row per key before the join, so copies never travel twice.
-    ``bounds`` limits the stored events read to the window of the export.
+    Unreadable or invalid lines count as errors and the rest goes on. Lines are first
+    reduced to one narrow row per key, its place in the export; what is stored on the
+    export's days takes keys away, and only then are the lines that are left read in
+    full. A stored table partitioned by day is opened at those days alone.
     """
     now = F.lit(clock.resolve(as_of).replace(tzinfo=timezone.utc))
     parsed = _parse(lines, now)
-    columns = [c for c in schema.EVENTS.names if c not in KEY]
     firsts = parsed.filter("_valid").groupBy(*KEY).agg(
-        F.min_by(F.struct(*columns), F.col("seq")).alias("_row"), F.count(F.lit(1)).alias("_n")
+        F.min("seq").alias("seq"), F.count(F.lit(1)).alias("_n")
+    ).withColumn("_day", F.to_date("event_ts"))
+    by_day = clock.PARTITION in events.columns
+    day = F.col(clock.PARTITION).cast("date") if by_day else F.to_date(F.col("event_ts").cast("timestamp"))
+    stored = events.select(
+        "device_id", "name", F.col("event_ts").cast("timestamp").alias("event_ts"), day.alias("_day")
     )
-    stored = bounds.apply(events, "event_ts").select(
-        "device_id", "name", F.col("event_ts").cast("timestamp").alias("event_ts")
-    ).distinct().withColumn("_stored", F.lit(True))
-    marked = firsts.join(stored, KEY, "left").withColumn(
-        "_new", F.col("_stored").isNull()
-    )
-    fresh = marked.filter("_new").select(*KEY, "_row.*")
+    # One row per calendar day at most.
+    days = firsts.select("_day").distinct()
+    stored = stored.join(F.broadcast(days), "_day", "left_semi").select(*KEY, "_day").distinct()
+    marked = firsts.join(stored.withColumn("_stored", F.lit(True)), [*KEY, "_day"], "left")
+    marked = marked.withColumn("_new", F.col("_stored").isNull())
+    fresh = parsed.filter("_valid").join(marked.filter("_new").select("seq"), "seq", "left_semi")
     key = F.sha2(F.concat_ws("\u0001", *KEY), 256)
-    new_rows = fresh.withColumn("event_key", key).select(*schema.EVENTS.names)
+    new_rows = fresh.withColumn("id", key).select(*schema.EVENTS.names)
 
     found = marked.select(
         F.col("_new").cast("bigint").alias("synced"),

@@ -8,20 +8,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV report with a header as text columns, trimmed and unquoted; an empty cell
     is empty text. A file with a header alone gives no rows; quoted commas stay within
-    their value."""
+    their value. Files of one read must have the same columns in the same order; a
+    header that differs is an error, not a swap of values."""
     rows = (
         spark.read.option("header", True)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
         .option("escape", '"')
+        .option("enforceSchema", False)
         .csv(path)
     )
     return rows.na.fill("")
 
 
 def read_report_json(spark: SparkSession, path: str, payload: T.StructType) -> DataFrame:
-    """Landed report payloads, one document per file or line, with a fixed schema."""
-    return spark.read.schema(payload).option("multiLine", True).json(path)
+    """Landed report payloads with a fixed schema: a document per line where every line
+    of a file is one, else the whole file as one. A file is read as one value, as it
+    holds the answer to one request."""
+    files = spark.read.text(path, wholetext=True)
+    lines = F.filter(F.split("value", "\\r?\\n"), lambda line: F.trim(line) != "")
+    each = F.forall(lines, lambda line: F.try_parse_json(line).isNotNull())
+    documents = files.select(F.explode(F.when(each, lines).otherwise(F.array("value"))).alias("_text"))
+    parsed = F.from_json("_text", T.ArrayType(payload))
+    return documents.select(F.explode(parsed).alias("_row")).select("_row.*")
 
 
 def align_schema(df: DataFrame, target: T.StructType) -> DataFrame:
@@ -39,6 +48,21 @@ def append_events(events: DataFrame, path: str) -> None:
     dated.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def stamped(df: DataFrame, source: str, number: int) -> DataFrame:
+    """``df`` with the partition columns of one micro-batch of one stream. The source is a
+    name the caller keeps for the stream, so streams that share a table, each counting
+    its own batches from 0, never replace each other's rows."""
+    return df.withColumns({"ingest_source": F.lit(source), "ingest_batch": F.lit(number)})
+
+
+STAMP = ["ingest_source", "ingest_batch"]
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def replace_partitions(df: DataFrame, path: str, *partitions: str) -> None:
     """Overwrite only the partitions present in ``df``; running it again is harmless."""
     (

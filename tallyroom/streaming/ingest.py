@@ -1,8 +1,10 @@
 """Continuous ingestion of landed batches into the events and quarantine tables.
 
-Every micro-batch replaces partitions carrying its own number, so a batch that is
-run again after a failure leaves the same files and no copies. Jobs run to the end
-of what has landed unless given another ``trigger``, such as
+Every micro-batch replaces partitions carrying its stream's name and its own number, so
+a batch that is run again after a failure leaves the same files and no copies. Rows of
+other batches are compared by ``id``: after a lost checkpoint, files may be grouped into
+batches differently, and what another batch has stored is not stored again. Jobs run to
+the end of what has landed unless given another ``trigger``, such as
 ``{"processingTime": "1 minute"}``.
 """
 
@@ -13,11 +15,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyroom.operators.rollup import rollup_daily_stats, write_daily_stats
+from tallyroom.operators.rollup import partial_stats
 from tallyroom.sources.batches import (
-    ingest_event_batches, ip_to_country, parse_event_batches, validate_batches,
+    fits_broadcast, ingest_event_batches, ip_to_country, parse_event_batches, validate_batches,
 )
-from tallyroom.sources.files import replace_partitions
+from tallyroom.sources.files import STAMP, replace_partitions, stamped, table_exists
 from tallyroom.streaming.windows import AVAILABLE_NOW
 
 
@@ -29,6 +31,22 @@ def stream_event_batches(spark: SparkSession, path: str, files_per_trigger: int
     return parse_event_batches(reader.text(path))
 
 
+def _unstored(events: DataFrame, path: str, source: str, number: int) -> DataFrame:
+    """``events`` (with ``event_date``) that no other batch has stored, by id within the
+    day: only ids of the days at hand are read."""
+    spark = events.sparkSession
+    if not table_exists(spark, path):
+        return events
+    types = {"event_date": "date", "ingest_source": "string", "ingest_batch": "int"}
+    schema = events.select("id").withColumns({c: F.lit(None).cast(t) for c, t in types.items()}).schema
+    other = spark.read.schema(schema).parquet(path).filter(
+        ~((F.col("ingest_source") == source) & (F.col("ingest_batch") == number))
+    )
+    days = events.select("event_date").distinct()
+    other = other.join(F.broadcast(days), "event_date", "left_semi").select("event_date", "id")
+    return events.join(other, ["event_date", "id"], "left_anti")
+
+
 def start_ingest(
     batches: DataFrame,
     events_path: str,
@@ -37,24 +55,27 @@ def start_ingest(
     ranges: DataFrame | None = None,
     as_of: datetime | None = None,
     trigger: dict | None = None,
+    source: str = "main",
 ) -> StreamingQuery:
-    """Validate, flatten and locate every micro-batch; rejects go to quarantine."""
+    """Validate, flatten and locate every micro-batch; rejects go to quarantine. Streams
+    that share tables have ``source`` names of their own."""
+    # Whether the ranges can be broadcast is settled once, not in every batch.
+    small = None if ranges is None else fits_broadcast(ranges)
 
     def store(raw: DataFrame, number: int) -> None:
         raw.persist()
-        checked = validate_batches(raw)
-        events = ingest_event_batches(checked.accepted, as_of)
-        if ranges is not None:
-            events = ip_to_country(events, ranges)
-        stamped = events.withColumns(
-            {"event_date": F.to_date("event_ts"), "ingest_batch": F.lit(number)}
-        )
-        replace_partitions(stamped, events_path, "event_date", "ingest_batch")
-        rejected = checked.rejected.select("value", "reason")
-        replace_partitions(
-            rejected.withColumn("ingest_batch", F.lit(number)), quarantine_path, "ingest_batch"
-        )
-        raw.unpersist()
+        try:
+            checked = validate_batches(raw)
+            events = ingest_event_batches(checked.accepted, as_of)
+            if ranges is not None:
+                events = ip_to_country(events, ranges, small=small)
+            events = events.withColumn("event_date", F.to_date("event_ts"))
+            events = _unstored(events, events_path, source, number)
+            replace_partitions(stamped(events, source, number), events_path, "event_date", *STAMP)
+            rejected = checked.rejected.select("value", "reason")
+            replace_partitions(stamped(rejected, source, number), quarantine_path, *STAMP)
+        finally:
+            raw.unpersist()
 
     return (
         batches.writeStream.foreachBatch(store)
@@ -67,26 +88,24 @@ def start_ingest(
 def start_daily_rollup(
     events: DataFrame,
     events_path: str,
-    stats_path: str,
+    partials_path: str,
     checkpoint: str,
     trigger: dict | None = None,
+    source: str = "main",
 ) -> StreamingQuery:
-    """Append events and recompute the statistics of every day they touch, so a late
-    event reopens its day. The affected days stay a DataFrame; the join on the
-    partition column prunes the events read again."""
+    """Append events, and add to ``partials_path`` what each micro-batch contributes to its
+    days (see ``rollup.partial_stats``), so a late event reopens its day and no stored
+    event is read again. ``rollup.stats_from_partials`` gives the statistics."""
 
     def store(batch: DataFrame, number: int) -> None:
         batch.persist()
-        spark = batch.sparkSession
-        dated = batch.withColumns(
-            {"event_date": F.to_date("event_ts"), "ingest_batch": F.lit(number)}
-        )
-        replace_partitions(dated, events_path, "event_date", "ingest_batch")
-        days = batch.select(F.to_date("event_ts").alias("event_date")).distinct()
-        stored = spark.read.schema(dated.schema).parquet(events_path)
-        touched = stored.join(days, "event_date", "left_semi")
-        write_daily_stats(rollup_daily_stats(touched), stats_path)
-        batch.unpersist()
+        try:
+            dated = batch.withColumn("event_date", F.to_date("event_ts"))
+            replace_partitions(stamped(dated, source, number), events_path, "event_date", *STAMP)
+            partials = stamped(partial_stats(batch), source, number)
+            replace_partitions(partials, partials_path, "date", *STAMP)
+        finally:
+            batch.unpersist()
 
     return (
         events.writeStream.foreachBatch(store)

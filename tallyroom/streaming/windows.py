@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyroom.sources.files import replace_partitions
+from tallyroom.sources.files import STAMP, replace_partitions, stamped
 
 # The default trigger: everything that has landed, then stop.
 AVAILABLE_NOW = {"availableNow": True}
@@ -50,7 +50,18 @@ def active_last_hour(
 
 
 def _exact_hours(events: DataFrame, slide_minutes: int) -> DataFrame:
-    """Exact distinct devices per sliding hour, without a distinct count.
+    """Exact distinct devices per sliding hour, without a distinct count."""
+    return hours_from_slides(device_slides(events, slide_minutes), slide_minutes)
+
+
+def device_slides(events: DataFrame, slide_minutes: int = 5) -> DataFrame:
+    """(device_id, slide): the slides, numbered from the epoch, a device is active in."""
+    slide = F.floor(F.unix_seconds(F.col("event_ts").cast("timestamp")) / (slide_minutes * 60))
+    return events.select("device_id", slide.alias("slide")).distinct()
+
+
+def hours_from_slides(slides: DataFrame, slide_minutes: int = 5) -> DataFrame:
+    """Distinct devices per sliding hour from (device_id, slide), which may repeat.
 
     A device is kept once per slide; that slide opens the hours since the device's
     last one, so it is listed once for every hour it is active in. A device has at
@@ -58,8 +69,7 @@ def _exact_hours(events: DataFrame, slide_minutes: int) -> DataFrame:
     """
     per_hour = 60 // slide_minutes
     width = slide_minutes * 60
-    slide = F.floor(F.unix_seconds("event_ts") / width)
-    slides = events.select("device_id", slide.alias("_slide")).distinct()
+    slides = slides.select("device_id", F.col("slide").alias("_slide")).distinct()
     before = F.lag("_slide").over(Window.partitionBy("device_id").orderBy("_slide"))
     opens = F.greatest(F.col("_slide") - (per_hour - 1), F.col("_before") + 1)
     hours = slides.withColumn("_before", before).select(
@@ -83,14 +93,40 @@ def stream_dedup(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return timed.withWatermark("event_ts", late).dropDuplicatesWithinWatermark(key)
 
 
+def start_device_slides(
+    events: DataFrame, path: str, checkpoint: str, slide_minutes: int = 5,
+    trigger: dict | None = None, source: str = "main",
+) -> StreamingQuery:
+    """Store the slides each device is active in, micro-batch by micro-batch, by day.
+    ``hours_from_slides`` over the table counts exactly what sketches estimate; the
+    stream keeps no state, and late events count whenever they come."""
+    if slide_minutes < 1 or 60 % slide_minutes:
+        raise ValueError("slide_minutes must divide an hour")
+
+    def store(batch: DataFrame, number: int) -> None:
+        slides = device_slides(batch, slide_minutes)
+        day = F.to_date(F.timestamp_seconds(F.col("slide") * (slide_minutes * 60)))
+        dated = slides.withColumn("slide_date", day)
+        replace_partitions(stamped(dated, source, number), path, "slide_date", *STAMP)
+
+    return (
+        events.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or AVAILABLE_NOW))
+        .start()
+    )
+
+
 def start_window_updates(
-    windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
+    source: str = "main",
 ) -> StreamingQuery:
-    """Write every changed window under its micro-batch number. A batch that is run
-    again replaces its own files."""
+    """Write every changed window under its day, its stream's name and its micro-batch
+    number. A batch that is run again replaces its own files."""
 
     def store(batch: DataFrame, number: int) -> None:
-        replace_partitions(batch.withColumn("ingest_batch", F.lit(number)), path, "ingest_batch")
+        dated = batch.withColumn("window_date", F.to_date("window_start"))
+        replace_partitions(stamped(dated, source, number), path, "window_date", *STAMP)
 
     return (
         windows.writeStream.outputMode("update").foreachBatch(store)
@@ -101,7 +137,18 @@ def start_window_updates(
 
 
 def latest_windows(stored: DataFrame) -> DataFrame:
-    """The last written state of every window."""
+    """The last written state of every window of every stream."""
     keys = ["window_start", "window_end"]
-    values = [c for c in stored.columns if c not in (*keys, "ingest_batch")]
-    return stored.groupBy(*keys).agg(*[F.max_by(c, "ingest_batch").alias(c) for c in values])
+    values = [c for c in stored.columns if c not in (*keys, "window_date", *STAMP)]
+    last = stored.groupBy(*keys, "ingest_source").agg(
+        *[F.max_by(c, "ingest_batch").alias(c) for c in values]
+    )
+    return last.drop("ingest_source")
+
+
+def compact_windows(stored: DataFrame, path: str, before) -> None:
+    """Write the last states of all windows of days before ``before`` to ``path``, one row
+    a window, for readers to use in place of those days of the updates."""
+    closed = stored.filter(F.col("window_date") < F.lit(before))
+    dated = latest_windows(closed).withColumn("window_date", F.to_date("window_start"))
+    replace_partitions(dated, path, "window_date")

@@ -10,8 +10,14 @@ from tallyroom import schema
 
 AS_OF = datetime(2024, 1, 30, 12, 0, 0)
 
-EVENTS = T.StructType([T.StructField("id", T.LongType()), *schema.EVENTS.fields])
-SUBSCRIPTIONS = T.StructType([T.StructField("id", T.LongType()), *schema.SUBSCRIPTION_EVENTS.fields])
+
+
+def _numbered(fields: T.StructType) -> T.StructType:
+    """The table with plain numbers as ids."""
+    return T.StructType([T.StructField("id", T.LongType()), *[f for f in fields if f.name != "id"]])
+
+
+EVENTS, SUBSCRIPTIONS = _numbered(schema.EVENTS), _numbered(schema.SUBSCRIPTION_EVENTS)
 
 
 def at(text: str) -> datetime:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyroom import clock, plans
 from tallyroom.operators import events as ev, funnels, retention, users
-from tallyroom.sources.batches import ip_to_country
+from tallyroom.sources.batches import fits_broadcast, ip_to_country
 
 
 def plan_of(df) -> str:
@@ -83,10 +83,11 @@ def test_device_counts_need_no_expand(skewed):
 
 def test_no_nested_loop_in_the_range_join(spark, skewed):
     ranges = spark.createDataFrame([(0, 10, "US")], "lo long, hi long, country string")
-    for bound in (0, 1000):
-        plan = plan_of(ip_to_country(skewed, ranges, broadcast_rows=bound))
+    for small in (False, True):
+        plan = plan_of(ip_to_country(skewed, ranges, small=small))
         assert "NestedLoop" not in plan and "Cartesian" not in plan
-        assert ("_salt" in plan) == (bound == 0)
+        assert ("_salt" in plan) == (not small)
+    assert fits_broadcast(ranges, 26) and not fits_broadcast(ranges, 25)
 
 
 def test_single_rows_side_by_side(spark):

@@ -37,6 +37,15 @@ def test_report_files(spark, tmp_path):
     assert only(reports.session_length_summary(df)) == {"average": 125.0, "average_formatted": "2m 5s"}
 
 
+def test_every_document_of_a_file_is_read(spark, tmp_path):
+    one = {"xValues": ["a"], "series": [[1]]}
+    (tmp_path / "lines.json").write_text("".join(json.dumps({**one, "xValues": [c]}) + "\n" for c in "abc"))
+    (tmp_path / "whole.json").write_text(json.dumps({**one, "xValues": ["d"]}, indent=2))
+    (tmp_path / "array.json").write_text(json.dumps([{**one, "xValues": [c]} for c in "ef"], indent=2))
+    df = read_report_json(spark, str(tmp_path), schema.SERIES_REPORT)
+    assert sorted(r["xValues"][0] for r in dicts(df)) == list("abcdef")
+
+
 def test_session_length_without_an_average(spark):
     df = payload(spark, schema.SERIES_REPORT, {"xValues": ["a"], "series": [[2]]}, {"seriesCollapsed": [[]]})
     assert {r["average_formatted"] for r in dicts(reports.session_length_summary(df))} == {"0s"}

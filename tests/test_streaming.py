@@ -5,10 +5,10 @@ from __future__ import annotations
 import json
 
 import pytest
-from build import AS_OF, dicts, events
+from build import AS_OF, at, dicts, events
 from pyspark.sql import functions as F
 
-from tallyroom.operators.rollup import rollup_daily_stats
+from tallyroom.operators.rollup import compact_partials, rollup_daily_stats, stats_from_partials
 from tallyroom.streaming import ingest, windows
 
 
@@ -18,7 +18,7 @@ def finish(query):
 
 
 def drop_stamp(rows):
-    return sorted(str({k: v for k, v in r.items() if k not in ("ingest_batch", "event_date")}) for r in rows)
+    return sorted(str({k: v for k, v in r.items() if k not in ("ingest_source", "ingest_batch", "event_date")}) for r in rows)
 
 
 @pytest.fixture
@@ -115,6 +115,56 @@ def test_late_events_reopen_their_day(spark, tmp_path):
     late = events(spark, dict(ts="2024-01-01T09:00:00", device_id="late"))
     late.write.mode("append").parquet(str(tmp_path / "in"))
     finish(ingest.start_daily_rollup(stream, *paths))
-    stats = spark.read.parquet(paths[1])
+    stats = stats_from_partials(spark.read.parquet(paths[1]))
     expected = rollup_daily_stats(df.unionByName(late))
     assert drop_stamp(dicts(stats.select(expected.columns))) == drop_stamp(dicts(expected))
+    compact_partials(spark.read.parquet(paths[1]), str(tmp_path / "closed"), at("2024-01-02").date())
+    closed = stats_from_partials(spark.read.parquet(str(tmp_path / "closed")))
+    kept = expected.filter("date < DATE '2024-01-02'")
+    assert drop_stamp(dicts(closed.select(kept.columns))) == drop_stamp(dicts(kept))
+
+
+def test_streams_share_tables_without_replacing_each_other(spark, tmp_path, landed):
+    folder = landed("a.json", post("a", "b"))
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "b.json").write_text(json.dumps(post("c")) + "\n")
+    for source, path in (("one", folder), ("two", str(other))):
+        finish(ingest.start_ingest(ingest.stream_event_batches(spark, path), str(tmp_path / "events"),
+                                   str(tmp_path / "rejected"), str(tmp_path / source), as_of=AS_OF, source=source))
+    assert sorted(r["name"] for r in dicts(spark.read.parquet(str(tmp_path / "events")))) == ["a", "b", "c"]
+
+
+def test_files_grouped_otherwise_after_a_lost_checkpoint(spark, tmp_path, landed):
+    for i in range(3):
+        folder = landed(f"{i}.json", post(f"n{i}", f"m{i}"))
+
+    def run(checkpoint, files):
+        finish(ingest.start_ingest(ingest.stream_event_batches(spark, folder, files), str(tmp_path / "events"),
+                                   str(tmp_path / "rejected"), str(tmp_path / checkpoint), as_of=AS_OF))
+        return sorted(r["name"] for r in dicts(spark.read.parquet(str(tmp_path / "events"))))
+
+    names = sorted(f"{c}{i}" for c in "mn" for i in range(3))
+    assert run("first", 2) == names
+    assert run("second", 1) == names
+    assert run("third", 3) == names
+
+
+def test_streamed_slides_count_exactly(spark, tmp_path):
+    df = some_events(spark)
+    stream = parquet_stream(spark, df, str(tmp_path / "in"))
+    finish(windows.start_device_slides(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")))
+    got = windows.hours_from_slides(spark.read.parquet(str(tmp_path / "out")))
+    assert drop_stamp(dicts(got)) == drop_stamp(dicts(windows.active_last_hour(df)))
+    with pytest.raises(ValueError):
+        windows.start_device_slides(stream, "x", "y", slide_minutes=7)
+
+
+def test_compacted_windows_are_the_last_states(spark, tmp_path):
+    df = some_events(spark)
+    stream = windows.events_per_minute(parquet_stream(spark, df, str(tmp_path / "in")), "60 days")
+    finish(windows.start_window_updates(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint")))
+    stored = spark.read.parquet(str(tmp_path / "out"))
+    windows.compact_windows(stored, str(tmp_path / "closed"), at("2030-01-01").date())
+    closed = spark.read.parquet(str(tmp_path / "closed")).drop("window_date")
+    assert drop_stamp(dicts(closed)) == drop_stamp(dicts(windows.events_per_minute(df)))

@@ -234,3 +234,35 @@ def test_weekly_cohorts(spark):
     # The day fourteen window ends at midnight of the 30th, before as_of; day thirty is ahead.
     assert (third["day1"], third["day7"], third["day14"], third["day30"]) == (50.0, 50.0, 0.0, None)
     assert all(got[0][f"day{p}"] is None for p in (1, 7, 14, 30))
+
+
+def test_pages_by_key_follow_pages_by_offset(spark):
+    rows = [dict(ts=f"2024-01-{20 + i % 9}T00:00:00", device_id=f"d{i:02}") for i in range(30)]
+    df = events(spark, *rows)
+    for order in ("desc", "asc"):
+        for ask in (lambda **k: users.user_list(df, clock.ALL_TIME, sort="last_active", order=order, as_of=AS_OF, **k),
+                    lambda **k: users.segment_users(df, sort="last_seen", order=order, as_of=AS_OF, **k)):
+            column = "last_active" if "last_active" in ask(limit=1).rows.columns else "last_seen"
+            first = dicts(ask(limit=7).rows)
+            second = dicts(ask(limit=7, after=(first[-1][column], first[-1]["device_id"])).rows)
+            assert second == dicts(ask(limit=7, offset=7).rows)
+
+
+def test_search_meets_every_user_id_of_a_device(spark):
+    df = events(spark, dict(ts="2024-01-29T00:00:00", user_id="alice"), dict(ts="2024-01-29T01:00:00", user_id="zoe"))
+    for text in ("ALICE", "zoe", "d1"):
+        assert [r["device_id"] for r in dicts(users.user_list(df, clock.ALL_TIME, search=text, as_of=AS_OF).rows)] == ["d1"]
+    assert dicts(users.user_list(df, clock.ALL_TIME, search="bob", as_of=AS_OF).rows) == []
+
+
+def test_reported_duration_of_equal_times_is_that_of_the_greatest_id(spark):
+    df = events(spark, *[dict(ts="2024-01-29T00:00:00", session_id="s", session_duration_seconds=i * 7 % 5) for i in range(8)])
+    assert {only(users.session_timeline(df.repartition(n)))["reported_duration"] for n in (1, 3, 8)} == {49 % 5}
+
+
+def test_user_stats_scans_once_and_reduces_first(spark, tmp_path):
+    df = events(spark, dict(ts="2024-01-29T00:00:00"))
+    df.write.parquet(str(tmp_path / "e"))
+    plan = users.user_stats(spark.read.parquet(str(tmp_path / "e")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    assert "HashAggregate" in plan[plan.index("Expand"):]
