@@ -5,30 +5,41 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from catalog.events import E, MIDNIGHT_14, MIDNIGHT_14_SQL
 from catalog.registry import Tables, query
 from catalog.views import AS_OF
-from tallyroom import clock
+from tallyroom import clock, schema
 from tallyroom.functions import hybrid_metric
 from tallyroom.operators import events as ev, reports
 from tallyroom.plans import join_single_rows
+from tallyroom.session import scratch_path
+from tallyroom.sources.files import read_report_json
 
 # Series: daily active devices of each app version, one array entry per day.
 
 
+def _landed(t: Tables, reports: DataFrame, payload: T.StructType, key: str) -> DataFrame:
+    """Reports written as JSON documents and read again, with the column they are told
+    apart by."""
+    path = scratch_path(t.spark, "reports")
+    reports.write.json(path)
+    return read_report_json(t.spark, path, T.StructType([T.StructField(key, T.StringType()), *payload.fields]))
+
+
 def _series(t: Tables) -> DataFrame:
     per_day = t.app_events.groupBy("app_version", F.to_date("event_ts").alias("d")).agg(
         F.countDistinct("device_id").cast("double").alias("v")
     )
     days = F.sort_array(F.collect_list(F.struct("d", "v")))
-    return per_day.groupBy("app_version").agg(days.alias("days")).select(
+    reports = per_day.groupBy("app_version").agg(days.alias("days")).select(
         "app_version",
         F.transform("days", lambda x: x["d"].cast("string")).alias("xValues"),
         # The source leaves out the values of every seventh day of a month.
         F.array(F.transform("days", lambda x: F.when(F.dayofmonth(x["d"]) % 7 > 0, x["v"]))).alias("series"),
     )
+    return _landed(t, reports, schema.SERIES_REPORT, "app_version")
 
 
 SERIES = """WITH s AS (SELECT app_version, CAST(event_ts AS DATE) AS d,
@@ -50,9 +61,10 @@ def _session_report(t: Tables) -> DataFrame:
     per = t.app_events.groupBy("os_version").agg(
         (F.sum("session_duration_seconds") / F.count("session_duration_seconds")).alias("v")
     )
-    return per.select(
+    reports = per.select(
         "os_version", F.array(F.array(F.struct(F.col("v").alias("value")))).alias("seriesCollapsed")
     )
+    return _landed(t, reports, schema.SERIES_REPORT, "os_version")
 
 
 query(
@@ -69,9 +81,10 @@ query(
 
 def _totals(t: Tables) -> DataFrame:
     counts = t.app_events.groupBy("app_version", "name").agg(F.count(F.lit(1)).alias("totals"))
-    return counts.groupBy("app_version").agg(
+    reports = counts.groupBy("app_version").agg(
         F.sort_array(F.collect_list(F.struct("name", "totals"))).alias("data")
     )
+    return _landed(t, reports, schema.EVENT_TOTALS_REPORT, "app_version")
 
 
 TOTALS = "WITH c AS (SELECT app_version, name, count(*) AS n FROM app_events GROUP BY 1, 2)"
@@ -218,6 +231,13 @@ query(
 
 # Reviews, versions and search rows.
 
+query(
+    "review_rows",
+    lambda t: reports.review_rows(t.reviews.withColumnRenamed("created_date", "createdDate"), 40), "reviews",
+    """SELECT id, rating, CAST(NULL AS VARCHAR) AS title, CAST(NULL AS VARCHAR) AS body,
+    CAST(NULL AS VARCHAR) AS "reviewerNickname", created_date AS "createdDate", territory
+    FROM reviews ORDER BY created_date DESC, id DESC LIMIT 40""",
+)
 query(
     "review_summary", lambda t: reports.review_summary(t.reviews), "reviews",
     """SELECT count(*) AS total_reviews,

@@ -212,6 +212,16 @@ def review_summary(reviews: DataFrame) -> DataFrame:
     )
 
 
+# What is shown of a review.
+REVIEW_COLUMNS = ["id", "rating", "title", "body", "reviewerNickname", "createdDate", "territory"]
+
+
+def review_rows(reviews: DataFrame, k: int | None = None) -> DataFrame:
+    """The ``k`` newest reviews, or all; what a source leaves out is null."""
+    known = [F.col(c) if c in reviews.columns else F.lit(None).cast("string").alias(c) for c in REVIEW_COLUMNS]
+    return top_k(reviews.select(*known), F.col("createdDate").desc_nulls_first(), F.col("id").desc(), k=k)
+
+
 def version_history(versions: DataFrame, k: int = 10) -> DataFrame:
     newest = paged(versions, F.col("createdDate").desc_nulls_first(), F.col("id").desc(), limit=k)
     return newest.select("id", "versionString", "appStoreState", "releaseType", "createdDate")

@@ -48,6 +48,22 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[context.applicationId]
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder. Results are read from it lazily, so it stays
+    until ``release_scratch``."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete what this application has written to scratch paths, once its results are
+    stored elsewhere or no longer needed. Gives the number of paths that were there."""
+    context, gone = spark.sparkContext, 0
+    for path in _SCRATCH.pop(context.applicationId, []):
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True))
+    return gone

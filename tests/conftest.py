@@ -8,13 +8,14 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-from tallyroom.session import local_session  # noqa: E402
+from tallyroom.session import local_session, release_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(8, partitions=4)
     yield session
+    release_scratch(session)
     session.stop()
 
 

@@ -224,3 +224,13 @@ def test_changes_without_a_device_make_no_profile(spark):
         [(None, "sent", "+15550001111", 1), ("", "sent", "+15550001111", 2), ("b", "sent", "+15550001111", 3)],
         "device_id string, kind string, phone string, seq long")
     assert sorted(r["device_id"] for r in dicts(prof.apply_phone_changes(current, feed, AS_OF))) == ["a", "b"]
+
+
+def test_scratch_is_released_by_whoever_made_it(spark):
+    from tallyroom import session
+
+    path = session.scratch_path(spark, "test")
+    spark.range(3).write.parquet(path)
+    kept, session._SCRATCH[spark.sparkContext.applicationId] = session._SCRATCH[spark.sparkContext.applicationId], [path]
+    assert session.release_scratch(spark) == 1 and not files.table_exists(spark, path)
+    session._SCRATCH[spark.sparkContext.applicationId] = kept
