@@ -16,16 +16,21 @@ from tallyroom.llm.words import groups, mix, shingles
 
 #: Similarity: 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Share of the hash range whose shingles are counted over the corpus and put in order.
-LOW = 0.32
-#: Shingles in more classes than this are frequent: indexed by pairs, the rest singly.
-FREQUENT = 32
+#: Share of the hash range whose rare shingles are all looked at over the corpus; those in no
+#: other class come first in prefixes. More of it moves more and leaves fewer candidates.
+LOW = 0.4
+#: A shingle is frequent if some batch of rows has it in this many classes.
+FREQUENT = 3
 #: Frequent shingles of a prefix per group within which pairs are formed, and the level of
-#: size from which they are; smaller sets index all shingles singly.
+#: size from which they are; smaller sets index frequent shingles singly as well.
 PAIRED, PAIRED_LEVEL = 8, 9
+#: Among candidates, shingles in at most this many classes make pairs by themselves.
+SCARCE = 64
 _U = np.uint64
-_LOW_EDGE = _U(int(LOW * 2**64))
+#: Shingles travel as their upper 48 bits; sets are compared by all 64.
 _TOKEN_SHIFT = _U(16)
+_MASK = _U(bitmaps.BITS - 1)
+_EDGE = _U(int(LOW * 2**64))
 
 
 def allowed(n: np.ndarray | int):
@@ -44,60 +49,58 @@ def pair_groups(level: int) -> int:
     return max(1, int(size * (1 - PERCENT / 100) / PAIRED))
 
 
-def head_size(n: int) -> int:
-    return int(allowed(n)) + 1 + pair_groups(level_of(n) + 1) + 1
+def _place(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> _TOKEN_SHIFT) & _MASK
 
 
-def head(tokens: np.ndarray) -> np.ndarray:
-    """The shingles of a sorted set that may stand in its prefix: those below the edge, and
-    more in hash order where these are too few."""
-    low = int(np.searchsorted(tokens, _LOW_EDGE))
-    return tokens[: max(low, min(len(tokens), head_size(len(tokens))))]
+def head(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rare shingles that may stand in a set's prefix, those below the edge and more in
+    hash order where these are too few; and the frequent ones it may go on with."""
+    often = bitmaps.contains(frequent, _place(tokens))
+    need = int(allowed(len(tokens))) + 1
+    rare = tokens[~often]
+    rare = rare[: max(need, int(np.searchsorted(rare, _EDGE)))]
+    return rare, tokens[often] if len(rare) < need else tokens[:0]
 
 
-def signatures(n: int, tokens: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def signatures(n: int, rare: np.ndarray, often: np.ndarray, shared: np.ndarray) -> np.ndarray:
     """Hashes of which two similar sets share at least one.
 
-    ``tokens`` is the head of a set of ``n`` (see ``head``), ``rank`` of each 0 for in no
-    other class, 1 for rare, 2 for frequent: functions of the shingle alone. Shingles are
-    ordered below the edge by (rank, hash), then above it by hash. The prefix is the least
-    that still covers something when every shingle a similar set can lack is taken away:
-    a rare shingle covers one, a group of g frequent ones g - 1, as losing g - 1 leaves no
-    pair. Of two similar sets take the one whose prefix ends first: what they share of it
-    lies in the other's prefix too, and holds a rare shingle or two frequent ones of a
-    group. A set is indexed at its own level of size and the next, so that similar sets
-    meet at one level, where the same shingles are indexed singly or by the same groups.
+    ``rare`` and ``often`` are the head of a set of ``n``; ``shared`` tells which rare
+    shingles may be in another class. Shingles are in one order for all sets: rare below
+    the edge, those in one class alone first, then rare above it, then frequent, each by
+    hash. The prefix is the least that still covers something when every shingle a similar
+    set can lack is taken away: a rare shingle covers one, a group of g frequent ones
+    g - 1, as losing g - 1 leaves no pair. Of two similar sets take the one whose prefix
+    ends first: what they share of it lies in the other's prefix too, and holds a rare
+    shingle or two frequent ones of a group. Groups depend on the size, so a set is
+    indexed at its own level of size and the next: similar sets meet at one level, where
+    the same shingles form the same groups.
     """
-    need, out = int(allowed(n)) + 1, []
-    below = tokens < _LOW_EDGE
-    order = np.lexsort((tokens, np.where(below, rank, 3)))
-    tokens, rank, below = tokens[order], rank[order], below[order]
+    need = int(allowed(n)) + 1
+    met = bitmaps.contains(shared, _place(rare))
+    below = rare < _EDGE
+    first = int((~met & below).sum())
+    kept = np.concatenate([rare[met & below], rare[~below]])[: max(0, need - first)]
+    out = [mix(kept[bitmaps.contains(shared, _place(kept))])]
+    need -= len(rare)
     own = level_of(n)
-    for level in (own, own + 1):
-        number = pair_groups(level)
-        paired = (rank == 2) & below & (level >= PAIRED_LEVEL)
-        group = np.where(paired, (tokens >> _U(7)) % _U(number), 0).astype(np.int64)
-        covers = np.ones(len(tokens), dtype=np.int64)
-        at = np.flatnonzero(paired)
-        if len(at):
-            _, first = np.unique(group[at], return_index=True)
-            covers[at[first]] = 0
-        covered = np.cumsum(covers)
-        end = int(np.searchsorted(covered, need)) + 1
-        live = np.arange(len(tokens)) < end
+    for level in (own, own + 1) if need > 0 else ():
         salt = _U((level + 1) * 0x9E3779B97F4A7C15 % 2**64)
-        single = tokens[live & ~paired & (rank > 0)]
-        out.append(mix(single + salt))
-        at = np.flatnonzero(live & paired)
-        if len(at) > 1:
-            at = at[np.argsort(group[at], kind="stable")]
-            ends = np.flatnonzero(np.diff(group[at], append=-1))
-            start = 0
-            for stop in ends + 1:
-                members = np.sort(tokens[at[start:stop]])
-                i, j = np.triu_indices(len(members), 1)
-                out.append(mix(mix(members[i] + salt) * _U(3) + members[j]))
-                start = stop
+        if level < PAIRED_LEVEL:
+            out.append(mix(mix(often[:need]) + salt))
+            continue
+        group = ((often >> _U(7)) % _U(pair_groups(level))).astype(np.int64)
+        covers = np.ones(len(often), dtype=np.int64)
+        covers[np.unique(group, return_index=True)[1]] = 0
+        end = int(np.searchsorted(np.cumsum(covers), need)) + 1
+        order = np.argsort(group[:end], kind="stable")
+        start = 0
+        for stop in np.flatnonzero(np.diff(group[:end][order], append=-1)) + 1:
+            members = often[order[start:stop]]
+            i, j = np.triu_indices(len(members), 1)
+            out.append(mix(mix(members[i] + salt) * _U(3) + members[j]))
+            start = stop
     return np.unique(np.concatenate(out))
 
 
@@ -111,70 +114,82 @@ def class_id(tokens: np.ndarray) -> int | None:
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per text, and a row for each shingle frequent in a batch."""
     for batch in batches:
-        ids, sizes, names = batch["doc_id"], [], []
+        sizes, names, tokens = [], [], {}
         for texts in groups(batch["text"]):
-            for tokens in shingles(texts):
-                sizes.append(len(tokens))
-                names.append(class_id(tokens))
+            for found in shingles(texts):
+                sizes.append(len(found))
+                names.append(class_id(found))
+                if names[-1] is not None:
+                    tokens.setdefault(names[-1], found)
+        token, n = np.unique(np.concatenate([*tokens.values(), np.empty(0, _U)]), return_counts=True)
+        often = (token[n >= FREQUENT] >> _TOKEN_SHIFT).view(np.int64)
+        extra = len(often)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(sizes, pa.int64()), pa.array(names, pa.int64())],
-            names=["doc_id", "n_shingles", "class"],
+            [
+                pa.concat_arrays([batch["doc_id"], pa.nulls(extra, batch["doc_id"].type)]),
+                pa.array(sizes + [0] * extra, pa.int64()), pa.array(names + [None] * extra, pa.int64()),
+                pa.concat_arrays([pa.nulls(len(batch), pa.int64()), pa.array(often, pa.int64())]),
+            ],
+            names=["doc_id", "n_shingles", "class", "often"],
         )
 
 
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, class) of every head; equal texts of a batch once."""
+def _by_class(batches: Iterator[pa.RecordBatch], of_set) -> Iterator[pa.RecordBatch]:
+    """What ``of_set`` gives for each set, hashes and numbers, as (hash, class, n, most,
+    common); equal texts of a batch once."""
     for batch in batches:
         seen = set()
         for texts in groups(batch["text"]):
-            tokens, names = [], []
+            columns = []
             for found in shingles(texts):
                 name = class_id(found)
-                if name is not None and name not in seen:
-                    seen.add(name)
-                    tokens.append(head(found) >> _TOKEN_SHIFT)
-                    names.append(np.full(len(tokens[-1]), name))
-            if tokens:
+                if name is None or name in seen:
+                    continue
+                seen.add(name)
+                hashes, *numbers = of_set(found)
+                if len(hashes):
+                    row = np.array([[name, len(found), *(numbers or (0, 0))]])
+                    columns.append((hashes.view(np.int64), *row.repeat(len(hashes), 0).T))
+            if columns:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(names))],
-                    names=["token", "class"],
+                    [pa.array(np.concatenate(x)) for x in zip(*columns)],
+                    names=["hash", "class", "n", "most", "common"],
                 )
 
 
-def _indexed(shared: np.ndarray, frequent: np.ndarray):
-    mask = _U(bitmaps.BITS - 1)
+_HASHES = "hash long, class long, n long, most long, common long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen = set()
-            for texts in groups(batch["text"]):
-                marks, names, sizes = [], [], []
-                for found in shingles(texts):
-                    name = class_id(found)
-                    if name is None or name in seen:
-                        continue
-                    seen.add(name)
-                    tokens = head(found)
-                    place = (tokens >> _TOKEN_SHIFT) & mask
-                    rank = bitmaps.contains(shared, place).astype(np.int64)
-                    if rank.any():
-                        rank += rank * bitmaps.contains(frequent, place)
-                        marks.append(signatures(len(found), tokens, rank))
-                        names.append(np.full(len(marks[-1]), name))
-                        sizes.append(np.full(len(marks[-1]), len(found)))
-                if marks:
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.concatenate(marks).view(np.int64)),
-                            pa.array(np.concatenate(names)), pa.array(np.concatenate(sizes)),
-                        ],
-                        names=["mark", "class", "n"],
-                    )
 
+def _each_set(of_set, bits: np.ndarray | None = None):
+    """``of_set`` for the texts of all rows, or of those whose place is in ``bits``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if bits is not None:
+            batches = (b.filter(pa.array(bitmaps.contains(bits, b["place"].to_numpy()))) for b in batches)
+        yield from _by_class(batches, of_set)
     return run
 
 
+def _heads(frequent: np.ndarray):
+    return lambda found: (head(found, frequent)[0] >> _TOKEN_SHIFT,)
+
+
+def _indexed(frequent: np.ndarray, shared: np.ndarray):
+    return lambda found: (signatures(len(found), *head(found, frequent), shared),)
+
+
+def _scarce(shared: np.ndarray, often: np.ndarray):
+    """The shingles in few candidates, after a 0 that stands for the set; with how many of
+    the set may be in another candidate at all, and how many in many."""
+    def of_set(found: np.ndarray):
+        place = _place(found)
+        met, many = bitmaps.contains(shared, place), bitmaps.contains(often, place)
+        hashes = np.append(_U(0), found[met & ~many])
+        return hashes, int((met | many).sum()), int(many.sum())
+    return of_set
+
+
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
@@ -191,74 +206,109 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _wanted(bits: np.ndarray):
-    """Rows whose place is in a bitmap."""
+def _texts(bits: np.ndarray):
+    """(class, text) of the rows whose place is in a bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = bitmaps.contains(bits, batch["place"].to_numpy())
-            yield batch.filter(pa.array(hit))
+            batch = batch.filter(pa.array(bitmaps.contains(bits, batch["place"].to_numpy())))
+            names = [class_id(found) for texts in groups(batch["text"]) for found in shingles(texts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.int64()), batch["text"]], names=["class", "text"]
+            )
     return run
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between classes that connect whatever the similar pairs connect.
 
-    Candidates share a signature. At first each class is compared with three leaders at
-    most, the least, the greatest and a hashed one of those it meets; what that links is
-    done. All classes that meet but are still apart are then compared, so every candidate
-    pair is either compared or already connected: a group of thousands of near copies
-    costs a few comparisons a member instead of all its pairs.
+    Candidates share a signature. For the classes that have candidates at all it is then
+    counted which of their shingles are in one of them alone, in few or in many: what two
+    sets share is at most what each has beside its lone shingles, and, unless they share a
+    scarce one, beside those too. Each candidate is compared with a few leaders of those
+    it meets: the one with the fewest lone shingles, which is nearest to what its copies
+    were made from, the least and a hashed one. What that links is done. Pairs still apart
+    are compared if they share a scarce shingle, or a signature and enough frequent ones.
+    So every candidate pair is compared, connected, or known not to link, and a group of
+    thousands of near copies costs a few comparisons a member instead of all its pairs.
     """
     text = docs.select(whole_text(F.col("text")).alias("text"))
-    counted = text.mapInArrow(_heads, "token long, class long").groupBy("token").agg(
-        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")
-    )
-    shared = stored(counted.where("low <> high").select("token", F.least("n", F.lit(FREQUENT + 1)).alias("n")), "tokens")
-    place = F.pmod("token", F.lit(bitmaps.BITS))
-    run = _indexed(bitmaps.bitmap(shared, place), bitmaps.bitmap(shared.where(F.col("n") > FREQUENT), place))
-    marks = stored(
-        text.mapInArrow(run, "mark long, class long, n long").groupBy("mark", "class").agg(F.max("n").alias("n")),
-        "marks",
+    placed = docs.select(whole_text(F.col("text")).alias("text"), bitmaps.slot(F.col("doc_id")).alias("place"))
+
+    def low_bits(column: str):
+        return F.pmod(column, F.lit(bitmaps.BITS))
+
+    frequent = bitmaps.bitmap(classes.where("often IS NOT NULL").select("often").distinct(), low_bits("often"))
+    met = text.mapInArrow(_each_set(_heads(frequent)), _HASHES).groupBy("hash").agg(
+        F.min("class").alias("low"), F.max("class").alias("high")
     )
+    shared = bitmaps.bitmap(met.where("low <> high"), low_bits("hash"))
+    marks = text.mapInArrow(_each_set(_indexed(frequent, shared)), _HASHES)
+    marks = stored(marks.select(F.col("hash").alias("mark"), "class").distinct(), "marks")
+    led = marks.groupBy("mark").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    live = stored(marks.join(led.where("low <> high").select("mark"), "mark"), "marks")
 
     representative = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+    candidates = stored(live.select("class").distinct().join(representative, "class"), "candidates")
+    bits = bitmaps.bitmap(candidates, bitmaps.slot(F.col("doc_id")))
+    all_tokens = placed.mapInArrow(_each_set(lambda found: (found >> _TOKEN_SHIFT,), bits), _HASHES)
+    counted = all_tokens.groupBy("hash").agg(
+        F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")
+    )
+    counted = stored(counted.where("low <> high").select("hash", (F.col("n") > SCARCE).alias("many")), "tokens")
+    scarce = _scarce(bitmaps.bitmap(counted, low_bits("hash")), bitmaps.bitmap(counted.where("many"), low_bits("hash")))
+    scarce = stored(placed.mapInArrow(_each_set(scarce, bits), _HASHES).distinct(), "scarce")
+    # A set that shares less than this with all others links with none.
+    scarce = scarce.where(100 * F.col("most") >= PERCENT * F.col("n"))
+    facts = scarce.where("hash = 0").select("class", "n", "most", "common")
+
+    def can_link(shared_by: str):
+        both = F.least(shared_by, f"other_{shared_by}")
+        return (100 + PERCENT) * both >= PERCENT * (F.col("n") + F.col("other_n"))
+
+    def others(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c).alias(c if c == "mark" else f"other_{c}") for c in df.columns])
+
+    def ordered(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
     def verified(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct()
         named = stored(named.join(representative, "class"), "named")
-        bits = bitmaps.bitmap(named, bitmaps.slot(F.col("doc_id")))
-        some = docs.select("doc_id", whole_text(F.col("text")).alias("text"), bitmaps.slot(F.col("doc_id")).alias("place"))
-        some = some.mapInArrow(_wanted(bits), some.schema).drop("place")
-        texts = stored(some.join(named, "doc_id").select("class", "text"), "texts")
+        wanted = bitmaps.bitmap(named, bitmaps.slot(F.col("doc_id")))
+        some = placed.mapInArrow(_texts(wanted), "class long, text string")
+        texts = stored(some.join(named.select("class"), "class", "left_semi").dropDuplicates(["class"]), "texts")
         both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("left")), "a")
         both = both.join(texts.select(F.col("class").alias("b"), F.col("text").alias("right")), "b")
         return stored(both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long"), "links")
 
-    def ordered(a: str, b: str) -> list:
-        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-    leader = F.min_by("class", F.xxhash64("class"))
-    led = marks.groupBy("mark").agg(
-        F.min("class").alias("low"), F.max("class").alias("high"), leader.alias("middle")
-    ).where("low <> high")
-    chosen = marks.join(led, "mark").groupBy("class").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.min_by("middle", F.xxhash64("middle")).alias("middle")
+    hashed = F.xxhash64("class")
+    near_source = F.floor(F.col("most") * 1024 / F.col("n")) * (1 << 40) + F.pmod(hashed, F.lit(1 << 40))
+    members = stored(live.join(facts, "class").withColumn("near", near_source), "members")
+    leads = {"l0": F.max_by("class", "near"), "l1": F.min("class"), "l2": F.min_by("class", hashed)}
+    led = members.groupBy("mark").agg(*[lead.alias(k) for k, lead in leads.items()], F.max("near").alias("near"))
+    chosen = members.select("mark", "class", "n", "most").join(led, "mark").groupBy("class", "n", "most").agg(
+        F.max_by("l0", "near").alias("l0"), F.min("l1").alias("l1"), F.min_by("l2", F.xxhash64("l2")).alias("l2")
     )
-    chosen = chosen.select("class", F.explode(F.array("low", "high", "middle")).alias("leader"))
-    first = stored(chosen.where("class <> leader").select(*ordered("class", "leader")).distinct(), "pairs")
+    chosen = chosen.select("class", "n", "most", F.explode(F.array(*leads)).alias("other_class"))
+    chosen = chosen.where("class <> other_class").join(others(facts.drop("common")), "other_class")
+    first = stored(chosen.where(can_link("most")).select(*ordered("class", "other_class")).distinct(), "pairs")
     found = verified(first)
 
     group = components(found).withColumnRenamed("node", "class")
-    apart = marks.join(group, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    apart = stored(apart, "marks")
-    open_marks = apart.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    apart = apart.join(open_marks.where("low <> high").select("mark"), "mark")
-    other = apart.select("mark", *[F.col(c).alias(f"other_{c}") for c in ("class", "n", "component")])
-    close = (100 * F.least("n", "other_n") >= PERCENT * F.greatest("n", "other_n"))
-    meet = (F.col("component") < F.col("other_component")) & close
-    left = apart.alias("l").join(other.alias("r"), (F.col("l.mark") == F.col("r.mark")) & meet)
-    second = left.select(*ordered("class", "other_class")).distinct().join(first, ["a", "b"], "left_anti")
-    second = stored(second, "pairs")
+
+    def apart(by: DataFrame, shared_by: str) -> DataFrame:
+        by = by.join(group, "class", "left").withColumn("component", F.coalesce("component", "class"))
+        by = stored(by.select("mark", "class", "n", shared_by, "component"), "apart")
+        open_marks = by.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        by = by.join(open_marks.where("low <> high").select("mark"), "mark")
+        meet = (F.col("component") < F.col("other_component")) & can_link(shared_by)
+        pairs = by.alias("l").join(others(by).alias("r"), (F.col("l.mark") == F.col("r.mark")) & meet)
+        return pairs.select(*ordered("class", "other_class")).distinct()
+
+    by_scarce = scarce.where("hash <> 0").withColumnRenamed("hash", "mark")
+    by_common = members.where(100 * F.col("common") >= PERCENT * F.col("n"))
+    second = apart(by_scarce, "most").unionAll(apart(by_common, "common")).distinct()
+    second = stored(second.join(first, ["a", "b"], "left_anti"), "pairs")
     return found if second.isEmpty() else found.unionAll(verified(second))
 
 
@@ -275,13 +325,13 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     never meet. Rows with equal doc_id stay rows of their own and share a component if
     their texts are equal or link. A null doc_id links with nothing. No rows give no rows.
     """
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text").unionByName(
-        docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("string").alias("text"))
-    )
-    read = docs.select("doc_id", whole_text(F.col("text")).alias("text"))
+    known = F.when(F.col("doc_id").isNotNull(), F.col("text"))
+    read = docs.select("doc_id", whole_text(known).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    classes = stored(read.mapInArrow(_classes, f"doc_id {kind}, n_shingles long, class long"), "classes")
-    group = components(links(docs.where("doc_id IS NOT NULL"), classes)).withColumnRenamed("node", "class")
+    found = read.mapInArrow(_classes, f"doc_id {kind}, n_shingles long, class long, often long")
+    found = stored(found, "classes")
+    classes = found.where("often IS NULL")
+    group = components(links(docs.where("doc_id IS NOT NULL"), found)).withColumnRenamed("node", "class")
     least = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     least = least.join(group, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
