@@ -138,7 +138,7 @@ def languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     for key in ("declared", "suffix", "host"):
         by = by.join(counted(key).withColumnRenamed("n", f"{key}_n"), key)
     by = by.join(F.broadcast(total))
-    kinds = counted("declared").count()
+    kinds = max(1, counted("declared").count())
 
     def one(i: int) -> Column:
         def left(level: str) -> Column:
