@@ -22,11 +22,18 @@ from tallyroom.streaming import ingest, windows
 BATCH_SIZE = 40
 
 
-def landed(t: Tables, lines: DataFrame) -> str:
-    """Gzipped text files with the given lines, as a source would leave them."""
-    path = scratch_path(t.spark, "landed")
-    lines.select("value").write.option("compression", "gzip").text(path)
-    return path
+_LANDED: dict[tuple, str] = {}
+
+
+def landed(t: Tables, kind: str, lines: DataFrame) -> str:
+    """Gzipped text files with the given lines, as a source would leave them; landed once
+    per application, data set and kind, as it is no part of the jobs that read them."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, kind)
+    if key not in _LANDED or not files.table_exists(t.spark, _LANDED[key]):
+        path = scratch_path(t.spark, "landed")
+        lines.select("value").write.option("compression", "gzip").text(path)
+        _LANDED[key] = path
+    return _LANDED[key]
 
 
 # Posted batches: forty consecutive event ids. Some events lack a category or a
@@ -109,7 +116,7 @@ def _open_bag(events: DataFrame) -> DataFrame:
 
 
 def _checked(t: Tables):
-    path = landed(t, batch_lines(t.app_events))
+    path = landed(t, "batches", batch_lines(t.app_events))
     return batches.validate_batches(batches.read_event_batches(t.spark, path))
 
 
@@ -172,7 +179,7 @@ def webhook_lines(subscriptions: DataFrame) -> DataFrame:
 
 
 def _webhooks(t: Tables) -> batches.Checked:
-    path = landed(t, webhook_lines(t.subscription_events))
+    path = landed(t, "webhooks", webhook_lines(t.subscription_events))
     return batches.ingest_subscription_webhooks(
         batches.read_subscription_webhooks(t.spark, path), AS_OF
     )
@@ -217,7 +224,7 @@ def export_lines(events: DataFrame) -> DataFrame:
 
 def _sync(t: Tables) -> export.SyncResult:
     stored = t.app_events.filter(STORED.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
-    lines = export.read_export(t.spark, landed(t, export_lines(t.app_events)))
+    lines = export.read_export(t.spark, landed(t, "export", export_lines(t.app_events)))
     return export.sync_export(lines, stored, as_of=AS_OF)
 
 
@@ -404,7 +411,7 @@ def _finish(running) -> None:
 
 def _stream_ingest(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "stream-ingest")
-    stream = ingest.stream_event_batches(t.spark, landed(t, batch_lines(t.app_events)))
+    stream = ingest.stream_event_batches(t.spark, landed(t, "batches", batch_lines(t.app_events)))
     _finish(ingest.start_ingest(
         stream, f"{root}/events", f"{root}/rejected", f"{root}/checkpoint", t.geo_ranges, AS_OF
     ))
@@ -425,7 +432,7 @@ def _two_sources(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "stream-sources")
     for source in ("even", "odd"):
         own = t.app_events.filter(F.floor(F.col("id") / BATCH_SIZE) % 2 == int(source == "odd"))
-        stream = ingest.stream_event_batches(t.spark, landed(t, batch_lines(own)))
+        stream = ingest.stream_event_batches(t.spark, landed(t, f"batches-{source}", batch_lines(own)))
         _finish(ingest.start_ingest(
             stream, f"{root}/events", f"{root}/rejected", f"{root}/{source}", as_of=AS_OF, source=source
         ))

@@ -234,3 +234,17 @@ def test_scratch_is_released_by_whoever_made_it(spark):
     kept, session._SCRATCH[spark.sparkContext.applicationId] = session._SCRATCH[spark.sparkContext.applicationId], [path]
     assert session.release_scratch(spark) == 1 and not files.table_exists(spark, path)
     session._SCRATCH[spark.sparkContext.applicationId] = kept
+
+
+def test_export_reads_the_days_it_covers_and_wide_rows_once(spark, tmp_path):
+    folder = tmp_path / "export"
+    folder.mkdir()
+    with gzip.open(folder / "part.json.gz", "wt") as out:
+        out.write("\n".join([exported(), exported(event_time="2024-01-03 10:00:00")]) + "\n")
+    files.append_events(events(spark, dict(ts="2024-01-01T00:00:00"), dict(ts="2024-02-01T00:00:00")), str(tmp_path / "events"))
+    stored = spark.read.parquet(str(tmp_path / "events"))
+    result = export.sync_export(export.read_export(spark, str(folder)), stored, as_of=AS_OF)
+    plan = result.new_rows._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan
+    aggregates = [line for line in plan.splitlines() if "Aggregate" in line]
+    assert aggregates and not any("properties" in line or "first(" in line for line in aggregates)
