@@ -61,13 +61,19 @@ def windows(stream: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[n
     number = -(-count // SCORED)
     text = np.repeat(np.arange(len(count)), number)
     start = (np.arange(len(text)) - np.repeat(np.cumsum(number) - number, number)) * SCORED
-    told = start[:, None] + np.arange(SCORED)
-    there = told < count[text][:, None]
-    at = np.where(there, first[text][:, None] + told, -1)
-    read = start[:, None] - CONTEXT + np.arange(WINDOW) - 1
-    ids = stream[np.clip(first[text][:, None] + read, 0, max(0, len(stream) - 1))] if len(stream) else read
-    ids = np.where(read == -1, START, np.where((read < -1) | (read >= count[text][:, None]), -1, ids))
-    return ids, np.where(there, stream[at] if len(stream) else at, 0), at
+    if not len(text):
+        none = np.empty((0, SCORED), dtype=np.int32)
+        return np.empty((0, WINDOW), dtype=np.int32), none, none
+    # Places fit 32 bits: a group of texts has far fewer ids.
+    start, first, count = (x.astype(np.int32)[:, None] for x in (start, first[text], count[text]))
+    told = start + np.arange(SCORED, dtype=np.int32)
+    there = told < count
+    at = np.where(there, first + told, np.int32(-1))
+    read = start - CONTEXT - 1 + np.arange(WINDOW, dtype=np.int32)
+    ids = stream.astype(np.int32)[np.clip(first + read, 0, len(stream) - 1)]
+    ids[(read < -1) | (read >= count)] = -1
+    ids[read == -1] = START
+    return ids, np.where(there, stream[at], 0).astype(np.int32), at
 
 
 #: Scores are kept within this, so that no exponential of a single number over- or underflows.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyroom.llm import attention, tokens
 from tallyroom.llm.attention import RARE, SCORED, SIZE, Model
 from tallyroom.llm.pieces import ranges
-from tallyroom.llm.tables import held_out, stored, whole_text
+from tallyroom.llm.tables import bounded_batches, held_out, stored, whole_text
 from tallyroom.llm.words import Texts, groups, mix, word_hashes, words
 
 #: Rows learned from leave another remainder of crc32(doc_id) modulo 7.
@@ -22,11 +23,12 @@ SAMPLE_DOCS, SAMPLE_IDS, STEPS, BATCH = 3000, 1536, 900, 64
 #: Words at least this often per so many are sent to all tasks: at most so many words.
 FREQUENT = 1 << 20
 #: Subwords of so many distinct words are remembered by a process.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 #: The end of a text, a token like a word; hashes of words are spread, so none meets it but
 #: by chance.
 END_WORD = int(mix(np.array([0x5A5A], dtype=np.uint64)).view(np.int64)[0])
-_BYTES = 8 << 20
+#: Words counted together before they are moved.
+COUNTED = 4_000_000
 
 
 class Scorer(NamedTuple):
@@ -63,16 +65,17 @@ def subwords(encoder, texts: Texts, found, hashes: np.ndarray) -> tuple[np.ndarr
     distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
     if len(_MEMORY) > REMEMBERED:
         _MEMORY.clear()
-    ids = []
-    data = texts.data.tobytes()
-    for h, a, b in zip(distinct.tolist(), found.start[first].tolist(), found.end[first].tolist()):
-        known = _MEMORY.get(h)
-        if known is None:
-            word = data[a:b].translate(_LOWERED).decode("utf-8", "replace")
-            known = _MEMORY[h] = tokens.encode(encoder, " " + word).tobytes()
-        ids.append(known)
+    keys = distinct.tolist()
+    ids = [_MEMORY.get(h) for h in keys]
+    new = [i for i, known in enumerate(ids) if known is None]
+    if new:
+        data, at = texts.data.tobytes().translate(_LOWERED), first[new]
+        for i, a, b in zip(new, found.start[at].tolist(), found.end[at].tolist()):
+            word = " " + data[a:b].decode("utf-8", "replace")
+            coded = encoder.encode_ordinary(word) if b - a < tokens.PIECE else tokens.encode(encoder, word).tolist()
+            ids[i] = _MEMORY[keys[i]] = array("H", coded).tobytes()
     offsets = np.concatenate([[0], np.cumsum([len(i) // 2 for i in ids], dtype=np.int64)])
-    return distinct, which, np.frombuffer(b"".join(ids), dtype=np.uint16).astype(np.int64), offsets
+    return distinct, which, np.frombuffer(b"".join(ids), dtype=np.uint16).astype(np.int32), offsets
 
 
 _LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -95,7 +98,7 @@ def streams(encoder, texts: Texts) -> Streams:
     hashes = word_hashes(texts, found)
     count = len(texts.offsets) - 1
     distinct, which, flat, offsets = subwords(encoder, texts, found, hashes)
-    flat = np.append(flat, 50256)
+    flat = np.append(flat, np.int32(50256))
     offsets = np.append(offsets, len(flat))
     # The end of each text stands behind its words.
     place = np.searchsorted(found.text, np.arange(count), "right")
@@ -122,12 +125,23 @@ def word_log_probabilities(scorer: Scorer, s: Streams) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of each batch, ends included."""
+    """(word, n), ends included, of COUNTED words or more at a time."""
+    held, size = [], 0
+
+    def counted() -> pa.RecordBatch:
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
+
     for batch in batches:
-        parts = [word_hashes(t, words(t)).view(np.int64) for t in groups(batch["text"], _BYTES)]
-        parts.append(np.full(len(batch), END_WORD))
-        word, n = np.unique(np.concatenate(parts), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
+        held.append(np.full(len(batch), END_WORD))
+        for t in groups(batch["text"]):
+            held.append(word_hashes(t, words(t)).view(np.int64))
+            size += len(held[-1])
+            if size >= COUNTED:
+                yield counted()
+                held, size = [], 0
+    if held:
+        yield counted()
 
 
 def _sampled(vocabulary):
@@ -136,7 +150,7 @@ def _sampled(vocabulary):
         encoder = tokens.encoding(vocabulary.value)
         for batch in batches:
             out = []
-            for t in groups(batch["text"], _BYTES):
+            for t in groups(batch["text"]):
                 s = streams(encoder, t)
                 for a, n in zip(s.text_start.tolist(), s.text_size.tolist()):
                     skip = (n * 2654435761 % 2**32) % max(1, n - SAMPLE_IDS + 1)
@@ -208,7 +222,7 @@ def _best_part(scorer: Scorer, counts: DataFrame, learned, sample: list[np.ndarr
     texts = ["".join(_decoded(encoder, x)) for x in sample]
     column = pa.array(texts, pa.large_string())
     word, log_model, text = [], [], []
-    for t in groups(column, _BYTES):
+    for t in groups(column):
         s = streams(encoder, t)
         word.append(s.word_hash)
         log_model.append(word_log_probabilities(scorer, s))
@@ -237,7 +251,7 @@ def _scored(scorer, vocabulary):
         encoder, told = tokens.encoding(vocabulary.value), scorer.value
         for batch in batches:
             row = batch["row"].to_numpy()
-            for t in groups(batch["text"], _BYTES):
+            for t in groups(batch["text"]):
                 s = streams(encoder, t)
                 count = len(t.offsets) - 1
                 log_model = word_log_probabilities(told, s)
@@ -281,6 +295,7 @@ def scored(docs: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
     scored and counted again; where nothing is learned, all counts are 0 and the model is
     untrained; no documents give no rows.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     text = whole_text(F.col("text"))
     out = held_out(F.col("doc_id"), FOLDS, HELD_OUT)

@@ -21,8 +21,8 @@ _PLACES = np.array(
 )
 SHINGLE = len(_PLACES)
 #: Texts are worked on together up to this many bytes; a longer one is worked on alone.
-GROUP_BYTES = 4 << 20
-_SLICE = 200_000
+GROUP_BYTES = 2 << 20
+_SLICE = 50_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
