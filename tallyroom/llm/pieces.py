@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallyroom.llm.tables import whole_text
+from tallyroom.llm.tables import bounded_batches, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations per text.
@@ -33,18 +33,19 @@ class Pieces:
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.texts: list[str | None] = []
+        #: What each id stands for; bytes from 128 on as Python escapes them in text.
+        self.texts: list[str] = []
         self.known: dict[str, tuple[float, int]] = {}
-        self.byte_ids, self.byte_of = [0] * 256, {}
+        self.byte_ids = [0] * 256
         for i in range(processor.get_piece_size()):
             text = processor.id_to_piece(i)
             hidden = processor.is_control(i) or processor.is_unknown(i) or processor.is_unused(i)
             if processor.is_byte(i):
                 value = int(text[1:-1], 16)
-                self.byte_ids[value], self.byte_of[i] = i, value
-                self.texts.append(None)
+                self.byte_ids[value] = i
+                self.texts.append(bytes([value]).decode("utf-8", "surrogateescape"))
             else:
-                self.texts.append(text)
+                self.texts.append(text.replace(SPACE, " "))
                 if not hidden:
                     self.known[text] = (processor.get_score(i), i)
         self.longest = max(map(len, self.known))
@@ -52,8 +53,8 @@ class Pieces:
         #: Texts fall apart before runs of spaces if no piece reaches over such a place.
         self.parts = not any(SPACE in t.lstrip(SPACE) for t in self.known)
         #: Hashes of all pieces and their beginnings, with score (or none) and id.
-        begun = {t[:k] for t in self.known for k in range(1, len(t) + 1)}
-        rows = sorted((self._key(t), *self.known.get(t, (-np.inf, -1))) for t in begun)
+        self.begun = {t[:k] for t in self.known for k in range(1, len(t) + 1)}
+        rows = sorted((self._key(t), *self.known.get(t, (-np.inf, -1))) for t in self.begun)
         self.keys = np.array([r[0] for r in rows], dtype=_U)
         self.scores = np.array([r[1] for r in rows])
         self.ids = np.array([r[2] for r in rows], dtype=np.int32)
@@ -72,11 +73,19 @@ class Pieces:
     def find(self, h: np.ndarray) -> np.ndarray:
         """Row of each running hash among ``keys``, -1 where it is none."""
         h = h * _BASE
-        at = self.jump[(h >> _U(46)).astype(np.int64)]
-        out = np.full(len(h), -1, dtype=np.int64)
-        for k in range(self.run):
-            here = np.minimum(at + k, len(self.keys) - 1)
-            out = np.where(self.keys[here] == h, here, out)
+        at = np.minimum(self.jump[(h >> _U(46)).astype(np.int64)], len(self.keys) - 1)
+        key = self.keys[at]
+        out = np.where(key == h, at, -1)
+        todo = np.flatnonzero(key < h)
+        for _ in range(self.run):
+            if not len(todo):
+                break
+            here = np.minimum(at[todo] + 1, len(self.keys) - 1)
+            at[todo] = here
+            key = self.keys[here]
+            hit = key == h[todo]
+            out[todo[hit]] = here[hit]
+            todo = todo[(key < h[todo]) & (here < len(self.keys) - 1)]
         return out
 
 
@@ -120,7 +129,10 @@ def edges(pieces: Pieces, unit: str) -> list[list[tuple[int, float, int]]]:
     into: list[list] = [[] for _ in range(len(unit) + 1)]
     for a in range(len(unit)):
         for b in range(a + 1, min(len(unit), a + pieces.longest) + 1):
-            hit = pieces.known.get(unit[a:b])
+            part = unit[a:b]
+            if part not in pieces.begun:
+                break
+            hit = pieces.known.get(part)
             if hit:
                 into[b].append((a, *hit))
         if unit[a] not in pieces.known:
@@ -285,18 +297,9 @@ def spelled(pieces: Pieces, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def decode(pieces: Pieces, ids) -> str:
     """The text of a segmentation: pieces joined, runs of byte pieces read as UTF-8, SPACE
     in pieces as a space, and the space before the text taken off."""
-    out, run = [], bytearray()
-    for i in ids:
-        text = pieces.texts[i]
-        if text is None:
-            run.append(pieces.byte_of[i])
-            continue
-        if run:
-            out.append(run.decode("utf-8", "surrogatepass"))
-            run = bytearray()
-        out.append(text.replace(SPACE, " ") if SPACE in text else text)
-    out.append(run.decode("utf-8", "surrogatepass"))
-    return "".join(out)[1:]
+    of = pieces.texts
+    text = "".join([of[i] for i in ids])[1:]
+    return text if text.isascii() else text.encode("utf-8", "surrogateescape").decode("utf-8")
 
 
 def encode_all(pieces: Pieces, texts: list[str], count: int) -> Iterator[tuple[np.ndarray, float, list]]:
@@ -312,24 +315,30 @@ def encode_all(pieces: Pieces, texts: list[str], count: int) -> Iterator[tuple[n
     names = [SPACE + u for u in number]
     done = Segmented(pieces, names)
     sizes = np.diff(done.offsets)
+    known: dict[int, list] = {}
     for at in places:
         ids = done.ids[ranges(done.offsets[at], sizes[at])]
         score = float(done.scores[at].sum())
-        yield ids, score, _others(pieces, names, done, at, score, count)
+        yield ids, score, _others(pieces, names, done, at, score, count, known)
 
 
-def _others(pieces: Pieces, names: list[str], done: Segmented, at: np.ndarray, score: float, count: int) -> list:
+def _others(
+    pieces: Pieces, names: list[str], done: Segmented, at: np.ndarray, score: float, count: int, known: dict
+) -> list:
+    """The ``count`` best of a text with units ``at``; ``known`` keeps the edges of units."""
     lost = done.losses[at]
     least = np.argpartition(lost, count - 2)[: count - 1] if 1 < count <= len(lost) else np.arange(len(lost))
-    least = np.sort(least[np.isfinite(lost[least])])
-    if count < 2 or not len(least):
+    least = sorted(least[np.isfinite(lost[least])].tolist())
+    if count < 2 or not least:
         return [(score, [])][:count]
     into: list[list] = [[]]
     starts = []
     for i in least:
         base = len(into) - 1
         starts.append(base)
-        own = edges(pieces, names[at[i]])
+        own = known.get(at[i])
+        if own is None:
+            own = known[at[i]] = edges(pieces, names[at[i]])
         into += [[(base + a, s, k) for a, s, k in e] for e in own[1:]]
     best = forward(into)
     out = []
@@ -344,7 +353,7 @@ def _others(pieces: Pieces, names: list[str], done: Segmented, at: np.ndarray, s
             if min(ids) < 0:
                 ids = spelled(pieces, np.array(ids, dtype=np.int64))[0].tolist()
             if ids != done.ids[done.offsets[at[i]] : done.offsets[at[i] + 1]].tolist():
-                changed.append((int(i), names[at[i]], ids))
+                changed.append((i, names[at[i]], ids))
         out.append((score - best[-1] + total, changed))
     return out
 
@@ -380,6 +389,7 @@ def encoded(docs: DataFrame, count: int = BEST, model: str = MODEL) -> DataFrame
     A null or empty text is the space before it alone. Texts with fewer segmentations than
     ``count`` have them all. Repeated rows are rows of their own; no rows give no rows.
     """
+    bounded_batches(docs.sparkSession)
     with open(model, "rb") as file:
         proto = docs.sparkSession.sparkContext.broadcast(file.read())
     names = [c for c in docs.columns if c not in ("ids", "score", "others")]
@@ -415,6 +425,7 @@ def encoded(docs: DataFrame, count: int = BEST, model: str = MODEL) -> DataFrame
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
     """``rows`` (doc_id, ids) with ``text`` got back from the ids; null ids give null."""
+    bounded_batches(rows.sparkSession)
     with open(model, "rb") as file:
         proto = rows.sparkSession.sparkContext.broadcast(file.read())
 
@@ -429,9 +440,10 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def digest(docs: DataFrame, count: int = BEST, model: str = MODEL) -> DataFrame:
-    """What ``encoded`` gives, in short: doc_id, n_pieces, ids_sha256 (of the ids as decimal
-    text, joined by commas), score, scores (of the ``count`` best) and whether decoding
+    """What ``encoded`` gives, in short: doc_id, n_pieces, ids_sha256 (of the ids as 32-bit
+    little-endian numbers), score, scores (of the ``count`` best) and whether decoding
     the ids gives back the text."""
+    bounded_batches(docs.sparkSession)
     rows = encoded(docs.select("doc_id", "text"), count, model)
     with open(model, "rb") as file:
         proto = docs.sparkSession.sparkContext.broadcast(file.read())
@@ -443,9 +455,8 @@ def digest(docs: DataFrame, count: int = BEST, model: str = MODEL) -> DataFrame:
             flat = batch["ids"].values.to_numpy()
             hashes, same = [], []
             for a, b, text in zip(ends[:-1], ends[1:], batch["text"]):
-                ids = flat[a:b].tolist()
-                hashes.append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
-                same.append(decode(pieces, ids) == (text.as_py() or ""))
+                hashes.append(hashlib.sha256(flat[a:b].astype("<i4").tobytes()).hexdigest())
+                same.append(decode(pieces, flat[a:b].tolist()) == (text.as_py() or ""))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(np.diff(ends).astype(np.int64)), pa.array(hashes, pa.string()),
                  batch["score"], batch["scores"], pa.array(same)],
