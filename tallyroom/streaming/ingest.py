@@ -95,17 +95,20 @@ def start_daily_rollup(
 ) -> StreamingQuery:
     """Append events, and add to ``partials_path`` what each micro-batch contributes to its
     days (see ``rollup.partial_stats``), so a late event reopens its day and no stored
-    event is read again. ``rollup.stats_from_partials`` gives the statistics."""
+    event is read again but for the ids of its days. ``rollup.stats_from_partials`` gives
+    the statistics. Events with an ``id`` count once, however files are grouped."""
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.persist()
+        dated = batch.withColumn("event_date", F.to_date("event_ts"))
+        if "id" in batch.columns:
+            dated = _unstored(dated, events_path, source, number)
+        dated.persist()
         try:
-            dated = batch.withColumn("event_date", F.to_date("event_ts"))
             replace_partitions(stamped(dated, source, number), events_path, "event_date", *STAMP)
-            partials = stamped(partial_stats(batch), source, number)
+            partials = stamped(partial_stats(dated), source, number)
             replace_partitions(partials, partials_path, "date", *STAMP)
         finally:
-            batch.unpersist()
+            dated.unpersist()
 
     return (
         events.writeStream.foreachBatch(store)

@@ -112,12 +112,16 @@ def test_late_events_reopen_their_day(spark, tmp_path):
     stream = parquet_stream(spark, df, str(tmp_path / "in"))
     paths = [str(tmp_path / p) for p in ("events", "stats", "checkpoint")]
     finish(ingest.start_daily_rollup(stream, *paths))
-    late = events(spark, dict(ts="2024-01-01T09:00:00", device_id="late"))
+    late = events(spark, dict(ts="2024-01-01T09:00:00", device_id="late", id=10_000))
     late.write.mode("append").parquet(str(tmp_path / "in"))
     finish(ingest.start_daily_rollup(stream, *paths))
     stats = stats_from_partials(spark.read.parquet(paths[1]))
     expected = rollup_daily_stats(df.unionByName(late))
     assert drop_stamp(dicts(stats.select(expected.columns))) == drop_stamp(dicts(expected))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    finish(ingest.start_daily_rollup(stream, *paths[:2], str(tmp_path / "lost")))
+    again = stats_from_partials(spark.read.parquet(paths[1]))
+    assert drop_stamp(dicts(again.select(expected.columns))) == drop_stamp(dicts(expected))
     compact_partials(spark.read.parquet(paths[1]), str(tmp_path / "closed"), at("2024-01-02").date())
     closed = stats_from_partials(spark.read.parquet(str(tmp_path / "closed")))
     kept = expected.filter("date < DATE '2024-01-02'")
