@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyroom.llm import bitmaps
 from tallyroom.llm.components import components
-from tallyroom.llm.tables import stored, whole_text
+from tallyroom.llm.tables import bounded_batches, stored, whole_text
 from tallyroom.llm.words import groups, mix, shingles
 
 #: Similarity: 100 * intersection >= PERCENT * union.
@@ -19,8 +19,8 @@ PERCENT = 75
 #: Share of the hash range whose rare shingles are all looked at over the corpus; those in no
 #: other class come first in prefixes. More of it moves more and leaves fewer candidates.
 LOW = 0.4
-#: A shingle is frequent if some batch of rows has it in this many classes.
-FREQUENT = 3
+#: A shingle is frequent if it is in this many classes among COUNTED shingles of some task.
+FREQUENT, COUNTED = 3, 1_000_000
 #: Frequent shingles of a prefix per group within which pairs are formed, and the level of
 #: size from which they are; smaller sets index frequent shingles singly as well.
 PAIRED, PAIRED_LEVEL = 8, 9
@@ -29,7 +29,6 @@ SCARCE = 64
 _U = np.uint64
 #: Shingles travel as their upper 48 bits; sets are compared by all 64.
 _TOKEN_SHIFT = _U(16)
-_MASK = _U(bitmaps.BITS - 1)
 _EDGE = _U(int(LOW * 2**64))
 
 
@@ -50,7 +49,7 @@ def pair_groups(level: int) -> int:
 
 
 def _place(tokens: np.ndarray) -> np.ndarray:
-    return (tokens >> _TOKEN_SHIFT) & _MASK
+    return tokens >> _TOKEN_SHIFT
 
 
 def head(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,17 +113,21 @@ def class_id(tokens: np.ndarray) -> int | None:
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per text, and a row for each shingle frequent in a batch."""
+    """A row per text, and a row for each shingle frequent among COUNTED of a task."""
+    tokens: dict[int, np.ndarray] = {}
+    held = 0
     for batch in batches:
-        sizes, names, tokens = [], [], {}
+        sizes, names, often = [], [], np.empty(0, np.int64)
         for texts in groups(batch["text"]):
             for found in shingles(texts):
                 sizes.append(len(found))
                 names.append(class_id(found))
-                if names[-1] is not None:
-                    tokens.setdefault(names[-1], found)
-        token, n = np.unique(np.concatenate([*tokens.values(), np.empty(0, _U)]), return_counts=True)
-        often = (token[n >= FREQUENT] >> _TOKEN_SHIFT).view(np.int64)
+                if names[-1] is not None and names[-1] not in tokens:
+                    tokens[names[-1]] = found
+                    held += len(found)
+            if held >= COUNTED:
+                often = np.append(often, _often(tokens))
+                tokens, held = {}, 0
         extra = len(often)
         yield pa.RecordBatch.from_arrays(
             [
@@ -134,13 +137,29 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=["doc_id", "n_shingles", "class", "often"],
         )
+        kind = batch["doc_id"].type
+    if tokens:
+        often = _often(tokens)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.nulls(len(often), kind), pa.array(np.zeros(len(often), np.int64)),
+                pa.nulls(len(often), pa.int64()), pa.array(often, pa.int64()),
+            ],
+            names=["doc_id", "n_shingles", "class", "often"],
+        )
+
 
+def _often(tokens: dict[int, np.ndarray]) -> np.ndarray:
+    token, n = np.unique(np.concatenate(list(tokens.values())), return_counts=True)
+    return (token[n >= FREQUENT] >> _TOKEN_SHIFT).view(np.int64)
 
-def _by_class(batches: Iterator[pa.RecordBatch], of_set) -> Iterator[pa.RecordBatch]:
-    """What ``of_set`` gives for each set, hashes and numbers, as (hash, class, n, most,
-    common); equal texts of a batch once."""
+
+def _by_class(batches: Iterator[pa.RecordBatch], of_set, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What ``of_set`` gives for each set, hashes and numbers, as ``names``: (hash, class,
+    number, ...); equal texts of a task once, as far as it remembers."""
+    seen: set[int] = set()
     for batch in batches:
-        seen = set()
+        seen = seen if len(seen) < 100_000 else set()
         for texts in groups(batch["text"]):
             columns = []
             for found in shingles(texts):
@@ -150,25 +169,22 @@ def _by_class(batches: Iterator[pa.RecordBatch], of_set) -> Iterator[pa.RecordBa
                 seen.add(name)
                 hashes, *numbers = of_set(found)
                 if len(hashes):
-                    row = np.array([[name, len(found), *(numbers or (0, 0))]])
-                    columns.append((hashes.view(np.int64), *row.repeat(len(hashes), 0).T))
+                    columns.append((hashes.view(np.int64), *[np.full(len(hashes), x) for x in (name, *numbers)]))
             if columns:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*columns)],
-                    names=["hash", "class", "n", "most", "common"],
-                )
-
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*columns)], names=names)
 
-_HASHES = "hash long, class long, n long, most long, common long"
 
+def _each_set(df: DataFrame, of_set, *numbers: str, bits: np.ndarray | None = None) -> DataFrame:
+    """(hash, class, numbers) that ``of_set`` gives for the texts of all rows of ``df``, or of
+    those whose ``place`` is in ``bits``."""
+    names = ["hash", "class", *numbers]
 
-def _each_set(of_set, bits: np.ndarray | None = None):
-    """``of_set`` for the texts of all rows, or of those whose place is in ``bits``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if bits is not None:
             batches = (b.filter(pa.array(bitmaps.contains(bits, b["place"].to_numpy()))) for b in batches)
-        yield from _by_class(batches, of_set)
-    return run
+        yield from _by_class(batches, of_set, names)
+
+    return df.mapInArrow(run, ", ".join(f"{name} long" for name in names))
 
 
 def _heads(frequent: np.ndarray):
@@ -186,7 +202,7 @@ def _scarce(shared: np.ndarray, often: np.ndarray):
         place = _place(found)
         met, many = bitmaps.contains(shared, place), bitmaps.contains(often, place)
         hashes = np.append(_U(0), found[met & ~many])
-        return hashes, int((met | many).sum()), int(many.sum())
+        return hashes, len(found), int((met | many).sum()), int(many.sum())
     return of_set
 
 
@@ -234,15 +250,12 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     text = docs.select(whole_text(F.col("text")).alias("text"))
     placed = docs.select(whole_text(F.col("text")).alias("text"), bitmaps.slot(F.col("doc_id")).alias("place"))
 
-    def low_bits(column: str):
-        return F.pmod(column, F.lit(bitmaps.BITS))
-
-    frequent = bitmaps.bitmap(classes.where("often IS NOT NULL").select("often").distinct(), low_bits("often"))
-    met = text.mapInArrow(_each_set(_heads(frequent)), _HASHES).groupBy("hash").agg(
+    frequent = bitmaps.bitmap(classes.where("often IS NOT NULL").select("often").distinct(), F.col("often"))
+    met = _each_set(text, _heads(frequent)).groupBy("hash").agg(
         F.min("class").alias("low"), F.max("class").alias("high")
     )
-    shared = bitmaps.bitmap(met.where("low <> high"), low_bits("hash"))
-    marks = text.mapInArrow(_each_set(_indexed(frequent, shared)), _HASHES)
+    shared = bitmaps.bitmap(stored(met.where("low <> high").select("hash"), "shared"), F.col("hash"))
+    marks = _each_set(text, _indexed(frequent, shared))
     marks = stored(marks.select(F.col("hash").alias("mark"), "class").distinct(), "marks")
     led = marks.groupBy("mark").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     live = stored(marks.join(led.where("low <> high").select("mark"), "mark"), "marks")
@@ -250,13 +263,15 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     representative = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     candidates = stored(live.select("class").distinct().join(representative, "class"), "candidates")
     bits = bitmaps.bitmap(candidates, bitmaps.slot(F.col("doc_id")))
-    all_tokens = placed.mapInArrow(_each_set(lambda found: (found >> _TOKEN_SHIFT,), bits), _HASHES)
+    all_tokens = _each_set(placed, lambda found: (found >> _TOKEN_SHIFT,), bits=bits)
     counted = all_tokens.groupBy("hash").agg(
         F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")
     )
     counted = stored(counted.where("low <> high").select("hash", (F.col("n") > SCARCE).alias("many")), "tokens")
-    scarce = _scarce(bitmaps.bitmap(counted, low_bits("hash")), bitmaps.bitmap(counted.where("many"), low_bits("hash")))
-    scarce = stored(placed.mapInArrow(_each_set(scarce, bits), _HASHES).distinct(), "scarce")
+    scarce = _scarce(
+        bitmaps.bitmap(counted, F.col("hash"), 64), bitmaps.bitmap(counted.where("many"), F.col("hash"), 512)
+    )
+    scarce = stored(_each_set(placed, scarce, "n", "most", "common", bits=bits).distinct(), "scarce")
     # A set that shares less than this with all others links with none.
     scarce = scarce.where(100 * F.col("most") >= PERCENT * F.col("n"))
     facts = scarce.where("hash = 0").select("class", "n", "most", "common")
@@ -325,6 +340,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     never meet. Rows with equal doc_id stay rows of their own and share a component if
     their texts are equal or link. A null doc_id links with nothing. No rows give no rows.
     """
+    bounded_batches(docs.sparkSession)
     known = F.when(F.col("doc_id").isNotNull(), F.col("text"))
     read = docs.select("doc_id", whole_text(known).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -343,6 +359,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The documents whose id is the smallest of their component, all columns kept."""
+    bounded_batches(docs.sparkSession)
     found = stored(similar_documents(docs), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
     bits = bitmaps.bitmap(gone, bitmaps.slot(F.col("_id")))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyroom.llm.quality import TERMS, term_counts
-from tallyroom.llm.tables import stored, whole_text
+from tallyroom.llm.tables import bounded_batches, stored, whole_text
 from tallyroom.llm.words import groups
 
 #: Byte triples overlap, so a text's evidence counts for this part of their sum.
@@ -113,6 +113,7 @@ def languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     again. Ties go to the language first by code. Without labelled documents lang is null
     and the posterior 0; without pages there are no rows.
     """
+    bounded_batches(pages.sparkSession)
     names, model = text_model(docs)
     page = F.coalesce(F.col("html"), F.lit(""))
     host, suffix = address(F.col("url"))

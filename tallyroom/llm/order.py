@@ -11,16 +11,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallyroom.llm import tokens
-from tallyroom.llm.tables import stored, whole_text
+from tallyroom.llm.tables import bounded_batches, stored, whole_text
 from tallyroom.session import scratch_path
 
-#: Tokens of a sequence and sequences of a shard: a shard has 1 MB, a slot 2 KB.
-LENGTH, SHARD_SLOTS = 1024, 512
+#: Tokens of a sequence and sequences of a shard: a shard has 1 MB, a slot 4 KB.
+LENGTH, SHARD_SLOTS = 2048, 256
 #: Ends a document; fills the last sequence of a partition.
 END, FILL = 50256, 65535
 ROUNDS = 6
 #: Documents, characters of each and bytes of the compression dictionary of the sequences.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 256, 20_000, 65_536
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 1024, 20_000, 65_536
 _U = np.uint64
 
 
@@ -180,6 +180,7 @@ def write_training_order(
     END alone; a null doc_id is listed as null; repeated rows are written again; no
     documents write no shards.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     words = tokens.load(vocabulary)
     text = whole_text(F.col("text"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallyroom.llm.tables import held_out, whole_text
+from tallyroom.llm.tables import bounded_batches, held_out, whole_text
 from tallyroom.llm.words import Texts, groups
 
 #: Hashed terms (byte triples), latent dimensions, labelled rows fitted on at most, and
@@ -118,10 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     rows = docs.select("doc_id", whole_text(F.col("text")).alias("text")).join(F.broadcast(known), "doc_id")
     rows = rows.mapInArrow(_labelled, f"doc_id {kind}, quality int, places binary, counts binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")]).slice(0, labelled)
-    counts = np.zeros((len(rows), TERMS), dtype=np.float32)
-    for i, (at, n) in enumerate(zip(rows["places"].to_pylist(), rows["counts"].to_pylist())):
-        counts[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
-    tfidf = weighted(counts, idf)
+    tfidf = np.zeros((len(rows), TERMS), dtype=np.float32)
+    for i, (at, n) in enumerate(zip(rows["places"], rows["counts"])):
+        tfidf[i, np.frombuffer(at.as_buffer(), "<u2")] = np.frombuffer(n.as_buffer(), "<f4")
+    for s in range(0, len(rows), 256):
+        tfidf[s : s + 256] = weighted(tfidf[s : s + 256], idf)
     axes = latent_axes(tfidf, LATENT) if len(rows) else np.zeros((TERMS, 1), np.float32)
     return Model(idf, axes, unit(tfidf @ axes), rows["quality"].to_numpy().astype(np.float64))
 
@@ -141,6 +142,7 @@ def scored(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Data
     0 and 1 teach nothing, repeated ones count once with the greater. A null doc_id is
     not held out.
     """
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, labelled))
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     rows = docs.select(*[F.col(f"`{c}`") for c in names], whole_text(F.col("text")).alias("_read"))

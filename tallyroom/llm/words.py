@@ -21,7 +21,7 @@ _PLACES = np.array(
 )
 SHINGLE = len(_PLACES)
 #: Texts are worked on together up to this many bytes; a longer one is worked on alone.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 _SLICE = 50_000
 
 

@@ -75,7 +75,7 @@ def test_few_scarce_shingles(copies, monkeypatch, scarce):
 
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(5)
-    half = np.zeros(jaccard.bitmaps.BITS // 8, dtype=np.uint8)
+    half = np.zeros(1 << 20, dtype=np.uint8)
     every = ~half
     half[::2] = 255
     for trial in range(400):
@@ -121,3 +121,17 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: found.find(i) for a, b in pairs if a is not None and a != b for i in (a, b)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_filters_lose_no_member(spark, monkeypatch):
+    bitmaps = jaccard.bitmaps
+    keys = np.random.default_rng(0).integers(0, 2**48, 5000)
+    df = spark.createDataFrame([(int(k),) for k in keys], "k long")
+    for most in (bitmaps.MOST, bitmaps.LEAST):
+        monkeypatch.setattr(bitmaps, "MOST", most)
+        monkeypatch.setattr(bitmaps, "LEAST", min(most, 1 << 15))
+        bits = bitmaps.bitmap(df, F.col("k"))
+        assert bitmaps.contains(bits, keys).all()
+        others = np.random.default_rng(1).integers(0, 2**48, 5000)
+        assert bitmaps.contains(bits, others).mean() < 0.2
+    assert not bitmaps.contains(bitmaps.bitmap(df.limit(0), F.col("k")), keys).any()
