@@ -6,11 +6,10 @@ from typing import NamedTuple
 
 import numpy as np
 
-#: Model ids: SIZE of SIDE classes of SIDE members; then the start of a text. The last
-#: member stands for all subwords that have no id of their own.
+#: Model ids: SIZE of SIDE classes of SIDE members; then the start of a text.
 SIDE = 32
 SIZE = SIDE * SIDE
-START, RARE = SIZE, SIZE - 1
+START = SIZE
 #: Width, hidden width, and a window's context and scored places.
 WIDTH, HIDDEN, CONTEXT, SCORED = 16, 32, 16, 32
 WINDOW = CONTEXT + SCORED
@@ -112,15 +111,23 @@ def _states(m: Model, ids: np.ndarray):
 
 
 def log_probabilities(m: Model, ids: np.ndarray, told: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the probabilities of the ids to tell, shaped like ``told``:
-    of the class, and of the member among its class, class by class."""
-    out = np.empty(told.shape, dtype=np.float32)
+    """Natural logarithms of the probabilities of the ids to tell, shaped like ``told``."""
+    return log_probabilities_and_opening(m, ids, told, SIDE)[0]
+
+
+def log_probabilities_and_opening(m: Model, ids: np.ndarray, told: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Natural logarithms of the probabilities of the ids to tell, shaped like ``told``: of
+    the class, and of the member among its class, class by class; and at the same places
+    those of any id of the first ``classes``."""
+    out, opening = (np.empty(told.shape, dtype=np.float32) for _ in range(2))
+    first = (np.arange(SIDE) < classes).astype(np.float32)
     for s in range(0, len(ids), TOLD):
         stop = min(len(ids), s + TOLD)
         state = np.concatenate([_states(m, ids[b : min(b + BLOCK, stop)])[0] for b in range(s, stop, BLOCK)])
         want = told[s:stop].ravel()
         group, member = want // SIDE, want % SIDE
         chance, total = _exponentials(state @ m.out + m.out_bias)
+        opening[s:stop] = np.log(chance @ first / total).reshape(-1, SCORED)
         result = np.log(np.take_along_axis(chance, group[:, None], 1)[:, 0] / total)
         order = np.argsort(group.astype(np.int8), kind="stable")
         state, member = state[order], member[order]
@@ -132,7 +139,7 @@ def log_probabilities(m: Model, ids: np.ndarray, told: np.ndarray) -> np.ndarray
             inner[rows] = np.take_along_axis(chance, member[rows, None], 1)[:, 0] / total
         result[order] += np.log(inner)
         out[s:stop] = result.reshape(-1, SCORED)
-    return out
+    return out, opening
 
 
 def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) -> tuple[float, Model]:
@@ -143,62 +150,104 @@ def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) ->
     group, member = want // SIDE, want % SIDE
     every = np.arange(len(want))
     p = _softmax(state @ m.out + m.out_bias)
-    inner = _softmax(np.matmul(state[:, None], m.member[group])[:, 0] + m.member_bias[group])
-    loss = -float((weight * (np.log(p[every, group] + 1e-30) + np.log(inner[every, member] + 1e-30))).sum())
+    loss = -float((weight * np.log(p[every, group] + 1e-30)).sum())
     p[every, group] -= 1
-    inner[every, member] -= 1
     p *= weight[:, None]
-    inner *= weight[:, None]
     g = {"out": state.T @ p, "out_bias": p.sum(0)}
+    ds = p @ m.out.T
+    # Members class by class, in the order of the classes.
     by_member, by_bias = np.zeros_like(m.member), np.zeros_like(m.member_bias)
-    ds = p @ m.out.T + np.matmul(m.member[group], inner[:, :, None])[:, :, 0]
-    for c in np.unique(group):
-        rows = group == c
-        by_member[c], by_bias[c] = state[rows].T @ inner[rows], inner[rows].sum(0)
+    order = np.argsort(group.astype(np.int8), kind="stable")
+    ends = np.searchsorted(group[order], np.arange(SIDE + 1))
+    ordered, member, weight = state[order], member[order], weight[order]
+    back = np.empty_like(ds)
+    for c in np.flatnonzero(np.diff(ends)):
+        rows = slice(ends[c], ends[c + 1])
+        inner = _softmax(ordered[rows] @ m.member[c] + m.member_bias[c])
+        at = every[: len(inner)]
+        loss -= float((weight[rows] * np.log(inner[at, member[rows]] + 1e-30)).sum())
+        inner[at, member[rows]] -= 1
+        inner *= weight[rows, None]
+        by_member[c], by_bias[c] = ordered[rows].T @ inner, inner.sum(0)
+        back[rows] = inner @ m.member[c].T
+    ds[order] += back
     g["member"], g["member_bias"] = by_member, by_bias
     g["down"] = up.T @ ds
     du = (ds @ m.down.T) * (up > 0)
     g["up"], g["up_bias"] = flat.T @ du, du.sum(0)
-    dh = (ds + du @ m.up.T).reshape(-1, SCORED, WIDTH)
-    g["mixed"] = np.tensordot(seen, dh, ([0, 1], [0, 1]))
-    dseen = dh @ m.mixed.T
+    flat_dh = ds + du @ m.up.T
+    dh = flat_dh.reshape(-1, SCORED, WIDTH)
+    g["mixed"] = seen.reshape(-1, WIDTH).T @ flat_dh
+    dseen = (flat_dh @ m.mixed.T).reshape(dh.shape)
+    # What is hidden has a share near 0; products of it would be subnormal, which is slow.
+    share[share < 1e-30] = 0
     dv = np.matmul(share.transpose(0, 2, 1), dseen)
-    dshare = np.matmul(dseen, v.transpose(0, 2, 1))
-    dscore = share * (dshare - (share * dshare).sum(-1, keepdims=True))
-    dq, dk = np.matmul(dscore, k), np.matmul(dscore.transpose(0, 2, 1), q)
+    dscore = np.matmul(dseen, v.transpose(0, 2, 1))
+    dscore -= (dseen * seen).sum(-1, keepdims=True)
+    dscore *= share
+    dq, dk = np.matmul(dscore, k).reshape(-1, WIDTH), np.matmul(dscore.transpose(0, 2, 1), q).reshape(-1, WIDTH)
     scale = np.float32(WIDTH**-0.5)
-    own = x[:, CONTEXT:]
-    g["query"] = np.tensordot(own, dq, ([0, 1], [0, 1])) * scale
-    g["key"] = np.tensordot(x, dk, ([0, 1], [0, 1]))
-    g["value"] = np.tensordot(x, dv, ([0, 1], [0, 1]))
-    dx = dk @ m.key.T + dv @ m.value.T
-    dx[:, CONTEXT:] += dh + (dq @ m.query.T) * scale
+    own, all_x, dv = x[:, CONTEXT:].reshape(-1, WIDTH), x.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
+    g["query"] = own.T @ dq * scale
+    g["key"], g["value"] = all_x.T @ dk, all_x.T @ dv
+    dx = (dk @ m.key.T + dv @ m.value.T).reshape(x.shape)
+    dx[:, CONTEXT:] += dh + (dq @ m.query.T).reshape(dh.shape) * scale
     g["place"] = dx.sum(0)
     by_embed = np.zeros_like(m.embed)
-    np.add.at(by_embed, np.where(none, START, ids).ravel(), dx.reshape(-1, WIDTH))
+    read = np.where(none, START, ids).ravel()
+    order = np.argsort(read.astype(np.int16), kind="stable")
+    read = read[order]
+    first = np.flatnonzero(np.diff(read, prepend=-1))
+    by_embed[read[first]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first)
     g["embed"] = by_embed
     return loss, Model(**g)
 
 
-def train(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray, steps: int, batch: int, seed: int) -> Model:
-    """Adam with a falling rate over drawn windows."""
-    rng = np.random.default_rng(seed)
-    m = Model(*[p.copy() for p in m])
-    first, second = ([np.zeros_like(p) for p in m] for _ in range(2))
-    for n in range(1, steps + 1 if len(ids) else 1):
-        pick = rng.integers(0, len(ids), batch)
-        _, slope = gradients(m, ids[pick], told[pick], there[pick])
-        pace = 0.01 * min(1.0, n / 30) * (1 - n / (steps + 1)) ** 0.5
-        for p, s, a, b in zip(m, slope, first, second):
+class Learner(NamedTuple):
+    """A model and the moments of its gradients, changed in place."""
+
+    model: Model
+    first: Model
+    second: Model
+
+    def learn(self, n: int, done: float, *windows: np.ndarray) -> None:
+        """Adam's step ``n``, from 1 on, when the part ``done`` of all steps is behind."""
+        _, slope = gradients(self.model, *windows)
+        pace = 0.01 * min(1.0, n / 30) * (1 - done) ** 0.5
+        for p, s, a, b in zip(self.model, slope, self.first, self.second):
             a += 0.1 * (s - a)
             b += 0.01 * (s * s - b)
             p -= (pace * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.99**n)) + 1e-7)).astype(np.float32)
-    return m
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for part in self for p in part])
+
+    def filled(self, flat: np.ndarray) -> Learner:
+        """A learner of these shapes with the numbers of ``flat``."""
+        ends = np.cumsum([p.size for part in self for p in part])
+        cut = iter(np.split(np.array(flat, dtype=np.float32), ends[:-1]))
+        return Learner(*[Model(*[next(cut).reshape(p.shape) for p in part]) for part in self])
+
+
+def learner(m: Model) -> Learner:
+    return Learner(Model(*[p.copy() for p in m]), *[Model(*[np.zeros_like(p) for p in m]) for _ in range(2)])
+
+
+def train(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray, steps: int, batch: int, seed: int) -> Model:
+    """Adam with a falling rate over all windows in a drawn order, again and again."""
+    rng = np.random.default_rng(seed)
+    mine, order = learner(m), np.empty(0, dtype=np.int64)
+    for n in range(1, steps + 1 if len(ids) else 1):
+        while len(order) < batch:
+            order = np.concatenate([order, rng.permutation(len(ids))])
+        pick, order = order[:batch], order[batch:]
+        mine.learn(n, n / (steps + 1), ids[pick], told[pick], there[pick])
+    return mine.model
 
 
 def arranged(counts: np.ndarray, follow: np.ndarray) -> np.ndarray:
-    """An order of SIZE ids in which neighbours follow similar ids: halves by the first
-    principal direction, again and again, down to classes of SIDE. ``follow`` (SIZE, n)
+    """An order of ids in which neighbours follow similar ids: halves of whole classes by the
+    first principal direction, again and again, down to classes of SIDE. ``follow`` (ids, n)
     counts what each id follows."""
     share = np.log1p(follow) / (1 + np.log1p(counts))[:, None]
 
@@ -211,6 +260,7 @@ def arranged(counts: np.ndarray, follow: np.ndarray) -> np.ndarray:
             line = x.T @ (x @ line) + 1e-12
             line /= np.linalg.norm(line)
         rows = rows[np.argsort(x @ line, kind="stable")]
-        return split(rows[: len(rows) // 2]) + split(rows[len(rows) // 2 :])
+        half = max(1, len(rows) // SIDE // 2) * SIDE
+        return split(rows[:half]) + split(rows[half:])
 
     return np.concatenate(split(np.arange(len(counts))))

@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+import base64
 from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tallyroom.llm import attention, tokens
-from tallyroom.llm.attention import RARE, SCORED, SIZE, Model
+from tallyroom.llm.attention import CONTEXT, SCORED, SIDE, SIZE, START, WINDOW, Model
 from tallyroom.llm.pieces import ranges
 from tallyroom.llm.tables import bounded_batches, held_out, stored, whole_text
 from tallyroom.llm.words import Texts, groups, mix, word_hashes, words
+from tallyroom.session import scratch_path
 
 #: Rows learned from leave another remainder of crc32(doc_id) modulo 7.
 FOLDS, HELD_OUT = 7, 2
-#: Documents the subword model is trained on at most, subwords of each, steps, windows a step.
-SAMPLE_DOCS, SAMPLE_IDS, STEPS, BATCH = 3000, 1536, 900, 64
+#: Steps of the subword model at least (all windows are learned from in any case), windows a step.
+STEPS, BATCH = 900, 128
+#: Every so manyth learned document tunes the mixture instead of teaching the subword model.
+TUNING = 16
+#: Subwords that travel together; words for which one more task learns, tasks at most;
+#: rounds after which tasks' models are averaged; pieces of a model while averaged.
+STRETCH, TASK_WORDS, TASKS, ROUNDS, CHUNKS = 16 * SCORED, 1 << 20, 2048, 16, 8
+#: What stands for no subword and for the start of a text before a stretch.
+NONE_ID, START_ID = 65535, 65534
 #: Words at least this often per so many are sent to all tasks: at most so many words.
 FREQUENT = 1 << 20
 #: Subwords of so many distinct words are remembered by a process.
@@ -32,12 +42,14 @@ COUNTED = 4_000_000
 
 
 class Scorer(NamedTuple):
-    """The subword model with its map from vocabulary ids to its own, how rare ids share the
-    last one's probability, the shares of the model in the mixture, and the counts of frequent words."""
+    """The subword model with its map from vocabulary ids to its own, how rare ids share an
+    id's probability, how many of its first classes hold the ids that begin a word or end the
+    text (and no others), the share of the model in the mixture, and the counts of frequent words."""
 
     model: Model
     own: np.ndarray
     rare: np.ndarray
+    opening: int
     part: float
     frequent: np.ndarray
     counts: np.ndarray
@@ -144,105 +156,321 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted()
 
 
-def _sampled(vocabulary):
-    """Subwords of a stretch of each text, from a hashed place on."""
+def _cut(vocabulary):
+    """All subwords of each text in stretches, with what stands before each, and a hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.encoding(vocabulary.value)
+        before = np.array([NONE_ID] * CONTEXT + [START_ID], dtype="<u2")
         for batch in batches:
-            out = []
+            row, tuning = batch["row"].to_numpy(), batch["tuning"].to_numpy(zero_copy_only=False)
             for t in groups(batch["text"]):
                 s = streams(encoder, t)
-                for a, n in zip(s.text_start.tolist(), s.text_size.tolist()):
-                    skip = (n * 2654435761 % 2**32) % max(1, n - SAMPLE_IDS + 1)
-                    out.append(s.ids[a + skip : a + min(n, skip + SAMPLE_IDS)].astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(out, pa.binary())], names=["row", "ids"])
+                number = -(-s.text_size // STRETCH)
+                place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+                text = np.repeat(np.arange(len(number)), number) + t.first
+                hashes = mix(mix(row[text].astype(np.uint64)) + place.astype(np.uint64)).view(np.int64)
+                out = []
+                for first, n in zip(s.text_start.tolist(), s.text_size.tolist()):
+                    led = np.concatenate([before, s.ids[first : first + n].astype("<u2")])
+                    out += [led[a : a + len(before) + STRETCH].tobytes() for a in range(0, n, STRETCH)]
+                # Some thousand stretches at a time, however long a text is.
+                for a in range(0, len(out), 4096):
+                    z = slice(a, a + 4096)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(hashes[z]), pa.array(tuning[text[z]]), pa.array(out[z], pa.binary())],
+                        names=["stretch", "tuning", "ids"],
+                    )
     return run
 
 
-def trained(sample: list[np.ndarray], vocabulary: int, seed: int = 1) -> tuple[Model, np.ndarray, np.ndarray]:
-    """The model, the map of vocabulary ids to its own, and the logarithm of each id's share
-    of its model id (0 but for those that share RARE)."""
-    flat = np.concatenate(sample).astype(np.int64) if sample else np.empty(0, np.int64)
-    counts = np.bincount(flat, minlength=vocabulary)
-    common = np.argsort(-counts, kind="stable")[: SIZE - 1]
-    own = np.full(vocabulary, RARE, dtype=np.int64)
-    own[common] = np.arange(len(common))
-    part = own[flat]
-    follow = np.zeros((SIZE, 256))
-    if len(part) > 1:
-        near = part[:-1] < 256
-        np.add.at(follow, (part[1:][near], part[:-1][near]), 1)
-    sizes = np.bincount(part, minlength=SIZE)
-    # RARE keeps the last place; the others are arranged in classes before it.
-    order = attention.arranged(sizes[: SIZE].astype(float), follow)
-    order = np.append(order[order != RARE], RARE)
+def _stretches(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subwords of some stretches, where those to tell begin, and how many they are."""
+    raw = column.to_pylist()
+    size = np.array([len(x) // 2 for x in raw], dtype=np.int64)
+    return np.frombuffer(b"".join(raw), "<u2"), np.cumsum(size) - size + CONTEXT + 1, size - CONTEXT - 1
+
+
+def _windows(own: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of some stretches: ids read, ids to tell, and which of these are there."""
+    flat, first, count = _stretches(column)
+    number = -(-count // SCORED)
+    which = np.repeat(np.arange(len(count)), number)
+    start = first[which] + (np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number)) * SCORED
+    end = (first + count)[which][:, None]
+    read = start[:, None] - CONTEXT - 1 + np.arange(WINDOW)
+    told = start[:, None] + np.arange(SCORED)
+    there = told < end
+    flat = own[flat]
+    ids = np.where(read < end, flat[np.minimum(read, len(flat) - 1)], -1)
+    return ids, np.where(there, flat[np.minimum(told, len(flat) - 1)], 0), there
+
+
+def _summed(name: str, size: int, numbers):
+    """(name, n): how often each of ``size`` numbers occurs in all of a task's stretches."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, dtype=np.int64)
+        for batch in batches:
+            if len(batch):
+                total += np.bincount(numbers(*_stretches(batch["ids"])), minlength=size)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=[name, "n"])
+    return run
+
+
+def _totals(stretches: DataFrame, size: int, numbers) -> np.ndarray:
+    counts = stretches.select("ids").mapInArrow(_summed("number", size, numbers), "number long, n long")
+    counts = counts.groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, dtype=np.int64)
+    out[counts["number"].to_numpy()] = counts["n"].to_numpy()
+    return out
+
+
+class Ids(NamedTuple):
+    """The map of vocabulary ids to the model's, the logarithm of each one's share of its
+    model id (0 but for rare ones), the classes of those that begin a word or end the text,
+    and the counts of the model's ids."""
+
+    own: np.ndarray
+    rare: np.ndarray
+    opening: int
+    sizes: np.ndarray
+
+
+def model_ids(stretches: DataFrame, opens: np.ndarray) -> Ids:
+    """The model's ids from the counts of all ``stretches``: the most frequent subwords that
+    begin a word or end the text (``opens``), and the rest of these as one; then the others."""
+    counts = _totals(stretches, len(opens), _told)
+    ranked = np.argsort(-counts, kind="stable")
+    first = min(SIDE - 1, max(1, round((opens[ranked[: SIZE - 2]].sum() + 1) / SIDE))) * SIDE
+    own, rare = np.empty(len(opens), dtype=np.int64), np.zeros(len(opens), dtype=np.float32)
+    for kind, start, places in ((opens, 0, first), (~opens, first, SIZE - first)):
+        mine = ranked[kind[ranked]]
+        own[mine] = start + np.minimum(np.arange(len(mine)), places - 1)
+        rest = mine[places - 1 :]
+        rare[rest] = np.log((counts[rest] + 1) / (counts[rest] + 1).sum())
+    sizes = np.bincount(own, weights=counts, minlength=SIZE)
+    # Classes hold ids that follow the same frequent ones.
+    column = np.full(SIZE, -1)
+    column[np.argsort(-sizes, kind="stable")[:256]] = np.arange(256)
+    follow = _totals(stretches, SIZE * 256, _pairs(own, column)).reshape(SIZE, 256)
+    order = [attention.arranged(sizes[z], follow[z]) + z.start for z in (slice(0, first), slice(first, SIZE))]
+    order = np.concatenate(order)
     place = np.empty(SIZE, dtype=np.int64)
     place[order] = np.arange(SIZE)
-    own = place[own]
-    many = own == RARE
-    rare = np.where(many, np.log((counts + 1) / (counts + 1)[many].sum()), 0).astype(np.float32)
-    model = attention.new_model(sizes[order].astype(float), seed)
-    ends = np.cumsum([len(x) for x in sample]) if sample else np.empty(0, np.int64)
-    lengths = np.diff(np.concatenate([[0], ends])).astype(np.int64)
-    ids, told, at = attention.windows(own[flat], (ends - lengths).astype(np.int64), lengths)
-    return attention.train(model, ids, told, at >= 0, STEPS, BATCH, seed), own, rare
+    return Ids(place[own], rare, first // SIDE, sizes[order])
+
+
+def _told(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return flat[ranges(first, count)]
+
+
+def _pairs(own: np.ndarray, column: np.ndarray):
+    def numbers(flat: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        at = ranges(first, count)
+        before, at = flat[at - 1], at[flat[at - 1] < len(own)]
+        before = column[own[before[before < len(own)]]]
+        return own[flat[at[before >= 0]]] * 256 + before[before >= 0]
+    return numbers
+
+
+def _read_map(own: np.ndarray) -> np.ndarray:
+    """``own`` for all 16-bit numbers, what stands before a text included."""
+    out = np.full(1 << 16, -1, dtype=np.int32)
+    out[: len(own)] = own
+    out[START_ID] = START
+    return out
+
+
+def _learning(given, own, number: int, rounds: int, expected: float, seed: int):
+    """A task's model after learning from all its stretches, in pieces, with its windows'
+    number. The only task of the only round learns at least STEPS steps."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = given.value.filled(given.value.flat())
+        seen = step = 0
+        held: list[tuple] = []
+
+        def joined():
+            return [np.concatenate(x) for x in zip(*held)]
+
+        for batch in batches:
+            for a in range(0, len(batch), 256):
+                held.append(_windows(own.value, batch["ids"][a : a + 256]))
+                seen += len(held[-1][0])
+                if rounds == 1:
+                    continue
+                now = joined()
+                whole = len(now[0]) // BATCH * BATCH
+                for b in range(0, whole, BATCH):
+                    step += 1
+                    done = (number + min(1.0, step / expected)) / rounds
+                    mine.learn(int(number * expected) + step, min(done, 1 - 0.5 / rounds / expected),
+                               *[x[b : b + BATCH] for x in now])
+                held = [tuple(x[whole:] for x in now)]
+        if not seen:
+            return
+        now = joined()
+        if rounds == 1:
+            steps = max(STEPS, -(-seen // BATCH))
+            model = attention.train(mine.model, *now, steps, BATCH, seed)
+            mine = mine._replace(model=model)
+        elif len(now[0]):
+            mine.learn(int(number * expected) + step + 1, min(1.0, number / rounds + 0.5 / rounds), *now)
+        pieces = [x.tobytes() for x in np.array_split(mine.flat(), CHUNKS)]
+        task = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int32()),
+             pa.array([seen] * CHUNKS, pa.int64()), pa.array(pieces, pa.binary())],
+            names=["chunk", "task", "windows", "numbers"],
+        )
+    return run
+
+
+_PIECES = "chunk int, task int, windows long, numbers binary"
+
+
+def _averaged(table: pa.Table) -> pa.Table:
+    """One piece of the tasks' models, by their numbers of windows, in the tasks' order."""
+    table = table.sort_by("task")
+    weights, total = table["windows"].to_pylist(), 0.0
+    for w, x in zip(weights, table["numbers"]):
+        total = total + np.frombuffer(x.as_py(), np.float32).astype(np.float64) * w
+    piece = (total / sum(weights)).astype(np.float32).tobytes()
+    return pa.table(
+        [table["chunk"][:1].combine_chunks(), pa.array([0], pa.int32()), pa.array([sum(weights)], pa.int64()),
+         pa.array([piece], pa.binary())],
+        names=["chunk", "task", "windows", "numbers"],
+    )
+
+
+def learned_model(stretches: DataFrame, ids: Ids, tasks: int, rounds: int, seed: int = 1) -> tuple[Model, int]:
+    """The model, and the number of windows learned from: all of those of ``stretches``
+    (round, ids). In each round tasks learn from their windows, step by step from one
+    model, and the average of theirs is the next one. Where there are few, one task goes
+    over them until it has made STEPS steps; more rounds go over the data again."""
+    spark = stretches.sparkSession
+    mine = attention.learner(attention.new_model(ids.sizes, seed))
+    own = spark.sparkContext.broadcast(_read_map(ids.own))
+    size = F.ceil((F.octet_length("ids") / 2 - CONTEXT - 1) / SCORED)
+    total = stretches.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    workers = min(tasks, max(1, spark.sparkContext.defaultParallelism))
+    again = max(1, -(-STEPS * BATCH * workers // max(1, total))) if rounds > 1 else 1
+    expected = max(1.0, total / (rounds * BATCH * workers))
+    seen = 0
+    for number in range(rounds * again):
+        given = spark.sparkContext.broadcast(mine)
+        part = stretches.where(F.col("round") == number % rounds).select("ids")
+        part = part.coalesce(1) if rounds == 1 else part
+        run = _learning(given, own, number, rounds * again, expected, seed)
+        pieces = part.mapInArrow(run, _PIECES).groupBy("chunk").applyInArrow(_averaged, _PIECES).toArrow()
+        given.unpersist()
+        if len(pieces):
+            pieces = pieces.sort_by("chunk")
+            mine = mine.filled(np.frombuffer(b"".join(pieces["numbers"].to_pylist()), np.float32))
+            seen += pieces["windows"][0].as_py()
+    return mine.model, seen
+
+
+def opening_ids(vocabulary: bytes) -> np.ndarray:
+    """Which vocabulary ids begin a word, that is with a space, or end a text."""
+    lines = [line.split() for line in vocabulary.splitlines() if line]
+    out = np.zeros(len(lines) + 1, dtype=bool)
+    for word, number in lines:
+        out[int(number)] = base64.b64decode(word).startswith(b" ")
+    out[-1] = True
+    return out
 
 
 def fitted(docs: DataFrame, counts: DataFrame, vocabulary: str = tokens.VOCABULARY) -> Scorer:
     """A scorer for ``docs`` (row, learned, text) and the ``counts`` (word, n) of what is learned.
 
-    The subword model is trained on stretches of SAMPLE_DOCS hashed documents; its part in
-    the mixture is the one that gives a tenth of these documents, which it was not trained
-    on, the greatest probability, their own words taken from the counts."""
+    Subwords are counted over all learned documents. The subword model learns from all
+    windows of these but for one document in TUNING, by hash; its part in the mixture is
+    the one that gives those the greatest probability, their own words taken from the counts."""
     spark = docs.sparkSession
     data = tokens.load(vocabulary)
-    size = len(data.splitlines()) + 1
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = counts.where(F.col("n") * FREQUENT >= total).toArrow().sort_by("word")
     frequent, n = frequent["word"].to_numpy(), frequent["n"].to_numpy()
-    learned = docs.where("learned")
-    share = SAMPLE_DOCS / max(1, learned.count())
-    if share < 1:
-        learned = learned.where(F.xxhash64(F.lit(17), "row") < F.lit(int(2**64 * min(1.0, 1.2 * share)) - 2**63))
-    sample = learned.orderBy(F.xxhash64(F.lit(17), "row"), "row").limit(SAMPLE_DOCS)
-    sample = sample.select("row", "text").mapInArrow(_sampled(spark.sparkContext.broadcast(data)), "row long, ids binary")
-    sample = sample.toArrow().sort_by("row")["ids"].to_pylist()
-    sample = [np.frombuffer(x, "<u2") for x in sample]
-    tuning = max(1, len(sample) // 10)
-    model, own, rare = trained(sample[tuning:], size)
-    scorer = Scorer(model, own, rare, 0.5, frequent, n, total, distinct)
-    if len(sample) <= tuning:
-        return scorer
-    return scorer._replace(part=_best_part(scorer, counts, learned, sample[:tuning], data))
-
-
-def _best_part(scorer: Scorer, counts: DataFrame, learned, sample: list[np.ndarray], data: bytes) -> float:
-    """The part of the model among twentieths that suits the tuning stretches best."""
-    encoder = tokens.encoding(data)
-    texts = ["".join(_decoded(encoder, x)) for x in sample]
-    column = pa.array(texts, pa.large_string())
-    word, log_model, text = [], [], []
-    for t in groups(column):
-        s = streams(encoder, t)
-        word.append(s.word_hash)
-        log_model.append(word_log_probabilities(scorer, s))
-        text.append(s.word_text + t.first)
-    word, log_model, text = map(np.concatenate, (word, log_model, text))
-    spark = counts.sparkSession
-    asked = spark.createDataFrame(pa.table({"word": np.unique(word)}))
-    known = counts.join(F.broadcast(asked), "word").toArrow().sort_by("word")
-    names, n = known["word"].to_numpy(), known["n"].to_numpy()
-    at = np.minimum(np.searchsorted(names, word), max(0, len(names) - 1))
-    c = np.where(names[at] == word, n[at], 0) if len(names) else np.zeros(len(word), int)
-    # What a stretch adds to the counts itself does not speak for them.
-    _, which, times = np.unique(np.stack([text, word]), axis=1, return_inverse=True, return_counts=True)
-    c = np.maximum(c - times[which.ravel()], 0)
-    parts = [i / 20 for i in range(1, 20)]
-    return max(parts, key=lambda p: scorer._replace(part=p).mixed(c, log_model).sum())
-
-
-def _decoded(encoder, ids: np.ndarray) -> str:
-    return encoder.decode([i for i in ids.tolist() if i != 50256])
+    tasks = min(TASKS, max(1, total // TASK_WORDS))
+    rounds = ROUNDS if tasks > 1 else 1
+    tuning = F.pmod(F.xxhash64(F.lit(17), "row"), F.lit(TUNING)) == 0
+    learned = docs.where("learned").select("row", tuning.alias("tuning"), "text")
+    sent = spark.sparkContext.broadcast(data)
+    stretches = learned.mapInArrow(_cut(sent), "stretch long, tuning boolean, ids binary")
+    stretches = stretches.repartition(tasks, "stretch").select(
+        F.when(F.col("tuning"), -1).otherwise(F.pmod(F.shiftright("stretch", 20), F.lit(rounds))).cast("int").alias("round"),
+        "stretch", "ids",
+    )
+    path = scratch_path(spark, "stretches")
+    stretches.sortWithinPartitions("round", "stretch").write.partitionBy("round").parquet(path)
+    stretches = spark.read.schema("stretch long, ids binary, round int").parquet(path)
+    ids = model_ids(stretches, opening_ids(data))
+    model, _ = learned_model(stretches.where("round >= 0"), ids, tasks, rounds)
+    scorer = Scorer(model, ids.own, ids.rare, ids.opening, 0.5, frequent, n, total, distinct)
+    return scorer._replace(part=_best_part(scorer, counts, learned.where("tuning").select("text"), sent))
+
+
+#: Shares of the model among which the best is taken.
+_SHARES = [i / 20 for i in range(1, 20)]
+
+
+def _tuned(scorer, vocabulary):
+    """The scores of the frequent words of each text, summed for each of _SHARES, and a row
+    for each other word. What a text adds to the counts itself does not speak for its words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, told = tokens.encoding(vocabulary.value), scorer.value
+        each = [told._replace(part=p) for p in _SHARES]
+        for batch in batches:
+            for t in groups(batch["text"]):
+                s = streams(encoder, t)
+                log_model = word_log_probabilities(told, s)
+                order = np.lexsort((s.word_hash, s.word_text))
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (np.diff(s.word_hash[order]) != 0) | (np.diff(s.word_text[order]) != 0)
+                times = np.empty(len(order), dtype=np.int64)
+                times[order] = np.diff(np.append(np.flatnonzero(new), len(order)))[np.cumsum(new) - 1]
+                at = np.minimum(np.searchsorted(told.frequent, s.word_hash), max(0, len(told.frequent) - 1))
+                known = told.frequent[at] == s.word_hash if len(told.frequent) else np.zeros(len(at), bool)
+                c = told.counts[at[known]] - times[known] if len(told.counts) else at[known]
+                sums = [float(x.mixed(np.maximum(c, 0), log_model[known]).sum()) for x in each]
+                word, times, log_model = s.word_hash[~known], times[~known], log_model[~known]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(word, word_key(s))), pa.array(np.append(times, 0)),
+                     pa.array(np.append(log_model, np.float32(np.nan)), pa.float32()),
+                     pa.array([None] * len(word) + [sums], pa.list_(pa.float64()))],
+                    names=["word", "times", "log_model", "sums"],
+                )
+    return run
+
+
+def word_key(s: Streams) -> int:
+    """A number for some texts that falls on a word's hash but by chance."""
+    with np.errstate(over="ignore"):
+        return int(mix(s.word_hash.view(np.uint64).sum(keepdims=True) + np.uint64(len(s.ids))).view(np.int64)[0])
+
+
+def _best_part(scorer: Scorer, counts: DataFrame, texts: DataFrame, vocabulary) -> float:
+    """The part of the model among _SHARES that suits all tuning texts best."""
+    sent = counts.sparkSession.sparkContext.broadcast(scorer)
+    parts = texts.mapInArrow(_tuned(sent, vocabulary), "word long, times long, log_model float, sums array<double>")
+    less = counts.where(F.col("n") * FREQUENT < scorer.total)
+    parts = parts.join(less, "word", "left")
+    c = F.greatest(F.coalesce("n", F.lit(0)) - F.col("times"), F.lit(0))
+    word, told = ~F.isnan("log_model"), F.col("log_model").cast("double")
+    sums = []
+    for i, p in enumerate(_SHARES):
+        score = _mixed(c, told, p, scorer.total)
+        sums.append(F.sum(F.when(word, score).otherwise(F.col("sums")[i])))
+    sums = parts.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()
+    return max(zip(sums, _SHARES))[1] if sums[0] is not None else scorer.part
+
+
+def _mixed(c, log_model, part: float, total: int):
+    """Scorer.mixed as a column."""
+    share = F.lit((1 - part) / max(1, total)) * c
+    return F.when(c > 0, F.log10(share + F.lit(part) * F.exp(log_model))).otherwise(
+        (log_model + F.lit(float(np.log(part)))) / F.lit(float(np.log(10)))
+    )
 
 
 def _scored(scorer, vocabulary):
@@ -285,9 +513,9 @@ def scored(docs: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
 
     Tokens are the words, A-Z in lower case, and an end. Their counts are taken over all
     documents that are not held out. ``score`` mixes two probabilities of each word: its
-    share of the counts, and the product over its subwords from a causal self-attention
-    model, which reads the whole text in overlapping windows and tells every subword once
-    from what stands before it. Frequent words, at most FREQUENT of them, are looked up in
+    share of the counts, and the product over its subwords, and of its end, from a causal
+    self-attention model, which reads the whole text in overlapping windows and tells every
+    subword once from what stands before it; both sum to at most 1 over all words. Frequent words, at most FREQUENT of them, are looked up in
     the tasks; the others of each text meet their counts in a join by word, which no
     frequent word can make uneven, and their sums meet the text again.
 
@@ -313,10 +541,7 @@ def scored(docs: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
     less = counts.where(F.col("n") * FREQUENT < scorer.total)
     parts = parts.join(less, "word", "left").withColumn("c", F.coalesce("n", F.lit(0)))
     word = ~F.isnan("log_model")
-    share = F.lit((1 - scorer.part) / max(1, scorer.total)) * F.col("c")
-    mixed = F.when(
-        F.col("c") > 0, F.log10(share + F.lit(scorer.part) * F.exp(F.col("log_model").cast("double")))
-    ).otherwise((F.col("log_model").cast("double") + F.lit(float(np.log(scorer.part)))) / F.lit(float(np.log(10))))
+    mixed = _mixed(F.col("c"), F.col("log_model").cast("double"), scorer.part, scorer.total)
     base = F.log10((F.col("c") + 1.0) / F.lit(scorer.total + scorer.distinct + 1.0))
     sums = parts.groupBy("row").agg(
         F.sum("n_tokens").alias("n_tokens"),

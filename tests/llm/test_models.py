@@ -182,3 +182,35 @@ def test_training_lowers_the_loss_on_other_text():
     trained = attention.train(model, ids[:400], told[:400], at[:400] >= 0, 150, 32, 1)
     before, after = (attention.log_probabilities(m, ids[400:], told[400:])[at[400:] >= 0].mean() for m in (model, trained))
     assert after > before + 1.5
+
+
+def test_every_subword_of_every_text_is_learned_from(spark, make_docs, quick, monkeypatch):
+    rng = np.random.default_rng(3)
+    names = ["alder", "birch", "cedar", "maple", "rowan", "willow"]
+    rows = [(i, " ".join(rng.choice(names, 40 if i % 9 else 5000)) + " quince") for i in range(90)]
+    docs = make_docs(*rows).selectExpr("doc_id AS row", "true AS learned", "text").repartition(3)
+    data = lm.tokens.load()
+    encoder = lm.tokens.encoding(data)
+    ids = {i: [*lm.tokens.encode(encoder, " " + text).tolist(), 50256] for i, text in rows}
+    cut = docs.selectExpr("row", "row % 9 = 1 AS tuning", "text")
+    cut = cut.mapInArrow(lm._cut(spark.sparkContext.broadcast(data)), "stretch long, tuning boolean, ids binary")
+    counts = np.bincount(np.concatenate(list(ids.values())), minlength=50257)
+    assert (lm._totals(cut, 50257, lm._told) == counts).all()
+    # All windows, in one task or in many that are averaged.
+    opens = lm.opening_ids(data)
+    chosen = lm.model_ids(cut, opens)
+    common = np.flatnonzero(counts)
+    assert (chosen.rare[common] == 0).all() and len(set(chosen.own[common])) == len(common)
+    assert ((chosen.own < chosen.opening * attention.SIDE) == opens).all()
+    for kind in (opens, ~opens):
+        assert np.exp(chosen.rare[kind & (chosen.rare < 0)].astype(float)).sum() == pytest.approx(1, abs=1e-4)
+    windows = sum(-(-len(x) // attention.SCORED) for x in ids.values())
+    for tasks, rounds in ((1, 1), (3, 4)):
+        parted = cut.selectExpr(f"CAST(pmod(stretch, {rounds}) AS int) AS round", "ids")
+        model, seen = lm.learned_model(parted, chosen, tasks, rounds)
+        assert seen >= windows and seen % windows == 0
+        stream = chosen.own[np.array(ids[0])]
+        mine, told, at = attention.windows(stream, np.array([0]), np.array([len(stream)]))
+        fresh = attention.new_model(chosen.sizes, 1)
+        before, after = (attention.log_probabilities(m, mine, told)[at >= 0].mean() for m in (fresh, model))
+        assert after > before + 0.1
