@@ -126,14 +126,23 @@ def streams(encoder, texts: Texts) -> Streams:
 
 
 def word_log_probabilities(scorer: Scorer, s: Streams) -> np.ndarray:
-    """Natural logarithm of the model's probability of each word, all its subwords told once."""
+    """Natural logarithm of the model's probability of each word after the words before it:
+    all its subwords, each told once, and that the next one begins a word or ends the text,
+    given that the word before had ended."""
     own = scorer.own[s.ids]
-    out = np.empty(len(own), dtype=np.float32)
+    out, opening = (np.empty(len(own), dtype=np.float32) for _ in range(2))
     ids, told, at = attention.windows(own, s.text_start, s.text_size)
     there = at >= 0
-    out[at[there]] = attention.log_probabilities(scorer.model, ids, told)[there]
+    some, opens = attention.log_probabilities_and_opening(scorer.model, ids, told, scorer.opening)
+    out[at[there]], opening[at[there]] = some[there], opens[there]
     out += scorer.rare[s.ids]
-    return np.add.reduceat(out, s.word_start) if len(out) else out
+    if not len(out):
+        return out
+    begun = opening[s.word_start]
+    ended = np.append(begun[1:], np.float32(0))
+    # Nothing follows the end of a text.
+    ended[np.append(s.word_text[1:] != s.word_text[:-1], True)] = 0
+    return np.add.reduceat(out, s.word_start) + ended - begun
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

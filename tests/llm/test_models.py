@@ -214,3 +214,33 @@ def test_every_subword_of_every_text_is_learned_from(spark, make_docs, quick, mo
         fresh = attention.new_model(chosen.sizes, 1)
         before, after = (attention.log_probabilities(m, mine, told)[at >= 0].mean() for m in (fresh, model))
         assert after > before + 0.1
+
+
+def test_mixture_sums_to_at_most_one_over_words():
+    data = lm.tokens.load()
+    encoder = lm.tokens.encoding(data)
+    heads = [w for w in "the of and to in is was for that with on as by it at from his he an are were which this be or had not but her they have one".split()]
+    tails = [c for c in "! # % & ( ) * + , - . / : ; < = > ? @ [ ] ^ _ ` { | } ~ \" $ .. --".split()]
+    first, after = ([encoder.encode_ordinary(x) for x in xs] for xs in ([" " + w for w in heads], tails))
+    assert len(heads) == len(tails) == attention.SIDE and {len(x) for x in first + after} == {1}
+    # Nothing but these is likely. A word follows 'the' for sure, a tail any other head.
+    zero = attention.new_model(np.ones(attention.SIZE), 1)
+    model = attention.Model(*[np.zeros_like(p) for p in zero])
+    model.out_bias[2:] = -70
+    model.embed[: attention.SIDE, 0] = -1
+    model.embed[[0, attention.START], 0] = 1
+    model.out[0, 0], model.out[0, 1] = 2, -2
+    own = np.full(50257, attention.SIZE - 1)
+    own[np.ravel(first)], own[np.ravel(after)] = np.arange(32), attention.SIDE + np.arange(32)
+    words = heads + [h + t for h in heads for t in tails]
+    texts = lm.pa.array(["the " + w for w in words], lm.pa.large_string())
+    scorer = lm.Scorer(model, own, np.zeros(50257, np.float32), 1, 0.4, np.empty(0), np.empty(0), 100, 1)
+    log_model = np.concatenate([
+        lm.word_log_probabilities(scorer, s)[(np.diff(s.word_text, prepend=-1) == 0).nonzero()[0][::2]]
+        for s in (lm.streams(encoder, t) for t in lm.groups(texts))
+    ])
+    assert len(log_model) == len(words)
+    told = np.exp(log_model.astype(float)).sum()
+    assert 0.1 < told <= 1 + 1e-5
+    counts = np.bincount([0, 1, 5] * 33 + [7], minlength=len(words))
+    assert (10 ** scorer.mixed(counts, log_model)).sum() <= 1 + 1e-5
