@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from tallyroom.llm.lattice import matrix
@@ -16,6 +17,8 @@ CURVES, DIMS, BITS = 4, 7, 9
 #: Rows of a key window, most windows of a curve, rows sampled to cut the windows,
 #: queries sampled to measure recall, and queries compared with a window at once.
 WINDOW, WINDOWS, CUT_ROWS, TRIAL_QUERIES, ASKERS = 2048, 4096, 100_000, 96, 4096
+#: Slices in which the copies of one vector are collected.
+SLICES = 64
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -71,48 +74,72 @@ def _inner(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return total
 
 
-def _best(queries: np.ndarray, query_ids, rows: np.ndarray, ids: np.ndarray, k: int) -> pa.RecordBatch:
-    """Each query's k best of a block, one row a query: fast products choose, ties within
-    rounding stay, exact products order."""
+def _best(queries: np.ndarray, query_ids, rows: np.ndarray, homes: np.ndarray, ids: list[np.ndarray], k: int) -> pa.RecordBatch:
+    """Each query's k best ids of a block of classes, one row a query: fast products choose
+    classes, ties within rounding stay, exact products order."""
     near = []
     for s in range(0, len(queries), 256):
         scores = queries[s : s + 256] @ rows.T
         for i, score in enumerate(scores):
-            take = np.flatnonzero(ids != query_ids[s + i])
+            take = np.arange(len(score))
             if len(take) > k:
-                edge = -np.partition(-score[take], k - 1)[k - 1]
-                take = take[score[take] >= edge - 1e-9 * max(1.0, abs(edge))]
-            exact = _inner(queries[s + i], rows[take])
-            order = np.lexsort((ids[take], -exact))[:k]
-            near.append((-exact[order], ids[take][order]))
-    ends = np.cumsum([0] + [len(far) for far, _ in near], dtype=np.int32)
-    far, found = ([np.concatenate(x) for x in zip(*near)] if near else (np.empty(0), np.empty(0)))
-    hits = pa.StructArray.from_arrays([pa.array(far, pa.float64()), pa.array(found, pa.int64())], ["far", "vec_id"])
+                edge = -np.partition(-score, k - 1)[k - 1]
+                take = np.flatnonzero(score >= edge - 1e-9 * max(1.0, abs(edge)))
+            count = [len(ids[j]) for j in take]
+            exact = np.repeat(_inner(queries[s + i], rows[take]), count)
+            found = np.concatenate([ids[j] for j in take]) if len(take) else np.empty(0, np.int64)
+            order = np.lexsort((found, -exact))[:k]
+            near.append((-exact[order], found[order], np.repeat(homes[take], count)[order]))
+    ends = np.cumsum([0] + [len(x[0]) for x in near], dtype=np.int32)
+    far, found, home = [np.concatenate(x) for x in zip(*near)] if near else [np.empty(0)] * 3
+    hits = pa.StructArray.from_arrays(
+        [pa.array(far, pa.float64()), pa.array(found, pa.int64()), pa.array(home, pa.int64())], ["far", "vec_id", "home"]
+    )
     return pa.RecordBatch.from_arrays(
         [pa.array(query_ids, pa.int64()), pa.ListArray.from_arrays(ends, hits)], names=["query_id", "near"]
     )
 
 
+def _members(column) -> list[np.ndarray]:
+    offsets = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy(), offsets[1:-1]) if len(column) else []
+
+
 def _compare(key: tuple, table: pa.Table, k: int) -> pa.Table:
-    """A candidate window with the queries that look at it."""
-    table = table.combine_chunks()
-    asks = table["asks"].to_numpy(zero_copy_only=False)
-    vectors, ids = matrix(table["vector"].combine_chunks()), table["vec_id"].to_numpy()
-    best = _best(vectors[asks], ids[asks], vectors[~asks], ids[~asks], k)
+    """A block of a candidate window with the queries that look at it."""
+    asks = table["asks"].combine_chunks()
+    asking, held = (table.filter(x).combine_chunks() for x in (asks, pa.compute.invert(asks)))
+    if not len(asking) or not len(held):
+        return pa.Table.from_batches([_best(np.empty((0, 1)), [], np.empty((0, 1)), np.empty(0), [], k)])
+    vectors = [matrix(x["vector"].combine_chunks()) for x in (asking, held)]
+    ids = _members(held["ids"].combine_chunks())
+    best = _best(vectors[0], asking["vec_id"].to_numpy(), vectors[1], held["vec_id"].to_numpy(), ids, k)
     return pa.Table.from_batches([best])
 
 
-_FOUND = "query_id long, near array<struct<far: double, vec_id: long>>"
+_FOUND = "query_id long, near array<struct<far: double, vec_id: long, home: long>>"
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
     """The k best of each query, once each, from at most k of each block it was compared with."""
     near = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
-    ranked = found.groupBy("query_id").agg(near.alias("near"))
-    return ranked.select("query_id", F.posexplode("near").alias("pos", "hit")).select(
-        "query_id", (F.col("pos") + 1).cast("int").alias("rank"),
-        F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"),
+    return found.groupBy("query_id").agg(near.alias("near"))
+
+
+def classes_of(rows: DataFrame, every: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Slices of the copies of each vector (vector, lowest, asking), and one row for all of
+    them (vec_id, vector, ids, asks): its smallest ids, one more than ``k``, the first of
+    which names it, and whether any copy is a query."""
+    ids = F.sort_array(F.collect_list("vec_id"))
+    slices = rows.withColumn("slice", F.pmod(F.xxhash64("vec_id"), F.lit(SLICES))).groupBy("vector", "slice").agg(
+        F.slice(ids, 1, k + 1).alias("lowest"), F.filter(ids, lambda i: i % every == 0).alias("asking")
+    )
+    slices = stored(slices.drop("slice"), "copies")
+    classes = slices.groupBy("vector").agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("lowest"))), 1, k + 1).alias("ids"),
+        F.max(F.size("asking") > 0).alias("asks"),
     )
+    return slices, stored(classes.select(F.col("ids")[0].alias("vec_id"), "vector", "ids", "asks"), "classes")
 
 
 def nearest(
@@ -131,8 +158,9 @@ def nearest(
     Every row gets a key on each of several Hilbert curves, over projections and shifts of
     its own; curves are cut into windows of about ``window`` rows, at quantiles of a
     sample of CUT_ROWS keys. A query looks at its own window and as many to either side,
-    on all curves; each candidate window is compared in one block, and the blocks' best
-    are merged. How many windows to either side is the least that holds ``recall`` of the
+    on all curves; candidate windows are compared in blocks of bounded size, and the blocks'
+    best are merged. Equal vectors are one class before that, with its smallest ids, one
+    more than ``k``; every copy that is a query gets the class's result without itself. How many windows to either side is the least that holds ``recall`` of the
     true neighbours of up to TRIAL_QUERIES hashed queries, found among all rows in blocks;
     where vectors have no structure, that is a large part of each curve.
 
@@ -153,8 +181,10 @@ def nearest(
     if common is None:
         return rows.selectExpr("vec_id AS query_id", "1 AS rank", "vec_id", "0D AS score").limit(0)
     size, total, longest = common
-    rows = rows.where(F.col("size") == size).select("vec_id", "vector")
-    queries = rows.where(F.col("vec_id") % every == 0)
+    slices, rows = classes_of(rows.where(F.col("size") == size).select("vec_id", "vector"), every, k)
+    total = rows.count()
+    queries = rows.where("asks").drop("asks")
+    rows = rows.drop("asks")
 
     def keyed(asks: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,22 +220,28 @@ def nearest(
     homes = points.mapInArrow(placed, place)
     asked = queries.transform(keyed(True)).mapInArrow(placed, place)
 
-    def search(asking: int, reach: int) -> DataFrame:
+    def search(reach: int) -> DataFrame:
         """All of a query's candidates are in the windows ``reach`` or fewer from its own.
-        Where many look at a window, they are dealt to parts that each get the window."""
-        parts = max(1, -(-asking * min(windows, 2 * reach + 1) // windows // ASKERS))
-        part = F.pmod(F.xxhash64("vec_id"), F.lit(parts))
+        Windows are cut into blocks, and those who look at one into parts, by their own
+        numbers; each part meets each block."""
         looks = asked.withColumn("at", F.explode(F.sequence(F.col("at") - reach, F.col("at") + reach)))
         looks = looks.where((F.col("at") >= 0) & (F.col("at") < windows))
-        each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)
-        seen = homes.withColumn("part", each)
-        both = seen.withColumn("asks", F.lit(False)).join(rows, "vec_id").unionByName(
-            looks.withColumn("part", part).withColumn("asks", F.lit(True)).join(queries, "vec_id")
-        )
-        found = both.groupBy("curve", "at", "part").applyInArrow(
-            lambda key, table: _compare(key, table, k), _FOUND
+        held = homes.groupBy("curve", "at").agg(F.ceil(F.count(F.lit(1)) / (2 * window)).alias("blocks"))
+        many = looks.groupBy("curve", "at").agg(F.ceil(F.count(F.lit(1)) / ASKERS).alias("parts"))
+        sizes = F.broadcast(stored(held.join(many, ["curve", "at"]), "window-sizes"))
+
+        def dealt(df: DataFrame, own: str, count: str, other: str, others: str) -> DataFrame:
+            df = df.join(sizes, ["curve", "at"]).withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(count)))
+            df = df.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(others) - 1)))
+            return df.select("vec_id", "curve", "at", "block", "part")
+
+        both = dealt(homes, "block", "blocks", "part", "parts").withColumn("asks", F.lit(False)).join(rows, "vec_id")
+        asking = dealt(looks, "part", "parts", "block", "blocks").withColumn("asks", F.lit(True))
+        both = both.unionByName(asking.join(queries, "vec_id"))
+        found = both.groupBy("curve", "at", "block", "part").applyInArrow(
+            lambda key, table: _compare(key, table, k + 1), _FOUND
         )
-        return _top(found, k)
+        return _top(found, k + 1)
 
     trial = queries.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(TRIAL_QUERIES)
     trial = stored(trial, "trial")
@@ -214,12 +250,29 @@ def nearest(
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield _best(held_rows, held_ids, matrix(batch["vector"]), batch["vec_id"].to_numpy(), k)
+            ids = _members(batch["ids"])
+            yield _best(held_rows, held_ids, matrix(batch["vector"]), batch["vec_id"].to_numpy(), ids, k + 1)
 
-    truth = _top(rows.mapInArrow(exact, _FOUND), k).select("query_id", "vec_id")
+    truth = _top(rows.mapInArrow(exact, _FOUND), k + 1).select("query_id", _others("query_id", k))
+    truth = truth.select("query_id", F.explode("near").alias("hit"))
+    truth = truth.select("query_id", F.col("hit.vec_id").alias("neighbour"), F.col("hit.home").alias("vec_id"))
     asked_at = asked.select(F.col("vec_id").alias("query_id"), "curve", F.col("at").alias("asked_at"))
     steps = homes.join(F.broadcast(stored(truth, "truth")), "vec_id").join(asked_at, ["query_id", "curve"])
-    steps = steps.groupBy("query_id", "vec_id").agg(F.min(F.abs(F.col("at") - F.col("asked_at"))).alias("steps"))
+    steps = steps.groupBy("query_id", "neighbour").agg(F.min(F.abs(F.col("at") - F.col("asked_at"))).alias("steps"))
     steps = np.sort(steps.toArrow()["steps"].to_numpy())
     reach = int(steps[min(len(steps) - 1, int(np.ceil(recall * len(steps))))]) if len(steps) else 0
-    return search(total // every + 1, reach)
+    near = search(reach).join(queries.select(F.col("vec_id").alias("query_id"), "vector"), "query_id")
+    # The copies of one vector may be very many: their slices are dealt anew before they are read out.
+    asking = slices.where(F.size("asking") > 0).select("vector", "asking")
+    got = asking.join(near.drop("query_id"), "vector").select("asking", "near").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    got = got.select(F.explode("asking").alias("query_id"), "near").select("query_id", _others("query_id", k))
+    got = got.select("query_id", F.posexplode("near").alias("pos", "hit"))
+    return got.select(
+        "query_id", (F.col("pos") + 1).cast("int").alias("rank"),
+        F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.far")).alias("score"),
+    )
+
+
+def _others(query_id: str, k: int):
+    """The k best that are not the query itself."""
+    return F.slice(F.filter("near", lambda x: x["vec_id"] != F.col(query_id)), 1, k).alias("near")

@@ -122,3 +122,31 @@ def test_hilbert_curve_visits_neighbours_in_turn():
     assert sorted(key) == list(range(512))
     path = cells[np.argsort(key)]
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def test_many_copies_meet_no_window_more_than_once(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(300)]
+    rows += [(300 + i, rows[7][1]) for i in range(400)]
+    rows += [(700 + i, (np.array(rows[9][1]) * (1 + i * 1e-9)).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    _, classes = curves.classes_of(df.selectExpr("vec_id", "embedding AS vector"), 10, 5)
+    assert classes.count() == len({tuple(v) for _, v in rows})
+    largest, compare = spark.sparkContext.accumulator(0), curves._compare
+
+    def seen(key, table, k):
+        if len(table) > 100:
+            largest.add(1)
+        return compare(key, table, k)
+
+    monkeypatch.setattr(curves, "_compare", seen)
+    monkeypatch.setattr(curves, "ASKERS", 16)
+    got = curves.nearest(df, every=10, k=5, window=16, recall=1.0).collect()
+    assert largest.value == 0
+    x = np.array([v for _, v in rows])
+    for q in range(0, 900, 10):
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [m[0] for m in mine] == [1, 2, 3, 4, 5] and q not in {m[1] for m in mine}
+        exact = curves._inner(x[q], x)
+        order = [int(i) for i in np.lexsort((np.arange(900), -exact)) if i != q][:5]
+        assert [m[1] for m in mine] == order
