@@ -80,7 +80,7 @@ def base_spans(text: str) -> list[Span]:
     found = [Span(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if DIGIT.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split(".")):
+            if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or "0") <= 255 for p in m.group().split(".")):
                 found.append(Span(m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             digits = _digits(m.group())

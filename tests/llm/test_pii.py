@@ -20,6 +20,11 @@ def test_base_spans(text):
     assert [(s.start, s.kind, pii.KINDS[s.kind], s.end) for s in pii.base_spans(text)] == brute.personal(text)
 
 
+def test_address_of_very_many_zeros():
+    text = "0" * 5000 + "1.2.3." + "0" * 5000
+    assert [(s.start, pii.KINDS[s.kind], s.end) for s in pii.base_spans(text)] == [(0, pii.KINDS[1], len(text))]
+
+
 @pytest.mark.parametrize("which", ["small_docs", "odd_docs", "no_docs"])
 def test_digest(which, request, monkeypatch):
     monkeypatch.setattr(pii, "STEPS", 20)
