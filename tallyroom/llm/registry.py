@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyroom.llm import curves, jaccard, langid, lattice, lm, mixing, order, pieces, pii, quality
+from tallyroom.llm import (
+    curves, jaccard, langid, lattice, lm, mixing, order, pieces, pii, quality, repeats, resample, trie,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -69,3 +71,28 @@ def op10_fused_language(spark, sf_dir):
 @registered
 def op1_attention_scores(spark, sf_dir):
     return lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@registered
+def op11_position_table_resampling(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resampled(docs, table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_position_table_resampling"] = resample.ORACLE
+
+
+@registered
+def op12_contracted_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(*trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+ORACLES["op12_contracted_prefix_trie"] = trie.ORACLE
+
+
+@registered
+def op13_doubled_window_dedup(spark, sf_dir):
+    return repeats.digest(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("longest")
+
+
+ORACLES["op13_doubled_window_dedup"] = repeats.ORACLE
