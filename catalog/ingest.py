@@ -16,7 +16,7 @@ from tallyroom import clock, schema
 from tallyroom.functions import as_double, as_int, mask_phone, normalize_phone, prop
 from tallyroom.operators import feeds, profiles, rollup
 from tallyroom.session import scratch_path
-from tallyroom.sources import batches, export, files
+from tallyroom.sources import batches, export, files, ledger
 from tallyroom.streaming import ingest, windows
 
 BATCH_SIZE = 40
@@ -55,7 +55,7 @@ BATCH_FIELDS = {
 }
 
 
-def batch_lines(events: DataFrame) -> DataFrame:
+def batch_lines(events: DataFrame, *keep: str) -> DataFrame:
     cells = ", ".join(f"{text} AS {name}" for name, text in BATCH_FIELDS.items())
     event = F.concat(
         F.lit('{"properties":'), "properties", F.lit(","),
@@ -78,7 +78,7 @@ def batch_lines(events: DataFrame) -> DataFrame:
         F.when(no % 50 == 48, F.lit("")).otherwise(F.col("events")),
         F.when(no % 50 == 49, F.lit("")).otherwise(F.lit("]}")),
     )
-    return grouped.select(line.alias("value"))
+    return grouped.select(line.alias("value"), *keep)
 
 
 BATCHES_SQL = """WITH b AS (SELECT *, id // 40 AS batch_no FROM app_events),
@@ -415,8 +415,8 @@ def _stream_ingest(t: Tables) -> DataFrame:
     _finish(ingest.start_ingest(
         stream, f"{root}/events", f"{root}/rejected", f"{root}/checkpoint", t.geo_ranges, AS_OF
     ))
-    stored = t.spark.read.parquet(f"{root}/events")
-    return _open_bag(stored.drop("id", "event_date", "ingest_source", "ingest_batch"))
+    stored = ledger.committed(t.spark, f"{root}/events")
+    return _open_bag(stored.drop("id", "event_date", ledger.FILE, *files.STAMP))
 
 
 query(
@@ -436,7 +436,10 @@ def _two_sources(t: Tables) -> DataFrame:
         _finish(ingest.start_ingest(
             stream, f"{root}/events", f"{root}/rejected", f"{root}/{source}", as_of=AS_OF, source=source
         ))
-    stored = t.spark.read.parquet(f"{root}/events")
+    return _events_and_ids(ledger.committed(t.spark, f"{root}/events"))
+
+
+def _events_and_ids(stored: DataFrame) -> DataFrame:
     return stored.groupBy("event_date").agg(
         F.count(F.lit(1)).alias("events"), F.countDistinct("id").alias("ids")
     )
@@ -448,6 +451,35 @@ query(
     FROM b JOIN c USING (batch_no) WHERE reason IS NULL GROUP BY 1""",
 )
 
+# Batches posted once, twice or three times, the copies in one file or in several.
+POSTS = "1 + batch_no % 3"
+
+
+def _regrouped(t: Tables) -> DataFrame:
+    """One file a micro-batch; after a lost checkpoint all files in one; closed days then
+    compacted, and the checkpoint lost once more."""
+    root = scratch_path(t.spark, "stream-regrouped")
+    lines = batch_lines(t.app_events, "batch_no").withColumn("copy", F.explode(F.expr(f"sequence(1, {POSTS})")))
+    lines.repartition(5, F.col("batch_no") + F.col("copy") % 2).select("value").write.text(f"{root}/posted")
+
+    def run(checkpoint: str, files_per_trigger: int | None) -> None:
+        stream = ingest.stream_event_batches(t.spark, f"{root}/posted", files_per_trigger)
+        _finish(ingest.start_ingest(stream, f"{root}/events", f"{root}/rejected", f"{root}/{checkpoint}", as_of=AS_OF))
+
+    run("first", 1)
+    run("second", None)
+    closed = ledger.compact_days(t.spark, f"{root}/events", "main", (AS_OF - timedelta(days=7)).date())
+    ledger.sweep(t.spark, f"{root}/events", closed)
+    run("third", 2)
+    return _events_and_ids(ledger.committed(t.spark, f"{root}/events"))
+
+
+query(
+    "stream_ingest_regrouped", _regrouped, E,
+    f"""{BATCHES_SQL} SELECT CAST(event_ts AS DATE) AS event_date, CAST(sum({POSTS}) AS BIGINT) AS events,
+      CAST(sum({POSTS}) AS BIGINT) AS ids FROM b JOIN c USING (batch_no) WHERE reason IS NULL GROUP BY 1""",
+)
+
 
 def _searched_ingest(t: Tables) -> DataFrame:
     """Batches to a stored table to a feed page."""
@@ -515,7 +547,8 @@ def _stream_rollup(t: Tables) -> DataFrame:
     _finish(ingest.start_daily_rollup(
         _event_stream(t), f"{root}/events", f"{root}/partials", f"{root}/checkpoint"
     ))
-    return _stats_columns(rollup.stats_from_partials(t.spark.read.parquet(f"{root}/partials")))
+    partials = ledger.committed(t.spark, f"{root}/events", table=f"{root}/partials", table_day="date")
+    return _stats_columns(rollup.stats_from_partials(partials))
 
 
 query("stream_daily_rollup", _stream_rollup, E, STATS_SQL)

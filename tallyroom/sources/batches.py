@@ -19,6 +19,7 @@ from tallyroom.sources.lines import parse_json_lines
 # Range tables up to this size are broadcast; larger ones are joined by salted key.
 GEO_BROADCAST_BYTES = 64 << 20
 IP_LENGTH = 45
+COPY_BLOCK = 1000
 
 
 class Checked(NamedTuple):
@@ -32,9 +33,24 @@ def read_event_batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_event_batches(lines: DataFrame) -> DataFrame:
-    """Text lines (``value``) to batches; an unreadable line keeps its text in
-    ``_corrupt_record``."""
-    return parse_json_lines(lines, schema.EVENT_BATCH, "value")
+    """Text lines (``value``) to batches, next to the other columns of ``lines``; an
+    unreadable line keeps its text in ``_corrupt_record``."""
+    return parse_json_lines(lines, schema.EVENT_BATCH, *lines.columns)
+
+
+def number_copies(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``line_copy``, which tells the equal lines of a file apart: 1, 2, 3 …
+
+    Which of them has which number does not matter, so they are counted, not sorted. A line
+    that a file repeats very often is dealt out in blocks of COPY_BLOCK.
+    """
+    counted = lines.groupBy(*lines.columns).agg(F.count("*").alias("_n"))
+    blocks = counted.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_n - 1) DIV {COPY_BLOCK})")))
+    few = blocks.where(F.col("_n") <= COPY_BLOCK)
+    many = blocks.where(F.col("_n") > COPY_BLOCK).repartition("_block", *lines.columns)
+    first, size = F.col("_block") * COPY_BLOCK, F.lit(COPY_BLOCK)
+    copies = F.sequence(first + 1, F.least(first + size, F.col("_n")))
+    return few.unionAll(many).select(*lines.columns, F.explode(copies).alias("line_copy"))
 
 
 def _fits(limits: dict[str, int], field) -> list[Column]:
@@ -80,16 +96,22 @@ def normalize_client_ip(raw: DataFrame) -> DataFrame:
     return raw.withColumn("ip_address", _request_ip())
 
 
-def ingest_event_batches(raw: DataFrame, as_of: datetime | None = None) -> DataFrame:
-    """Accepted batches to one row per event with defaults filled in.
+def ingest_event_batches(
+    raw: DataFrame, as_of: datetime | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Accepted batches to one row per event with defaults filled in, and the ``keep``
+    columns of their batch.
 
-    ``id`` is a hash of the batch text and the event's place in it, stable
-    when a lost task is run again.
+    ``id`` is a hash of the batch text and the event's place in it, stable when a lost
+    task is run again. Where the file of a line and the number of its copy there are known
+    (``ingest_file``, ``line_copy``) the hash is over these as well.
     """
     now = F.lit(clock.resolve(as_of).replace(tzinfo=timezone.utc))
     arrived = F.coalesce(F.col("received_at").try_cast("timestamp"), now)
+    where = [c for c in ("ingest_file", "line_copy") if c in raw.columns]
     rows = normalize_client_ip(raw).select(
-        F.sha2(F.col("value"), 256).alias("_batch"),
+        F.sha2(F.concat_ws("\n", *where, "value"), 256).alias("_batch"),
+        *keep,
         "ip_address",
         arrived.alias("created_at"),
         F.posexplode("events").alias("_pos", "_e"),
@@ -113,7 +135,8 @@ def ingest_event_batches(raw: DataFrame, as_of: datetime | None = None) -> DataF
     }
     return rows.select(
         *[values.get(c, event[c]).cast(schema.EVENTS[c].dataType).alias(c)
-          for c in schema.EVENTS.names]
+          for c in schema.EVENTS.names],
+        *keep,
     )
 
 

@@ -48,7 +48,7 @@ def append_events(events: DataFrame, path: str) -> None:
     dated.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
 
 
-def stamped(df: DataFrame, source: str, number: int) -> DataFrame:
+def stamped(df: DataFrame, source: str, number: int | str) -> DataFrame:
     """``df`` with the partition columns of one micro-batch of one stream. The source is a
     name the caller keeps for the stream, so streams that share a table, each counting
     its own batches from 0, never replace each other's rows."""

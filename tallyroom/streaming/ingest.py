@@ -1,11 +1,13 @@
 """Continuous ingestion of landed batches into the events and quarantine tables.
 
-Every micro-batch replaces partitions carrying its stream's name and its own number, so
-a batch that is run again after a failure leaves the same files and no copies. Rows of
-other batches are compared by ``id``: after a lost checkpoint, files may be grouped into
-batches differently, and what another batch has stored is not stored again. Jobs run to
-the end of what has landed unless given another ``trigger``, such as
-``{"processingTime": "1 minute"}``.
+A posted line is known by the file it stands in, its text and, if a file repeats it, by
+which of the copies it is; so two equal posts are two batches, and a file that is read
+again brings nothing new. Tables are kept with a ledger (``sources.ledger``): per day, the
+files whose rows are there. A micro-batch reads the lists of its own days and leaves out
+what another batch has brought, so a batch that runs again leaves the same rows, and so do
+files that are grouped otherwise after a lost checkpoint. ``ledger.committed`` reads a
+table, ``ledger.compact_days`` rewrites closed days. Jobs run to the end of what has landed
+unless given another ``trigger``, such as ``{"processingTime": "1 minute"}``.
 """
 
 from __future__ import annotations
@@ -16,39 +18,39 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyroom.operators.rollup import partial_stats
+from tallyroom.sources import ledger
 from tallyroom.sources.batches import (
-    fits_broadcast, ingest_event_batches, ip_to_country, parse_event_batches, validate_batches,
+    fits_broadcast, ingest_event_batches, ip_to_country, number_copies, parse_event_batches, validate_batches,
 )
-from tallyroom.sources.files import STAMP, replace_partitions, stamped, table_exists
+from tallyroom.sources.files import STAMP, replace_partitions, stamped
 from tallyroom.streaming.windows import AVAILABLE_NOW
 
+#: The day a file of posted batches landed on; rejected lines are kept by it.
+LANDED = "landed_date"
+
 
 def stream_event_batches(spark: SparkSession, path: str, files_per_trigger: int | None = None):
-    """Batches from files appearing in a folder, one JSON object per line."""
+    """Lines of files appearing in a folder, one JSON object each, with their file and the
+    day it landed."""
     reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return parse_event_batches(reader.text(path))
-
-
-def _unstored(events: DataFrame, path: str, source: str, number: int) -> DataFrame:
-    """``events`` (with ``event_date``) that no other batch has stored, by id within the
-    day: only ids of the days at hand are read."""
-    spark = events.sparkSession
-    if not table_exists(spark, path):
-        return events
-    types = {"event_date": "date", "ingest_source": "string", "ingest_batch": "int"}
-    schema = events.select("id").withColumns({c: F.lit(None).cast(t) for c, t in types.items()}).schema
-    other = spark.read.schema(schema).parquet(path).filter(
-        ~((F.col("ingest_source") == source) & (F.col("ingest_batch") == number))
+    return reader.text(path).select(
+        "value", F.col("_metadata.file_path").alias(ledger.FILE),
+        F.to_date("_metadata.file_modification_time").alias(LANDED),
     )
-    days = events.select("event_date").distinct()
-    other = other.join(F.broadcast(days), "event_date", "left_semi").select("event_date", "id")
-    return events.join(other, ["event_date", "id"], "left_anti")
+
+
+def stream_event_files(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None):
+    """Events of Parquet files appearing in a folder, with their file."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(path).withColumn(ledger.FILE, F.col("_metadata.file_path"))
 
 
 def start_ingest(
-    batches: DataFrame,
+    lines: DataFrame,
     events_path: str,
     quarantine_path: str,
     checkpoint: str,
@@ -57,34 +59,44 @@ def start_ingest(
     trigger: dict | None = None,
     source: str = "main",
 ) -> StreamingQuery:
-    """Validate, flatten and locate every micro-batch; rejects go to quarantine. Streams
-    that share tables have ``source`` names of their own."""
+    """Validate, flatten and locate every micro-batch of ``lines`` (see
+    ``stream_event_batches``); rejects go to quarantine. Streams that share tables have
+    ``source`` names of their own."""
     # Whether the ranges can be broadcast is settled once, not in every batch.
     small = None if ranges is None else fits_broadcast(ranges)
 
     def store(raw: DataFrame, number: int) -> None:
-        raw.persist()
-        try:
-            checked = validate_batches(raw)
-            events = ingest_event_batches(checked.accepted, as_of)
-            if ranges is not None:
-                events = ip_to_country(events, ranges, small=small)
-            events = events.withColumn("event_date", F.to_date("event_ts"))
-            events = _unstored(events, events_path, source, number)
-            replace_partitions(stamped(events, source, number), events_path, "event_date", *STAMP)
-            rejected = checked.rejected.select("value", "reason")
-            replace_partitions(stamped(rejected, source, number), quarantine_path, *STAMP)
-        finally:
-            raw.unpersist()
+        checked = validate_batches(parse_event_batches(number_copies(raw)))
+        events = ingest_event_batches(checked.accepted, as_of, keep=(ledger.FILE,))
+        if ranges is not None:
+            events = ip_to_country(events, ranges, small=small)
+        rejected = checked.rejected.select("value", "reason", ledger.FILE, LANDED)
+        for rows, path, day in (
+            (events.withColumn("event_date", F.to_date("event_ts")), events_path, "event_date"),
+            (rejected, quarantine_path, LANDED),
+        ):
+            # Days, files and rows are all taken from one evaluation.
+            rows.persist()
+            try:
+                ledger.store(rows, path, source, _into(path, source, day), day=day)
+            finally:
+                rows.unpersist()
 
     return (
-        batches.writeStream.foreachBatch(store)
+        lines.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or AVAILABLE_NOW))
         .start()
     )
 
 
+def _into(path: str, source: str, day: str):
+    """Writes rows of a batch to the table at ``path``."""
+    def write(rows: DataFrame, batch: str) -> None:
+        replace_partitions(stamped(rows, source, batch), path, day, *STAMP)
+    return write
+
+
 def start_daily_rollup(
     events: DataFrame,
     events_path: str,
@@ -95,18 +107,32 @@ def start_daily_rollup(
 ) -> StreamingQuery:
     """Append events, and add to ``partials_path`` what each micro-batch contributes to its
     days (see ``rollup.partial_stats``), so a late event reopens its day and no stored
-    event is read again but for the ids of its days. ``rollup.stats_from_partials`` gives
-    the statistics. Events with an ``id`` count once, however files are grouped."""
+    event is read again. ``rollup.stats_from_partials`` gives the statistics. Both tables
+    go by the ledger of the events, so a batch is in both or in none.
+
+    Events of ``stream_event_files`` are known by their file. Others are known by ``id`` if
+    they have one: the ids that are stored for the days at hand are read. Without either,
+    only a batch that runs again as it was is recognised."""
+    known = ledger.FILE in events.columns
+    key = ledger.FILE if known or "id" not in events.columns else "id"
 
     def store(batch: DataFrame, number: int) -> None:
         dated = batch.withColumn("event_date", F.to_date("event_ts"))
-        if "id" in batch.columns:
-            dated = _unstored(dated, events_path, source, number)
+        if key == ledger.FILE and not known:
+            dated = dated.withColumn(ledger.FILE, F.lit(f"{source}/{number}"))
+
+        def write(fresh: DataFrame, name: str) -> None:
+            fresh = fresh.persist()
+            try:
+                _into(events_path, source, "event_date")(fresh, name)
+                partials = partial_stats(fresh)
+                _into(partials_path, source, "date")(partials, name)
+            finally:
+                fresh.unpersist()
+
         dated.persist()
         try:
-            replace_partitions(stamped(dated, source, number), events_path, "event_date", *STAMP)
-            partials = stamped(partial_stats(dated), source, number)
-            replace_partitions(partials, partials_path, "date", *STAMP)
+            ledger.store(dated, events_path, source, write, key)
         finally:
             dated.unpersist()
 
