@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyroom.llm import bitmaps
 from tallyroom.llm.components import components
@@ -26,6 +26,8 @@ FREQUENT, COUNTED = 3, 1_000_000
 PAIRED, PAIRED_LEVEL = 8, 9
 #: Among candidates, shingles in at most this many classes make pairs by themselves.
 SCARCE = 64
+#: New leaders a class meets in a round; rounds end when they link less than one in ROUNDS_END.
+ASKED, ROUNDS_END = 4, 8
 _U = np.uint64
 #: Shingles travel as their upper 48 bits; sets are compared by all 64.
 _TOKEN_SHIFT = _U(16)
@@ -242,8 +244,10 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     sets share is at most what each has beside its lone shingles, and, unless they share a
     scarce one, beside those too. Each candidate is compared with a few leaders of those
     it meets: the one with the fewest lone shingles, which is nearest to what its copies
-    were made from, the least and a hashed one. What that links is done. Pairs still apart
-    are compared if they share a scarce shingle, or a signature and enough frequent ones.
+    were made from, the least and a hashed one. What that links is done; those still apart
+    meet new leaders as long as that links a good part of them. Pairs still apart are
+    compared if they share a signature and enough frequent shingles, or as many scarce ones
+    as make up for those.
     So every candidate pair is compared, connected, or known not to link, and a group of
     thousands of near copies costs a few comparisons a member instead of all its pairs.
     """
@@ -309,21 +313,67 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     first = stored(chosen.where(can_link("most")).select(*ordered("class", "other_class")).distinct(), "pairs")
     found = verified(first)
 
-    group = components(found).withColumnRenamed("node", "class")
-
-    def apart(by: DataFrame, shared_by: str) -> DataFrame:
+    def labelled(by: DataFrame, group: DataFrame) -> DataFrame:
+        """``by`` with the component of each class, of marks that are open: where several
+        components meet."""
         by = by.join(group, "class", "left").withColumn("component", F.coalesce("component", "class"))
-        by = stored(by.select("mark", "class", "n", shared_by, "component"), "apart")
-        open_marks = by.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        by = by.join(open_marks.where("low <> high").select("mark"), "mark")
-        meet = (F.col("component") < F.col("other_component")) & can_link(shared_by)
-        pairs = by.alias("l").join(others(by).alias("r"), (F.col("l.mark") == F.col("r.mark")) & meet)
-        return pairs.select(*ordered("class", "other_class")).distinct()
-
-    by_scarce = scarce.where("hash <> 0").withColumnRenamed("hash", "mark")
-    by_common = members.where(100 * F.col("common") >= PERCENT * F.col("n"))
-    second = apart(by_scarce, "most").unionAll(apart(by_common, "common")).distinct()
-    second = stored(second.join(first, ["a", "b"], "left_anti"), "pairs")
+        by = stored(by, "apart")
+        marks = by.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        return stored(by.join(marks.where("low <> high").select("mark"), "mark"), "open")
+
+    # Rounds of new leaders for the sets that frequent shingles alone may link: a class apart
+    # from the largest component of a mark meets some of that one's members.
+    by_common = members.where(100 * F.col("common") >= PERCENT * F.col("n")).select("mark", "class", "n", "common")
+    compared, number, group = first, 0, components(found).withColumnRenamed("node", "class")
+    by = labelled(by_common, group)
+    while True:
+        size = by.groupBy("mark", "component").agg(
+            F.count("*").alias("size"), F.min_by("class", F.xxhash64("class", F.lit(number))).alias("leader")
+        )
+        main = size.groupBy("mark").agg(F.max(F.struct("size", "component", "leader")).alias("main"))
+        asked = by.join(main.select("mark", "main.component", "main.leader").withColumnRenamed("component", "most"), "mark")
+        asked = asked.where("component <> most").withColumn("other_class", F.col("leader"))
+        asked = asked.join(others(facts.drop("most")), "other_class").where(can_link("common"))
+        order = F.row_number().over(Window.partitionBy("class").orderBy(F.xxhash64("leader", F.lit(number))))
+        asked = asked.select("class", "other_class", "leader").distinct().withColumn("order", order)
+        asked = asked.where(F.col("order") <= ASKED).select(*ordered("class", "other_class")).distinct()
+        asked = stored(asked.join(compared, ["a", "b"], "left_anti"), "pairs")
+        if asked.isEmpty():
+            break
+        more = verified(asked)
+        compared, found, number = compared.unionAll(asked), found.unionAll(more), number + 1
+        few = more.count() * ROUNDS_END < asked.count()
+        if not more.isEmpty():
+            group = components(found).withColumnRenamed("node", "class")
+            by = labelled(by_common, group)
+        if few:
+            break
+
+    pairs = by.alias("l").join(
+        others(by).alias("r"),
+        (F.col("l.mark") == F.col("r.mark")) & (F.col("component") < F.col("other_component")) & can_link("common"),
+    )
+    second = pairs.select(*ordered("class", "other_class")).distinct()
+
+    # What two sets share is at most the scarce shingles that both have and the frequent ones
+    # of either. Components are held against each other first, so that what a few shingles
+    # have in common does not make pairs of all their members.
+    by = labelled(scarce.where("hash <> 0").withColumnRenamed("hash", "mark"), group)
+    need = F.ceil(F.col("n") * PERCENT / 100) - F.col("common")
+    needs = by.groupBy("component").agg(F.min(need).alias("need"))
+    meeting = by.select("mark", "component").distinct()
+    meeting = meeting.join(others(meeting), "mark").where("component < other_component")
+    meeting = meeting.groupBy("component", "other_component").agg(F.count("*").alias("shared"))
+    meeting = meeting.join(needs, "component").join(others(needs), "other_component")
+    live_pairs = stored(
+        meeting.where("shared >= need AND shared >= other_need").select("component", "other_component"), "meeting"
+    )
+    pairs = by.join(live_pairs, "component").join(others(by), ["mark", "other_component"]).where(can_link("most"))
+    pairs = pairs.groupBy("class", "other_class", "n", "other_n", "common", "other_common").agg(F.count("*").alias("shared"))
+    both = F.col("shared") + F.least("common", "other_common")
+    third = pairs.where((100 + PERCENT) * both >= PERCENT * (F.col("n") + F.col("other_n")))
+    second = second.unionAll(third.select(*ordered("class", "other_class"))).distinct()
+    second = stored(second.join(compared, ["a", "b"], "left_anti"), "pairs")
     return found if second.isEmpty() else found.unionAll(verified(second))
 
 
