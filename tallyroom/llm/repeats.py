@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyroom.llm import spans
 from tallyroom.llm.ranks import matched
-from tallyroom.llm.tables import bounded_batches, stored, whole_text
+from tallyroom.llm.tables import bounded_batches, discard, stored, whole_text
 from tallyroom.llm.words import groups
 
 WINDOW = 50
@@ -105,11 +105,15 @@ def extended(rows: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(hashed, ", ".join(f"{n} long" for n in names))
 
 
-def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
-    """``rows``, a table, whose key stands in two documents or more, and the least of these."""
+def _shared(rows: DataFrame, key: list[str], label: str) -> DataFrame:
+    """A table of those of ``rows``, a table that is given up, whose key stands in two
+    documents or more, with the least of these."""
     least = rows.groupBy(key).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
     repeated = stored(least.where("least < most").select(*key, "least", "n"), "repeated")
-    return matched(rows, repeated, key, "n").drop("n")
+    out = stored(matched(rows, repeated, key, "n").drop("n"), label)
+    discard(repeated)
+    discard(rows)
+    return out
 
 
 def _copies(ids: DataFrame) -> DataFrame:
@@ -136,18 +140,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     key = ["doc_id", "unit"]
     level = stored(halves(rows, window).join(copies, key, "left_anti"), "halves")
     # Sets, as rows with the same id and text give the same runs and windows.
-    runs = _shared(level, ["half"]).groupBy(key).agg(F.collect_set(F.struct("low", "high")).alias("runs"))
+    shared = _shared(level, ["half"], "shared")
+    runs = shared.groupBy(key).agg(F.collect_set(F.struct("low", "high")).alias("runs"))
     level, length, found = stored(extended(rows.join(runs, key), window), "windows"), window, []
+    discard(shared)
     while True:
-        alive = stored(_shared(level, ["a", "b"]), "survivors")
+        alive = _shared(level, ["a", "b"], "survivors")
         here = alive.where("least < doc_id")
         if length == window:
-            found.append(here.groupBy(key).agg(F.collect_set("place").alias("starts"), F.lit(window).alias("longest")))
+            here = here.groupBy(key).agg(F.collect_set("place").alias("starts"))
         else:
-            found.append(here.select(*key, F.lit(None).cast("array<bigint>").alias("starts"), F.lit(length).alias("longest")).distinct())
+            here = here.select(*key, F.lit(None).cast("array<bigint>").alias("starts")).distinct()
+        found.append(stored(here.withColumn("longest", F.lit(length)), "found"))
         if alive.isEmpty():
             break
         level, length = stored(_doubled(alive, length), "windows"), 2 * length
+        discard(alive)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
