@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tallyroom.llm import bitmaps
 from tallyroom.llm.components import components
-from tallyroom.llm.tables import bounded_batches, stored, whole_text
+from tallyroom.llm.ranks import free_names
+from tallyroom.llm.tables import bounded_batches, map_rows, stored, whole_text
 from tallyroom.llm.words import groups, mix, shingles
 
 #: Similarity: 100 * intersection >= PERCENT * union.
@@ -390,6 +391,11 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     never meet. Rows with equal doc_id stay rows of their own and share a component if
     their texts are equal or link. A null doc_id links with nothing. No rows give no rows.
     """
+    return _grouped(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """``similar_documents`` with each row's class and the class that names its component."""
     bounded_batches(docs.sparkSession)
     known = F.when(F.col("doc_id").isNotNull(), F.col("text"))
     read = docs.select("doc_id", whole_text(known).alias("text"))
@@ -401,29 +407,63 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     least = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     least = least.join(group, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = least.join(lowest, "component").select("class", "component_id")
+    named = least.join(lowest, "component").select("class", "component", "component_id")
     return classes.join(named, "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "n_shingles", "class", "component", F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The documents whose id is the smallest of their component, all columns kept."""
+    """One document of each component, all columns kept: that of the smallest id, and of
+    several rows of this id that of least text hash. Rows of one id whose texts do not link
+    are groups of their own. Documents without words or without an id are no group and stay,
+    all of them."""
     bounded_batches(docs.sparkSession)
-    found = stored(similar_documents(docs), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    bits = bitmaps.bitmap(gone, bitmaps.slot(F.col("_id")))
+    found = stored(_grouped(docs), "components")
+    free = free_names(docs, "id", "place", "class", "component", "read", "row")
+    known = found.where("component IS NOT NULL")
+    # Ids that go, or of whose rows some may go; rows of those that stay as well are told apart.
+    own = F.col("doc_id") == F.col("component_id")
+    rows = known.groupBy(F.col("doc_id").alias(free["id"])).agg(F.count_if(own).alias("stay"), F.count_if(~own).alias("go"))
+    asked_ids = stored(
+        rows.where("go > 0 OR stay > 1").select(free["id"], (F.col("stay") > 0).alias(free["row"])), "asked"
+    )
+    bits = bitmaps.bitmap(asked_ids, bitmaps.slot(F.col(free["id"])))
     # The filter settles most rows without moving their texts; only those it holds join.
-    marked = docs.withColumn("_place", bitmaps.slot(F.col("doc_id")))
+    place = free["place"]
+    marked = docs.withColumn(place, bitmaps.slot(F.col("doc_id")))
 
     def flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = batch["_place"].to_numpy()
-            at = batch.schema.get_field_index("_place")
-            yield batch.set_column(at, "_place", pa.array(bitmaps.contains(bits, place).astype(np.int64)))
-
-    marked = marked.mapInArrow(flagged, marked.schema)
-    kept = marked.where("_place = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
-    asked = marked.where("_place = 1")
-    asked = asked.join(gone, asked["doc_id"] == gone["_id"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionAll(asked)
+            at = batch.schema.get_field_index(place)
+            held = bitmaps.contains(bits, batch[place].to_numpy()).astype(np.int64)
+            yield batch.set_column(at, place, pa.array(held))
+
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = map_rows(marked, flagged, marked.schema)
+    kept = marked.where(F.col(place) == 0).select(*columns)
+    asked = marked.where(F.col(place) == 1).drop(place)
+    asked = asked.join(asked_ids, F.col("`doc_id`") == F.col(free["id"]), "left")
+    clear = asked.where(F.col(free["id"]).isNull()).select(*columns)
+
+    # Rows that share their id: one of each component, found by class.
+    read, name = free["read"], free["class"]
+    shared = asked.where(F.col(free["row"])).select(*columns, whole_text(F.col("text")).alias(read))
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = [class_id(s) for texts in groups(batch[read]) for s in shingles(texts)]
+            yield batch.append_column(name, pa.array(names, pa.int64()))
+
+    schema = T.StructType([*shared.schema.fields, T.StructField(name, T.LongType())])
+    shared = map_rows(shared, classed, schema)
+    wordless = shared.where(F.col(name).isNull()).select(*columns)
+    of_class = known.where("doc_id = component_id").select(
+        F.col("class").alias(place), F.col("component").alias(free["component"]), F.col("doc_id").alias(free["id"])
+    ).distinct()
+    shared = shared.join(of_class, (F.col(name) == F.col(place)) & (F.col("`doc_id`") == F.col(free["id"])))
+    first = shared.groupBy(free["id"], free["component"]).agg(
+        F.min_by(F.struct(*columns), F.xxhash64(read)).alias(free["row"])
+    )
+    first = first.select(*[F.col(free["row"])[c].alias(c) for c in docs.columns])
+    return kept.unionAll(clear).unionAll(wordless).unionAll(first)

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyroom.llm.quality import TERMS, term_counts
+from tallyroom.llm.ranks import matched
 from tallyroom.llm.tables import bounded_batches, stored, whole_text
 from tallyroom.llm.words import groups
 
@@ -21,14 +22,27 @@ HOST_PULL, SUFFIX_PULL = 5.0, 20.0
 #: Sum of pseudo-counts of a language's triples and of its declarations.
 TRIPLES_PULL, DECLARED_PULL = 400.0, 2.0
 _BYTES = 1 << 20
-_UNSEEN = re.compile(
-    r"<(script|style|nav|header|footer|aside|noscript)\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)|<[^>]*>", re.S | re.I
-)
+_BLOCKS = "script|style|nav|header|footer|aside|noscript"
+_UNSEEN = re.compile(rf"<({_BLOCKS})\b.*?(?:</\1\s*>|$)|<!--.*?(?:-->|$)|<[^>]*>", re.S | re.I)
+_UNCLOSED = re.compile(rf"(?:<(?:{_BLOCKS})\b|<!--).*?$", re.S | re.I)
 
 
 def visible_text(page: str) -> str:
-    """The text of a page without markup, scripts, styles and navigation, in lower case."""
-    return entities.unescape(_UNSEEN.sub(" ", page)).lower()
+    """The text of a page without markup, scripts, styles and navigation, in lower case. A <
+    that no > follows is text."""
+    # Up to the last > every < ends somewhere, so no search for its end runs in vain.
+    cut, last = page.rfind(">") + 1, None
+    parts, done = [], 0
+    for last in _UNSEEN.finditer(page, 0, cut):
+        parts.append(page[done : last.start()])
+        done = last.end()
+    closed = True
+    if last is not None and done == cut and last[1]:
+        closed = re.search(rf"</{last[1]}\s*>$", last[0], re.I)
+    elif last is not None and done == cut and last[0].startswith("<!--"):
+        closed = len(last[0]) > 6 and last[0].endswith("-->")
+    parts.append(page[done:cut] + (_UNCLOSED.sub(" ", page[cut:]) if closed else "\n" * page.endswith("\n")))
+    return entities.unescape(" ".join(parts)).lower()
 
 
 def _triples_by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +121,11 @@ def languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     and host. The prior of a page is its host's share of each language without the page
     itself, smoothed towards that of the suffix, that towards that of all pages; the
     declaration adds how likely it is under each language. The posterior is the product.
-    Counts are grouped sums, combined before they are moved, however many pages a host has.
+    Counts are grouped sums, combined before they are moved; pages meet the counts of a host
+    that has very many of them without a shuffle (``ranks.matched``).
 
     A null page has an empty text; a missing address is the host ''; repeated rows count
-    again. Ties go to the language first by code. Without labelled documents lang is null
+    again; very long pages are read whole, in time proportional to their length. Ties go to the language first by code. Without labelled documents lang is null
     and the posterior 0; without pages there are no rows.
     """
     bounded_batches(pages.sparkSession)
@@ -132,14 +147,16 @@ def languages(pages: DataFrame, docs: DataFrame) -> DataFrame:
     rows = stored(rows.withColumn("text", _normal([F.col("likelihood")[i] for i in each])), "pages")
 
     def counted(*by: str) -> DataFrame:
-        return rows.groupBy(*by).agg(F.array(*[F.sum(F.col("text")[i]) for i in each]).alias("n"))
+        sums = F.array(*[F.sum(F.col("text")[i]) for i in each])
+        return rows.groupBy(*by).agg(sums.alias("n"), F.count("*").alias("pages"))
 
-    total = stored(counted(), "languages").select(F.col("n").alias("all_n"))
-    by = rows
+    total = rows.agg(*[F.coalesce(F.sum(F.col("text")[i]), F.lit(0.0)) for i in each]).first()
+    by, kinds = rows.withColumn("all_n", F.array(*map(F.lit, total))), 1
     for key in ("declared", "suffix", "host"):
-        by = by.join(counted(key).withColumnRenamed("n", f"{key}_n"), key)
-    by = by.join(F.broadcast(total))
-    kinds = max(1, counted("declared").count())
+        found = stored(counted(key).withColumnRenamed("n", f"{key}_n"), key)
+        if key == "declared":
+            kinds = max(1, found.count())
+        by = matched(by, found, [key], "pages").drop("pages")
 
     def one(i: int) -> Column:
         def left(level: str) -> Column:

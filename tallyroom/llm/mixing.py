@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyroom.llm.ranks import free_names
 from tallyroom.llm.tables import WORD, stored
 
 #: Most words of a block; small corpora get smaller ones (see ``mixture``).
@@ -148,16 +149,26 @@ def mixture(
 
 def mixed_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
     """The documents of the mix, all columns kept, each as many times as its taken words
-    go into its size; what is left over decides by a seeded draw on one more copy. Rows
-    with equal ids share their copies."""
-    mix = mixture(docs, seed=seed, **how).where("size > 0")
-    copies = F.sum("taken") / F.sum("size")
-    draw = (F.xxhash64(F.lit(seed + 2), F.col("doc_id")) / float(2**64)) + 0.5
-    mix = mix.groupBy("doc_id").agg(copies.alias("_times")).select(
-        F.col("doc_id").alias("_id"),
-        (F.floor("_times") + (draw < F.col("_times") - F.floor("_times")).cast("int")).cast("int").alias("_copies"),
-    ).where("_copies > 0")
-    kept = docs.join(mix, docs["doc_id"].eqNullSafe(mix["_id"]))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(
-        *[docs[c] for c in docs.columns]
+    go into its size. What is left over is summed up along the documents of a source by
+    size, in buckets of about SHARD_DOCS, and each time the sum passes a whole number the
+    document there gets one more copy, so a source's words stay near its target. Rows with
+    equal ids share their copies; a null id is an id like others."""
+    mix = mixture(docs, seed=seed, **how).where("size > 0").groupBy("doc_id").agg(
+        F.min("source").alias("source"), F.sum("taken").alias("taken"), F.sum("size").alias("size")
     )
+    mix = stored(mix, "mix")
+    buckets = max(1, mix.count() // SHARD_DOCS)
+    bucket = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id"), F.lit(buckets))
+    times = F.col("taken") / F.col("size")
+    order = Window.partitionBy("source", "bucket").orderBy("size", F.xxhash64(F.lit(seed + 3), "doc_id"), "doc_id")
+    start = F.pmod(F.xxhash64(F.lit(seed + 4), "source", "bucket"), F.lit(1 << 20)) / (1 << 20)
+    before = F.sum("over").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("over") + start
+    free = free_names(docs, "id", "copies", "copy")
+    mix = mix.withColumns({"bucket": bucket, "whole": F.floor(times)}).withColumn("over", times - F.col("whole"))
+    mix = mix.withColumn("before", before).select(
+        F.col("doc_id").alias(free["id"]),
+        (F.col("whole") + F.floor(F.col("before") + F.col("over")) - F.floor("before")).cast("int").alias(free["copies"]),
+    ).where(F.col(free["copies"]) > 0)
+    kept = docs.join(mix, F.col("`doc_id`").eqNullSafe(F.col(free["id"])))
+    kept = kept.withColumn(free["copy"], F.explode(F.sequence(F.lit(1), F.col(free["copies"]))))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallyroom.llm.tables import bounded_batches, whole_text
+from tallyroom.llm.ranks import free_names
+from tallyroom.llm.tables import bounded_batches, map_rows, whole_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations per text.
@@ -393,7 +394,8 @@ def encoded(docs: DataFrame, count: int = BEST, model: str = MODEL) -> DataFrame
     with open(model, "rb") as file:
         proto = docs.sparkSession.sparkContext.broadcast(file.read())
     names = [c for c in docs.columns if c not in ("ids", "score", "others")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], whole_text(F.col("text")).alias("_read"))
+    read = free_names(docs, "read")["read"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], whole_text(F.col("text")).alias(read))
     extra = T.StructType.fromDDL(ENCODED) if hasattr(T.StructType, "fromDDL") else None
     schema = T.StructType([*rows.schema.fields[:-1], *extra.fields])
     changes = pa.list_(pa.struct([("unit", pa.int32()), ("ids", pa.list_(pa.int32()))]))
@@ -403,7 +405,7 @@ def encoded(docs: DataFrame, count: int = BEST, model: str = MODEL) -> DataFrame
         pieces = load(proto.value)
         for batch in batches:
             first = 0
-            for texts in text_groups(batch["_read"]):
+            for texts in text_groups(batch[read]):
                 ids, scores, others = [], [], []
                 for own, score, best in encode_all(pieces, texts, count):
                     ids.append(own.astype(np.int32))
@@ -420,7 +422,7 @@ def encoded(docs: DataFrame, count: int = BEST, model: str = MODEL) -> DataFrame
                     names=[*part.schema.names[:-1], "ids", "score", "others"],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return map_rows(rows, run, schema)
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:

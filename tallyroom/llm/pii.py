@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyroom.llm import tagger
-from tallyroom.llm.tables import bounded_batches, whole_text
+from tallyroom.llm.tables import bounded_batches, map_rows, whole_text
 from tallyroom.llm.tagger import KINDS
 
 # The patterns of the four kinds.
@@ -333,4 +333,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(n, "n_chars", pa.array(sizes, batch.schema.field(n).type))
             yield batch.set_column(at, "text", pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return map_rows(docs, run, T.StructType(docs.schema.fields))

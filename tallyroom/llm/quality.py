@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from tallyroom.llm.tables import bounded_batches, held_out, whole_text
+from tallyroom.llm.ranks import free_names
+from tallyroom.llm.tables import bounded_batches, held_out, map_rows, whole_text
 from tallyroom.llm.words import Texts, groups
 
 #: Hashed terms (byte triples), latent dimensions, labelled rows fitted on at most, and
@@ -116,6 +117,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Model:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", whole_text(F.col("text")).alias("text")).join(F.broadcast(known), "doc_id")
+    # Of rows of one id, however many, one speaks: that of least text hash.
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = rows.mapInArrow(_labelled, f"doc_id {kind}, quality int, places binary, counts binary").toArrow()
     rows = rows.sort_by([("doc_id", "ascending")]).slice(0, labelled)
     tfidf = np.zeros((len(rows), TERMS), dtype=np.float32)
@@ -139,23 +142,25 @@ def scored(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Data
 
     A null or empty text is similar to nothing and gets the share of label 1 among the
     labelled rows; without labels all get one half and are predicted 1. Labels other than
-    0 and 1 teach nothing, repeated ones count once with the greater. A null doc_id is
+    0 and 1 teach nothing, repeated ones count once with the greater; of rows that share a
+    labelled id one teaches. A null doc_id is
     not held out.
     """
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, labelled))
     names = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in names], whole_text(F.col("text")).alias("_read"))
+    read = free_names(docs, "read")["read"]
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], whole_text(F.col("text")).alias(read))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = [model.value.score(term_counts(t)) for t in groups(batch["_read"], _BYTES)]
-            at = batch.schema.get_field_index("_read")
+            score = [model.value.score(term_counts(t)) for t in groups(batch[read], _BYTES)]
+            at = batch.schema.get_field_index(read)
             column = pa.array(np.concatenate(score) if score else np.empty(0), pa.float64())
             yield batch.set_column(at, "score", column)
 
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("score", T.DoubleType())])
-    out = rows.mapInArrow(run, schema)
+    out = map_rows(rows, run, schema)
     return out.select(
         *[F.col(f"`{c}`") for c in names],
         held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"),

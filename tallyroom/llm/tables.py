@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallyroom.session import scratch_path
 
@@ -18,6 +18,31 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``stored`` wrote and that nothing will read again: what was made
+    of it is a stored table itself."""
+    files, context = df.inputFiles(), df.sparkSession.sparkContext
+    if files:
+        folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def map_rows(df: DataFrame, function, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow`` for columns of any name: those with a dot travel under another one."""
+    def plain(names: list[str]) -> list[str]:
+        taken, out = {n.lower() for n in names}, []
+        for i, name in enumerate(names):
+            if "." in name:
+                name = f"__dotted_{i}"
+                while name in taken:
+                    name += "_"
+            out.append(name)
+        return out
+
+    to = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain(schema.names), schema.fields)])
+    return df.toDF(*plain(df.columns)).mapInArrow(function, to).toDF(*schema.names)
+
+
 #: Rows that travel to Python together, at most; ten thousand long texts would be too many.
 BATCH_ROWS = 2000
 

@@ -80,7 +80,7 @@ def test_one_repeated_word_and_repeated_lines(make_docs):
 
 def test_words_are_compared_as_they_stand(make_docs):
     text = " ".join(f"Wort{i}" for i in range(60))
-    rows = [(1, text), (2, text.lower()), (3, text.replace(" ", "\t\n")), (4, text.replace(" ", " "))]
+    rows = [(1, text), (2, text.lower()), (3, text.replace(" ", "\t\n")), (4, text.replace(" ", "\u00a0"))]
     got = {r["doc_id"]: r["n_removed"] for r in repeats.digest(make_docs(*rows)).collect()}
     assert got == {1: 0, 2: 0, 3: 60, 4: 0}
 

