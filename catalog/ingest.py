@@ -157,6 +157,21 @@ query(
         t.app_events.select("id", "ip_address", "country"), t.geo_ranges, small=False
     ), E + " geo_ranges", GEO,
 )
+# The same ranges as address keys, every fourth address written as a mapped IPv6 one.
+query(
+    "ip_to_country_by_address_key",
+    lambda t: batches.ip_to_country(
+        t.app_events.selectExpr(
+            "id", "CASE WHEN id % 4 = 0 THEN concat('0:0::ffff:', lower(hex(CAST(split_part(ip_address, '.', 1) AS INT) * 256"
+            " + CAST(split_part(ip_address, '.', 2) AS INT))), ':', lower(hex(CAST(split_part(ip_address, '.', 3) AS INT) * 256"
+            " + CAST(split_part(ip_address, '.', 4) AS INT)))) ELSE ip_address END AS ip", "ip_address",
+        ),
+        t.geo_ranges.select(
+            *[F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.lower(F.hex(c)), 8, "0")).alias(c) for c in ("lo", "hi")],
+            "country",
+        ), ip="ip",
+    ).drop("ip"), E + " geo_ranges", GEO,
+)
 
 # Webhooks: one line per subscription event. In the sandbox some event types arrive
 # without an event, as broken JSON, or with a price that is no number.
@@ -460,7 +475,7 @@ def _regrouped(t: Tables) -> DataFrame:
     compacted, and the checkpoint lost once more."""
     root = scratch_path(t.spark, "stream-regrouped")
     lines = batch_lines(t.app_events, "batch_no").withColumn("copy", F.explode(F.expr(f"sequence(1, {POSTS})")))
-    lines.repartition(5, F.col("batch_no") + F.col("copy") % 2).select("value").write.text(f"{root}/posted")
+    lines.repartition(3, F.col("batch_no") + F.col("copy") % 2).select("value").write.text(f"{root}/posted")
 
     def run(checkpoint: str, files_per_trigger: int | None) -> None:
         stream = ingest.stream_event_batches(t.spark, f"{root}/posted", files_per_trigger)

@@ -9,6 +9,7 @@ from tallyroom.functions.numbers import (
 )
 from tallyroom.functions.properties import as_bool, as_double, as_int, as_money, prop
 from tallyroom.functions.text import (
+    address_key,
     client_ip,
     ipv4_number,
     locale_country,
@@ -19,7 +20,7 @@ from tallyroom.functions.text import (
 )
 
 __all__ = [
-    "as_bool", "as_double", "as_int", "as_money", "client_ip", "conversion_rate",
+    "address_key", "as_bool", "as_double", "as_int", "as_money", "client_ip", "conversion_rate",
     "duration_text", "hybrid_metric", "ipv4_number", "js_round", "locale_country",
     "locale_language", "mask_phone", "normalize_phone", "or_default", "percent",
     "prop", "ratio", "to_fixed",

@@ -64,3 +64,26 @@ def ipv4_number(ip: Column) -> Column:
         F.split(ip, r"\."), F.lit(0).cast("bigint"), lambda acc, part: acc * 256 + part.try_cast("bigint")
     )
     return F.when(ip.rlike(rf"^({OCTET}\.){{3}}{OCTET}$"), number)
+
+
+def _ipv6_key(ip: Column) -> Column:
+    """The eight groups of an IPv6 address as 32 hex digits; null for anything else."""
+    def parts(text: Column) -> Column:
+        return F.filter(F.split(text, ":"), lambda g: g != "")
+    gap = F.contains(ip, F.lit("::"))
+    head, tail = (parts(F.split_part(ip, F.lit("::"), F.lit(i))) for i in (1, 2))
+    missing = 8 - F.size(head) - F.size(tail)
+    groups = F.when(gap, F.concat(head, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), tail)).otherwise(head)
+    sound = (
+        ip.rlike("^[0-9A-Fa-f:]+$") & ~ip.rlike(":::|::.*::|[0-9A-Fa-f]{5}|^:[^:]|[^:]:$")
+        & F.when(gap, missing > 0).otherwise(F.size(head) == 8)
+    )
+    key = F.array_join(F.transform(groups, lambda g: F.lpad(F.lower(g), 4, "0")), "")
+    return F.when(sound, key)
+
+
+def address_key(ip: Column) -> Column:
+    """An IPv4 or IPv6 address as 32 hex digits, which sort as addresses do; IPv4 ones as the
+    IPv6 addresses they are mapped to. Null for anything else."""
+    mapped = F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.lower(F.hex(ipv4_number(ip))), 8, "0"))
+    return F.coalesce(mapped, _ipv6_key(ip))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallyroom import clock
 from tallyroom.clock import Bounds
 from tallyroom.functions import prop
-from tallyroom.plans import Page, beyond, order_by, paged
+from tallyroom.plans import DEEP, Page, beyond, from_offset, of_device, order_by, paged
 
 # The columns of each feed.
 RECENT_COLUMNS = [
@@ -46,6 +46,12 @@ def _after(df: DataFrame, after: tuple | None, column: str = "event_ts") -> Data
     return df.filter(beyond(column, moment, "desc", "id", key, "desc"))
 
 
+def _page(found: DataFrame, after: tuple | None, limit: int, offset: int, deep: int) -> DataFrame:
+    """A page of ``found``, newest first."""
+    found, offset = from_offset(_after(found, after), "event_ts", "desc", "id", "desc", offset, deep)
+    return paged(found, *_newest(), limit=limit, offset=offset)
+
+
 def recent_events(events: DataFrame, limit: int = 50) -> DataFrame:
     """Newest events by client time, falling back to arrival time."""
     when = F.coalesce("event_ts", "created_at").desc_nulls_first()
@@ -69,21 +75,25 @@ def search_events(
     limit: int = 100,
     offset: int = 0,
     after: tuple | None = None,
+    deep: int = DEEP,
 ) -> Page:
     """Events meeting all given conditions. ``date`` overrides ``date_from`` and
     ``date_to``; the last day counts in full. The total ignores paging. ``after``, the
-    ``event_ts`` and ``id`` of a page's last row, asks for the page that follows."""
+    ``event_ts`` and ``id`` of a page's last row, asks for the page that follows. An offset
+    above ``deep`` runs a job that finds where the page begins."""
     found = events
-    for column, wanted in (("name", name), ("category", category), ("device_id", device_id)):
+    for column, wanted in (("name", name), ("category", category)):
         if wanted:
             found = found.filter(F.col(column) == wanted)
+    if device_id:
+        found = of_device(found, device_id)
     if date:
         found = clock.one_day(date).apply(found, "event_ts")
     else:
         lo = clock.midnight(date_from) if date_from else None
         hi = datetime.combine(clock.as_date(date_to), clock.END_OF_DAY) if date_to else None
         found = Bounds(lo, hi).apply(found, "event_ts")
-    rows = paged(_after(found, after), *_newest(), limit=limit, offset=offset).select(*SEARCH_COLUMNS)
+    rows = _page(found, after, limit, offset, deep).select(*SEARCH_COLUMNS)
     return Page(rows, found.agg(F.count(F.lit(1)).alias("total")))
 
 
@@ -98,14 +108,15 @@ def events_by_property(
     limit: int = 100,
     offset: int = 0,
     after: tuple | None = None,
+    deep: int = DEEP,
 ) -> Page:
     """Events of one type with a property value; ``default`` stands for a missing one;
-    ``after`` as in ``search_events``."""
+    ``after`` and ``deep`` as in ``search_events``."""
     found_value = prop(key) if default is None else F.coalesce(prop(key), F.lit(default))
     found = clock.since(as_of, days).apply(events, "event_ts").filter(
         (F.col("name") == name) & (found_value == value)
     )
-    rows = paged(_after(found, after), *_newest(), limit=limit, offset=offset)
+    rows = _page(found, after, limit, offset, deep)
     total = found.agg(
         F.count(F.lit(1)).alias("total"), F.countDistinct("device_id").alias("unique_users")
     )
@@ -118,7 +129,7 @@ def profile_lookup(profiles: DataFrame, device_id: str) -> DataFrame:
 
 def user_event_history(events: DataFrame, device_id: str, limit: int = 200) -> DataFrame:
     """Newest events of one device."""
-    mine = events.filter(F.col("device_id") == device_id)
+    mine = of_device(events, device_id)
     columns = [c for c in HISTORY_COLUMNS if c in events.columns]
     return paged(mine, *_newest(), limit=limit).select(*columns)
 

@@ -65,16 +65,30 @@ def weekly_cohort_retention(
     All days asked for are known in advance, so one pass reduces each device to its
     first event and one flag per day.
     """
+    ends, over = weeks_and_days(as_of, weeks, periods)
+    flags = {f"_on_{d:%Y%m%d}": clock.one_day(d).holds(events, "event_ts") for d in over}
+    devices = device_flags(events, flags, F.min("event_ts").alias("first_seen"))
+    return cohort_rows(devices, ends, over, periods)
+
+
+def weeks_and_days(
+    as_of: datetime | None, weeks: int, periods: tuple[int, ...]
+) -> tuple[list[datetime], list[datetime]]:
+    """The ends of the weeks, newest first, and the days asked for that are over, in order."""
     now = clock.resolve(as_of)
     today = clock.midnight(now)
     ends = [today - timedelta(days=7 * i) for i in range(weeks)]
     days = sorted({end + timedelta(days=p - 1) for end in ends for p in periods})
-    over = {d for d in days if d + timedelta(days=1) <= now}
-    flags = {f"_on_{d:%Y%m%d}": clock.one_day(d).holds(events, "event_ts") for d in sorted(over)}
-    devices = device_flags(events, flags, F.min("event_ts").alias("first_seen"))
+    return ends, [d for d in days if d + timedelta(days=1) <= now]
+
 
+def cohort_rows(
+    devices: DataFrame, ends: list[datetime], over: list[datetime], periods: tuple[int, ...]
+) -> DataFrame:
+    """A row a week, oldest first, of ``devices`` with first_seen and a flag for each day that
+    is over."""
     sums, rows = [], []
-    for i in reversed(range(weeks)):
+    for i in reversed(range(len(ends))):
         start, end = ends[i] - timedelta(days=7), ends[i]
         joined = Bounds(start, end, hi_open=True).holds(devices, "first_seen")
         sums.append(F.count_if(joined).alias(f"_size_{i}"))

@@ -16,6 +16,7 @@ from tallyroom import clock
 from tallyroom.clock import Bounds
 from tallyroom.functions.counts import n_rows
 from tallyroom.operators.events import active_columns, active_flags
+from tallyroom.operators.retention import WEEKLY_PERIODS, cohort_rows, weeks_and_days
 from tallyroom.plans import device_flags
 
 
@@ -64,3 +65,21 @@ def cohort_from_snapshot(snapshot: DataFrame, events: DataFrame, day, return_day
     back = clock.one_day(start + timedelta(days=int(return_day))).apply(events, "event_ts")
     seen = back.select("device_id").distinct().withColumn("returned", F.lit(True))
     return members.join(seen, "device_id", "left").withColumn("returned", F.coalesce("returned", F.lit(False)))
+
+
+def weekly_cohort_retention_from_snapshot(
+    snapshot: DataFrame, events: DataFrame, as_of: datetime | None = None, weeks: int = 4,
+    periods: tuple[int, ...] = WEEKLY_PERIODS,
+) -> DataFrame:
+    """``retention.weekly_cohort_retention`` with the first events of a snapshot that covers
+    all ``events``; of these, only the days that cohorts are asked for are read."""
+    ends, over = weeks_and_days(as_of, weeks, periods)
+    asked = reduce(lambda a, b: a | b, [clock.one_day(d).holds(events, "event_ts") for d in over], F.lit(False))
+    if over:
+        events = Bounds(over[0], over[-1] + timedelta(days=1), hi_open=True).apply(events, "event_ts")
+    flags = {f"_on_{d:%Y%m%d}": clock.one_day(d).holds(events, "event_ts") for d in over}
+    seen = device_flags(events.where(asked), flags, n_rows().alias("_n")).drop("_n")
+    first, last = min(ends) - timedelta(days=7), max(ends)
+    joined = Bounds(first, last, hi_open=True).apply(snapshot, "first_event")
+    devices = joined.select("device_id", F.col("first_event").alias("first_seen")).join(seen, "device_id", "left")
+    return cohort_rows(devices, ends, over, periods)

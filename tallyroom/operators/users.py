@@ -12,7 +12,8 @@ from tallyroom.clock import ALL_TIME, Bounds, instant
 from tallyroom.functions import as_money, prop
 from tallyroom.functions.counts import n_rows
 from tallyroom.plans import (
-    Page, beyond, device_flags, device_rollup, device_totals, latest_per_key, order_by, paged,
+    DEEP, Page, beyond, device_flags, device_rollup, device_totals, from_offset, latest_per_key, of_device,
+    order_by, paged,
 )
 
 # What lists may be sorted by.
@@ -98,12 +99,14 @@ def user_list(
     offset: int = 0,
     as_of: datetime | None = None,
     after: tuple | None = None,
+    deep: int = DEEP,
 ) -> Page:
     """Devices active in the window with status and purchases, filtered and paged.
 
     ``filter`` is ``all``, ``purchasers``, ``active``, ``churned`` or ``retained``.
     Membership tests look at all events, not only the window's. ``after``, the sort
-    value and ``device_id`` of a page's last row, asks for the page that follows.
+    value and ``device_id`` of a page's last row, asks for the page that follows. An offset
+    above ``deep`` runs a job that finds where the page begins.
     """
     if filter not in ("all", "purchasers", "active", "churned", "retained"):
         raise ValueError(f"unknown filter {filter!r}")
@@ -171,6 +174,7 @@ def user_list(
     following = users if after is None else users.filter(
         beyond(sorted_by, after[0], order, "device_id", after[1], "asc")
     )
+    following, offset = from_offset(following, sorted_by, order, "device_id", "asc", offset, deep)
     rows = _page_of(
         inside, following, by, limit, offset, lambda chosen: users_with_purchases(chosen, ALL_TIME, now)
     )
@@ -212,7 +216,7 @@ def user_detail(
     """``user_stats`` over all time plus days since first and last activity, longest
     reported session, subscription status and profile; of every device, or of one."""
     if device_id is not None:
-        events = events.filter(F.col("device_id") == device_id)
+        events = of_device(events, device_id)
     now = clock.resolve(as_of)
     stats = device_rollup(events, max_duration=True)
     day = 86_400_000_000.0
@@ -248,7 +252,7 @@ def user_detail(
 def event_breakdown(events: DataFrame, device_id: str | None = None) -> DataFrame:
     """Events by device and name over all time."""
     if device_id is not None:
-        events = events.filter(F.col("device_id") == device_id)
+        events = of_device(events, device_id)
     return events.groupBy("device_id", "name").agg(n_rows().alias("count"))
 
 
@@ -257,7 +261,7 @@ def latest_event_breakdown(
 ) -> DataFrame:
     """Events by name over the newest ``k`` events of each device."""
     if device_id is not None:
-        events = events.filter(F.col("device_id") == device_id)
+        events = of_device(events, device_id)
     newest = latest_per_key(
         events.select("device_id", "name", "event_ts", "id"),
         ["device_id"],
@@ -275,7 +279,7 @@ def session_timeline(
     duration reported by the last event (of equal times, the greatest id). ``newest_events`` builds the sessions from
     that many newest events of a device only."""
     if device_id is not None:
-        events = events.filter(F.col("device_id") == device_id)
+        events = of_device(events, device_id)
     if newest_events is not None:
         events = latest_per_key(
             events, ["device_id"], [order_by("event_ts"), F.col("id").desc()], newest_events,

@@ -10,13 +10,14 @@ from datetime import datetime, timezone
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallyroom import clock, schema
-from tallyroom.functions import client_ip, ipv4_number, or_default
+from tallyroom.functions import address_key, client_ip, ipv4_number, or_default
+from tallyroom.plans.asof import in_ranges
 from tallyroom.sources.lines import parse_json_lines
 
-# Range tables up to this size are broadcast; larger ones are joined by salted key.
+# Range tables up to this size are broadcast; larger ones are joined by order.
 GEO_BROADCAST_BYTES = 64 << 20
 IP_LENGTH = 45
 COPY_BLOCK = 1000
@@ -140,20 +141,31 @@ def ingest_event_batches(
     )
 
 
-def _by_network(ranges: DataFrame) -> DataFrame:
-    """Ranges once for each /16 they touch."""
-    listed = ranges.select(
-        F.col("lo").cast("bigint").alias("_lo"), F.col("hi").cast("bigint").alias("_hi"), "country"
-    )
-    each = F.explode(F.sequence(F.shiftright("_lo", 16), F.shiftright("_hi", 16)))
-    return listed.withColumn("_range_net", each)
+#: Bits below the blocks that ranges are listed under: a range goes to the finest level whose
+#: blocks are as wide as itself, so it touches two of them at most.
+_LEVELS = (16, 24, 32)
+
+
+def _listed(ranges: DataFrame) -> DataFrame:
+    """IPv4 ranges with their level and block, in one row or two."""
+    lo, hi = F.col("lo").cast("bigint"), F.col("hi").cast("bigint")
+    width = hi - lo + 1
+    level = F.lit(_LEVELS[-1])
+    for bits in reversed(_LEVELS[:-1]):
+        level = F.when(width <= 1 << bits, F.lit(bits)).otherwise(level)
+    rows = ranges.select(lo.alias("_lo"), hi.alias("_hi"), "country", level.alias("_level"))
+    first, last = (F.call_function("shiftright", F.col(c), F.col("_level")) for c in ("_lo", "_hi"))
+    return rows.withColumn("_block", F.explode(F.array_distinct(F.array(first, last))))
 
 
 def fits_broadcast(ranges: DataFrame, most_bytes: int = GEO_BROADCAST_BYTES) -> bool:
     """Whether the ranges, as they are broadcast, take ``most_bytes`` at most: three longs
-    and the country's text a row. A job; streams ask once."""
+    and the country's text a row. A job; streams ask once. Ranges of address keys (text, see
+    ``functions.address_key``) are joined by order and never broadcast."""
+    if ranges.schema["lo"].dataType == T.StringType():
+        return False
     size = F.sum(F.lit(24) + F.coalesce(F.octet_length("country"), F.lit(0)))
-    return (_by_network(ranges).agg(size).first()[0] or 0) <= most_bytes
+    return (_listed(ranges).agg(size).first()[0] or 0) <= most_bytes
 
 
 def ip_to_country(
@@ -162,33 +174,43 @@ def ip_to_country(
     ip: str = "ip_address",
     country: str = "country",
     small: bool | None = None,
-    salts: int = 32,
+    salts: int = 8,
 ) -> DataFrame:
-    """Country of an IPv4 address from disjoint ``lo, hi, country`` ranges; null for
-    the loopback, other addresses and gaps.
-
-    The range condition becomes an equi-join on the upper 16 bits: every range is
-    listed under each /16 it touches. Range tables that fit (``fits_broadcast``, asked
-    here unless the caller passes ``small``) are broadcast; larger ones join on (bucket,
-    salt), which splits a network that sends most events.
+    """Country of an address from disjoint ``lo, hi, country`` ranges of any width; null for
+    the loopback, other addresses and gaps. Ranges are IPv4 numbers, or address keys
+    (``functions.address_key``), which cover IPv4 and IPv6.
+
+    Range tables that fit (``fits_broadcast``, asked here unless the caller passes
+    ``small``) are broadcast: ranges are listed by blocks about as wide as themselves, and
+    every level is an equi-join. Otherwise the distinct addresses and the ranges are brought
+    into one order (``plans.asof``), and events take what their address has found, by address
+    and a salt, as one address may send most of them.
     """
-    number = ipv4_number(F.col(ip))
     kept = [c for c in events.columns if c != country]
-    keyed = events.drop(country).withColumn(
-        "_ip", F.when(F.col(ip) != "127.0.0.1", number)
-    ).withColumn("_net", F.shiftright("_ip", 16))
-    listed = _by_network(ranges).withColumnRenamed("country", country)
-    match = (F.col("_net") == F.col("_range_net")) & F.col("_ip").between(F.col("_lo"), F.col("_hi"))
+    given = F.when(F.col(ip) != "127.0.0.1", F.col(ip))
     if fits_broadcast(ranges) if small is None else small:
-        out = keyed.join(F.broadcast(listed), match, "left")
-    else:
-        # A null network matches nothing; the salt keeps those rows spread out too.
-        every = F.array(*[F.lit(i) for i in range(salts)])
-        copies = listed.withColumn("_range_salt", F.explode(every))
-        salt = F.pmod(F.xxhash64(*kept), F.lit(salts)).cast("int")
-        salted = keyed.withColumn("_salt", salt)
-        out = salted.join(copies, match & (F.col("_salt") == F.col("_range_salt")), "left")
-    return out.select(*kept, country)
+        found = events.drop(country).withColumn("_ip", ipv4_number(given))
+        listed, countries = _listed(ranges), []
+        for level in _LEVELS:
+            names = {c: f"{c}_{level}" for c in ("_lo", "_hi", "_block", "country")}
+            side = listed.where(F.col("_level") == level).drop("_level").withColumnsRenamed(names)
+            match = (F.shiftright("_ip", level) == F.col(f"_block_{level}")) & F.col("_ip").between(
+                F.col(f"_lo_{level}"), F.col(f"_hi_{level}"))
+            found = found.join(F.broadcast(side), match, "left")
+            countries.append(f"country_{level}")
+        return found.select(*kept, F.coalesce(*countries).alias(country))
+
+    text = ranges.schema["lo"].dataType == T.StringType()
+    number = address_key(given) if text else ipv4_number(given)
+    sides = ranges.select("lo", "hi", F.col("country").alias("_country"))
+    located = in_ranges(events.select(number.alias("_key")), sides, "_key", "_country")
+    # A row without an address matches nothing; the salt keeps those rows spread out too.
+    keyed = events.drop(country).withColumns(
+        {"_ip": number, "_salt": F.pmod(F.xxhash64(*kept), F.lit(salts)).cast("int")}
+    )
+    copies = located.withColumn("_copy", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    match = (F.col("_ip") == F.col("_key")) & (F.col("_salt") == F.col("_copy"))
+    return keyed.join(copies, match, "left").select(*kept, F.col("_country").alias(country))
 
 
 def read_subscription_webhooks(spark: SparkSession, path: str) -> DataFrame:

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tallyroom.plans.devices import device_bucket
+
+#: Row groups of tables clustered by device: small, as a device needs few rows of one.
+ROW_GROUP_BYTES = 8 << 20
+
 
 def read_report_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV report with a header as text columns, trimmed and unquoted; an empty cell
@@ -48,6 +53,23 @@ def append_events(events: DataFrame, path: str) -> None:
     dated.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
 
 
+def append_by_device(events: DataFrame, path: str, buckets: int = 256) -> None:
+    """Append to a table that finds one device fast: partitioned by a hash of the device, rows
+    in order of device and time, files with bloom filters of their devices. Ranges of
+    device and time are what tasks write, so a device with most of the rows is split over
+    many files, and a small one lies in few row groups of one bucket."""
+    bucket = device_bucket(F.col("device_id"), buckets)
+    order = [f"device_bucket_{buckets}", "device_id", "event_ts"]
+    (
+        events.withColumn(order[0], bucket)
+        .repartitionByRange(*order).sortWithinPartitions(*order)
+        .write.mode("append").partitionBy(order[0])
+        .option("parquet.bloom.filter.enabled#device_id", "true")
+        .option("parquet.block.size", str(ROW_GROUP_BYTES))
+        .parquet(path)
+    )
+
+
 def stamped(df: DataFrame, source: str, number: int | str) -> DataFrame:
     """``df`` with the partition columns of one micro-batch of one stream. The source is a
     name the caller keeps for the stream, so streams that share a table, each counting

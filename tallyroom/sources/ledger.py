@@ -27,7 +27,7 @@ FILE = "ingest_file"
 _FOLDER = "_ledger"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
@@ -62,7 +62,7 @@ def _write_lists(entries: DataFrame, path: str, day: str) -> None:
     for row in entries.select(*columns).distinct().collect():
         # The version before stays for readers that have just looked.
         old = f"{path}/{_FOLDER}/{day}={row[0]}/{SOURCE}={row[1]}/version={row[2] - 2}"
-        _delete(spark, old)
+        delete_folder(spark, old)
 
 
 def batch_name(rows: DataFrame, key: str) -> str:

@@ -10,7 +10,8 @@ from build import AS_OF, dicts, events, only
 from pyspark.sql import functions as F
 
 from tallyroom import clock, plans
-from tallyroom.operators import events as ev, funnels, retention, users
+from tallyroom.operators import events as ev, feeds, funnels, retention, users
+from tallyroom.sources import files
 from tallyroom.sources.batches import fits_broadcast, ip_to_country
 
 
@@ -111,3 +112,60 @@ def test_pages(spark):
         plans.paged(df, F.col("id"), limit=-1)
     with pytest.raises(ValueError):
         plans.order_by("id", "sideways")
+
+
+@pytest.mark.parametrize("offset", [0, 1, 299, 880, 899, 900, 1200])
+def test_deep_offsets_give_the_offset_pages(skewed, offset):
+    page = feeds.search_events(skewed, limit=7, offset=offset).rows
+    deep = feeds.search_events(skewed, limit=7, offset=offset, deep=-1 if offset else 0).rows
+    assert [r["id"] for r in deep.collect()] == [r["id"] for r in page.collect()]
+    if 0 < offset < 900:
+        # The page is cut from what follows a row, with no rows to pass over.
+        assert "Offset" not in plan_of(deep) and "limit=7" in plan_of(deep)
+
+
+def test_deep_offsets_with_nulls(spark):
+    rows = [(i, None if i % 4 == 0 else i // 3) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v long").repartition(5)
+    for order in ("asc", "desc"):
+        by = [plans.order_by("v", order), plans.order_by("id", "asc")]
+        for offset in range(1, 62, 6):
+            rest, none = plans.from_offset(df, "v", order, "id", "asc", offset, deep=0)
+            assert none == 0
+            got = plans.paged(rest, *by, limit=9)
+            assert [r["id"] for r in got.collect()] == [r["id"] for r in plans.paged(df, *by, limit=9, offset=offset).collect()]
+
+
+def files_read(df) -> int:
+    """Files that the scans of an executed query opened."""
+    def opened(plan) -> int:
+        if "Adaptive" in plan.nodeName():
+            plan = plan.executedPlan()
+        leaves, total = plan.collectLeaves(), 0
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            if "QueryStage" in leaf.nodeName():
+                total += opened(leaf.plan())
+            elif leaf.metrics().contains("numFiles"):
+                total += leaf.metrics().apply("numFiles").value()
+        return total
+    return opened(df._jdf.queryExecution().executedPlan())
+
+
+def test_one_device_opens_a_small_share_of_its_table(spark, skewed, tmp_path):
+    path = str(tmp_path / "by-device")
+    files.append_by_device(skewed, path, buckets=32)
+    files.append_by_device(skewed.withColumn("id", F.col("id") + 900), path, buckets=32)
+    table = spark.read.parquet(path)
+    everything = len(table.inputFiles())
+    device = skewed.filter("device_id <> 'hot'").first()["device_id"]
+    history = feeds.user_event_history(table, device)
+    assert history.count() == 2 * skewed.filter(F.col("device_id") == device).count()
+    found = history.collect()
+    assert found and everything > 30
+    assert "device_bucket_32" in plan_of(history)
+    assert 0 < files_read(history) <= everything / 8
+    detail = users.session_timeline(table, device)
+    detail.collect()
+    assert 0 < files_read(detail) <= everything / 8
+    assert feeds.search_events(table, device_id="nobody").rows.count() == 0

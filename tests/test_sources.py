@@ -248,3 +248,16 @@ def test_export_reads_the_days_it_covers_and_wide_rows_once(spark, tmp_path):
     assert "dynamicpruning" in plan
     aggregates = [line for line in plan.splitlines() if "Aggregate" in line]
     assert aggregates and not any("properties" in line or "first(" in line for line in aggregates)
+    for df in result:
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_export_lines_are_numbered_in_order(spark, tmp_path):
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    for name in ("y z.gz", "x.gz"):
+        with gzip.open(folder / name, "wt") as out:
+            out.write("".join(f"{name}{i}\n" for i in range(3)))
+    rows = sorted((r["seq"], r["value"]) for r in dicts(export.read_export(spark, str(folder))))
+    assert [v for _, v in rows] == [f"{n}{i}" for n in ("x.gz", "y z.gz") for i in range(3)]
+    assert len({s for s, _ in rows}) == 6
