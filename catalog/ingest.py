@@ -343,6 +343,46 @@ query(
       CASE WHEN ok IS NOT NULL AND (sent IS NULL OR ok > sent) THEN TRUE WHEN sent IS NOT NULL THEN FALSE END AS phone_verified
     FROM profiles p FULL JOIN c ON p.device_id = c.device_id WHERE p.device_id IS NOT NULL OR sent IS NOT NULL""",
 )
+# The same two jobs with every column of a profile.
+NEVER = "CAST(NULL AS VARCHAR) AS {0}".format
+UNKNOWN = "CAST(NULL AS BOOLEAN) AS {0}".format
+MOMENTS = """CASE WHEN p.device_id IS NULL THEN TIMESTAMP '2024-01-30 23:59:59' END AS created_at,
+      CASE WHEN c.device_id IS NOT NULL THEN TIMESTAMP '2024-01-30 23:59:59' END AS updated_at"""
+query(
+    "merge_profiles_all_columns",
+    lambda t: profiles.merge_profiles(
+        _profiles(t), _profile_changes(t).withColumns({
+            "display_name": F.concat(F.lit("n"), F.col("seq") % 4), "rc_user_id": F.when(F.col("seq") % 6 == 0, F.col("device_id")),
+            "opted_in_receipts": F.col("seq") % 7 == 0,
+        }), AS_OF,
+    ), "profiles subscription_events",
+    f"""WITH c AS (SELECT original_app_user_id AS device_id,
+      arg_max(product_id, id) FILTER (id % 3 <> 0) AS tier, max(original_app_user_id) FILTER (id % 6 = 0) AS rc,
+      arg_max('s' || id || '@example.com', id) FILTER (id % 4 = 0) AS mail,
+      arg_max(is_trial_conversion, id) FILTER (id % 5 = 0) AS opted,
+      'n' || (max(id) % 4) AS display_name, max(id) % 7 = 0 AS receipts
+      FROM subscription_events GROUP BY 1)
+    SELECT COALESCE(p.device_id, c.device_id) AS device_id, rc AS rc_user_id, COALESCE(mail, email) AS email, phone,
+      display_name, COALESCE(tier, subscription_tier) AS subscription_tier, {NEVER('preferred_contact')},
+      COALESCE(opted, opted_in_marketing) AS opted_in_marketing, {UNKNOWN('opted_in_product_updates')},
+      receipts AS opted_in_receipts, CASE WHEN p.device_id IS NULL THEN FALSE END AS email_verified,
+      CASE WHEN p.device_id IS NULL THEN FALSE END AS phone_verified, {MOMENTS}
+    FROM profiles p FULL JOIN c ON p.device_id = c.device_id""",
+)
+query(
+    "apply_phone_changes_all_columns",
+    lambda t: profiles.apply_phone_changes(_profiles(t), _phone_changes(t), AS_OF), "profiles subscription_events",
+    f"""WITH c AS (SELECT app_user_id AS device_id,
+      max(id) FILTER (event_type = 'INITIAL_PURCHASE') AS sent, max(id) FILTER (event_type = 'CANCELLATION') AS ok
+      FROM subscription_events WHERE event_type IN ('INITIAL_PURCHASE', 'CANCELLATION') GROUP BY 1)
+    SELECT COALESCE(p.device_id, c.device_id) AS device_id, {NEVER('rc_user_id')}, email,
+      COALESCE('+1212' || (1000000 + sent), phone) AS phone, {NEVER('display_name')}, subscription_tier,
+      {NEVER('preferred_contact')}, opted_in_marketing, {UNKNOWN('opted_in_product_updates')}, {UNKNOWN('opted_in_receipts')},
+      CASE WHEN p.device_id IS NULL THEN FALSE END AS email_verified,
+      CASE WHEN ok IS NOT NULL AND (sent IS NULL OR ok > sent) THEN TRUE WHEN sent IS NOT NULL THEN FALSE END AS phone_verified,
+      {MOMENTS}
+    FROM profiles p FULL JOIN c ON p.device_id = c.device_id WHERE p.device_id IS NOT NULL OR sent IS NOT NULL""",
+)
 query(
     "phone_numbers",
     lambda t: t.profiles.select(
