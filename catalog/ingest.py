@@ -579,6 +579,20 @@ def _stream_hours(t: Tables) -> DataFrame:
 query("stream_active_last_hour", _stream_hours, E, ACTIVE_HOURS)
 
 
+def _stream_hour_counts(t: Tables) -> DataFrame:
+    """Two files of events, a micro-batch each, then both again after a lost checkpoint."""
+    root = scratch_path(t.spark, "stream-hours")
+    events = t.app_events.select("device_id", F.col("event_ts").cast("timestamp").alias("event_ts"))
+    events.repartition(2, F.hour("event_ts")).write.parquet(f"{root}/posted")
+    for checkpoint, per_batch in (("first", 1), ("second", None)):
+        stream = ingest.stream_event_files(t.spark, f"{root}/posted", events.schema, per_batch)
+        _finish(windows.start_hour_counts(stream, f"{root}/hours", f"{root}/{checkpoint}"))
+    return windows.hours_from_deltas(t.spark, f"{root}/hours")
+
+
+query("stream_active_last_hour_by_deltas", _stream_hour_counts, E, ACTIVE_HOURS)
+
+
 def _stream_dedup(t: Tables) -> DataFrame:
     root = scratch_path(t.spark, "stream-dedup")
     repeated = _event_stream(t).withColumn(

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tallyroom.sources import ledger
 from tallyroom.sources.files import STAMP, replace_partitions, stamped
 
 # The default trigger: everything that has landed, then stop.
@@ -117,6 +118,85 @@ def start_device_slides(
     )
 
 
+def hour_deltas(new: DataFrame, stored: DataFrame, slide_minutes: int = 5) -> DataFrame:
+    """(window_start, window_end, delta): by how much ``new`` slides (device_id, slide) raise
+    the distinct devices of each sliding hour, given those ``stored`` for the same devices
+    in the hours around them. Only hours that hold a new slide are listed."""
+    after = hours_from_slides(new.unionByName(stored), slide_minutes)
+    before = hours_from_slides(stored, slide_minutes).withColumn("active_users", -F.col("active_users"))
+    keys = ["window_start", "window_end"]
+    deltas = after.unionByName(before).groupBy(*keys).agg(F.sum("active_users").alias("delta"))
+    return deltas.where("delta <> 0")
+
+
+def start_hour_counts(
+    events: DataFrame, path: str, checkpoint: str, slide_minutes: int = 5,
+    trigger: dict | None = None, source: str = "main",
+) -> StreamingQuery:
+    """Keep exact distinct devices per sliding hour: ``hours_from_deltas`` adds up what each
+    micro-batch has raised them by. A micro-batch reads the stored slides of its own devices
+    on its own days and an hour around them, and no others. Slides and deltas go by one
+    ledger at ``{path}/slides``, so a batch is in both or in none; events of
+    ``ingest.stream_event_files`` are known by their file, of other streams a batch that
+    runs again as it was. Deltas are named by batch, so these slides are not to be compacted."""
+    if slide_minutes < 1 or 60 % slide_minutes:
+        raise ValueError("slide_minutes must divide an hour")
+    known, width = ledger.FILE in events.columns, slide_minutes * 60
+    around = 60 // slide_minutes - 1
+
+    def day(slide: Column) -> Column:
+        return F.to_date(F.timestamp_seconds(slide * width))
+
+    def store(batch: DataFrame, number: int) -> None:
+        slide = F.floor(F.unix_seconds(F.col("event_ts").cast("timestamp")) / width).alias("slide")
+        file = F.col(ledger.FILE) if known else F.lit(f"{source}/{number}").alias(ledger.FILE)
+        rows = batch.where("device_id IS NOT NULL").select("device_id", slide, file).distinct()
+        rows = rows.withColumn("slide_date", day(F.col("slide"))).persist()
+
+        def write(fresh: DataFrame, name: str) -> None:
+            new = fresh.select("device_id", "slide", "slide_date").distinct().persist()
+            try:
+                days = new.select(F.explode(F.array(*[
+                    day(F.col("slide") + n) for n in (-around, 0, around)])).alias("day")).distinct()
+                stored = ledger.committed(
+                    batch.sparkSession, f"{path}/slides", [r[0] for r in days.collect()], "slide_date")
+                if stored is None:
+                    stored = new.limit(0)
+                else:
+                    stored = stored.where((F.col("ingest_batch") != name) | (F.col("ingest_source") != source))
+                    stored = stored.join(new.select("device_id").distinct(), "device_id", "left_semi")
+                slides = ["device_id", "slide"]
+                deltas = hour_deltas(new.select(slides), stored.select(slides), slide_minutes)
+                deltas = deltas.withColumn("window_date", F.to_date("window_start"))
+                replace_partitions(stamped(deltas, source, name), f"{path}/deltas", "window_date", *STAMP)
+                replace_partitions(stamped(new, source, name), f"{path}/slides", "slide_date", *STAMP)
+            finally:
+                new.unpersist()
+
+        try:
+            ledger.store(rows, f"{path}/slides", source, write, day="slide_date")
+        finally:
+            rows.unpersist()
+
+    return (
+        events.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or AVAILABLE_NOW))
+        .start()
+    )
+
+
+def hours_from_deltas(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct devices per sliding hour of a table kept by ``start_hour_counts``: the deltas
+    of the batches that its ledger names, a row an hour and batch."""
+    named = ledger.lists(spark, f"{path}/slides", "slide_date").select(*STAMP).distinct()
+    deltas = spark.read.parquet(f"{path}/deltas").withColumns({c: F.col(c).cast("string") for c in STAMP})
+    counts = deltas.join(F.broadcast(named), STAMP, "left_semi").groupBy("window_start", "window_end").agg(
+        F.sum("delta").alias("active_users")
+    )
+    return counts.where("active_users > 0")
+
+
 def start_window_updates(
     windows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None,
     source: str = "main",

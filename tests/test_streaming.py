@@ -172,3 +172,18 @@ def test_compacted_windows_are_the_last_states(spark, tmp_path):
     windows.compact_windows(stored, str(tmp_path / "closed"), at("2030-01-01").date())
     closed = spark.read.parquet(str(tmp_path / "closed")).drop("window_date")
     assert drop_stamp(dicts(closed)) == drop_stamp(dicts(windows.events_per_minute(df)))
+
+
+@pytest.mark.parametrize("minutes", [5, 20])
+def test_hours_by_deltas_count_exactly(spark, tmp_path, minutes):
+    """Files hold slides of the same devices in the same hours and around midnight."""
+    df = events(spark, *[dict(ts=f"2024-01-0{1 + i % 2}T{(i * 5) % 3 + (0 if i % 2 else 21):02d}:{(i * 17) % 60:02d}:00",
+                              device_id=f"d{i % 4}") for i in range(60)])
+    df.repartition(4).write.parquet(str(tmp_path / "in"))
+    path, expected = str(tmp_path / "hours"), drop_stamp(dicts(windows.active_last_hour(df, slide_minutes=minutes)))
+    for checkpoint, per_batch in (("a", 1), ("b", 3)):
+        stream = ingest.stream_event_files(spark, str(tmp_path / "in"), df.schema, per_batch)
+        finish(windows.start_hour_counts(stream, path, str(tmp_path / checkpoint), minutes))
+        assert drop_stamp(dicts(windows.hours_from_deltas(spark, path))) == expected
+    with pytest.raises(ValueError):
+        windows.start_hour_counts(df, "x", "y", slide_minutes=7)
