@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyroom.llm.tables import stored
+from tallyroom.llm.tables import discard, stored
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -38,6 +38,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         new = stored(small, "links")
         same = new.count() == links.count() and new.join(links, ["u", "v"], "left_anti").isEmpty()
+        if links is not nodes:
+            discard(links)
         links = new
         if same:
             break

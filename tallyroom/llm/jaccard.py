@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tallyroom.llm import bitmaps
 from tallyroom.llm.components import components
 from tallyroom.llm.ranks import free_names
-from tallyroom.llm.tables import bounded_batches, map_rows, stored, whole_text
+from tallyroom.llm.tables import bounded_batches, discard, map_rows, stored, whole_text
 from tallyroom.llm.words import groups, mix, shingles
 
 #: Similarity: 100 * intersection >= PERCENT * union.
@@ -29,6 +29,8 @@ PAIRED, PAIRED_LEVEL = 8, 9
 SCARCE = 64
 #: New leaders a class meets in a round; rounds end when they link less than one in ROUNDS_END.
 ASKED, ROUNDS_END = 4, 8
+#: Marks of a class that travel along, so that a pair meets at one mark and not at all it shares.
+KNOWN = 32
 _U = np.uint64
 #: Shingles travel as their upper 48 bits; sets are compared by all 64.
 _TOKEN_SHIFT = _U(16)
@@ -259,15 +261,19 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     met = _each_set(text, _heads(frequent)).groupBy("hash").agg(
         F.min("class").alias("low"), F.max("class").alias("high")
     )
-    shared = bitmaps.bitmap(stored(met.where("low <> high").select("hash"), "shared"), F.col("hash"))
+    met = stored(met.where("low <> high").select("hash"), "shared")
+    shared = bitmaps.bitmap(met, F.col("hash"))
+    discard(met)
     marks = _each_set(text, _indexed(frequent, shared))
     marks = stored(marks.select(F.col("hash").alias("mark"), "class").distinct(), "marks")
     led = marks.groupBy("mark").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     live = stored(marks.join(led.where("low <> high").select("mark"), "mark"), "marks")
+    discard(marks)
 
     representative = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     candidates = stored(live.select("class").distinct().join(representative, "class"), "candidates")
     bits = bitmaps.bitmap(candidates, bitmaps.slot(F.col("doc_id")))
+    discard(candidates)
     all_tokens = _each_set(placed, lambda found: (found >> _TOKEN_SHIFT,), bits=bits)
     counted = all_tokens.groupBy("hash").agg(
         F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")
@@ -276,6 +282,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     scarce = _scarce(
         bitmaps.bitmap(counted, F.col("hash"), 64), bitmaps.bitmap(counted.where("many"), F.col("hash"), 512)
     )
+    discard(counted)
     scarce = stored(_each_set(placed, scarce, "n", "most", "common", bits=bits).distinct(), "scarce")
     # A set that shares less than this with all others links with none.
     scarce = scarce.where(100 * F.col("most") >= PERCENT * F.col("n"))
@@ -299,11 +306,15 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         texts = stored(some.join(named.select("class"), "class", "left_semi").dropDuplicates(["class"]), "texts")
         both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("left")), "a")
         both = both.join(texts.select(F.col("class").alias("b"), F.col("text").alias("right")), "b")
-        return stored(both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long"), "links")
+        out = stored(both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long"), "links")
+        discard(named)
+        discard(texts)
+        return out
 
     hashed = F.xxhash64("class")
     near_source = F.floor(F.col("most") * 1024 / F.col("n")) * (1 << 40) + F.pmod(hashed, F.lit(1 << 40))
     members = stored(live.join(facts, "class").withColumn("near", near_source), "members")
+    discard(live)
     leads = {"l0": F.max_by("class", "near"), "l1": F.min("class"), "l2": F.min_by("class", hashed)}
     led = members.groupBy("mark").agg(*[lead.alias(k) for k, lead in leads.items()], F.max("near").alias("near"))
     chosen = members.select("mark", "class", "n", "most").join(led, "mark").groupBy("class", "n", "most").agg(
@@ -320,7 +331,9 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         by = by.join(group, "class", "left").withColumn("component", F.coalesce("component", "class"))
         by = stored(by, "apart")
         marks = by.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        return stored(by.join(marks.where("low <> high").select("mark"), "mark"), "open")
+        out = stored(by.join(marks.where("low <> high").select("mark"), "mark"), "open")
+        discard(by)
+        return out
 
     # Rounds of new leaders for the sets that frequent shingles alone may link: a class apart
     # from the largest component of a mark meets some of that one's members.
@@ -346,14 +359,18 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         few = more.count() * ROUNDS_END < asked.count()
         if not more.isEmpty():
             group = components(found).withColumnRenamed("node", "class")
+            discard(by)
             by = labelled(by_common, group)
         if few:
             break
 
-    pairs = by.alias("l").join(
-        others(by).alias("r"),
-        (F.col("l.mark") == F.col("r.mark")) & (F.col("component") < F.col("other_component")) & can_link("common"),
-    )
+    # Pairs that share many marks meet at the least of them, as far as both know it: where no
+    # lesser one is among the first KNOWN of either.
+    first_marks = F.slice(F.sort_array(F.collect_set("mark")), 1, KNOWN).alias("known")
+    by = by.join(by.groupBy("class").agg(first_marks), "class")
+    lesser = F.exists(F.array_intersect("known", "other_known"), lambda mark: mark < F.col("l.mark"))
+    meet = (F.col("component") < F.col("other_component")) & can_link("common") & ~lesser
+    pairs = by.alias("l").join(others(by).alias("r"), (F.col("l.mark") == F.col("r.mark")) & meet)
     second = pairs.select(*ordered("class", "other_class")).distinct()
 
     # What two sets share is at most the scarce shingles that both have and the frequent ones

@@ -169,6 +169,6 @@ def mixed_documents(docs: DataFrame, seed: int = 0, **how) -> DataFrame:
         F.col("doc_id").alias(free["id"]),
         (F.col("whole") + F.floor(F.col("before") + F.col("over")) - F.floor("before")).cast("int").alias(free["copies"]),
     ).where(F.col(free["copies"]) > 0)
-    kept = docs.join(mix, F.col("`doc_id`").eqNullSafe(F.col(free["id"])))
+    kept = docs.join(mix.hint("merge"), F.col("`doc_id`").eqNullSafe(F.col(free["id"])))
     kept = kept.withColumn(free["copy"], F.explode(F.sequence(F.lit(1), F.col(free["copies"]))))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
