@@ -20,12 +20,10 @@ from tallyroom.streaming import kept
 
 def _bitmaps(t: Tables) -> DataFrame:
     """Two batches, each with devices of its own and some that both have."""
-    path, parts = scratch_path(t.spark, "devices"), []
+    path, stored = scratch_path(t.spark, "devices"), scratch_path(t.spark, "bitmaps")
     for half in (0, 1):
         batch = t.app_events.filter(f"id % 2 = {half}")
-        parts.append(device_days.day_bitmaps(batch, device_days.extend_devices(t.spark, path, batch)))
-    stored = scratch_path(t.spark, "bitmaps")
-    for part in parts:
+        part = device_days.day_bitmaps(batch, device_days.extend_devices(t.spark, path, batch))
         part.write.mode("append").parquet(stored)
     return device_days.merged_bitmaps(t.spark.read.parquet(stored))
 

@@ -31,7 +31,11 @@ def test_numbers_are_consecutive(spark):
 
 
 def bitmaps(spark, path, *batches):
-    parts = [device_days.day_bitmaps(b, device_days.extend_devices(spark, path, b)) for b in batches]
+    """Each batch stores its bitmaps before the next one extends the devices."""
+    parts = []
+    for batch in batches:
+        part = device_days.day_bitmaps(batch, device_days.extend_devices(spark, path, batch))
+        parts.append(spark.createDataFrame(part.collect(), part.schema))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
