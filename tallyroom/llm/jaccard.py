@@ -29,8 +29,8 @@ PAIRED, PAIRED_LEVEL = 8, 9
 SCARCE = 64
 #: New leaders a class meets in a round; rounds end when they link less than one in ROUNDS_END.
 ASKED, ROUNDS_END = 4, 8
-#: Marks of a class that travel along, so that a pair meets at one mark and not at all it shares.
-KNOWN = 32
+#: Marks of a class that travel along, so that a pair meets at few of the marks it shares.
+KNOWN = 8
 _U = np.uint64
 #: Shingles travel as their upper 48 bits; sets are compared by all 64.
 _TOKEN_SHIFT = _U(16)
@@ -364,11 +364,16 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         if few:
             break
 
-    # Pairs that share many marks meet at the least of them, as far as both know it: where no
-    # lesser one is among the first KNOWN of either.
-    first_marks = F.slice(F.sort_array(F.collect_set("mark")), 1, KNOWN).alias("known")
-    by = by.join(by.groupBy("class").agg(first_marks), "class")
-    lesser = F.exists(F.array_intersect("known", "other_known"), lambda mark: mark < F.col("l.mark"))
+    # A pair that shares many marks meets at few of them: each class has its first mark in KNOWN
+    # orders, and where two classes agree on one, they do not meet at greater marks than that.
+    # They always meet at the least mark they share.
+    names = [f"m{i}" for i in range(KNOWN)]
+    firsts = by.groupBy("class").agg(*[
+        F.min_by("mark", F.xxhash64(F.lit(i), "mark")).alias(name) for i, name in enumerate(names)])
+    by = by.join(firsts, "class")
+    lesser = F.lit(False)
+    for name in names:
+        lesser = lesser | ((F.col(name) == F.col(f"other_{name}")) & (F.col(name) < F.col("l.mark")))
     meet = (F.col("component") < F.col("other_component")) & can_link("common") & ~lesser
     pairs = by.alias("l").join(others(by).alias("r"), (F.col("l.mark") == F.col("r.mark")) & meet)
     second = pairs.select(*ordered("class", "other_class")).distinct()
