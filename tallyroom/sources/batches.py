@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tallyroom import clock, schema
 from tallyroom.functions import address_key, client_ip, ipv4_number, or_default
 from tallyroom.plans.asof import in_ranges
+from tallyroom.session import scratch_path
 from tallyroom.sources.lines import parse_json_lines
 
 # Range tables up to this size are broadcast; larger ones are joined by order.
@@ -182,13 +183,13 @@ def ip_to_country(
 
     Range tables that fit (``fits_broadcast``, asked here unless the caller passes
     ``small``) are broadcast: ranges are listed by blocks about as wide as themselves, and
-    every level is an equi-join. Otherwise the distinct addresses and the ranges are brought
-    into one order (``plans.asof``), and events take what their address has found, by address
-    and a salt, as one address may send most of them.
+    every level is an equi-join. Otherwise the distinct addresses, stored once, and the ranges
+    are brought into one order (``plans.asof``), and events take what their address has found,
+    by its text and a salt, as one address may send most of them.
     """
     kept = [c for c in events.columns if c != country]
-    given = F.when(F.col(ip) != "127.0.0.1", F.col(ip))
     if fits_broadcast(ranges) if small is None else small:
+        given = F.when(F.col(ip) != "127.0.0.1", F.col(ip))
         found = events.drop(country).withColumn("_ip", ipv4_number(given))
         listed, countries = _listed(ranges), []
         for level in _LEVELS:
@@ -200,13 +201,19 @@ def ip_to_country(
             countries.append(f"country_{level}")
         return found.select(*kept, F.coalesce(*countries).alias(country))
 
+    # An address is parsed once, however many rows have it; rows meet what it has found by its text.
+    asked = events.select(F.col(ip).alias("_ip")).distinct()
+    path = scratch_path(events.sparkSession, "addresses")
+    asked.write.parquet(path)
+    asked = events.sparkSession.read.schema("_ip string").parquet(path).where("_ip <> '127.0.0.1'")
     text = ranges.schema["lo"].dataType == T.StringType()
-    number = address_key(given) if text else ipv4_number(given)
+    asked = asked.select("_ip", (address_key if text else ipv4_number)(F.col("_ip")).alias("_key"))
     sides = ranges.select("lo", "hi", F.col("country").alias("_country"))
-    located = in_ranges(events.select(number.alias("_key")), sides, "_key", "_country")
+    located = asked.join(in_ranges(asked, sides, "_key", "_country"), "_key")
+    located = located.select(F.col("_ip").alias("_key"), "_country")
     # A row without an address matches nothing; the salt keeps those rows spread out too.
     keyed = events.drop(country).withColumns(
-        {"_ip": number, "_salt": F.pmod(F.xxhash64(*kept), F.lit(salts)).cast("int")}
+        {"_ip": F.col(ip), "_salt": F.pmod(F.xxhash64(*kept), F.lit(salts)).cast("int")}
     )
     copies = located.withColumn("_copy", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     match = (F.col("_ip") == F.col("_key")) & (F.col("_salt") == F.col("_copy"))

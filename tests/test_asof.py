@@ -80,3 +80,18 @@ def test_ranges_of_both_kinds_of_address(spark):
     events = spark.createDataFrame(list(enumerate(ips)), "id long, ip_address string")
     got = {r["id"]: r["country"] for r in dicts(batches.ip_to_country(events, table))}
     assert got == dict(enumerate(["AA", None, "BB", None, "AA", None, None]))
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_an_address_is_parsed_once_however_many_rows_have_it(spark, kind):
+    lo, hi = ("10.0.0.0", "10.0.255.255")
+    edges = [hex_key(a) if kind == "string" else int(ipaddress.ip_address(a)) for a in (lo, hi)]
+    table = spark.createDataFrame([(*edges, "AA")], f"lo {kind}, hi {kind}, country string")
+    ips = ["10.0.0.1"] * 40 + ["127.0.0.1", None, "x", "11.0.0.1"] * 5
+    events = spark.createDataFrame(list(enumerate(ips)), "id long, ip_address string")
+    got = batches.ip_to_country(events, table, small=False)
+    assert {r["id"]: r["country"] for r in dicts(got)} == {i: "AA" if ip == "10.0.0.1" else None for i, ip in enumerate(ips)}
+    # What parses an address reads the stored distinct ones and not the events.
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    parsed = [line for line in plan.splitlines() if "rlike" in line]
+    assert parsed and not [line for line in parsed if "ip_address#" in line]
