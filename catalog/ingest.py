@@ -511,21 +511,23 @@ POSTS = "1 + batch_no % 3"
 
 
 def _regrouped(t: Tables) -> DataFrame:
-    """One file a micro-batch; after a lost checkpoint all files in one; closed days then
-    compacted, and the checkpoint lost once more."""
+    """A third of the files a micro-batch; after a lost checkpoint all files in one; closed days
+    then compacted, and the checkpoint lost once more. There are as many files as tasks run at
+    once, three at least."""
+    third = max(1, t.spark.sparkContext.defaultParallelism // 3)
     root = scratch_path(t.spark, "stream-regrouped")
     lines = batch_lines(t.app_events, "batch_no").withColumn("copy", F.explode(F.expr(f"sequence(1, {POSTS})")))
-    lines.repartition(3, F.col("batch_no") + F.col("copy") % 2).select("value").write.text(f"{root}/posted")
+    lines.repartition(3 * third, F.col("batch_no") + F.col("copy") % 2).select("value").write.text(f"{root}/posted")
 
     def run(checkpoint: str, files_per_trigger: int | None) -> None:
         stream = ingest.stream_event_batches(t.spark, f"{root}/posted", files_per_trigger)
         _finish(ingest.start_ingest(stream, f"{root}/events", f"{root}/rejected", f"{root}/{checkpoint}", as_of=AS_OF))
 
-    run("first", 1)
+    run("first", third)
     run("second", None)
     closed = ledger.compact_days(t.spark, f"{root}/events", "main", (AS_OF - timedelta(days=7)).date())
     ledger.sweep(t.spark, f"{root}/events", closed)
-    run("third", 2)
+    run("third", 2 * third)
     return _events_and_ids(ledger.committed(t.spark, f"{root}/events"))
 
 

@@ -77,9 +77,8 @@ def _request_ip() -> Column:
     return client_ip(F.col("x_forwarded_for"), F.col("x_real_ip"), F.col("remote_ip"))
 
 
-def validate_batches(raw: DataFrame) -> Checked:
-    """All or nothing per batch: one bad event rejects its whole batch. Rejected
-    batches carry a ``reason``."""
+def with_reason(raw: DataFrame) -> DataFrame:
+    """Batches with the ``reason`` why they are rejected, null for those that are accepted."""
     ip_fits = F.coalesce(F.char_length(_request_ip()) <= IP_LENGTH, F.lit(True))
     reason = (
         F.when(F.col("_corrupt_record").isNotNull(), F.lit("malformed"))
@@ -87,7 +86,13 @@ def validate_batches(raw: DataFrame) -> Checked:
         .when(~F.forall("events", _valid_event), F.lit("invalid event"))
         .when(~ip_fits, F.lit("invalid address"))
     )
-    checked = raw.withColumn("reason", reason)
+    return raw.withColumn("reason", reason)
+
+
+def validate_batches(raw: DataFrame) -> Checked:
+    """All or nothing per batch: one bad event rejects its whole batch. Rejected
+    batches carry a ``reason``."""
+    checked = with_reason(raw)
     return Checked(
         checked.filter(F.col("reason").isNull()).drop("reason"),
         checked.filter(F.col("reason").isNotNull()),

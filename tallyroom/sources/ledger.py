@@ -8,6 +8,9 @@ lists name, so rows of a write that never got to its lists are not seen. Batches
 by what they hold: the same files give the same name, so a batch that runs again replaces
 itself, and files that are grouped anew, after a lost checkpoint, replace nothing.
 
+A file that is wholly stored may be noted as finished, by the day it landed on, so that a
+writer that meets it again need not read it to find its days.
+
 One writer at a time may work for a source; sources do not touch each other's lists.
 """
 
@@ -25,6 +28,8 @@ SOURCE, BATCH = STAMP
 FILE = "ingest_file"
 #: Names beginning with an underscore are passed over when the table is read as it is.
 _FOLDER = "_ledger"
+#: Files of which every row has been stored and listed, by the day they landed on.
+_FINISHED = "_ledger_files"
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
@@ -117,6 +122,27 @@ def store(
         entries.unpersist()
 
 
+def finished(spark: SparkSession, path: str, landed: str, days: Iterable[date], source: str) -> DataFrame:
+    """The files (``landed``, ingest_file) that ``finish`` has noted for the table at ``path``,
+    of the days they landed on, whose folders alone are opened."""
+    root, schema = f"{path}/{_FINISHED}", f"{FILE} string, {landed} date, {SOURCE} string"
+    folders = [f"{root}/{landed}={d}/{SOURCE}={source}" for d in sorted(days)]
+    folders = [f for f in folders if table_exists(spark, f)]
+    if not folders:
+        return spark.createDataFrame([], schema).select(landed, FILE)
+    rows = spark.read.schema(schema).option("basePath", root).parquet(*folders)
+    return rows.select(landed, FILE).distinct()
+
+
+def finish(files: DataFrame, path: str, source: str, landed: str) -> None:
+    """Note that all rows of ``files`` (``landed``, ingest_file) are in the table at ``path``
+    and in its lists, for all days; so it comes after them."""
+    (
+        files.select(FILE, landed, F.lit(source).alias(SOURCE)).coalesce(1)
+        .write.mode("append").partitionBy(landed, SOURCE).parquet(f"{path}/{_FINISHED}")
+    )
+
+
 def _folders(named: DataFrame, table: str, day: str, table_day: str) -> list[str]:
     rows = named.select(day, SOURCE, BATCH).distinct().collect()
     return [f"{table}/{table_day}={d}/{SOURCE}={s}/{BATCH}={b}" for d, s, b in sorted(rows)]

@@ -5,7 +5,8 @@ which of the copies it is; so two equal posts are two batches, and a file that i
 again brings nothing new. Tables are kept with a ledger (``sources.ledger``): per day, the
 files whose rows are there. A micro-batch reads the lists of its own days and leaves out
 what another batch has brought, so a batch that runs again leaves the same rows, and so do
-files that are grouped otherwise after a lost checkpoint. ``ledger.committed`` reads a
+files that are grouped otherwise after a lost checkpoint. Files that both tables hold as a
+whole are noted as such, and are known by that before a line of them is parsed. ``ledger.committed`` reads a
 table, ``ledger.compact_days`` rewrites closed days. Jobs run to the end of what has landed
 unless given another ``trigger``, such as ``{"processingTime": "1 minute"}``.
 """
@@ -14,19 +15,21 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyroom.operators.rollup import partial_stats
 from tallyroom.sources import ledger
 from tallyroom.sources.batches import (
-    fits_broadcast, ingest_event_batches, ip_to_country, number_copies, parse_event_batches, validate_batches,
+    fits_broadcast, ingest_event_batches, ip_to_country, number_copies, parse_event_batches, with_reason,
 )
 from tallyroom.sources.files import STAMP, replace_partitions, stamped
 from tallyroom.streaming.windows import AVAILABLE_NOW
 
 #: The day a file of posted batches landed on; rejected lines are kept by it.
 LANDED = "landed_date"
+#: The text of a rejected batch, next to the events of the others.
+REJECTED = "_rejected"
 
 
 def stream_event_batches(spark: SparkSession, path: str, files_per_trigger: int | None = None):
@@ -65,22 +68,49 @@ def start_ingest(
     # Whether the ranges can be broadcast is settled once, not in every batch.
     small = None if ranges is None else fits_broadcast(ranges)
 
+    def unfinished(files: DataFrame) -> Column | None:
+        """A condition that lines of files that both tables hold as a whole do not meet; None
+        if none of the files are left."""
+        spark, days = files.sparkSession, [r[0] for r in files.select(LANDED).distinct().collect()]
+        known = files
+        for path in (events_path, quarantine_path):
+            known = known.join(ledger.finished(spark, path, LANDED, days, source), [LANDED, ledger.FILE], "left_semi")
+        known = [r[0] for r in known.select(ledger.FILE).collect()]
+        return None if len(known) == files.count() else ~F.col(ledger.FILE).isin(known)
+
     def store(raw: DataFrame, number: int) -> None:
-        checked = validate_batches(parse_event_batches(number_copies(raw)))
-        events = ingest_event_batches(checked.accepted, as_of, keep=(ledger.FILE,))
+        # The files of one micro-batch, which the driver lists anyway.
+        files = raw.select(LANDED, ledger.FILE).distinct().persist()
+        try:
+            left = unfinished(files)
+            if left is not None:
+                store_lines(raw.where(left))
+                for path in (events_path, quarantine_path):
+                    ledger.finish(files, path, source, LANDED)
+        finally:
+            files.unpersist()
+
+    def store_lines(raw: DataFrame) -> None:
+        # A rejected batch travels along as one row without an event, so that lines are
+        # numbered and parsed once for both tables.
+        checked = with_reason(parse_event_batches(number_copies(raw)))
+        accepted, event = F.col("reason").isNull(), checked.schema["events"].dataType
+        checked = checked.withColumns({
+            "events": F.when(accepted, F.col("events")).otherwise(F.array(F.lit(None).cast(event.elementType))),
+            REJECTED: F.when(~accepted, F.col("value")),
+        })
+        rows = ingest_event_batches(checked, as_of, keep=(ledger.FILE, LANDED, "reason", REJECTED))
         if ranges is not None:
-            events = ip_to_country(events, ranges, small=small)
-        rejected = checked.rejected.select("value", "reason", ledger.FILE, LANDED)
-        for rows, path, day in (
-            (events.withColumn("event_date", F.to_date("event_ts")), events_path, "event_date"),
-            (rejected, quarantine_path, LANDED),
-        ):
-            # Days, files and rows are all taken from one evaluation.
-            rows.persist()
-            try:
-                ledger.store(rows, path, source, _into(path, source, day), day=day)
-            finally:
-                rows.unpersist()
+            rows = ip_to_country(rows, ranges, small=small)
+        # Days, files and rows are all taken from one evaluation.
+        rows = rows.withColumn("event_date", F.to_date("event_ts")).persist()
+        try:
+            events = rows.where(accepted).drop(LANDED, "reason", REJECTED)
+            rejected = rows.where(~accepted).select(F.col(REJECTED).alias("value"), "reason", ledger.FILE, LANDED)
+            ledger.store(events, events_path, source, _into(events_path, source, "event_date"))
+            ledger.store(rejected, quarantine_path, source, _into(quarantine_path, source, LANDED), day=LANDED)
+        finally:
+            rows.unpersist()
 
     return (
         lines.writeStream.foreachBatch(store)

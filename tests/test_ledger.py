@@ -151,3 +151,42 @@ def test_an_empty_table(spark, tmp_path):
     assert ledger.committed(spark, path) is None
     assert ledger.compact_days(spark, path, "s", date(2030, 1, 1)) == []
     assert ledger.lists(spark, path, "event_date").select(F.count("*")).first()[0] == 0
+
+
+def test_stored_files_are_not_parsed_again(spark, tmp_path, land, run, monkeypatch):
+    """A line of an accepted and a rejected batch is numbered and parsed once for both tables;
+    after a lost checkpoint, only files that are not stored as a whole are."""
+    parsed, real = [], ingest.parse_event_batches
+
+    def counted(lines):
+        parsed.append(sorted({r["ingest_file"].rsplit("/", 1)[1] for r in lines.select("ingest_file").collect()}))
+        return real(lines)
+    monkeypatch.setattr(ingest, "parse_event_batches", counted)
+    land("a.json", LINE, {"events": []})
+    folder = land("b.json", LINE, LINE)
+    ids = sorted(r["id"] for r in dicts(run(folder, "x")))
+    assert sorted(r["id"] for r in dicts(run(folder, "y", 1))) == ids and len(ids) == 6
+    land("c.json", LINE, {"events": []})
+    stored = run(folder, "z")
+    assert parsed == [["a.json", "b.json"], ["c.json"]]
+    assert stored.count() == 8 and set(ids) < {r["id"] for r in dicts(stored)}
+    rejected = ledger.committed(spark, str(tmp_path / "events-rejected"), day=ingest.LANDED)
+    assert sorted(r["ingest_file"].rsplit("/", 1)[1] for r in dicts(rejected)) == ["a.json", "c.json"]
+
+
+def test_a_file_that_one_table_lacks_is_stored_again(spark, tmp_path, land, run, monkeypatch):
+    """The quarantine's write fails: the events' lists are there, the file is not finished."""
+    folder = land("a.json", LINE, {"events": []})
+    real = ledger.store
+
+    def fails(rows, path, *rest, **more):
+        if path.endswith("-rejected"):
+            raise OSError
+        real(rows, path, *rest, **more)
+    monkeypatch.setattr(ledger, "store", fails)
+    with pytest.raises(Exception):
+        run(folder, "x")
+    monkeypatch.setattr(ledger, "store", real)
+    assert run(folder, "y").count() == 2
+    rejected = ledger.committed(spark, str(tmp_path / "events-rejected"), day=ingest.LANDED)
+    assert [r["reason"] for r in dicts(rejected)] == ["no events"]
