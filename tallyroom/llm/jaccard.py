@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from tallyroom.llm import bitmaps
@@ -179,33 +180,33 @@ def _by_class(batches: Iterator[pa.RecordBatch], of_set, names: list[str]) -> It
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*columns)], names=names)
 
 
-def _each_set(df: DataFrame, of_set, *numbers: str, bits: np.ndarray | None = None) -> DataFrame:
+def _each_set(df: DataFrame, of_set, *numbers: str, bits: Broadcast | None = None) -> DataFrame:
     """(hash, class, numbers) that ``of_set`` gives for the texts of all rows of ``df``, or of
     those whose ``place`` is in ``bits``."""
     names = ["hash", "class", *numbers]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if bits is not None:
-            batches = (b.filter(pa.array(bitmaps.contains(bits, b["place"].to_numpy()))) for b in batches)
+            batches = (b.filter(pa.array(bitmaps.contains(bits.value, b["place"].to_numpy()))) for b in batches)
         yield from _by_class(batches, of_set, names)
 
     return df.mapInArrow(run, ", ".join(f"{name} long" for name in names))
 
 
-def _heads(frequent: np.ndarray):
-    return lambda found: (head(found, frequent)[0] >> _TOKEN_SHIFT,)
+def _heads(frequent: Broadcast):
+    return lambda found: (head(found, frequent.value)[0] >> _TOKEN_SHIFT,)
 
 
-def _indexed(frequent: np.ndarray, shared: np.ndarray):
-    return lambda found: (signatures(len(found), *head(found, frequent), shared),)
+def _indexed(frequent: Broadcast, shared: Broadcast):
+    return lambda found: (signatures(len(found), *head(found, frequent.value), shared.value),)
 
 
-def _scarce(shared: np.ndarray, often: np.ndarray):
+def _scarce(shared: Broadcast, often: Broadcast):
     """The shingles in few candidates, after a 0 that stands for the set; with how many of
     the set may be in another candidate at all, and how many in many."""
     def of_set(found: np.ndarray):
         place = _place(found)
-        met, many = bitmaps.contains(shared, place), bitmaps.contains(often, place)
+        met, many = bitmaps.contains(shared.value, place), bitmaps.contains(often.value, place)
         hashes = np.append(_U(0), found[met & ~many])
         return hashes, len(found), int((met | many).sum()), int(many.sum())
     return of_set
@@ -227,11 +228,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _texts(bits: np.ndarray):
+def _texts(bits: Broadcast):
     """(class, text) of the rows whose place is in a bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(bitmaps.contains(bits, batch["place"].to_numpy())))
+            batch = batch.filter(pa.array(bitmaps.contains(bits.value, batch["place"].to_numpy())))
             names = [class_id(found) for texts in groups(batch["text"]) for found in shingles(texts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.int64()), batch["text"]], names=["class", "text"]
@@ -253,37 +254,44 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     as make up for those.
     So every candidate pair is compared, connected, or known not to link, and a group of
     thousands of near copies costs a few comparisons a member instead of all its pairs.
+    Filters are given up by the driver and the executors as soon as what they sift is stored.
     """
+    send = docs.sparkSession.sparkContext.broadcast
     text = docs.select(whole_text(F.col("text")).alias("text"))
     placed = docs.select(whole_text(F.col("text")).alias("text"), bitmaps.slot(F.col("doc_id")).alias("place"))
 
-    frequent = bitmaps.bitmap(classes.where("often IS NOT NULL").select("often").distinct(), F.col("often"))
+    often = classes.where("often IS NOT NULL").select("often").distinct()
+    frequent = send(bitmaps.bitmap(often, F.col("often")))
     met = _each_set(text, _heads(frequent)).groupBy("hash").agg(
         F.min("class").alias("low"), F.max("class").alias("high")
     )
     met = stored(met.where("low <> high").select("hash"), "shared")
-    shared = bitmaps.bitmap(met, F.col("hash"))
+    shared = send(bitmaps.bitmap(met, F.col("hash")))
     discard(met)
     marks = _each_set(text, _indexed(frequent, shared))
     marks = stored(marks.select(F.col("hash").alias("mark"), "class").distinct(), "marks")
+    frequent.destroy()
+    shared.destroy()
     led = marks.groupBy("mark").agg(F.min("class").alias("low"), F.max("class").alias("high"))
     live = stored(marks.join(led.where("low <> high").select("mark"), "mark"), "marks")
     discard(marks)
 
     representative = classes.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
     candidates = stored(live.select("class").distinct().join(representative, "class"), "candidates")
-    bits = bitmaps.bitmap(candidates, bitmaps.slot(F.col("doc_id")))
+    bits = send(bitmaps.bitmap(candidates, bitmaps.slot(F.col("doc_id"))))
     discard(candidates)
     all_tokens = _each_set(placed, lambda found: (found >> _TOKEN_SHIFT,), bits=bits)
     counted = all_tokens.groupBy("hash").agg(
         F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("n")
     )
     counted = stored(counted.where("low <> high").select("hash", (F.col("n") > SCARCE).alias("many")), "tokens")
-    scarce = _scarce(
-        bitmaps.bitmap(counted, F.col("hash"), 64), bitmaps.bitmap(counted.where("many"), F.col("hash"), 512)
-    )
+    several = send(bitmaps.bitmap(counted, F.col("hash"), 64))
+    many = send(bitmaps.bitmap(counted.where("many"), F.col("hash"), 512))
     discard(counted)
-    scarce = stored(_each_set(placed, scarce, "n", "most", "common", bits=bits).distinct(), "scarce")
+    scarce = _each_set(placed, _scarce(several, many), "n", "most", "common", bits=bits)
+    scarce = stored(scarce.distinct(), "scarce")
+    for used in (bits, several, many):
+        used.destroy()
     # A set that shares less than this with all others links with none.
     scarce = scarce.where(100 * F.col("most") >= PERCENT * F.col("n"))
     facts = scarce.where("hash = 0").select("class", "n", "most", "common")
@@ -301,9 +309,10 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         named = pairs.select(F.col("a").alias("class")).unionAll(pairs.select("b")).distinct()
         named = stored(named.join(representative, "class"), "named")
-        wanted = bitmaps.bitmap(named, bitmaps.slot(F.col("doc_id")))
+        wanted = send(bitmaps.bitmap(named, bitmaps.slot(F.col("doc_id"))))
         some = placed.mapInArrow(_texts(wanted), "class long, text string")
         texts = stored(some.join(named.select("class"), "class", "left_semi").dropDuplicates(["class"]), "texts")
+        wanted.destroy()
         both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("left")), "a")
         both = both.join(texts.select(F.col("class").alias("b"), F.col("text").alias("right")), "b")
         out = stored(both.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long"), "links")
@@ -352,12 +361,14 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
         asked = asked.select("class", "other_class", "leader").distinct().withColumn("order", order)
         asked = asked.where(F.col("order") <= ASKED).select(*ordered("class", "other_class")).distinct()
         asked = stored(asked.join(compared, ["a", "b"], "left_anti"), "pairs")
-        if asked.isEmpty():
+        pairs = asked.count()
+        if not pairs:
             break
         more = verified(asked)
         compared, found, number = compared.unionAll(asked), found.unionAll(more), number + 1
-        few = more.count() * ROUNDS_END < asked.count()
-        if not more.isEmpty():
+        linked = more.count()
+        few = linked * ROUNDS_END < pairs
+        if linked:
             group = components(found).withColumnRenamed("node", "class")
             discard(by)
             by = labelled(by_common, group)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 
 import brute
@@ -123,6 +124,29 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_settled_components_are_told_without_a_join(spark, monkeypatch):
+    from tallyroom.llm import components as module
+
+    links = [(i + 1, i) for i in range(50)]
+    a, b, c = (spark.createDataFrame(x, "u long, v long") for x in (links, links[::-1], links[1:] + [(1, 2)]))
+    assert module._print_of(a) == module._print_of(b.repartition(7))
+    assert module._print_of(a) != module._print_of(c)
+    written = []
+    monkeypatch.setattr(module, "stored", lambda df, label, f=module.stored: written.append(label) or f(df, label))
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert len(written) <= 2
+
+
+def test_used_filters_are_given_up(spark, copies, monkeypatch):
+    sent = []
+    context = type(spark.sparkContext)
+    monkeypatch.setattr(context, "broadcast", lambda self, x, f=context.broadcast: sent.append(f(self, x)) or sent[-1])
+    check(copies)
+    filters = [x for x in sent if x._path]
+    assert len(filters) > 5
+    assert not [x for x in filters if os.path.exists(x._path)]
+
+
 def test_filters_lose_no_member(spark, monkeypatch):
     bitmaps = jaccard.bitmaps
     keys = np.random.default_rng(0).integers(0, 2**48, 5000)
