@@ -20,8 +20,9 @@ BEST = 4
 SPACE = "▁"
 #: A character without a piece is spelled in bytes, at this much below the worst piece.
 BYTES_BELOW = 10.0
-#: Longer units are segmented one by one; texts are worked on in groups of so many characters.
-UNIT, GROUP = 32, 3 << 20
+#: Longer units are segmented one by one; texts are worked on in groups of so many characters,
+#: their distinct units in groups of so many characters, filled up to the longest.
+UNIT, GROUP, TOGETHER = 32, 3 << 20, 1 << 18
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -185,12 +186,15 @@ class Segmented:
         long = {int(i): self._alone(pieces, texts[i], i) for i in np.flatnonzero(sizes > UNIT)}
         for i, ids in long.items():
             counts[i] = len(ids)
-        flat = np.empty(0, np.int64)
-        if len(order):
-            flat, counts[order] = self._together(pieces, [texts[i] for i in order], sizes[order], order)
+        flat, first = [np.empty(0, np.int64)], 0
+        while first < len(order):
+            some = order[first : first + max(1, TOGETHER // max(1, int(sizes[order[first]])))]
+            own, counts[some] = self._together(pieces, [texts[i] for i in some], sizes[some], some)
+            flat.append(own)
+            first += len(some)
         offsets = np.concatenate([[0], np.cumsum(counts)])
         ids = np.empty(offsets[-1], dtype=np.int64)
-        ids[ranges(offsets[order], counts[order])] = flat
+        ids[ranges(offsets[order], counts[order])] = np.concatenate(flat)
         for i, own in long.items():
             ids[offsets[i] : offsets[i + 1]] = own
         self.ids, width = spelled(pieces, ids)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +64,28 @@ def test_long_and_short_units_agree(model, small_docs, monkeypatch):
     assert [(i.tolist(), s) for i, s, _ in pieces.encode_all(model, texts, 2)] == first
 
 
+def test_units_are_segmented_in_bounded_memory(model, monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [pieces.SPACE + "".join(rng.choice([*"etaoinshré"], n)) for n in rng.integers(0, 31, 40_000)]
+
+    def segmented(texts):
+        tracemalloc.start()
+        try:
+            out = pieces.Segmented(model, texts)
+            return out, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (_, some), (whole, all_of_them) = segmented(texts[:20_000]), segmented(texts)
+    # What is returned grows, a few numbers a unit; the work on them does not.
+    assert all_of_them - some < 20_000 * 400
+    monkeypatch.setattr(pieces, "TOGETHER", 100)
+    parted = pieces.Segmented(model, texts[:500])
+    size = whole.offsets[500]
+    assert (parted.offsets == whole.offsets[:501]).all() and (parted.ids == whole.ids[:size]).all()
+    assert (parted.scores == whole.scores[:500]).all() and (parted.losses == whole.losses[:500]).all()
+
+
 @pytest.mark.parametrize("which", ["small_docs", "odd_docs", "no_docs"])
 def test_round_trip(which, request):
     docs = request.getfixturevalue(which).withColumn("score", F.lit("clash"))
