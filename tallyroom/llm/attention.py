@@ -79,10 +79,15 @@ def windows(stream: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[n
 _EDGE = 80.0
 
 
+def _raised(x: np.ndarray) -> np.ndarray:
+    """exp(x) in place."""
+    np.clip(x, -_EDGE, _EDGE, out=x)
+    return np.exp(x, out=x)
+
+
 def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp(x) in place, and its sums along the last axis."""
-    np.clip(x, -_EDGE, _EDGE, out=x)
-    np.exp(x, out=x)
+    x = _raised(x)
     return x, x @ np.ones(x.shape[-1], dtype=x.dtype)
 
 
@@ -95,7 +100,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def _states(m: Model, ids: np.ndarray):
     """States of the scored places (B * SCORED, WIDTH), and what the way back needs."""
     none = ids < 0
-    x = m.embed[np.where(none, START, ids)] + m.place
+    x = m.embed.take(np.where(none, START, ids), axis=0)
+    x += m.place
     own = x[:, CONTEXT:]
     q, k, v = own @ (m.query * np.float32(WIDTH**-0.5)), x @ m.key, x @ m.value
     score = np.matmul(q, k.transpose(0, 2, 1))
@@ -106,7 +112,9 @@ def _states(m: Model, ids: np.ndarray):
     seen = np.matmul(share, v)
     h = own + seen @ m.mixed
     flat = h.reshape(-1, WIDTH)
-    up = np.maximum(flat @ m.up + m.up_bias, 0)
+    up = flat @ m.up
+    up += m.up_bias
+    np.maximum(up, 0, out=up)
     return flat + up @ m.down, (none, x, q, k, v, share, seen, flat, up)
 
 
@@ -130,7 +138,7 @@ def log_probabilities_and_opening(m: Model, ids: np.ndarray, told: np.ndarray, c
         opening[s:stop] = np.log(chance @ first / total).reshape(-1, SCORED)
         result = np.log(np.take_along_axis(chance, group[:, None], 1)[:, 0] / total)
         order = np.argsort(group.astype(np.int8), kind="stable")
-        state, member = state[order], member[order]
+        state, member = state.take(order, axis=0), member[order]
         ends = np.searchsorted(group[order], np.arange(SIDE + 1))
         inner = np.empty(len(want), dtype=np.float32)
         for c in np.flatnonzero(np.diff(ends)):
@@ -142,6 +150,14 @@ def log_probabilities_and_opening(m: Model, ids: np.ndarray, told: np.ndarray, c
     return out, opening
 
 
+def _less_one(p: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """What stands at the flat places ``at``, one each, of which 1 is taken in place."""
+    flat = p.reshape(-1)
+    found = flat.take(at)
+    flat[at] = found - 1
+    return found
+
+
 def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) -> tuple[float, Model]:
     """Mean loss over the places that are there, and its gradients."""
     state, (none, x, q, k, v, share, seen, flat, up) = _states(m, ids)
@@ -149,9 +165,10 @@ def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) ->
     weight = weight / max(1.0, weight.sum())
     group, member = want // SIDE, want % SIDE
     every = np.arange(len(want))
-    p = _softmax(state @ m.out + m.out_bias)
-    loss = -float((weight * np.log(p[every, group] + 1e-30)).sum())
-    p[every, group] -= 1
+    p = state @ m.out
+    p += m.out_bias
+    p = _softmax(p)
+    loss = -float((weight * np.log(_less_one(p, every * SIDE + group) + 1e-30)).sum())
     p *= weight[:, None]
     g = {"out": state.T @ p, "out_bias": p.sum(0)}
     ds = p @ m.out.T
@@ -159,28 +176,38 @@ def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) ->
     by_member, by_bias = np.zeros_like(m.member), np.zeros_like(m.member_bias)
     order = np.argsort(group.astype(np.int8), kind="stable")
     ends = np.searchsorted(group[order], np.arange(SIDE + 1))
-    ordered, member, weight = state[order], member[order], weight[order]
+    ordered, group, member, weight = state.take(order, axis=0), group[order], member[order], weight[order]
+    some = [(c, slice(ends[c], ends[c + 1])) for c in np.flatnonzero(np.diff(ends))]
+    inner = np.empty((len(ordered), SIDE), dtype=ordered.dtype)
+    for c, rows in some:
+        np.matmul(ordered[rows], m.member[c], out=inner[rows])
+    inner += m.member_bias.take(group, axis=0)
+    inner = _raised(inner)
+    # Sums class by class: over all rows at once they would round otherwise.
+    total, each = np.empty(len(inner), dtype=inner.dtype), np.ones(SIDE, dtype=inner.dtype)
+    for _, rows in some:
+        total[rows] = inner[rows] @ each
+    inner /= total[:, None]
+    loss -= float((weight * np.log(_less_one(inner, every * SIDE + member) + 1e-30)).sum())
+    inner *= weight[:, None]
     back = np.empty_like(ds)
-    for c in np.flatnonzero(np.diff(ends)):
-        rows = slice(ends[c], ends[c + 1])
-        inner = _softmax(ordered[rows] @ m.member[c] + m.member_bias[c])
-        at = every[: len(inner)]
-        loss -= float((weight[rows] * np.log(inner[at, member[rows]] + 1e-30)).sum())
-        inner[at, member[rows]] -= 1
-        inner *= weight[rows, None]
-        by_member[c], by_bias[c] = ordered[rows].T @ inner, inner.sum(0)
-        back[rows] = inner @ m.member[c].T
-    ds[order] += back
+    for c, rows in some:
+        by_member[c], by_bias[c] = ordered[rows].T @ inner[rows], inner[rows].sum(0)
+        np.matmul(inner[rows], m.member[c].T, out=back[rows])
+    place = np.empty_like(order)
+    place[order] = every
+    ds += back.take(place, axis=0)
     g["member"], g["member_bias"] = by_member, by_bias
     g["down"] = up.T @ ds
-    du = (ds @ m.down.T) * (up > 0)
+    du = ds @ m.down.T
+    du *= up > 0
     g["up"], g["up_bias"] = flat.T @ du, du.sum(0)
     flat_dh = ds + du @ m.up.T
     dh = flat_dh.reshape(-1, SCORED, WIDTH)
     g["mixed"] = seen.reshape(-1, WIDTH).T @ flat_dh
     dseen = (flat_dh @ m.mixed.T).reshape(dh.shape)
     # What is hidden has a share near 0; products of it would be subnormal, which is slow.
-    share[share < 1e-30] = 0
+    share *= share >= 1e-30
     dv = np.matmul(share.transpose(0, 2, 1), dseen)
     dscore = np.matmul(dseen, v.transpose(0, 2, 1))
     dscore -= (dseen * seen).sum(-1, keepdims=True)
@@ -198,7 +225,7 @@ def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) ->
     order = np.argsort(read.astype(np.int16), kind="stable")
     read = read[order]
     first = np.flatnonzero(np.diff(read, prepend=-1))
-    by_embed[read[first]] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first)
+    by_embed[read[first]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), first)
     g["embed"] = by_embed
     return loss, Model(**g)
 

@@ -171,6 +171,23 @@ def test_attention_gradients():
         assert (losses[0] - losses[1]) / 2e-4 == pytest.approx(s[place], rel=1e-3)
 
 
+def test_members_of_all_classes_are_told_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    model = attention.new_model(rng.integers(1, 50, attention.SIZE), 1)
+    stream = rng.choice(np.array([3, 40, 41, 500, 1023]), 200)
+    ids, told, at = attention.windows(stream, np.array([0]), np.array([200]))
+    calls, softmax = [], attention._softmax
+    monkeypatch.setattr(attention, "_softmax", lambda x: calls.append(x.shape) or softmax(x))
+    loss, slope = attention.gradients(model, ids, told, at >= 0)
+    # Shares of attention and classes: not one more for the members of each class that occurs.
+    assert len(calls) == 2
+    assert loss == pytest.approx(-attention.log_probabilities(model, ids, told)[at >= 0].mean(), rel=1e-4)
+    absent = np.setdiff1d(np.arange(attention.SIDE), stream // attention.SIDE)
+    assert (slope.member[absent] == 0).all() and (slope.member_bias[absent] == 0).all()
+    # Over a class's members what is told weighs against what is expected.
+    assert np.abs(slope.member_bias.sum(1)).max() < 1e-6 and abs(slope.out_bias.sum()) < 1e-6
+
+
 def test_training_lowers_the_loss_on_other_text():
     rng = np.random.default_rng(2)
     cycle = np.tile(np.arange(40), 400)
