@@ -15,7 +15,8 @@ WIDTH, HIDDEN, CONTEXT, SCORED = 16, 32, 16, 32
 WINDOW = CONTEXT + SCORED
 #: Windows whose states are computed at once, and told at once.
 BLOCK, TOLD = 96, 1536
-_LATER = np.where(np.arange(WINDOW)[None] > np.arange(CONTEXT, WINDOW)[:, None], -1e9, 0).astype(np.float32)
+_EARLIER = np.arange(WINDOW)[None] <= np.arange(CONTEXT, WINDOW)[:, None]
+_LATER = np.where(_EARLIER, 0, -1e9).astype(np.float32)
 
 
 class Model(NamedTuple):
@@ -97,25 +98,35 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _seen(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The windows whose context has places without an id, and where each of them has one."""
+    some = np.flatnonzero((ids[:, :CONTEXT] < 0).any(axis=1))
+    return some, (ids[some] >= 0)[:, None, :]
+
+
 def _states(m: Model, ids: np.ndarray):
     """States of the scored places (B * SCORED, WIDTH), and what the way back needs."""
-    none = ids < 0
-    x = m.embed.take(np.where(none, START, ids), axis=0)
+    # START is the last row, and stands where there is no id.
+    x = m.embed.take(ids, axis=0)
     x += m.place
-    own = x[:, CONTEXT:]
-    q, k, v = own @ (m.query * np.float32(WIDTH**-0.5)), x @ m.key, x @ m.value
-    score = np.matmul(q, k.transpose(0, 2, 1))
+    own = x[:, CONTEXT:].reshape(-1, WIDTH)
+    q = (own @ (m.query * np.float32(WIDTH**-0.5))).reshape(-1, SCORED, WIDTH)
+    kv = (x.reshape(-1, WIDTH) @ np.concatenate([m.key, m.value], axis=1)).reshape(*x.shape[:2], 2 * WIDTH)
+    score = np.matmul(q, kv[:, :, :WIDTH].transpose(0, 2, 1))
     score += _LATER
-    if none[:, :CONTEXT].any():
-        score += np.where(none, np.float32(-1e9), np.float32(0))[:, None, :]
+    some, there = _seen(ids)
+    if len(some):
+        score[some] += np.where(there, np.float32(0), np.float32(-1e9))
     share = _softmax(score)
-    seen = np.matmul(share, v)
-    h = own + seen @ m.mixed
-    flat = h.reshape(-1, WIDTH)
+    seen = np.matmul(share, kv[:, :, WIDTH:]).reshape(-1, WIDTH)
+    flat = seen @ m.mixed
+    flat += own
     up = flat @ m.up
     up += m.up_bias
     np.maximum(up, 0, out=up)
-    return flat + up @ m.down, (none, x, q, k, v, share, seen, flat, up)
+    state = up @ m.down
+    state += flat
+    return state, (x, own, q, kv, share, seen, flat, up)
 
 
 def log_probabilities(m: Model, ids: np.ndarray, told: np.ndarray) -> np.ndarray:
@@ -131,25 +142,38 @@ def log_probabilities_and_opening(m: Model, ids: np.ndarray, told: np.ndarray, c
     first = (np.arange(SIDE) < classes).astype(np.float32)
     for s in range(0, len(ids), TOLD):
         stop = min(len(ids), s + TOLD)
-        state = np.concatenate([_states(m, ids[b : min(b + BLOCK, stop)])[0] for b in range(s, stop, BLOCK)])
         want = told[s:stop].ravel()
         group, member = want // SIDE, want % SIDE
-        chance, total = _exponentials(state @ m.out + m.out_bias)
-        opening[s:stop] = np.log(chance @ first / total).reshape(-1, SCORED)
-        result = np.log(np.take_along_axis(chance, group[:, None], 1)[:, 0] / total)
+        state, result = np.empty((len(want), WIDTH), dtype=np.float32), np.empty(len(want), dtype=np.float32)
+        for b in range(s, stop, BLOCK):
+            z = slice((b - s) * SCORED, (min(b + BLOCK, stop) - s) * SCORED)
+            state[z] = _states(m, ids[b : min(b + BLOCK, stop)])[0]
+            chance = state[z] @ m.out
+            chance += m.out_bias
+            chance, total = _exponentials(chance)
+            opening[b : b + BLOCK] = np.log(chance @ first / total).reshape(-1, SCORED)
+            result[z] = _picked(chance, group[z]) / total
         order = np.argsort(group.astype(np.int8), kind="stable")
         state, member = state.take(order, axis=0), member[order]
         ends = np.searchsorted(group[order], np.arange(SIDE + 1))
         inner = np.empty(len(want), dtype=np.float32)
         for c in np.flatnonzero(np.diff(ends)):
             rows = slice(ends[c], ends[c + 1])
-            chance, total = _exponentials(state[rows] @ m.member[c] + m.member_bias[c])
-            inner[rows] = np.take_along_axis(chance, member[rows, None], 1)[:, 0] / total
+            chance = state[rows] @ m.member[c]
+            chance += m.member_bias[c]
+            chance, total = _exponentials(chance)
+            inner[rows] = _picked(chance, member[rows]) / total
+        result = np.log(result)
         result[order] += np.log(inner)
         out[s:stop] = result.reshape(-1, SCORED)
     return out, opening
 
 
+def _picked(x: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """One number of each row."""
+    return x.reshape(-1).take(np.arange(0, x.size, SIDE) + column)
+
+
 def _less_one(p: np.ndarray, at: np.ndarray) -> np.ndarray:
     """What stands at the flat places ``at``, one each, of which 1 is taken in place."""
     flat = p.reshape(-1)
@@ -160,7 +184,7 @@ def _less_one(p: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) -> tuple[float, Model]:
     """Mean loss over the places that are there, and its gradients."""
-    state, (none, x, q, k, v, share, seen, flat, up) = _states(m, ids)
+    state, (x, own, q, kv, share, seen, flat, up) = _states(m, ids)
     want, weight = told.ravel(), there.ravel().astype(np.float32)
     weight = weight / max(1.0, weight.sum())
     group, member = want // SIDE, want % SIDE
@@ -170,29 +194,29 @@ def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) ->
     p = _softmax(p)
     loss = -float((weight * np.log(_less_one(p, every * SIDE + group) + 1e-30)).sum())
     p *= weight[:, None]
-    g = {"out": state.T @ p, "out_bias": p.sum(0)}
+    one = np.ones(len(want), dtype=state.dtype)
+    g = {"out": state.T @ p, "out_bias": one @ p}
     ds = p @ m.out.T
     # Members class by class, in the order of the classes.
     by_member, by_bias = np.zeros_like(m.member), np.zeros_like(m.member_bias)
     order = np.argsort(group.astype(np.int8), kind="stable")
-    ends = np.searchsorted(group[order], np.arange(SIDE + 1))
-    ordered, group, member, weight = state.take(order, axis=0), group[order], member[order], weight[order]
-    some = [(c, slice(ends[c], ends[c + 1])) for c in np.flatnonzero(np.diff(ends))]
+    group = group[order]
+    ends = np.searchsorted(group, np.arange(SIDE + 1))
+    ordered, weight = state.take(order, axis=0), weight[order]
+    some = [(c, slice(ends[c], ends[c + 1])) for c in np.flatnonzero(np.diff(ends)).tolist()]
     inner = np.empty((len(ordered), SIDE), dtype=ordered.dtype)
     for c, rows in some:
         np.matmul(ordered[rows], m.member[c], out=inner[rows])
     inner += m.member_bias.take(group, axis=0)
-    inner = _raised(inner)
-    # Sums class by class: over all rows at once they would round otherwise.
-    total, each = np.empty(len(inner), dtype=inner.dtype), np.ones(SIDE, dtype=inner.dtype)
-    for _, rows in some:
-        total[rows] = inner[rows] @ each
-    inner /= total[:, None]
-    loss -= float((weight * np.log(_less_one(inner, every * SIDE + member) + 1e-30)).sum())
-    inner *= weight[:, None]
+    inner, total = _exponentials(inner)
+    at, flat_inner = every * SIDE + member[order], inner.reshape(-1)
+    loss -= float((weight * np.log(flat_inner.take(at) / total + 1e-30)).sum())
+    inner *= (weight / total)[:, None]
+    flat_inner[at] -= weight
     back = np.empty_like(ds)
     for c, rows in some:
-        by_member[c], by_bias[c] = ordered[rows].T @ inner[rows], inner[rows].sum(0)
+        np.matmul(ordered[rows].T, inner[rows], out=by_member[c])
+        np.matmul(one[rows], inner[rows], out=by_bias[c])
         np.matmul(inner[rows], m.member[c].T, out=back[rows])
     place = np.empty_like(order)
     place[order] = every
@@ -201,63 +225,69 @@ def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) ->
     g["down"] = up.T @ ds
     du = ds @ m.down.T
     du *= up > 0
-    g["up"], g["up_bias"] = flat.T @ du, du.sum(0)
-    flat_dh = ds + du @ m.up.T
-    dh = flat_dh.reshape(-1, SCORED, WIDTH)
-    g["mixed"] = seen.reshape(-1, WIDTH).T @ flat_dh
-    dseen = (flat_dh @ m.mixed.T).reshape(dh.shape)
+    g["up"], g["up_bias"] = flat.T @ du, one @ du
+    dh = du @ m.up.T
+    dh += ds
+    g["mixed"] = seen.T @ dh
+    dseen = dh @ m.mixed.T
     # What is hidden has a share near 0; products of it would be subnormal, which is slow.
-    share *= share >= 1e-30
-    dv = np.matmul(share.transpose(0, 2, 1), dseen)
-    dscore = np.matmul(dseen, v.transpose(0, 2, 1))
-    dscore -= (dseen * seen).sum(-1, keepdims=True)
+    share *= _EARLIER
+    some, with_id = _seen(ids)
+    if len(some):
+        share[some] *= with_id
+    less = (dseen * seen) @ np.ones(WIDTH, dtype=dseen.dtype)
+    dseen = dseen.reshape(-1, SCORED, WIDTH)
+    dscore = np.matmul(dseen, kv[:, :, WIDTH:].transpose(0, 2, 1))
+    dscore -= less.reshape(-1, SCORED, 1)
     dscore *= share
-    dq, dk = np.matmul(dscore, k).reshape(-1, WIDTH), np.matmul(dscore.transpose(0, 2, 1), q).reshape(-1, WIDTH)
+    dkv = np.empty_like(kv)
+    np.matmul(dscore.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
+    np.matmul(share.transpose(0, 2, 1), dseen, out=dkv[:, :, WIDTH:])
+    dq, dkv = np.matmul(dscore, kv[:, :, :WIDTH]).reshape(-1, WIDTH), dkv.reshape(-1, 2 * WIDTH)
     scale = np.float32(WIDTH**-0.5)
-    own, all_x, dv = x[:, CONTEXT:].reshape(-1, WIDTH), x.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)
     g["query"] = own.T @ dq * scale
-    g["key"], g["value"] = all_x.T @ dk, all_x.T @ dv
-    dx = (dk @ m.key.T + dv @ m.value.T).reshape(x.shape)
-    dx[:, CONTEXT:] += dh + (dq @ m.query.T).reshape(dh.shape) * scale
+    by_kv = x.reshape(-1, WIDTH).T @ dkv
+    g["key"], g["value"] = by_kv[:, :WIDTH], by_kv[:, WIDTH:]
+    dx = (dkv @ np.concatenate([m.key, m.value], axis=1).T).reshape(x.shape)
+    dh += dq @ (m.query.T * scale)
+    dx[:, CONTEXT:] += dh.reshape(-1, SCORED, WIDTH)
     g["place"] = dx.sum(0)
     by_embed = np.zeros_like(m.embed)
-    read = np.where(none, START, ids).ravel()
-    order = np.argsort(read.astype(np.int16), kind="stable")
-    read = read[order]
-    first = np.flatnonzero(np.diff(read, prepend=-1))
-    by_embed[read[first]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), first)
+    read = np.where(ids < 0, START, ids).astype(np.int64).reshape(-1, 1)
+    np.add.at(by_embed.reshape(-1), (read * WIDTH + np.arange(WIDTH)).ravel(), dx.reshape(-1))
     g["embed"] = by_embed
     return loss, Model(**g)
 
 
 class Learner(NamedTuple):
-    """A model and the moments of its gradients, changed in place."""
+    """A model and the moments of its gradients, changed in place: each a row of numbers."""
 
-    model: Model
-    first: Model
-    second: Model
+    model: Model  # its arrays are parts of the first row
+    numbers: np.ndarray
 
     def learn(self, n: int, done: float, *windows: np.ndarray) -> None:
         """Adam's step ``n``, from 1 on, when the part ``done`` of all steps is behind."""
         _, slope = gradients(self.model, *windows)
         pace = 0.01 * min(1.0, n / 30) * (1 - done) ** 0.5
-        for p, s, a, b in zip(self.model, slope, self.first, self.second):
-            a += 0.1 * (s - a)
-            b += 0.01 * (s * s - b)
-            p -= (pace * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.99**n)) + 1e-7)).astype(np.float32)
+        s = np.concatenate([x.ravel() for x in slope])
+        p, a, b = self.numbers
+        a += 0.1 * (s - a)
+        b += 0.01 * (s * s - b)
+        p -= pace * (a / (1 - 0.9**n)) / (np.sqrt(b / (1 - 0.99**n)) + 1e-7)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for part in self for p in part])
+        return self.numbers.reshape(-1)
 
     def filled(self, flat: np.ndarray) -> Learner:
         """A learner of these shapes with the numbers of ``flat``."""
-        ends = np.cumsum([p.size for part in self for p in part])
-        cut = iter(np.split(np.array(flat, dtype=np.float32), ends[:-1]))
-        return Learner(*[Model(*[next(cut).reshape(p.shape) for p in part]) for part in self])
+        numbers = np.array(flat, dtype=np.float32).reshape(3, -1)
+        cut = np.split(numbers[0], np.cumsum([p.size for p in self.model])[:-1])
+        return Learner(Model(*[x.reshape(p.shape) for x, p in zip(cut, self.model)]), numbers)
 
 
 def learner(m: Model) -> Learner:
-    return Learner(Model(*[p.copy() for p in m]), *[Model(*[np.zeros_like(p) for p in m]) for _ in range(2)])
+    first = np.concatenate([p.ravel() for p in m])
+    return Learner(m, first).filled(np.concatenate([first, np.zeros(2 * len(first))]))
 
 
 def train(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray, steps: int, batch: int, seed: int) -> Model:
