@@ -13,8 +13,8 @@ START = SIZE
 #: Width, hidden width, and a window's context and scored places.
 WIDTH, HIDDEN, CONTEXT, SCORED = 16, 32, 16, 32
 WINDOW = CONTEXT + SCORED
-#: Windows whose states are computed at once, and told at once.
-BLOCK, TOLD = 96, 1536
+#: Windows whose shares of attention are computed at once, whose states are, and told at once.
+PART, BLOCK, TOLD = 32, 96, 1536
 _EARLIER = np.arange(WINDOW)[None] <= np.arange(CONTEXT, WINDOW)[:, None]
 _LATER = np.where(_EARLIER, 0, -1e9).astype(np.float32)
 
@@ -112,13 +112,16 @@ def _states(m: Model, ids: np.ndarray):
     own = x[:, CONTEXT:].reshape(-1, WIDTH)
     q = (own @ (m.query * np.float32(WIDTH**-0.5))).reshape(-1, SCORED, WIDTH)
     kv = (x.reshape(-1, WIDTH) @ np.concatenate([m.key, m.value], axis=1)).reshape(*x.shape[:2], 2 * WIDTH)
-    score = np.matmul(q, kv[:, :, :WIDTH].transpose(0, 2, 1))
-    score += _LATER
-    some, there = _seen(ids)
-    if len(some):
-        score[some] += np.where(there, np.float32(0), np.float32(-1e9))
-    share = _softmax(score)
-    seen = np.matmul(share, kv[:, :, WIDTH:]).reshape(-1, WIDTH)
+    share, seen = np.empty((len(ids), SCORED, WINDOW), dtype=x.dtype), np.empty_like(q)
+    for b in range(0, len(ids), PART):
+        z = slice(b, b + PART)
+        score = np.matmul(q[z], kv[z, :, :WIDTH].transpose(0, 2, 1), out=share[z])
+        score += _LATER
+        some, there = _seen(ids[z])
+        if len(some):
+            score[some] += np.where(there, np.float32(0), np.float32(-1e9))
+        np.matmul(_softmax(score), kv[z, :, WIDTH:], out=seen[z])
+    seen = seen.reshape(-1, WIDTH)
     flat = seen @ m.mixed
     flat += own
     up = flat @ m.up
@@ -194,8 +197,7 @@ def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) ->
     p = _softmax(p)
     loss = -float((weight * np.log(_less_one(p, every * SIDE + group) + 1e-30)).sum())
     p *= weight[:, None]
-    one = np.ones(len(want), dtype=state.dtype)
-    g = {"out": state.T @ p, "out_bias": one @ p}
+    g = {"out": state.T @ p, "out_bias": p.sum(0)}
     ds = p @ m.out.T
     # Members class by class, in the order of the classes.
     by_member, by_bias = np.zeros_like(m.member), np.zeros_like(m.member_bias)
@@ -208,15 +210,18 @@ def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) ->
     for c, rows in some:
         np.matmul(ordered[rows], m.member[c], out=inner[rows])
     inner += m.member_bias.take(group, axis=0)
-    inner, total = _exponentials(inner)
-    at, flat_inner = every * SIDE + member[order], inner.reshape(-1)
-    loss -= float((weight * np.log(flat_inner.take(at) / total + 1e-30)).sum())
-    inner *= (weight / total)[:, None]
-    flat_inner[at] -= weight
+    inner = _raised(inner)
+    # Sums class by class: over all rows at once they would round otherwise.
+    total, each = np.empty(len(inner), dtype=inner.dtype), np.ones(SIDE, dtype=inner.dtype)
+    for _, rows in some:
+        np.matmul(inner[rows], each, out=total[rows])
+    inner /= total[:, None]
+    loss -= float((weight * np.log(_less_one(inner, every * SIDE + member[order]) + 1e-30)).sum())
+    inner *= weight[:, None]
     back = np.empty_like(ds)
     for c, rows in some:
         np.matmul(ordered[rows].T, inner[rows], out=by_member[c])
-        np.matmul(one[rows], inner[rows], out=by_bias[c])
+        np.add.reduce(inner[rows], axis=0, out=by_bias[c])
         np.matmul(inner[rows], m.member[c].T, out=back[rows])
     place = np.empty_like(order)
     place[order] = every
@@ -225,36 +230,45 @@ def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) ->
     g["down"] = up.T @ ds
     du = ds @ m.down.T
     du *= up > 0
-    g["up"], g["up_bias"] = flat.T @ du, one @ du
+    g["up"], g["up_bias"] = flat.T @ du, du.sum(0)
     dh = du @ m.up.T
     dh += ds
     g["mixed"] = seen.T @ dh
     dseen = dh @ m.mixed.T
-    # What is hidden has a share near 0; products of it would be subnormal, which is slow.
-    share *= _EARLIER
-    some, with_id = _seen(ids)
-    if len(some):
-        share[some] *= with_id
-    less = (dseen * seen) @ np.ones(WIDTH, dtype=dseen.dtype)
+    less = (dseen * seen).sum(-1).reshape(-1, SCORED, 1)
     dseen = dseen.reshape(-1, SCORED, WIDTH)
-    dscore = np.matmul(dseen, kv[:, :, WIDTH:].transpose(0, 2, 1))
-    dscore -= less.reshape(-1, SCORED, 1)
-    dscore *= share
-    dkv = np.empty_like(kv)
-    np.matmul(dscore.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
-    np.matmul(share.transpose(0, 2, 1), dseen, out=dkv[:, :, WIDTH:])
-    dq, dkv = np.matmul(dscore, kv[:, :, :WIDTH]).reshape(-1, WIDTH), dkv.reshape(-1, 2 * WIDTH)
+    dq, dkv = np.empty_like(q), np.empty_like(kv)
+    for b in range(0, len(ids), PART):
+        z = slice(b, b + PART)
+        # What is hidden has a share near 0; products of it would be subnormal, which is slow.
+        part = share[z]
+        part *= _EARLIER
+        some, with_id = _seen(ids[z])
+        if len(some):
+            part[some] *= with_id
+        dscore = np.matmul(dseen[z], kv[z, :, WIDTH:].transpose(0, 2, 1))
+        dscore -= less[z]
+        dscore *= part
+        np.matmul(dscore, kv[z, :, :WIDTH], out=dq[z])
+        np.matmul(dscore.transpose(0, 2, 1), q[z], out=dkv[z, :, :WIDTH])
+        np.matmul(part.transpose(0, 2, 1), dseen[z], out=dkv[z, :, WIDTH:])
+    dq, dkv = dq.reshape(-1, WIDTH), dkv.reshape(-1, 2 * WIDTH)
     scale = np.float32(WIDTH**-0.5)
     g["query"] = own.T @ dq * scale
     by_kv = x.reshape(-1, WIDTH).T @ dkv
     g["key"], g["value"] = by_kv[:, :WIDTH], by_kv[:, WIDTH:]
-    dx = (dkv @ np.concatenate([m.key, m.value], axis=1).T).reshape(x.shape)
+    dx = dkv[:, :WIDTH] @ m.key.T
+    dx += dkv[:, WIDTH:] @ m.value.T
+    dx = dx.reshape(x.shape)
     dh += dq @ (m.query.T * scale)
     dx[:, CONTEXT:] += dh.reshape(-1, SCORED, WIDTH)
     g["place"] = dx.sum(0)
     by_embed = np.zeros_like(m.embed)
-    read = np.where(ids < 0, START, ids).astype(np.int64).reshape(-1, 1)
-    np.add.at(by_embed.reshape(-1), (read * WIDTH + np.arange(WIDTH)).ravel(), dx.reshape(-1))
+    read = np.where(ids < 0, START, ids).astype(np.int16).ravel()
+    order = np.argsort(read, kind="stable")
+    read = read[order]
+    first = np.concatenate([[0], np.flatnonzero(read[1:] != read[:-1]) + 1])
+    by_embed[read[first]] = np.add.reduceat(dx.reshape(-1, WIDTH).take(order, axis=0), first)
     g["embed"] = by_embed
     return loss, Model(**g)
 

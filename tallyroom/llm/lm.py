@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import base64
-from array import array
+import re
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyroom.llm import attention, tokens
 from tallyroom.llm.attention import CONTEXT, SCORED, SIDE, SIZE, START, WINDOW, Model
 from tallyroom.llm.pieces import ranges
-from tallyroom.llm.tables import bounded_batches, held_out, stored, whole_text
-from tallyroom.llm.words import Texts, groups, mix, word_hashes, words
+from tallyroom.llm.tables import bounded_batches, held_out, keep_freed_memory, stored, whole_text
+from tallyroom.llm.words import _powers, Texts, groups, mix, word_hashes, words
 from tallyroom.session import scratch_path
 
 #: Rows learned from leave another remainder of crc32(doc_id) modulo 7.
@@ -32,13 +33,10 @@ STRETCH, TASK_WORDS, TASKS, ROUNDS, CHUNKS = 16 * SCORED, 1 << 20, 2048, 16, 8
 NONE_ID, START_ID = 65535, 65534
 #: Words at least this often per so many are sent to all tasks: at most so many words.
 FREQUENT = 1 << 20
-#: Subwords of so many distinct words are remembered by a process.
-REMEMBERED = 250_000
-#: The end of a text, a token like a word; hashes of words are spread, so none meets it but
-#: by chance.
-END_WORD = int(mix(np.array([0x5A5A], dtype=np.uint64)).view(np.int64)[0])
-#: Words counted together before they are moved.
-COUNTED = 4_000_000
+#: The vocabulary id of the end of a text, a token like a word.
+END = 50256
+#: Words counted together before they are moved; bytes of subwords worked on together.
+COUNTED, CODED_BYTES = 4_000_000, 1 << 19
 
 
 class Scorer(NamedTuple):
@@ -68,34 +66,71 @@ class Scorer(NamedTuple):
             return np.where(usual > 0, np.log10(usual + told), low)
 
 
-_MEMORY: dict[int, bytes] = {}
+_LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: White space but for spaces, around which the encoder may cut by what follows; bytes that are no text.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\udc80-\udcff]")
+_NO_TEXT = re.compile("([\udc80-\udcff])")
+
+
+@cache
+def _opening(encoder) -> np.ndarray:
+    """Which vocabulary ids of an encoder begin a word, that is with a space, or end a text."""
+    out = np.zeros(END + 1, dtype=bool)
+    for token in encoder.token_byte_values():
+        out[encoder.encode_single_token(token)] = token.startswith(b" ")
+    out[END] = True
+    return out
+
+
+def _one_coded(encoder, word: str) -> list[int]:
+    """The ids of a word with a space before it; a byte that is no text is an id of its own."""
+    out = []
+    for part in _NO_TEXT.split(" " + word):
+        if _NO_TEXT.match(part):
+            out.append(encoder.encode_single_token(part.encode("utf-8", "surrogateescape")))
+        elif len(part) < tokens.PIECE:
+            out += encoder.encode_ordinary(part)
+        else:
+            out += tokens.encode(encoder, part).tolist()
+    return out
+
+
+def _coded_words(encoder, data: bytes, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words of ``data``, with a space before each, and their offsets. Plain words
+    are encoded in one text: the encoder cuts before the space in any case."""
+    at = np.arange(size.sum()) + np.repeat(np.arange(1, len(size) + 1), size)
+    spaced = np.full(len(at) + len(size), 32, dtype=np.uint8)
+    spaced[at] = np.frombuffer(data, np.uint8)[ranges(start, size)]
+    text = spaced.tobytes().decode("utf-8", "surrogateescape")
+    plain = np.ones(len(size), dtype=bool)
+    if _ODD.search(text) or (size >= tokens.PIECE).any():
+        each = text[1:].split(" ") if len(size) else []
+        plain = np.array([len(x) < tokens.PIECE and not _ODD.search(x) for x in each])
+        text = "".join([" " + x for x, p in zip(each, plain.tolist()) if p])
+    ids = [np.array(encoder.encode_ordinary(text), dtype="<u2")]
+    first, number = np.empty(len(size), dtype=np.int64), np.empty(len(size), dtype=np.int64)
+    first[plain] = np.flatnonzero(_opening(encoder)[ids[0]])
+    number[plain] = np.diff(np.append(first[plain], len(ids[0])))
+    for i in np.flatnonzero(~plain).tolist():
+        ids.append(np.array(_one_coded(encoder, each[i]), dtype="<u2"))
+        number[i] = len(ids[-1])
+    first[~plain] = len(ids[0]) + np.cumsum(number[~plain]) - number[~plain]
+    ids = np.concatenate(ids)
+    return ids if plain.all() else ids[ranges(first, number)], np.concatenate([[0], np.cumsum(number)])
 
 
 def subwords(encoder, texts: Texts, found, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the distinct words: their hashes, and for each word which of them it is; and the
     vocabulary ids of the distinct words, each with a space before it, with their offsets."""
     distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    if len(_MEMORY) > REMEMBERED:
-        _MEMORY.clear()
-    keys = distinct.tolist()
-    ids = [_MEMORY.get(h) for h in keys]
-    new = [i for i, known in enumerate(ids) if known is None]
-    if new:
-        data, at = texts.data.tobytes().translate(_LOWERED), first[new]
-        for i, a, b in zip(new, found.start[at].tolist(), found.end[at].tolist()):
-            word = " " + data[a:b].decode("utf-8", "replace")
-            coded = encoder.encode_ordinary(word) if b - a < tokens.PIECE else tokens.encode(encoder, word).tolist()
-            ids[i] = _MEMORY[keys[i]] = array("H", coded).tobytes()
-    offsets = np.concatenate([[0], np.cumsum([len(i) // 2 for i in ids], dtype=np.int64)])
-    return distinct, which, np.frombuffer(b"".join(ids), dtype=np.uint16).astype(np.int32), offsets
-
-
-_LOWERED = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    start = found.start[first]
+    data = texts.data.tobytes().translate(_LOWERED)
+    return distinct, which, *_coded_words(encoder, data, start, found.end[first] - start)
 
 
 class Streams(NamedTuple):
     """Texts as subwords: vocabulary ids with an end after each text, where texts and words
-    begin, and per word (ends included) its text and hash."""
+    begin, and per word (ends included) its text and a hash of its ids."""
 
     ids: np.ndarray
     text_start: np.ndarray
@@ -105,24 +140,80 @@ class Streams(NamedTuple):
     word_hash: np.ndarray
 
 
-def streams(encoder, texts: Texts) -> Streams:
+_SPREAD = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+#: Subwords whose words are hashed together, at most but for one word.
+_HASHED = 1 << 18
+
+
+def sequence_hashes(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words that begin at ``start``: polynomials in their ids, spread.
+    Different words have different ids, as these spell the word."""
+    out = np.empty(len(start), dtype=np.uint64)
+    end = np.append(start[1:], len(ids))
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + _HASHED, "right")))
+        size = end[i:j] - start[i:j]
+        first = start[i:j] - start[i]
+        place = np.arange(end[j - 1] - start[i]) - np.repeat(first, size)
+        terms = _SPREAD.take(ids[start[i] : end[j - 1]])
+        terms *= _powers(1 << int(size.max()).bit_length())[0].take(place)
+        out[i:j] = mix(np.add.reduceat(terms, first))
+        i = j
+    return out.view(np.int64)
+
+
+def _framed(ids: np.ndarray, text_size: np.ndarray, word_start: np.ndarray) -> Streams:
+    ends = np.cumsum(text_size)
+    word_text = np.searchsorted(ends, word_start, "right")
+    return Streams(ids, ends - text_size, text_size, word_start, word_text, sequence_hashes(ids, word_start))
+
+
+def _coded(encoder, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of texts with an end after each, how many each text has, and where words begin."""
     found = words(texts)
-    hashes = word_hashes(texts, found)
     count = len(texts.offsets) - 1
-    distinct, which, flat, offsets = subwords(encoder, texts, found, hashes)
-    flat = np.append(flat, np.int32(50256))
+    distinct, which, flat, offsets = subwords(encoder, texts, found, word_hashes(texts, found))
+    flat = np.append(flat, np.uint16(END))
     offsets = np.append(offsets, len(flat))
     # The end of each text stands behind its words.
     place = np.searchsorted(found.text, np.arange(count), "right")
     which = np.insert(which, place, len(distinct))
     text = np.insert(found.text, place, np.arange(count))
-    hashes = np.insert(hashes.view(np.int64), place, END_WORD)
     size = np.diff(offsets)[which]
-    ids = flat[ranges(offsets[which], size)]
-    word_start = np.cumsum(size) - size
-    ends = np.cumsum(np.bincount(text, weights=size, minlength=count).astype(np.int64))
-    sizes = np.diff(np.concatenate([[0], ends]))
-    return Streams(ids, ends - sizes, sizes, word_start, text, hashes)
+    return (
+        flat[ranges(offsets[which], size)], np.bincount(text, weights=size, minlength=count).astype(np.int64),
+        np.cumsum(size) - size,
+    )
+
+
+def streams(encoder, texts: Texts) -> Streams:
+    return _framed(*_coded(encoder, texts))
+
+
+def stored_streams(column: pa.Array, opens: np.ndarray) -> Iterator[tuple[int, Streams]]:
+    """Texts that are subwords already, some at a time, and the number of the first: a word
+    begins at each id that begins with a space, and at the end."""
+    for t in groups(column, CODED_BYTES):
+        ids = t.data.view("<u2")
+        yield t.first, _framed(ids, np.diff(t.offsets) // 2, np.flatnonzero(opens[ids]))
+
+
+def _coding(vocabulary):
+    """The subwords of whole texts, an end after each, in place of the texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
+        encoder = tokens.encoding(vocabulary.value)
+        for batch in batches:
+            other = batch.drop_columns(["text"])
+            for t in groups(batch["text"]):
+                ids, size, _ = _coded(encoder, t)
+                offsets = np.concatenate([[0], 2 * np.cumsum(size)]).astype(np.int32)
+                coded = pa.Array.from_buffers(
+                    pa.binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u2"))]
+                )
+                yield other.slice(t.first, len(size)).append_column("ids", coded)
+    return run
 
 
 def word_log_probabilities(scorer: Scorer, s: Streams) -> np.ndarray:
@@ -145,42 +236,48 @@ def word_log_probabilities(scorer: Scorer, s: Streams) -> np.ndarray:
     return np.add.reduceat(out, s.word_start) + ended - begun
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(opens):
     """(word, n), ends included, of COUNTED words or more at a time."""
-    held, size = [], 0
-
-    def counted() -> pa.RecordBatch:
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
         word, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
 
-    for batch in batches:
-        held.append(np.full(len(batch), END_WORD))
-        for t in groups(batch["text"]):
-            held.append(word_hashes(t, words(t)).view(np.int64))
-            size += len(held[-1])
-            if size >= COUNTED:
-                yield counted()
-                held, size = [], 0
-    if held:
-        yield counted()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
+        held, size = [], 0
+        for batch in batches:
+            for _, s in stored_streams(batch["ids"], opens.value):
+                held.append(s.word_hash)
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
+    return run
 
 
 def _cut(vocabulary):
-    """All subwords of each text in stretches, with what stands before each, and a hash."""
+    """All subwords of each text, or of each text's ids, in stretches, with what stands
+    before each, and a hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens.encoding(vocabulary.value)
+        keep_freed_memory()
         before = np.array([NONE_ID] * CONTEXT + [START_ID], dtype="<u2")
         for batch in batches:
             row, tuning = batch["row"].to_numpy(), batch["tuning"].to_numpy(zero_copy_only=False)
-            for t in groups(batch["text"]):
-                s = streams(encoder, t)
-                number = -(-s.text_size // STRETCH)
+            if "ids" in batch.schema.names:
+                parts = ((t.first, t.data.view("<u2"), np.diff(t.offsets) // 2) for t in groups(batch["ids"], CODED_BYTES))
+            else:
+                encoder = tokens.encoding(vocabulary.value)
+                parts = ((t.first, *_coded(encoder, t)[:2]) for t in groups(batch["text"]))
+            for top, ids, size in parts:
+                number = -(-size // STRETCH)
                 place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
-                text = np.repeat(np.arange(len(number)), number) + t.first
+                text = np.repeat(np.arange(len(number)), number) + top
                 hashes = mix(mix(row[text].astype(np.uint64)) + place.astype(np.uint64)).view(np.int64)
                 out = []
-                for first, n in zip(s.text_start.tolist(), s.text_size.tolist()):
-                    led = np.concatenate([before, s.ids[first : first + n].astype("<u2")])
+                for first, n in zip((np.cumsum(size) - size).tolist(), size.tolist()):
+                    led = np.concatenate([before, ids[first : first + n]])
                     out += [led[a : a + len(before) + STRETCH].tobytes() for a in range(0, n, STRETCH)]
                 # Some thousand stretches at a time, however long a text is.
                 for a in range(0, len(out), 4096):
@@ -217,6 +314,7 @@ def _windows(own: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray,
 def _summed(name: str, size: int, numbers):
     """(name, n): how often each of ``size`` numbers occurs in all of a task's stretches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
             if len(batch):
@@ -227,7 +325,10 @@ def _summed(name: str, size: int, numbers):
 
 
 def _totals(stretches: DataFrame, size: int, numbers) -> np.ndarray:
-    counts = stretches.select("ids").mapInArrow(_summed("number", size, numbers), "number long, n long")
+    # Each task has a row for each number: not one for each small file.
+    each, least = stretches.rdd.getNumPartitions(), 2 * stretches.sparkSession.sparkContext.defaultParallelism
+    some = stretches.select("ids").coalesce(max(1, min(each, max(least, each // 8))))
+    counts = some.mapInArrow(_summed("number", size, numbers), "number long, n long")
     counts = counts.groupBy("number").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size, dtype=np.int64)
     out[counts["number"].to_numpy()] = counts["n"].to_numpy()
@@ -294,6 +395,7 @@ def _learning(given, own, number: int, rounds: int, expected: float, seed: int):
     """A task's model after learning from all its stretches, in pieces, with its windows'
     number. The only task of the only round learns at least STEPS steps."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         mine = given.value.filled(given.value.flat())
         seen = step = 0
         held: list[tuple] = []
@@ -320,8 +422,7 @@ def _learning(given, own, number: int, rounds: int, expected: float, seed: int):
         now = joined()
         if rounds == 1:
             steps = max(STEPS, -(-seen // BATCH))
-            model = attention.train(mine.model, *now, steps, BATCH, seed)
-            mine = mine._replace(model=model)
+            mine = attention.learner(attention.train(mine.model, *now, steps, BATCH, seed))
         elif len(now[0]):
             mine.learn(int(number * expected) + step + 1, min(1.0, number / rounds + 0.5 / rounds), *now)
         pieces = [x.tobytes() for x in np.array_split(mine.flat(), CHUNKS)]
@@ -389,23 +490,22 @@ def opening_ids(vocabulary: bytes) -> np.ndarray:
     return out
 
 
-def fitted(docs: DataFrame, counts: DataFrame, vocabulary: str = tokens.VOCABULARY) -> Scorer:
-    """A scorer for ``docs`` (row, learned, text) and the ``counts`` (word, n) of what is learned.
+def fitted(coded: DataFrame, counts: DataFrame, vocabulary: bytes) -> Scorer:
+    """A scorer for ``coded`` texts (row, learned, tuning, ids) and the ``counts`` (word, n)
+    of what is learned.
 
     Subwords are counted over all learned documents. The subword model learns from all
     windows of these but for one document in TUNING, by hash; its part in the mixture is
     the one that gives those the greatest probability, their own words taken from the counts."""
-    spark = docs.sparkSession
-    data = tokens.load(vocabulary)
+    spark = coded.sparkSession
+    opens = opening_ids(vocabulary)
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = counts.where(F.col("n") * FREQUENT >= total).toArrow().sort_by("word")
     frequent, n = frequent["word"].to_numpy(), frequent["n"].to_numpy()
     tasks = min(TASKS, max(1, total // TASK_WORDS))
     rounds = ROUNDS if tasks > 1 else 1
-    tuning = F.pmod(F.xxhash64(F.lit(17), "row"), F.lit(TUNING)) == 0
-    learned = docs.where("learned").select("row", tuning.alias("tuning"), "text")
-    sent = spark.sparkContext.broadcast(data)
-    stretches = learned.mapInArrow(_cut(sent), "stretch long, tuning boolean, ids binary")
+    learned = coded.where("learned").select("row", "tuning", "ids")
+    stretches = learned.mapInArrow(_cut(None), "stretch long, tuning boolean, ids binary")
     stretches = stretches.repartition(tasks, "stretch").select(
         F.when(F.col("tuning"), -1).otherwise(F.pmod(F.shiftright("stretch", 20), F.lit(rounds))).cast("int").alias("round"),
         "stretch", "ids",
@@ -413,25 +513,25 @@ def fitted(docs: DataFrame, counts: DataFrame, vocabulary: str = tokens.VOCABULA
     path = scratch_path(spark, "stretches")
     stretches.sortWithinPartitions("round", "stretch").write.partitionBy("round").parquet(path)
     stretches = spark.read.schema("stretch long, ids binary, round int").parquet(path)
-    ids = model_ids(stretches, opening_ids(data))
+    ids = model_ids(stretches, opens)
     model, _ = learned_model(stretches.where("round >= 0"), ids, tasks, rounds)
     scorer = Scorer(model, ids.own, ids.rare, ids.opening, 0.5, frequent, n, total, distinct)
-    return scorer._replace(part=_best_part(scorer, counts, learned.where("tuning").select("text"), sent))
+    return scorer._replace(part=_best_part(scorer, counts, learned.where("tuning").select("ids"), opens))
 
 
 #: Shares of the model among which the best is taken.
 _SHARES = [i / 20 for i in range(1, 20)]
 
 
-def _tuned(scorer, vocabulary):
+def _tuned(scorer, opens):
     """The scores of the frequent words of each text, summed for each of _SHARES, and a row
     for each other word. What a text adds to the counts itself does not speak for its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, told = tokens.encoding(vocabulary.value), scorer.value
+        keep_freed_memory()
+        told = scorer.value
         each = [told._replace(part=p) for p in _SHARES]
         for batch in batches:
-            for t in groups(batch["text"]):
-                s = streams(encoder, t)
+            for _, s in stored_streams(batch["ids"], opens.value):
                 log_model = word_log_probabilities(told, s)
                 order = np.lexsort((s.word_hash, s.word_text))
                 new = np.ones(len(order), dtype=bool)
@@ -458,10 +558,10 @@ def word_key(s: Streams) -> int:
         return int(mix(s.word_hash.view(np.uint64).sum(keepdims=True) + np.uint64(len(s.ids))).view(np.int64)[0])
 
 
-def _best_part(scorer: Scorer, counts: DataFrame, texts: DataFrame, vocabulary) -> float:
+def _best_part(scorer: Scorer, counts: DataFrame, texts: DataFrame, opens: np.ndarray) -> float:
     """The part of the model among _SHARES that suits all tuning texts best."""
-    sent = counts.sparkSession.sparkContext.broadcast(scorer)
-    parts = texts.mapInArrow(_tuned(sent, vocabulary), "word long, times long, log_model float, sums array<double>")
+    context = counts.sparkSession.sparkContext
+    parts = texts.mapInArrow(_tuned(context.broadcast(scorer), context.broadcast(opens)), "word long, times long, log_model float, sums array<double>")
     less = counts.where(F.col("n") * FREQUENT < scorer.total)
     parts = parts.join(less, "word", "left")
     c = F.greatest(F.coalesce("n", F.lit(0)) - F.col("times"), F.lit(0))
@@ -482,15 +582,15 @@ def _mixed(c, log_model, part: float, total: int):
     )
 
 
-def _scored(scorer, vocabulary):
+def _scored(scorer, opens):
     """Per text a row of what its frequent words add, and a row for each other word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, told = tokens.encoding(vocabulary.value), scorer.value
+        keep_freed_memory()
+        told = scorer.value
         for batch in batches:
             row = batch["row"].to_numpy()
-            for t in groups(batch["text"]):
-                s = streams(encoder, t)
-                count = len(t.offsets) - 1
+            for first, s in stored_streams(batch["ids"], opens.value):
+                count = len(s.text_size)
                 log_model = word_log_probabilities(told, s)
                 at = np.minimum(np.searchsorted(told.frequent, s.word_hash), max(0, len(told.frequent) - 1))
                 known = told.frequent[at] == s.word_hash if len(told.frequent) else np.zeros(len(at), bool)
@@ -499,7 +599,7 @@ def _scored(scorer, vocabulary):
                 def summed(x):
                     return np.bincount(text, weights=x, minlength=count)
 
-                mine = row[t.first : t.first + count]
+                mine = row[first : first + count]
                 some = ~known
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -536,15 +636,20 @@ def scored(docs: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
     spark = docs.sparkSession
     text = whole_text(F.col("text"))
     out = held_out(F.col("doc_id"), FOLDS, HELD_OUT)
+    row = F.monotonically_increasing_id()
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", (~out).alias("learned"), text.alias("text")
-    )
-    counts = rows.where("learned").select("text").mapInArrow(_counted, "word long, n long")
+        row.alias("row"), "doc_id", (~out).alias("learned"), text.alias("text")
+    ).withColumn("tuning", F.pmod(F.xxhash64(F.lit(17), "row"), F.lit(TUNING)) == 0)
+    data = tokens.load(vocabulary)
+    # Every text is turned into subwords once; all that follows reads these.
+    schema = T.StructType([f for f in rows.schema if f.name != "text"]).add("ids", "binary")
+    coded = stored(rows.mapInArrow(_coding(spark.sparkContext.broadcast(data)), schema), "subwords")
+    opens = spark.sparkContext.broadcast(opening_ids(data))
+    counts = coded.where("learned").select("ids").mapInArrow(_counted(opens), "word long, n long")
     counts = stored(counts.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    scorer = fitted(rows, counts, vocabulary)
-    data = spark.sparkContext.broadcast(tokens.load(vocabulary))
-    parts = rows.select("row", "text").mapInArrow(
-        _scored(spark.sparkContext.broadcast(scorer), data),
+    scorer = fitted(coded, counts, data)
+    parts = coded.select("row", "ids").mapInArrow(
+        _scored(spark.sparkContext.broadcast(scorer), opens),
         "row long, word long, log_model float, n_tokens long, n_known long, base double, score double",
     )
     less = counts.where(F.col("n") * FREQUENT < scorer.total)
@@ -558,7 +663,7 @@ def scored(docs: DataFrame, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
         F.sum(F.col("base") + F.when(word, base).otherwise(0.0)).alias("base_score"),
         F.sum(F.col("score") + F.when(word, mixed).otherwise(0.0)).alias("score"),
     )
-    return rows.select("row", "doc_id", (~F.col("learned")).alias("held_out")).join(sums, "row").select(
+    return coded.select("row", "doc_id", (~F.col("learned")).alias("held_out")).join(sums, "row").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(scorer.total).cast("long").alias("train_tokens"),
         "base_score", "score",
     )

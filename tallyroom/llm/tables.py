@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallyroom.session import scratch_path
@@ -54,6 +55,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def keep_freed_memory() -> None:
+    """Let this process keep up to 62 MB that its arrays free. What is larger than any array
+    freed so far is mapped anew each time, and getting its pages costs more than most work on
+    them; one large array, freed at once and never touched, raises that size."""
+    np.empty(31 << 20, dtype=np.uint8)
+
+
 def whole_text(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 

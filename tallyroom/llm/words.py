@@ -52,6 +52,8 @@ def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[Texts]:
     """The texts of a column, nulls as empty, in groups of about ``limit`` bytes."""
     if pa.types.is_string(column.type):
         column = column.cast(pa.large_string())
+    elif pa.types.is_binary(column.type):
+        column = column.cast(pa.large_binary())
     column = column.fill_null("") if column.null_count else column
     if not len(column):
         return
