@@ -13,10 +13,10 @@ START = SIZE
 #: Width, hidden width, and a window's context and scored places.
 WIDTH, HIDDEN, CONTEXT, SCORED = 16, 32, 16, 32
 WINDOW = CONTEXT + SCORED
-#: Windows whose shares of attention are computed at once, whose states are, and told at once.
-PART, BLOCK, TOLD = 32, 96, 1536
-_EARLIER = np.arange(WINDOW)[None] <= np.arange(CONTEXT, WINDOW)[:, None]
-_LATER = np.where(_EARLIER, 0, -1e9).astype(np.float32)
+#: Windows whose states are computed at once, and told at once.
+BLOCK, TOLD = 96, 1536
+_EARLIER = (np.arange(WINDOW)[None] <= np.arange(CONTEXT, WINDOW)[:, None]).astype(np.float32)
+_LATER = np.where(_EARLIER > 0, 0, -1e9).astype(np.float32)
 
 
 class Model(NamedTuple):
@@ -112,16 +112,13 @@ def _states(m: Model, ids: np.ndarray):
     own = x[:, CONTEXT:].reshape(-1, WIDTH)
     q = (own @ (m.query * np.float32(WIDTH**-0.5))).reshape(-1, SCORED, WIDTH)
     kv = (x.reshape(-1, WIDTH) @ np.concatenate([m.key, m.value], axis=1)).reshape(*x.shape[:2], 2 * WIDTH)
-    share, seen = np.empty((len(ids), SCORED, WINDOW), dtype=x.dtype), np.empty_like(q)
-    for b in range(0, len(ids), PART):
-        z = slice(b, b + PART)
-        score = np.matmul(q[z], kv[z, :, :WIDTH].transpose(0, 2, 1), out=share[z])
-        score += _LATER
-        some, there = _seen(ids[z])
-        if len(some):
-            score[some] += np.where(there, np.float32(0), np.float32(-1e9))
-        np.matmul(_softmax(score), kv[z, :, WIDTH:], out=seen[z])
-    seen = seen.reshape(-1, WIDTH)
+    score = np.matmul(q, kv[:, :, :WIDTH].transpose(0, 2, 1))
+    score += _LATER
+    some, there = _seen(ids)
+    if len(some):
+        score[some] += np.where(there, np.float32(0), np.float32(-1e9))
+    share = _softmax(score)
+    seen = np.matmul(share, kv[:, :, WIDTH:]).reshape(-1, WIDTH)
     flat = seen @ m.mixed
     flat += own
     up = flat @ m.up
@@ -235,24 +232,20 @@ def gradients(m: Model, ids: np.ndarray, told: np.ndarray, there: np.ndarray) ->
     dh += ds
     g["mixed"] = seen.T @ dh
     dseen = dh @ m.mixed.T
+    # What is hidden has a share near 0; products of it would be subnormal, which is slow.
+    share *= _EARLIER
+    some, with_id = _seen(ids)
+    if len(some):
+        share[some] *= with_id
     less = (dseen * seen).sum(-1).reshape(-1, SCORED, 1)
     dseen = dseen.reshape(-1, SCORED, WIDTH)
-    dq, dkv = np.empty_like(q), np.empty_like(kv)
-    for b in range(0, len(ids), PART):
-        z = slice(b, b + PART)
-        # What is hidden has a share near 0; products of it would be subnormal, which is slow.
-        part = share[z]
-        part *= _EARLIER
-        some, with_id = _seen(ids[z])
-        if len(some):
-            part[some] *= with_id
-        dscore = np.matmul(dseen[z], kv[z, :, WIDTH:].transpose(0, 2, 1))
-        dscore -= less[z]
-        dscore *= part
-        np.matmul(dscore, kv[z, :, :WIDTH], out=dq[z])
-        np.matmul(dscore.transpose(0, 2, 1), q[z], out=dkv[z, :, :WIDTH])
-        np.matmul(part.transpose(0, 2, 1), dseen[z], out=dkv[z, :, WIDTH:])
-    dq, dkv = dq.reshape(-1, WIDTH), dkv.reshape(-1, 2 * WIDTH)
+    dscore = np.matmul(dseen, kv[:, :, WIDTH:].transpose(0, 2, 1))
+    dscore -= less
+    dscore *= share
+    dkv = np.empty_like(kv)
+    np.matmul(dscore.transpose(0, 2, 1), q, out=dkv[:, :, :WIDTH])
+    np.matmul(share.transpose(0, 2, 1), dseen, out=dkv[:, :, WIDTH:])
+    dq, dkv = np.matmul(dscore, kv[:, :, :WIDTH]).reshape(-1, WIDTH), dkv.reshape(-1, 2 * WIDTH)
     scale = np.float32(WIDTH**-0.5)
     g["query"] = own.T @ dq * scale
     by_kv = x.reshape(-1, WIDTH).T @ dkv

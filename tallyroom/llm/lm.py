@@ -17,7 +17,7 @@ from tallyroom.llm import attention, tokens
 from tallyroom.llm.attention import CONTEXT, SCORED, SIDE, SIZE, START, WINDOW, Model
 from tallyroom.llm.pieces import ranges
 from tallyroom.llm.tables import bounded_batches, held_out, keep_freed_memory, stored, whole_text
-from tallyroom.llm.words import _powers, Texts, groups, mix, word_hashes, words
+from tallyroom.llm.words import Texts, groups, mix, powers, word_hashes, words
 from tallyroom.session import scratch_path
 
 #: Rows learned from leave another remainder of crc32(doc_id) modulo 7.
@@ -141,7 +141,7 @@ class Streams(NamedTuple):
 
 
 _SPREAD = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
-#: Subwords whose words are hashed together, at most but for one word.
+#: Subwords whose words are hashed together, at most but for a longer word.
 _HASHED = 1 << 18
 
 
@@ -157,7 +157,7 @@ def sequence_hashes(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
         first = start[i:j] - start[i]
         place = np.arange(end[j - 1] - start[i]) - np.repeat(first, size)
         terms = _SPREAD.take(ids[start[i] : end[j - 1]])
-        terms *= _powers(1 << int(size.max()).bit_length())[0].take(place)
+        terms *= powers(1 << int(size.max()).bit_length())[0].take(place)
         out[i:j] = mix(np.add.reduceat(terms, first))
         i = j
     return out.view(np.int64)

@@ -80,7 +80,8 @@ def words(texts: Texts) -> Words:
 _POWERS = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
+    """At least ``n`` powers of the base, and of its inverse."""
     if len(_POWERS[0]) < n:
         for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
             p = np.full(n, base, dtype=_U)
@@ -97,7 +98,7 @@ def word_hashes(texts: Texts, found: Words) -> np.ndarray:
         for i in range(0, len(out), _SLICE):
             start, end = found.start[i : i + _SLICE], found.end[i : i + _SLICE]
             low, high = start[0], end[-1]
-            power, inverse = _powers(1 << int(high - low + 1).bit_length())
+            power, inverse = powers(1 << int(high - low + 1).bit_length())
             sums = np.zeros(high - low + 1, dtype=_U)
             byte = _LOWER[texts.data[low:high]].astype(_U) + _U(1)
             np.cumsum(byte * power[: high - low], out=sums[1:])

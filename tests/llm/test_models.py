@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import subprocess
+import sys
+from pathlib import Path
+
 import brute
 import numpy as np
 import pytest
@@ -233,6 +238,100 @@ def test_every_subword_of_every_text_is_learned_from(spark, make_docs, quick, mo
         assert after > before + 0.1
 
 
+class CountingEncoder:
+    """An encoder that counts the texts it encodes."""
+
+    def __init__(self, encoder):
+        self.encoder, self.calls = encoder, 0
+
+    def __getattr__(self, name):
+        return getattr(self.encoder, name)
+
+    def encode_ordinary(self, text):
+        self.calls += 1
+        return self.encoder.encode_ordinary(text)
+
+
+def test_distinct_words_are_encoded_in_one_text():
+    encoder = CountingEncoder(lm.tokens.encoding(lm.tokens.load()))
+    odd = ["a\u3000", "\u00a0", "\u2003\u2003", "x\u0085y", "\x1cq"]
+    found = ["it's", "'s", "Ärger", "12", "!?", "z" * 300, "naïve", "...", "ok", "東京", "it's"]
+    plain = lm.pa.array([" ".join(found), "", "  " + " ".join(found[::-1]) + "\t"], lm.pa.large_string())
+    for column, calls in ((plain, 1), (lm.pa.array([" ".join(odd + found), " ".join(odd)], lm.pa.large_string()), 1 + len(odd))):
+        (t,) = lm.groups(column)
+        encoder.calls = 0
+        got = lm.streams(encoder, t)
+        assert encoder.calls == calls
+        wanted = [re.findall(r"[^ \t]+", x) for x in column.to_pylist()]
+        ids = [[encoder.encoder.encode_ordinary(" " + w) for w in words] + [[50256]] for words in wanted]
+        assert got.ids.tolist() == [i for text in ids for word in text for i in word]
+        assert got.word_start.tolist() == np.cumsum([0] + [len(word) for text in ids for word in text])[:-1].tolist()
+        assert got.word_text.tolist() == [i for i, text in enumerate(ids) for _ in text]
+        same = {}
+        for word, hash_ in zip([w for text in wanted for w in [*text, None]], got.word_hash.tolist()):
+            assert same.setdefault(word, hash_) == hash_
+        assert len(set(same.values())) == len(same)
+
+
+def test_words_of_bytes_that_are_no_text_stay_apart():
+    data = b"a\xff bb\xfea\xff a\xfe"
+    column = lm.pa.Array.from_buffers(
+        lm.pa.large_string(), 2, [None, lm.pa.py_buffer(np.array([0, 5, len(data)])), lm.pa.py_buffer(data)]
+    )
+    got = lm.streams(lm.tokens.encoding(lm.tokens.load()), next(lm.groups(column)))
+    ends = got.word_hash[np.append(np.diff(got.word_text) > 0, True)]
+    assert len(set(got.word_hash.tolist())) == len(got.word_hash) - 1 and len(set(ends.tolist())) == 1
+
+
+def test_stored_subwords_are_read_as_they_were_coded(monkeypatch):
+    monkeypatch.setattr(lm, "CODED_BYTES", 10)
+    monkeypatch.setattr(lm, "_HASHED", 3)
+    data = lm.tokens.load()
+    column = lm.pa.array(["Some words, some words", "", "extraordinarily long", None, "end"], lm.pa.large_string())
+    (whole,) = [lm.streams(lm.tokens.encoding(data), t) for t in lm.groups(column)]
+    rows = lm.pa.RecordBatch.from_arrays([lm.pa.array(range(5)), column], names=["row", "text"])
+    sent = type("Sent", (), {"value": data})
+    (coded,) = lm._coding(sent)(iter([rows]))
+    parts = list(lm.stored_streams(coded["ids"], lm.opening_ids(data)))
+    assert coded["row"].to_pylist() == list(range(5)) and len(parts) > 1
+    for field in ("ids", "text_size", "word_hash"):
+        assert (np.concatenate([getattr(s, field) for _, s in parts]) == getattr(whole, field)).all()
+    assert (np.concatenate([s.word_text + first for first, s in parts]) == whole.word_text).all()
+
+
+def test_texts_are_read_once(spark, make_docs, quick):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    docs = make_docs(*[(i, f"word{i} and other words " * 5) for i in range(60)])
+    docs = docs.select("doc_id", counted.asNondeterministic()("text").alias("text"))
+    assert len(lm.scored(docs).collect()) == 60
+    assert read.value == 60
+
+
+def test_learning_gets_no_new_pages():
+    code = """
+import resource, numpy as np
+from tallyroom.llm import attention, lm
+rng = np.random.default_rng(1)
+stream = rng.integers(0, attention.SIZE, 128 * 32)
+ids, told, at = attention.windows(stream, np.array([0]), np.array([len(stream)]))
+[_ for _ in lm._summed("n", 9, None)(iter([]))]
+mine = attention.learner(attention.new_model(np.bincount(stream, minlength=attention.SIZE), 1))
+for n in range(1, 13):
+    if n == 3:
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    mine.learn(n, 0.1, ids, told, at >= 0)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 10)
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(run.stdout) < 200
+
+
 def test_mixture_sums_to_at_most_one_over_words():
     data = lm.tokens.load()
     encoder = lm.tokens.encoding(data)
