@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallyroom.llm import curves, lattice
@@ -150,3 +151,68 @@ def test_many_copies_meet_no_window_more_than_once(spark, monkeypatch):
         exact = curves._inner(x[q], x)
         order = [int(i) for i in np.lexsort((np.arange(900), -exact)) if i != q][:5]
         assert [m[1] for m in mine] == order
+
+
+def test_overlapping_windows_compare_a_pair_once(spark, monkeypatch):
+    x = np.random.default_rng(3).standard_normal((600, 24))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    pairs, compare = spark.sparkContext.accumulator(0), curves._compare
+
+    def counted(key, table, k):
+        asks = sum(table["asks"].to_pylist())
+        pairs.add(asks * (len(table) - asks))
+        return compare(key, table, k)
+
+    monkeypatch.setattr(curves, "_compare", counted)
+    monkeypatch.setattr(curves, "ASKERS", 16)
+    got = curves.nearest(df, every=10, k=5, window=20, recall=0.95).collect()
+    assert 0 < pairs.value <= 600 * 60
+    found = sum(r["vec_id"] in np.argsort(-np.where(np.arange(600) == r["query_id"], -np.inf, x @ x[r["query_id"]]))[:5] for r in got)
+    assert len(got) == 300 and found >= 0.95 * 300
+
+
+@pytest.mark.parametrize("reach", [0, 1, 3, 40])
+def test_blocks_hold_every_pair_within_reach(reach):
+    rng = np.random.default_rng(reach)
+    x = rng.standard_normal((500, 6))
+    at = (rng.random((500, 3)) ** 2 * 40).astype(np.int64)
+    queries = np.arange(0, 500, 7)
+    asked_at = np.maximum(at[queries] - 1, 0)
+    sizes = [np.stack([np.bincount(a[:, c], minlength=40) for c in range(3)]) for a in (at, asked_at)]
+    layout = curves.Layout(*sizes, reach, block=30, askers=11)
+    assert layout.whole == (reach > 3)
+    held, asking = layout.groups(at, np.arange(500), False).to_pylist(), layout.groups(asked_at, queries, True).to_pylist()
+    near = (np.abs(asked_at[:, None] - at[None]) <= reach).any(2)
+    found, met = {int(q): set() for q in queries}, np.zeros(near.shape, dtype=int)
+    for group in {g for gs in held + asking for g in gs}:
+        i, j = ([n for n, gs in enumerate(side) if group in gs] for side in (asking, held))
+        met[np.ix_(i, j)] += 1
+        side = [(n, x[n], [n, n + 1000], at[n], False) for n in j] + [(queries[n], x[queries[n]], None, asked_at[n], True) for n in i]
+        columns = list(zip(*side))
+        table = pa.table({
+            "vec_id": pa.array(columns[0], pa.int64()), "vector": pa.array(columns[1], pa.list_(pa.float64())),
+            "ids": pa.array(columns[2], pa.list_(pa.int64())), "at": pa.array(columns[3], pa.list_(pa.int64())), "asks": columns[4],
+        })
+        for row in curves._compare((layout.of(group), reach), table, 5).to_pylist():
+            found[row["query_id"]] |= {(h["far"], h["vec_id"]) for h in row["near"]}
+    assert (met[near] > 0).all() and met.max() <= (1 if layout.whole else 3)
+    for n, q in enumerate(queries):
+        exact = -curves._inner(x[q], x)
+        every = sorted((exact[j], j + copy) for j in np.flatnonzero(near[n]) for copy in (0, 1000))
+        assert sorted(found[q])[:5] == every[:5]
+
+
+def test_best_rows_by_bounds_are_those_of_exact_products():
+    rng = np.random.default_rng(6)
+    plain = rng.standard_normal((3000, 8))
+    copies = plain.copy()
+    copies[::2] = plain[0] * (1 + 1e-8 * rng.standard_normal((1500, 8)))
+    lengths = plain * 10.0 ** rng.integers(-60, 60, (3000, 1))
+    for rows in (plain, copies, lengths, plain * 1e-150, np.eye(8)[rng.integers(0, 8, 3000)], -np.ones((3000, 1))):
+        ids = np.arange(3000)
+        batch = pa.RecordBatch.from_arrays([pa.array(list(rows)), pa.array(ids), pa.array([[i] for i in ids])], names=["vector", "vec_id", "ids"])
+        best = curves._best(rows[:300], ids[:300], curves.Rows.of(batch), 9)
+        for query, near in zip(rows, best["near"].to_pylist()):
+            exact = curves._inner(query, rows)
+            order = np.lexsort((ids, -exact))[:9]
+            assert [(h["far"], h["vec_id"], h["home"]) for h in near] == [(-exact[i], i, i) for i in order]
